@@ -366,20 +366,18 @@ def q_upsert_conflicts(spark, sf_dir):
 _CAT_KEYS = (f"{O.code_cte()}, {_CONSTS}, "
              f"bal AS (SELECT doc_id FROM (SELECT doc_id, array_to_string(string_split_regex(content, {O.q(O.TOKENS['code'])}), '') AS g FROM code) "
              "WHERE length(g) = length(replace(g, '\"', ''))), "
-             f"{O.pages_cte()}, {PAGE_CLS}, "
-             f"pk AS (SELECT {O.pascal(O.first_line('text'))} AS key FROM pcls2 WHERE translatable), "
+             f"{O.doc_lines_cte()}, {_KEYS}, "
              "cat AS (SELECT key FROM consts WHERE doc_id IN (SELECT doc_id FROM bal) "
-             "UNION SELECT key FROM pk WHERE length(key) > 0)")
+             "UNION SELECT key FROM keys)")
 
 
 def _catalog_and_constants(spark, sf_dir):
+    """Catalog keys: constants migrated from balanced code files plus the keys of all document lines."""
     code = FX.code_sources(spark, sf_dir)
     ok, _ = X.quarantine_unbalanced(code, id_cols=("doc_id",))
     constants = X.extract_constants(FX.code_lines(spark, sf_dir), ("doc_id",))
     migrated = constants.join(ok.select("doc_id"), "doc_id", "left_semi").select("key")
-    page_keys = (_page_classified(spark, sf_dir).filter("translatable")
-                 .select(T.pascal_key(T.first_line("text")).alias("key")).filter(F.length("key") > 0))
-    return migrated.unionByName(page_keys), constants
+    return migrated.unionByName(_doc_keys(spark, sf_dir).select("key")), constants
 
 
 @register("q_missing_constants", f"""

@@ -562,3 +562,69 @@ def q_review(spark, sf_dir):
     """STM-03 (batch form): one-slot review outcomes per actor over ``events``."""
     acts = V.actions_from_events(table(spark, sf_dir, "events"))
     return V.review_outcomes(acts).select("event_id", "actor", "action", "outcome")
+
+
+# ---------------------------------------------------------------- flows
+
+_FLOW_BASE = (f"{O.code_cte()}, {O.literals_cte('lit', 'code', ['doc_id'], 'content', 'code', positions=False)}, "
+              f"bal AS (SELECT doc_id FROM (SELECT doc_id, array_to_string(string_split_regex(content, {O.q(O.TOKENS['code'])}), '') AS g FROM code) "
+              "WHERE length(g) = length(replace(g, '\"', ''))), "
+              f"cand AS (SELECT doc_id, ordinal, {O.first_line('text')} AS text FROM lit WHERE kind <> 'comment' "
+              f"AND NOT {O.blank('text')} AND NOT wrapped AND doc_id IN (SELECT doc_id FROM bal)), "
+              f"{DOC_STOP}, "
+              f"cls AS (SELECT c.*, {O.reason('c.text')} = 'text' AS translatable FROM cand c LEFT JOIN stop s ON c.text = s.token)")
+
+
+@register("q_split_files", f"""
+WITH {_FLOW_BASE},
+per AS (SELECT doc_id,
+          count(DISTINCT text) FILTER (WHERE translatable) AS n_translate,
+          count(DISTINCT text) FILTER (WHERE NOT translatable) AS n_not,
+          list_sort(list_distinct(list(text) FILTER (WHERE translatable))) AS yes,
+          list_sort(list_distinct(list(text) FILTER (WHERE NOT translatable))) AS no
+        FROM cls GROUP BY doc_id),
+st AS (SELECT doc_id, path, doc_id NOT IN (SELECT doc_id FROM bal) AS rej FROM code)
+SELECT st.doc_id, regexp_replace(regexp_replace(regexp_extract(path, '([^/\\\\]*)$', 1), '\\.[^.]*$', ''), '2+$', '') AS stem,
+       CASE WHEN rej THEN 'unbalanced' ELSE 'ok' END AS status,
+       CAST(coalesce(n_translate, 0) AS BIGINT) AS n_translate, CAST(coalesce(n_not, 0) AS BIGINT) AS n_not,
+       CASE WHEN len(coalesce(yes, [])) > 0 THEN array_to_string(yes, chr(10)) WHEN rej THEN '!null' ELSE '!zero elements' END AS to_translate,
+       CASE WHEN len(coalesce(no, [])) > 0 THEN array_to_string(no, chr(10)) WHEN rej THEN '!null' ELSE '!zero elements' END AS not_to_translate
+FROM st LEFT JOIN per USING (doc_id)
+""")
+def q_split_files(spark, sf_dir):
+    """Flow B on the code view: per file, texts to translate and not; unbalanced files marked."""
+    from locflow.plans.flows import split_files
+    _, report, _, _ = split_files(FX.code_sources(spark, sf_dir), K.stoplist(spark), ("doc_id",),
+                                  path_col="path")
+    return report
+
+
+@register("q_translate_files", f"""
+WITH {_FLOW_BASE}, {O.doc_lines_cte()},
+pf AS (SELECT doc_id, text, bool_or(translatable) AS in_bet, bool_or(NOT translatable) AS in_not FROM cls GROUP BY doc_id, text),
+dec AS (SELECT d.text, CASE WHEN l.toxic = 1 THEN 'manual_no' WHEN l.quality = 0 THEN 'auto_no' ELSE 'auto_yes' END AS verdict
+        FROM doc_texts d JOIN labels l USING (doc_id)),
+fl AS (SELECT text, bool_or(verdict = 'manual_no') AS manual_no, bool_or(verdict = 'auto_no') AS auto_no,
+              bool_or(verdict = 'auto_yes') AS auto_yes FROM dec GROUP BY text),
+kept0 AS (SELECT pf.doc_id, pf.text, {O.pascal('pf.text')} AS key FROM pf LEFT JOIN fl USING (text)
+          WHERE in_bet AND NOT coalesce(manual_no, false) AND NOT coalesce(auto_no, false)
+            AND (NOT in_not OR coalesce(auto_yes, false))),
+kept AS (SELECT * FROM kept0 WHERE length(key) > 0),
+pos AS (SELECT c.doc_id, c.ordinal, k.key FROM cls c JOIN kept k USING (doc_id, text)),
+t AS (SELECT doc_id, regexp_extract_all(content, {O.q(O.TOKENS['code'])}) AS toks,
+             string_split_regex(content, {O.q(O.TOKENS['code'])}) AS gaps FROM code WHERE doc_id IN (SELECT doc_id FROM bal)),
+x AS (SELECT doc_id, unnest(gaps) AS gap, generate_subscripts(gaps, 1) AS i, toks FROM t),
+y AS (SELECT x.doc_id, x.i, x.gap, CASE WHEN x.i <= len(x.toks) THEN x.toks[x.i] END AS tok, p.key
+      FROM x LEFT JOIN pos p ON p.doc_id = x.doc_id AND p.ordinal = x.i - 1)
+SELECT doc_id, string_agg(gap || coalesce({O.lookup('key')}, tok, ''), '' ORDER BY i) AS rewritten,
+       CAST(count(key) AS BIGINT) AS replaced
+FROM y GROUP BY doc_id
+""")
+def q_translate_files(spark, sf_dir):
+    """Flow A on the code view: kept literals replaced by their lookups, per balanced file."""
+    from locflow.plans.flows import translate_files
+    empty = spark.createDataFrame([], "lang string, key string, source string, target string, translate boolean, "
+                                      "origin string, seq struct<doc_id:bigint,ordinal:bigint>")
+    rewritten, _, _, _ = translate_files(FX.code_sources(spark, sf_dir), K.stoplist(spark),
+                                         FX.labelled_decisions(spark, sf_dir), empty, ("doc_id",))
+    return rewritten.select("doc_id", "rewritten", "replaced")

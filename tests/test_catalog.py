@@ -1,0 +1,64 @@
+"""Decisions, keys, catalog merge (FIXTURES §4)."""
+
+from pyspark.sql import functions as F
+
+from locflow.operators import catalog as C
+from locflow.operators import classify as K
+
+CAT = "lang string, key string, source string, target string, translate boolean, origin string, seq struct<n:bigint>"
+
+
+def test_decision_algebra(spark):
+    bet = [("f", t, True) for t in "ABCDE"] + [("f", t, False) for t in "DEF"]
+    classified = spark.createDataFrame(bet, "path string, text string, translatable boolean")
+    decisions = spark.createDataFrame([("A", "manual_no"), ("B", "auto_no"), ("E", "auto_yes")], "text string, verdict string")
+    kept = sorted(r.text for r in K.apply_decisions(classified, decisions).filter("kept").collect())
+    assert kept == ["C", "E"]
+
+
+def test_classify_rules(spark):
+    texts = ["", "utf-8", "http://x", "/de", "a.png", "12.5 %", "fooBar", "foo_bar", "###", "Hello world", "div"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r.reason for r in K.classify(df, K.stoplist(spark)).collect()]
+    assert got == ["blank", "stop:value", "url", "path", "path", "number", "identifier", "identifier",
+                   "no_letter", "text", "stop:tag"]
+    user = K.classify(df, K.stoplist(spark), rules=[("short", F.length("text") == 3)])
+    assert [r.reason for r in user.collect()][-1] == "short"
+
+
+def test_upsert_golden(spark):
+    cat = spark.createDataFrame([("cs", "K1", "old", "old", True, "x", (0,))], CAT)
+    batch = spark.createDataFrame([("cs", "K1", "new", "new", True, "b", (1,)), ("cs", "K2", "a", "a", True, "b", (2,)),
+                                   ("cs", "K2", "b", "b", True, "b", (3,))], CAT)
+    ins, conf = C.upsert_catalog(cat, batch)
+    assert [(r.lang, r.key, r.target) for r in ins.collect()] == [("cs", "K2", "a")]
+    assert sorted((r.dropped, r.against) for r in conf.collect()) == [("b", "batch"), ("new", "catalog")]
+    # upsert twice = once
+    merged = cat.unionByName(ins)
+    ins2, _ = C.upsert_catalog(merged, batch)
+    assert ins2.count() == 0
+
+
+def test_bilingual_routing(spark):
+    t = spark.createDataFrame([("cs", "Ahoj", "Hello"), ("en", "Bye", None)], "lang string, text string, translation string")
+    t = t.withColumn("key", F.when(F.col("translation").isNotNull(), F.col("translation")).otherwise(F.col("text")))
+    rows = sorted((r.lang, r.key, r.target) for r in C.to_catalog_rows(t).collect())
+    assert rows == [("cs", "Hello", "Ahoj"), ("en", "Bye", "Bye"), ("en", "Hello", "Hello")]
+
+
+def test_keys_and_conflicts(spark):
+    texts = spark.createDataFrame([("en", "Hello world", 1), ("en", "Hello, world!", 2), ("en", "Hello world", 3),
+                                   ("en", "!!", 4)], "lang string, text string, n long")
+    keys = C.derive_keys(texts, order_cols=("n",))
+    got = sorted((r.text, r.key, r.uses, r.texts_per_key) for r in keys.collect())
+    assert got == [("Hello world", "HelloWorld", 2, 2), ("Hello, world!", "HelloWorld", 1, 2)]
+    conf = [(r.text, r.winner) for r in C.key_conflicts(keys).collect()]
+    assert conf == [("Hello, world!", "Hello world")]
+
+
+def test_compare_and_missing(spark):
+    cat = spark.createDataFrame([("A",), ("B",)], "key string")
+    consts = spark.createDataFrame([("B",), ("C",)], "key string")
+    assert sorted(tuple(r) for r in C.compare_keys(cat, consts).collect()) == [("A", "only_catalog"), ("B", "both"), ("C", "only_constants")]
+    assert [r.key for r in C.missing_constants(cat, consts).collect()] == ["A"]
+    assert [r.key for r in C.known_keys(cat, consts).collect()] == ["B"]

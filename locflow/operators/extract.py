@@ -22,12 +22,19 @@ TOKS, GAPS = "_toks", "_gaps"
 
 
 def tokenize(df: DataFrame, text_col: str = "content", profile: str = "code") -> DataFrame:
-    """Add ``_toks`` and ``_gaps`` arrays (narrow)."""
+    """Add ``_toks`` and ``_gaps`` arrays (narrow).
+
+    The arrays come out of a one-row ``inline`` generator rather than a plain
+    projection: a later filter on them (the balance check) then stays above
+    the generator instead of being inlined into the scan, which would run the
+    regex twice per file.
+    """
     if TOKS in df.columns and GAPS in df.columns:
         return df
     pattern = PROFILES[profile]
-    return (df.withColumn(TOKS, F.regexp_extract_all(F.col(text_col), F.lit(pattern), 0))
-              .withColumn(GAPS, F.split(F.col(text_col), pattern, -1)))
+    arrays = F.struct(F.regexp_extract_all(F.col(text_col), F.lit(pattern), 0).alias(TOKS),
+                      F.split(F.col(text_col), pattern, -1).alias(GAPS))
+    return df.select("*", F.inline(F.array(arrays)))
 
 
 def _stray_quotes(gaps) -> F.Column:
@@ -101,19 +108,22 @@ def extract_literals(df: DataFrame, text_col: str = "content", id_cols=("path",)
                  *(["_line_flags"] if line_rule else []))
     x = x.withColumn("text", T.inner_text("raw", "kind"))
     if positions or line_rule:
+        # Only lengths and line-break counts cross the shuffle, not the gap text.
+        x = (x.withColumn("_glen", F.length("_gap")).withColumn("_gnl", T.newlines("_gap"))
+              .withColumn("_step", F.col("_glen") + F.length("raw"))
+              .withColumn("_stepnl", F.col("_gnl") + T.newlines("raw")).drop("_gap"))
         before = Window.partitionBy(*ids).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-        step_len = F.length("_gap") + F.length("raw")
-        step_nl = T.newlines("_gap") + T.newlines("raw")
-        x = (x.withColumn("offset", (F.coalesce(F.sum(step_len).over(before), F.lit(0))
-                                     + F.length("_gap")).cast("bigint"))
-              .withColumn("line_no", (F.coalesce(F.sum(step_nl).over(before), F.lit(0))
-                                      + T.newlines("_gap") + 1).cast("bigint")))
+        x = x.select("*", F.sum("_step").over(before).alias("_pl"), F.sum("_stepnl").over(before).alias("_pn"))
+        x = (x.withColumn("offset", (F.coalesce(F.col("_pl"), F.lit(0)) + F.col("_glen")).cast("bigint"))
+              .withColumn("line_no", (F.coalesce(F.col("_pn"), F.lit(0)) + F.col("_gnl") + 1).cast("bigint"))
+              .drop("_glen", "_gnl", "_step", "_stepnl", "_pl", "_pn"))
+    else:
+        x = x.drop("_gap")
     if line_rule:
         x = x.filter(~F.coalesce(F.element_at("_line_flags", F.col("line_no").cast("int")), F.lit(False)))
         x = x.drop("_line_flags")
         if not positions:
             x = x.drop("offset", "line_no")
-    x = x.drop("_gap")
     if not keep_comments:
         x = x.filter(F.col("kind") != "comment")
     return x

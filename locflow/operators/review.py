@@ -40,7 +40,7 @@ def outcome(prev_action, action, review: bool = True):
              .when(action == "decline", F.when(open_before, "declined").otherwise("ignored")))
 
 
-def review_outcomes(actions: DataFrame, bucket: str = "day", review: bool = True) -> DataFrame:
+def review_outcomes(actions: DataFrame, bucket: str = "hour", review: bool = True) -> DataFrame:
     """``(actor, ts, event_id, action, outcome)`` for ``actions(actor, ts, event_id, action)``.
 
     ``bucket`` is a ``date_trunc`` unit; smaller buckets spread a hot actor

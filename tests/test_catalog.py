@@ -62,3 +62,16 @@ def test_compare_and_missing(spark):
     assert sorted(tuple(r) for r in C.compare_keys(cat, consts).collect()) == [("A", "only_catalog"), ("B", "both"), ("C", "only_constants")]
     assert [r.key for r in C.missing_constants(cat, consts).collect()] == ["A"]
     assert [r.key for r in C.known_keys(cat, consts).collect()] == ["B"]
+
+
+def test_decide_literals_matches_apply_decisions(spark):
+    rows = [("f", 0, "A", True), ("f", 1, "D", True), ("f", 2, "D", False), ("f", 3, "C", True), ("g", 0, "A", True),
+            ("g", 1, "E", False), ("g", 2, "E", True)]
+    classified = spark.createDataFrame(rows, "path string, ordinal long, text string, translatable boolean")
+    decisions = spark.createDataFrame([("A", "manual_no"), ("E", "auto_yes")], "text string, verdict string")
+    per_lit = K.decide_literals(classified, decisions)
+    per_text = K.apply_decisions(classified, decisions)
+    a = sorted({(r.path, r.text, r.verdict) for r in per_lit.collect()})
+    b = sorted((r.path, r.text, r.verdict) for r in per_text.collect())
+    assert a == b
+    assert sorted((r.path, r.ordinal) for r in per_lit.filter("kept").collect()) == [("f", 3), ("g", 1), ("g", 2)]

@@ -14,10 +14,9 @@ def read_sources(spark: SparkSession, path: str, glob: str = "*.cs",
     by size (``spark.sql.files.maxPartitionBytes``), so many small files share a
     task and a big file gets its own. Only files matching ``glob`` are read.
     """
-    df = (spark.read.option("wholetext", "true")
-          .option("recursiveFileLookup", "true" if recursive else "false")
+    df = (spark.read.option("recursiveFileLookup", "true" if recursive else "false")
           .option("pathGlobFilter", glob)
-          .text(path))
+          .text(path, wholetext=True))
     return df.select(F.col("_metadata.file_path").alias("path"),
                      F.lit(lang).cast("string").alias("lang"),
                      F.col("value").alias("content"))
@@ -38,3 +37,13 @@ def to_lines(df: DataFrame, text_col: str = "content", keep=("path",),
     parts = F.split(F.col(text_col), "\r?\n", -1)
     return (df.select(*keep, F.posexplode(parts).alias("pos", line_col))
               .select(*keep, (F.col("pos") + 1).cast("bigint").alias("line_no"), line_col))
+
+
+def write_sources(df: DataFrame, path: str, text_col: str = "rewritten", path_col: str = "path",
+                  fmt: str = "parquet") -> None:
+    """Write rewritten sources keyed by ``path`` (SNK-02); never in place.
+
+    One row per source file; ``fmt='text'`` is not offered because a text
+    sink cannot keep the file's path next to its content.
+    """
+    df.select(path_col, F.col(text_col).alias("content")).write.mode("overwrite").format(fmt).save(path)

@@ -37,6 +37,9 @@ def derive_keys(texts: DataFrame, text_col: str = "text", lang_col: str = "lang"
     d = d.filter(F.length("key") > 0)
     if explicit_col:
         d = d.drop("_explicit")
+    # The count per key is a partial aggregation joined back on (lang, key):
+    # a hot key costs one count row, and AQE's skew join splits its texts
+    # over several tasks (a window over the key would put them in one).
     per_key = d.groupBy("lang", "key").agg(F.count(F.lit(1)).alias("texts_per_key"))
     return d.join(per_key, ["lang", "key"])
 

@@ -118,6 +118,17 @@ def unescape_text(c) -> Column:
     return F.replace(F.replace(col(c), F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
 
 
+def literal_value(text, kind) -> Column:
+    """The string a literal stands for: escapes resolved (regular) or ``""`` → ``"`` (verbatim)."""
+    text, kind = col(text), col(kind)
+    return F.when(kind == "verbatim", F.replace(text, F.lit('""'), F.lit('"'))).otherwise(unescape_text(text))
+
+
+def regular_form(text, kind) -> Column:
+    """Any literal rewritten as a regular literal (STR-07 generalised: ``@"\\"`` → ``"\\\\"``)."""
+    return wrap_quotes(escape_text(literal_value(text, kind)))
+
+
 def wrap_quotes(c) -> Column:
     """``"text"`` (STR-09)."""
     return F.concat(F.lit('"'), col(c), F.lit('"'))

@@ -628,3 +628,18 @@ def q_translate_files(spark, sf_dir):
     rewritten, _, _, _ = translate_files(FX.code_sources(spark, sf_dir), K.stoplist(spark),
                                          FX.labelled_decisions(spark, sf_dir), empty, ("doc_id",))
     return rewritten.select("doc_id", "rewritten", "replaced")
+
+
+_VALUE = "CASE WHEN kind = 'verbatim' THEN replace(text, '\"\"', '\"') ELSE " + O.unescape("text") + " END"
+
+
+@register("q_escapes", f"""
+WITH {O.code_cte()}, {O.literals_cte('lit', 'code', ['doc_id'], 'content', 'code', positions=False)},
+v AS (SELECT doc_id, ordinal, kind, text, {_VALUE} AS value FROM lit WHERE kind <> 'comment')
+SELECT doc_id, ordinal, kind, text, value, '"' || {O.escape('value')} || '"' AS regular FROM v
+""")
+def q_escapes(spark, sf_dir):
+    """STR-07/08/09: every code literal's value and its regular-literal form."""
+    lit = _code_literals(spark, sf_dir, positions=False)
+    return lit.select("doc_id", "ordinal", "kind", "text", T.literal_value("text", "kind").alias("value"),
+                      T.regular_form("text", "kind").alias("regular"))

@@ -166,3 +166,11 @@ def detect_cte(name: str, src: str, ids: list[str], text: str) -> str:
             f"(PARTITION BY {idl} ORDER BY hits DESC, lang) AS r FROM {name}_h) WHERE r = 1), "
             f"{name} AS (SELECT {', '.join('s.' + i for i in ids)}, coalesce(b.detected, 'und') AS detected, "
             f"CAST(coalesce(b.hits, 0) AS BIGINT) AS hits FROM {src} s LEFT JOIN {name}_b b USING ({idl}))")
+
+
+def unescape(e: str) -> str:
+    return f"replace(replace({e}, '\\\"', '\"'), '\\\\', '\\')"
+
+
+def escape(e: str) -> str:
+    return f"replace(replace({e}, '\\', '\\\\'), '\"', '\\\"')"

@@ -58,7 +58,7 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
         return None
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     """Use the session's checkpoint folder; create a private one only when unset.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is left
@@ -72,7 +72,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     master = spark.sparkContext.master
     if not master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+        # never a machine-local folder on a cluster; jobs that need one fail
+        # in ``stage`` with a clear message
+        return None
     path = tempfile.mkdtemp(prefix="locflow-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def stage(df, name: str = "stage"):
+    """Cut lineage: reliably checkpoint ``df`` into the session's checkpoint folder.
+
+    For an intermediate that several sinks read (or a long chain), so a lost
+    executor recomputes from the checkpoint, not from the sources. Never a
+    local checkpoint.
+    """
+    spark = df.sparkSession
+    if not ensure_checkpoint_dir(spark):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder before staging " + name)
+    return df.checkpoint(eager=True)

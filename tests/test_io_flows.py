@@ -55,7 +55,8 @@ def test_flow_a_rewrites_and_inserts(spark, tmp_dir):
     decisions = spark.createDataFrame([("Save file", "manual_no")], "text string, verdict string")
     empty = spark.createDataFrame([], "lang string, key string, source string, target string, translate boolean, "
                                       "origin string, seq struct<path:string,ordinal:bigint>")
-    rewritten, inserted, conflicts, rejected = flows.translate_files(src, K.stoplist(spark), decisions, empty)
+    rewritten, inserted, conflicts, rejected = flows.translate_files(src, K.stoplist(spark), decisions, empty,
+                                                                     materialize=True)
     got = {os.path.basename(r.path): r.rewritten for r in rewritten.collect()}
     assert got["one.cs"] == 'class A { string s = sess.i18n(XlfKeys.HelloWorld); string t = "utf-8"; }\n'
     assert got["two2.cs"].startswith('var x = "Save file";')  # manual_no keeps it

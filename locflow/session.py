@@ -91,3 +91,17 @@ def stage(df, name: str = "stage"):
     if not ensure_checkpoint_dir(spark):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before staging " + name)
     return df.checkpoint(eager=True)
+
+
+BROADCAST_MAX_ROWS = 200_000
+
+
+def broadcast_if_small(df, max_rows: int = BROADCAST_MAX_ROWS):
+    """Broadcast ``df`` only after checking its size; beyond the limit AQE plans a shuffle join.
+
+    The check is one ``count`` of a side that callers expect to be small (a
+    vocabulary, a profile table); only the number reaches the driver.
+    """
+    from pyspark.sql import functions as F
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

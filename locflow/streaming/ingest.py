@@ -37,6 +37,11 @@ def ingest_batch(batch: DataFrame, batch_id: int, catalog_path: str, conflicts_p
     spark = batch.sparkSession
     rows = catalog_rows(batch, text_col, lang_col, order_cols=order_cols, origin="stream")
     existing = _existing(spark, catalog_path, batch_id, schema)
+    # Only catalog rows whose key occurs in this micro-batch matter. The semi
+    # join lets AQE broadcast the batch's keys (a micro-batch is small next to
+    # the catalog), so the catalog is scanned and filtered, not shuffled.
+    batch_keys = rows.select("lang", "key").distinct()
+    existing = existing.join(batch_keys, ["lang", "key"], "left_semi")
     inserted, conflicts = upsert_catalog(existing, rows)
     inserted.select(*CATALOG_COLUMNS).write.mode("overwrite").parquet(
         os.path.join(catalog_path, f"batch_id={batch_id}"))

@@ -24,6 +24,7 @@ PROFILES_RE2 = {"code": CODE_TOKEN_RE2, "markup": MARKUP_TOKEN_RE2}
 # controls 9-13 and U+0085. The same class works in Java and RE2.
 WS = r"[\p{Z}\t\n\x0B\f\r\x{85}]"
 WS_RUN = WS + "+"
+BLANK = r"\A" + WS + r"*+\z"
 
 # Edge split (EXT-07): up to two non letter/digit characters on each edge.
 EDGES = (r"^[^\p{L}\p{N}]{0,2}", r"[^\p{L}\p{N}]{0,2}\z")

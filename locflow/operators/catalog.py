@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locflow.functions import text as T
+from locflow.operators.skew import hot_keys, salted_join
 
 CATALOG_COLUMNS = ("lang", "key", "source", "target", "translate", "origin", "seq")
 
@@ -38,10 +39,22 @@ def derive_keys(texts: DataFrame, text_col: str = "text", lang_col: str = "lang"
     if explicit_col:
         d = d.drop("_explicit")
     # The count per key is a partial aggregation joined back on (lang, key):
-    # a hot key costs one count row, and AQE's skew join splits its texts
-    # over several tasks (a window over the key would put them in one).
+    # a hot key costs one count row, and its texts are spread over salts
+    # (a window over the key would put them all in one task).
     per_key = d.groupBy("lang", "key").agg(F.count(F.lit(1)).alias("texts_per_key"))
-    return d.join(per_key, ["lang", "key"])
+    hot = hot_keys(per_key, ["lang", "key"], "texts_per_key")
+    return salted_join(d, per_key, ["lang", "key"], "inner", hot=hot, salt_cols=["lang", "text"])
+
+
+def key_set(texts: DataFrame, text_col: str = "text", lang_col: str | None = None) -> DataFrame:
+    """Distinct keys of non-blank texts (``key`` or ``(lang, key)``), one partial aggregation.
+
+    For membership tests (known keys, catalog keys) where the per-key text
+    count of ``derive_keys`` is not needed.
+    """
+    cols = ([F.col(lang_col).alias("lang")] if lang_col else []) + [T.pascal_key(text_col).alias("key")]
+    return (texts.filter(~T.is_blank(text_col)).select(*cols)
+                 .filter(F.length("key") > 0).distinct())
 
 
 def key_conflicts(keys: DataFrame) -> DataFrame:
@@ -53,9 +66,11 @@ def key_conflicts(keys: DataFrame) -> DataFrame:
     """
     shared = keys.filter(F.col("texts_per_key") > 1)
     win = (shared.groupBy("lang", "key")
-                 .agg(F.min(F.struct("first_seen", "text")).alias("_w"))
-                 .select("lang", "key", F.col("_w.text").alias("winner")))
-    return (shared.join(win, ["lang", "key"]).filter(F.col("text") != F.col("winner"))
+                 .agg(F.min(F.struct("first_seen", "text")).alias("_w"), F.count(F.lit(1)).alias("_n"))
+                 .select("lang", "key", F.col("_w.text").alias("winner"), "_n"))
+    hot = hot_keys(win, ["lang", "key"], "_n")
+    return (salted_join(shared, win.drop("_n"), ["lang", "key"], "inner", hot=hot, salt_cols=["lang", "text"])
+                  .filter(F.col("text") != F.col("winner"))
                   .select("lang", "key", "text", "winner"))
 
 
@@ -77,11 +92,16 @@ def catalog_rows(texts: DataFrame, text_col: str = "text", lang_col: str = "lang
                  .filter(F.length("key") > 0))
 
 
-def first_wins(rows: DataFrame) -> DataFrame:
-    """One row per ``(lang, key)``: the one with the smallest ``seq`` (SET-03)."""
+def first_wins(rows: DataFrame, with_count: bool = False) -> DataFrame:
+    """One row per ``(lang, key)``: the one with the smallest ``seq`` (SET-03).
+
+    ``with_count`` adds ``_n``, the rows per key (used to find hot keys).
+    """
     cols = [c for c in rows.columns if c not in ("lang", "key")]
-    w = rows.groupBy("lang", "key").agg(F.min(F.struct("seq", *[c for c in cols if c != "seq"])).alias("_w"))
-    return w.select("lang", "key", *[F.col(f"_w.{c}").alias(c) for c in cols])
+    w = rows.groupBy("lang", "key").agg(F.min(F.struct("seq", *[c for c in cols if c != "seq"])).alias("_w"),
+                                        F.count(F.lit(1)).alias("_n"))
+    out = w.select("lang", "key", *[F.col(f"_w.{c}").alias(c) for c in cols], "_n")
+    return out if with_count else out.drop("_n")
 
 
 def upsert_catalog(catalog: DataFrame, batch: DataFrame):
@@ -97,15 +117,18 @@ def upsert_catalog(catalog: DataFrame, batch: DataFrame):
     aggregation already partitioned the batch by those keys, so only the
     catalog is shuffled (or broadcast by AQE when it is measured small).
     """
-    win = first_wins(batch)
+    counted = first_wins(batch, with_count=True)
+    hot = hot_keys(counted, ["lang", "key"], "_n")
+    win = counted.drop("_n")
     existing = catalog.select("lang", "key", F.col("target").alias("_existing"))
     j = win.join(existing, ["lang", "key"], "left")
     inserted = j.filter(F.col("_existing").isNull()).drop("_existing")
     vs_catalog = (j.filter(F.col("_existing").isNotNull() & (F.col("_existing") != F.col("target")))
                    .select("lang", "key", F.col("_existing").alias("kept"),
                            F.col("target").alias("dropped"), F.lit("catalog").alias("against")))
-    losers = (batch.select("lang", "key", "target").distinct()
-                   .join(win.select("lang", "key", F.col("target").alias("_w")), ["lang", "key"])
+    losers = (salted_join(batch.select("lang", "key", "target").distinct(),
+                          win.select("lang", "key", F.col("target").alias("_w")), ["lang", "key"], "inner",
+                          hot=hot, salt_cols=["lang", "target"])
                    .filter(F.col("target") != F.col("_w"))
                    .select("lang", "key", F.col("_w").alias("kept"), F.col("target").alias("dropped"),
                            F.lit("batch").alias("against")))

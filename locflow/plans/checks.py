@@ -377,7 +377,7 @@ def _catalog_and_constants(spark, sf_dir):
     ok, _ = X.quarantine_unbalanced(code, id_cols=("doc_id",))
     constants = X.extract_constants(FX.code_lines(spark, sf_dir), ("doc_id",))
     migrated = constants.join(ok.select("doc_id"), "doc_id", "left_semi").select("key")
-    return migrated.unionByName(_doc_keys(spark, sf_dir).select("key")), constants
+    return migrated.unionByName(C.key_set(FX.doc_texts(spark, sf_dir))), constants
 
 
 @register("q_missing_constants", f"""
@@ -520,7 +520,7 @@ def q_new_captures(spark, sf_dir):
     cl = (caps.select("conv_id", "turn", "line_no", T.clean_capture("captured").alias("text"))
               .filter(~T.is_blank("text")).withColumn("key", T.pascal_key("text"))
               .filter(F.length("key") > 0))
-    known = _doc_keys(spark, sf_dir).select("key").distinct().withColumn("known", F.lit(True))
+    known = C.key_set(FX.doc_texts(spark, sf_dir)).withColumn("known", F.lit(True))
     return (cl.join(known, "key", "left").withColumn("known", F.coalesce("known", F.lit(False)))
               .select("conv_id", "turn", "line_no", "text", "key", "known"))
 

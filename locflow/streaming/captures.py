@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locflow.functions import text as T
+from locflow.operators.skew import salted_join
 
 
 def clean_captures(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -28,4 +29,8 @@ def new_captures(stream: DataFrame, known: DataFrame, text_col: str = "text",
     c = clean_captures(stream, text_col)
     keys = known.select(F.col("key").alias("_k")).distinct()
     probe = F.col(text_col) if raw_match else F.col("key")
+    if not stream.isStreaming:
+        # batch: hot keys are spread over salts (a stream has no global count)
+        c = c.withColumn("_k", probe)
+        return salted_join(c, keys, ["_k"], "left_anti").drop("_k")
     return c.join(keys, probe == F.col("_k"), "left_anti")

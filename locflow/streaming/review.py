@@ -1,11 +1,19 @@
 """One-slot review over a stream of actions (STM-03).
 
-State per actor is one value: the actor's last review action. The outcome
-of an event depends only on the previous action (see
-``locflow.operators.review``), so each micro-batch sorts an actor's new
-events by ``(ts, event_id)``, shifts the actions by one with the stored
-action in front, and stores the last action again. Input in time order per
-actor gives exactly the batch outcomes.
+The outcome of an event depends only on the actor's previous action (see
+``locflow.operators.review``), so the state per actor is the last action.
+
+* In-order mode (no watermark): each micro-batch sorts an actor's new events
+  by ``(ts, event_id)``, shifts the actions by one with the stored action in
+  front, and stores the last action. Exact when each actor's events arrive
+  in time order.
+* Watermark mode (``delay`` given): events wait in the actor's state until
+  the watermark passes them, and are then released in ``(ts, event_id)``
+  order, so events that arrive out of order (by less than ``delay``) get
+  the batch outcomes. An event-time timeout releases what is due when no new
+  events come for the actor. The buffer per actor holds at most ``delay``
+  worth of its events; events older than the watermark are dropped by Spark
+  as late (see ``numRowsDroppedByWatermark``).
 """
 
 from __future__ import annotations
@@ -18,6 +26,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT_SCHEMA = "actor long, ts timestamp, event_id long, action string, outcome string"
 STATE_SCHEMA = "last_action string"
+BUFFER_STATE_SCHEMA = ("last_action string, buf_ts array<timestamp>, buf_id array<long>, "
+                       "buf_action array<string>")
+COLUMNS = ["actor", "ts", "event_id", "action", "outcome"]
 
 
 def _outcomes(prev: pd.Series, action: pd.Series, review: bool) -> pd.Series:
@@ -32,18 +43,60 @@ def _outcomes(prev: pd.Series, action: pd.Series, review: bool) -> pd.Series:
     return out
 
 
-def review_stream(actions: DataFrame, review: bool = True) -> DataFrame:
+def _decide(batch: pd.DataFrame, last, review: bool) -> pd.DataFrame:
+    """Outcomes for time-sorted ``batch`` given the actor's last action before it."""
+    prev = batch["action"].shift(1)
+    if len(batch):
+        prev.iloc[0] = last
+    batch = batch.copy()
+    batch["outcome"] = _outcomes(prev, batch["action"], review).values
+    return batch
+
+
+def review_stream(actions: DataFrame, review: bool = True, delay: str | None = None,
+                  ts_col: str = "ts") -> DataFrame:
     """Outcomes for a streaming ``actions(actor, ts, event_id, action)`` DataFrame."""
+    if delay is None:
+        return _in_order(actions, review)
+    return _buffered(actions.withWatermark(ts_col, delay), review)
 
+
+def _in_order(actions: DataFrame, review: bool) -> DataFrame:
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
         last = state.get[0] if state.exists else None
-        prev = batch["action"].shift(1)
-        if len(batch):
-            prev.iloc[0] = last
-        batch["outcome"] = _outcomes(prev, batch["action"], review).values
+        out = _decide(batch, last, review)
         state.update((batch["action"].iloc[-1] if len(batch) else last,))
-        yield batch[["actor", "ts", "event_id", "action", "outcome"]]
+        yield out[COLUMNS]
 
     return actions.groupBy("actor").applyInPandasWithState(
         step, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+
+
+def _buffered(actions: DataFrame, review: bool) -> DataFrame:
+    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        actor = key[0]
+        if state.exists:
+            last, b_ts, b_id, b_act = state.get
+            buf = pd.DataFrame({"ts": pd.to_datetime(list(b_ts or [])), "event_id": list(b_id or []),
+                                "action": list(b_act or [])})
+        else:
+            last, buf = None, pd.DataFrame({"ts": pd.to_datetime([]), "event_id": [], "action": []})
+        frames = [buf] + [p[["ts", "event_id", "action"]] for p in pdfs]
+        allrows = pd.concat(frames, ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
+        wm = state.getCurrentWatermarkMs()
+        due_mask = allrows["ts"].astype("int64") // 1_000_000 <= wm if wm > 0 else allrows["ts"].isna()
+        due, keep = allrows[due_mask], allrows[~due_mask]
+        out = _decide(due.reset_index(drop=True), last, review)
+        out.insert(0, "actor", actor)
+        if len(due):
+            last = due["action"].iloc[-1]
+        if len(keep):
+            state.update((last, list(keep["ts"]), [int(x) for x in keep["event_id"]], list(keep["action"])))
+            state.setTimeoutTimestamp(int(keep["ts"].iloc[0].value // 1_000_000) + 1)
+        else:
+            state.update((last, [], [], []))
+        yield out[COLUMNS]
+
+    return actions.groupBy("actor").applyInPandasWithState(
+        step, OUTPUT_SCHEMA, BUFFER_STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)

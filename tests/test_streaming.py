@@ -95,3 +95,40 @@ def test_ingest_with_watermark_dedup(spark, tmp_dir):
     empty = spark.createDataFrame([], "lang string, key string, source string, target string, translate boolean, origin string, seq struct<ts:timestamp,event_id:bigint>")
     want, _ = upsert_catalog(empty, catalog_rows(shape(ev), order_cols=("ts", "event_id")))
     assert got.count() == 750 and got.exceptAll(want.select("lang", "key", "target")).count() == 0
+
+
+def test_review_stream_out_of_order_with_watermark(spark, tmp_dir):
+    """Files arrive out of time order (3rd quarter before the 2nd); buffering under a watermark restores order."""
+    ev = spark.read.parquet(f"{SF01}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    from pyspark.sql import Window
+    b = ev.withColumn("_p", F.ntile(4).over(Window.orderBy("ts", "event_id")))
+    src = os.path.join(tmp_dir, "src")
+    os.makedirs(src)
+    now = time.time() - 1000
+    order = [1, 3, 2, 4]
+    for k, part in enumerate(order):
+        out = os.path.join(tmp_dir, f"stage{part}")
+        b.filter(F.col("_p") == part).drop("_p").coalesce(1).write.parquet(out)
+        f = [n for n in os.listdir(out) if n.endswith(".parquet")][0]
+        dst = os.path.join(src, f"part{k}.parquet")
+        os.link(os.path.join(out, f), dst)
+        os.utime(dst, (now + k * 10, now + k * 10))
+    # a far-future event from another actor moves the watermark past everything
+    sentinel = os.path.join(tmp_dir, "sentinel")
+    spark.createDataFrame([(10**9, "2030-01-01 00:00:00", -1, "view", 0.0, "{}")],
+                          "event_id long, ts string, user_id long, event_type string, value double, props string") \
+         .withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(sentinel)
+    f = [n for n in os.listdir(sentinel) if n.endswith(".parquet")][0]
+    dst = os.path.join(src, "part9.parquet")
+    os.link(os.path.join(sentinel, f), dst)
+    os.utime(dst, (now + 100, now + 100))
+    stream = spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+    out = os.path.join(tmp_dir, "review_out")
+    q = (review_stream(actions_from_events(stream), delay="30 days").writeStream.format("parquet")
+         .option("checkpointLocation", os.path.join(tmp_dir, "ck_review")).outputMode("append")
+         .trigger(availableNow=True).start(out))
+    q.awaitTermination(300)
+    got = spark.read.parquet(out).filter("actor <> -1").select("event_id", "outcome")
+    want = review_outcomes(actions_from_events(ev)).select("event_id", "outcome")
+    assert got.count() == want.count() == 5977
+    assert got.exceptAll(want).count() == 0

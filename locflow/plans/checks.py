@@ -643,3 +643,38 @@ def q_escapes(spark, sf_dir):
     lit = _code_literals(spark, sf_dir, positions=False)
     return lit.select("doc_id", "ordinal", "kind", "text", T.literal_value("text", "kind").alias("value"),
                       T.regular_form("text", "kind").alias("regular"))
+
+
+@register("q_add_texts", f"""
+WITH {_MEM}, {O.profiles_cte('documents', 'lang', 'text')}, {O.detect_cte('det', 'ut', ['conv_id', 'turn'], 'text')},
+{O.doc_lines_cte()},
+t AS (SELECT ut.conv_id, ut.turn, ut.text, det.detected AS lang,
+             {O.carry_capital('ut.text', 'mem.tgt_text')} AS translation
+      FROM ut JOIN det USING (conv_id, turn) LEFT JOIN mem ON ut.text = mem.src_text),
+k0 AS (SELECT *, {O.pascal(f"CASE WHEN translation IS NULL OR {O.blank('translation')} THEN text ELSE translation END")} AS key FROM t),
+k AS (SELECT * FROM k0 WHERE length(key) > 0),
+r0 AS (SELECT conv_id, turn, key, lang, text AS target FROM k
+       UNION ALL
+       SELECT conv_id, turn, key, 'en' AS lang, translation AS target FROM k
+       WHERE lang <> 'en' AND translation IS NOT NULL AND NOT {O.blank('translation')}),
+r AS (SELECT * FROM r0 WHERE NOT {O.blank('target')}),
+win AS (SELECT lang, key, arg_min(target, (conv_id, turn)) AS target, arg_min(conv_id, (conv_id, turn)) AS conv_id,
+               arg_min(turn, (conv_id, turn)) AS turn FROM r GROUP BY lang, key),
+ex AS (SELECT DISTINCT lang, {O.pascal('text')} AS key FROM doc_texts WHERE doc_id IN (SELECT doc_id FROM labels))
+SELECT lang, key, target, conv_id, turn FROM win ANTI JOIN ex USING (lang, key)
+""")
+def q_add_texts(spark, sf_dir):
+    """Flow C on conversations: user turns → language → memory → keys → routed rows, inserted first-wins
+    into the catalog of labelled documents' lines."""
+    from locflow.plans.flows import add_texts
+    conv = FX.conversations(spark, sf_dir)
+    texts = conv.filter(F.col("role") == "user").select("conv_id", "turn", "text")
+    mem = M.memory_from_turns(conv)
+    profiles = L.build_profiles(FX.documents(spark, sf_dir), 50)
+    doc = FX.doc_texts(spark, sf_dir)
+    labelled = doc.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    catalog = C.first_wins(C.catalog_rows(labelled, order_cols=("doc_id", "line_no"), origin="existing"))
+    constants = X.extract_constants(FX.code_lines(spark, sf_dir), ("doc_id",))
+    inserted, _, _ = add_texts(texts, catalog, constants, mem, profiles, id_cols=("conv_id", "turn"))
+    return inserted.select("lang", "key", "target", F.col("seq.conv_id").alias("conv_id"),
+                           F.col("seq.turn").alias("turn"))

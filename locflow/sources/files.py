@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locflow.sources.tables import spread_small_input
+
 
 def read_sources(spark: SparkSession, path: str, glob: str = "*.cs",
                  recursive: bool = True, lang: str | None = None) -> DataFrame:
@@ -17,9 +19,10 @@ def read_sources(spark: SparkSession, path: str, glob: str = "*.cs",
     df = (spark.read.option("recursiveFileLookup", "true" if recursive else "false")
           .option("pathGlobFilter", glob)
           .text(path, wholetext=True))
-    return df.select(F.col("_metadata.file_path").alias("path"),
-                     F.lit(lang).cast("string").alias("lang"),
-                     F.col("value").alias("content"))
+    out = df.select(F.col("_metadata.file_path").alias("path"),
+                    F.lit(lang).cast("string").alias("lang"),
+                    F.col("value").alias("content"))
+    return spread_small_input(out)
 
 
 def only_extension(df: DataFrame, ext: str = ".cs", path_col: str = "path") -> DataFrame:

@@ -73,3 +73,18 @@ def run_ingest(stream: DataFrame, catalog_path: str, conflicts_path: str, checkp
 def read_catalog(spark: SparkSession, catalog_path: str, schema: str = CATALOG_SCHEMA) -> DataFrame:
     """The catalog as ingested so far (all batch folders)."""
     return spark.read.schema(schema + ", batch_id bigint").parquet(catalog_path)
+
+
+def run_captures(stream: DataFrame, known: DataFrame, catalog_path: str, conflicts_path: str,
+                 checkpoint: str, lang: str = "en", text_col: str = "text",
+                 order_cols=("ts", "event_id"), available_now: bool = True):
+    """STM-01 + STM-02: clean captured texts, skip keys already known, insert the rest first-wins.
+
+    ``known`` is a static DataFrame of declared keys (re-read each
+    micro-batch by the stream-static anti join).
+    """
+    from locflow.streaming.captures import new_captures
+    fresh = new_captures(stream, known, text_col).select(
+        *order_cols, F.lit(lang).alias("lang"), F.col("cleaned").alias("text"))
+    return run_ingest(fresh, catalog_path, conflicts_path, checkpoint, "text", "lang", order_cols,
+                      available_now=available_now)

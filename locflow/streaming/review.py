@@ -22,6 +22,7 @@ from typing import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT_SCHEMA = "actor long, ts timestamp, event_id long, action string, outcome string"
@@ -58,7 +59,9 @@ def review_stream(actions: DataFrame, review: bool = True, delay: str | None = N
     """Outcomes for a streaming ``actions(actor, ts, event_id, action)`` DataFrame."""
     if delay is None:
         return _in_order(actions, review)
-    return _buffered(actions.withWatermark(ts_col, delay), review)
+    # withWatermark refuses timestamp_ntz (the driver's events.ts); the session zone is UTC
+    ts = actions.withColumn(ts_col, F.col(ts_col).cast("timestamp"))
+    return _buffered(ts.withWatermark(ts_col, delay), review)
 
 
 def _in_order(actions: DataFrame, review: bool) -> DataFrame:

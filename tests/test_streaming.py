@@ -132,3 +132,19 @@ def test_review_stream_out_of_order_with_watermark(spark, tmp_dir):
     want = review_outcomes(actions_from_events(ev)).select("event_id", "outcome")
     assert got.count() == want.count() == 5977
     assert got.exceptAll(want).count() == 0
+
+
+def test_capture_stream_skips_known_and_ingests(spark, tmp_dir):
+    from locflow.streaming.ingest import run_captures
+    src, ev = _split_events(spark, tmp_dir, parts=2)
+    stream = (spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+              .select("ts", "event_id", F.concat(F.lit('"'), F.col("event_type"), F.lit(' '),
+                                                F.col("user_id").cast("string"), F.lit(':"')).alias("text")))
+    known = spark.createDataFrame([("View7",), ("Click46",)], "key string")
+    cat, conf, ck = (os.path.join(tmp_dir, n) for n in ("catalog", "conflicts", "ck"))
+    run_captures(stream, known, cat, conf, ck).awaitTermination(300)
+    got = read_catalog(spark, cat)
+    keys = {r.key for r in got.select("key").collect()}
+    assert "View7" not in keys and "Click46" not in keys and "Error8" in keys
+    assert got.count() == 750 - 2
+    assert got.filter("target LIKE '%:%' OR target LIKE '%\"%'").count() == 0  # cleaned (STR-06)

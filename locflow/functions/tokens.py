@@ -32,10 +32,10 @@ EDGES = (r"^[^\p{L}\p{N}]{0,2}", r"[^\p{L}\p{N}]{0,2}\z")
 # Bold wrap (EXT-06): the whole literal, edge blanks allowed.
 BOLD = r"(?s)^" + WS + r"*(<b>)(.*)(</b>)" + WS + r"*\z"
 
-# Lookup prefixes (FLT-05): a literal right behind one of these is already
-# wrapped in a resource lookup.
+# Lookup prefixes (FLT-05); a literal right behind one of these
+# is already wrapped in a resource lookup.
 LOOKUP_PREFIXES = ("RLData.en[", "RLData.cs[")
 
-# A declared constant (EXT-05): key between the marker and ``=``, value
-# between the first and the last quote of the line.
+# A declared constant (EXT-05); key between the marker and
+# ``=``, value between the first and the last quote of the line.
 CONST_LINE = r'const string\s+(\w+)\s*=[^"]*"(.*)"'

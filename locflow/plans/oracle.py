@@ -9,6 +9,7 @@ rule change shows up in both.
 from __future__ import annotations
 
 from locflow.functions.tokens import BOLD, CODE_TOKEN_RE2, CONST_LINE, EDGES, LOOKUP_PREFIXES, MARKUP_TOKEN_RE2, WS
+from locflow.functions.text import LOOKUP_TEMPLATE
 from locflow.operators.classify import RULES, STOPLIST_ROWS
 
 TOKENS = {"code": CODE_TOKEN_RE2, "markup": MARKUP_TOKEN_RE2}
@@ -47,7 +48,8 @@ def carry_capital(src: str, tgt: str) -> str:
 
 
 def lookup(key: str) -> str:
-    return f"('sess.i18n(XlfKeys.' || {key} || ')')"
+    head, tail = LOOKUP_TEMPLATE.split("{key}")
+    return f"({q(head)} || {key} || {q(tail)})"
 
 
 def const_decl(key: str) -> str:

@@ -15,17 +15,24 @@ from pyspark.sql import functions as F
 
 from locflow.functions import text as T
 from locflow.operators.skew import hot_keys, salted_join
+from locflow.session import stage
 
 CATALOG_COLUMNS = ("lang", "key", "source", "target", "translate", "origin", "seq")
 
 
 def derive_keys(texts: DataFrame, text_col: str = "text", lang_col: str = "lang",
-                order_cols=(), explicit_col: str | None = None) -> DataFrame:
+                order_cols=(), explicit_col: str | None = None, materialize: bool = False) -> DataFrame:
     """``(lang, text, key, first_seen, uses, texts_per_key)`` (STR-03).
 
     Distinct texts per language (partial aggregation), the PascalCase key of
     each (explicit key wins), and how many distinct texts share that key.
     Texts whose key is blank are refused (FLT-01, Q24).
+
+    The distinct-text table feeds both the per-key count and the join back,
+    and Spark computes it once per branch. ``materialize=True`` checkpoints
+    it into the session's checkpoint folder first (worth it on a corpus
+    where re-reading and re-keying the sources costs more than writing the
+    distinct texts once).
     """
     first = (F.min(F.struct(*[F.col(c) for c in order_cols])).alias("first_seen")
              if order_cols else F.lit(None).alias("first_seen"))
@@ -38,6 +45,8 @@ def derive_keys(texts: DataFrame, text_col: str = "text", lang_col: str = "lang"
     d = d.filter(F.length("key") > 0)
     if explicit_col:
         d = d.drop("_explicit")
+    if materialize:
+        d = stage(d, "distinct_texts")
     # The count per key is a partial aggregation joined back on (lang, key):
     # a hot key costs one count row, and its texts are spread over salts
     # (a window over the key would put them all in one task).

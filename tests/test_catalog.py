@@ -75,3 +75,11 @@ def test_decide_literals_matches_apply_decisions(spark):
     b = sorted((r.path, r.text, r.verdict) for r in per_text.collect())
     assert a == b
     assert sorted((r.path, r.ordinal) for r in per_lit.filter("kept").collect()) == [("f", 3), ("g", 1), ("g", 2)]
+
+
+def test_derive_keys_materialized_equals_lazy(spark):
+    texts = spark.createDataFrame([("en", "Hello world", 1), ("en", "Hello, world!", 2), ("en", "Bye", 3)],
+                                  "lang string, text string, n long")
+    lazy = C.derive_keys(texts, order_cols=("n",)).drop("first_seen")
+    staged = C.derive_keys(texts, order_cols=("n",), materialize=True).drop("first_seen")
+    assert sorted(map(tuple, lazy.collect())) == sorted(map(tuple, staged.collect()))

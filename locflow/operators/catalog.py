@@ -219,3 +219,34 @@ def write_declarations(decls: DataFrame, path: str, parts: int | None = None) ->
     """
     d = decls.repartitionByRange(parts, "key") if parts else decls.repartitionByRange("key")
     d.sortWithinPartitions("key").select("declaration").write.mode("overwrite").text(path)
+
+
+def insert_declarations(lines: DataFrame, decls: DataFrame, first_line_no: DataFrame,
+                        path_col: str = "path") -> DataFrame:
+    """Constants file with new declarations inserted before its first constant (SNK-04).
+
+    ``lines(path, line_no, line)`` is the constants file, ``decls(path, key,
+    declaration)`` the declarations to add to each file, ``first_line_no(path,
+    first_line_no)`` the topmost constant per file (``first_constants``).
+    Returns ``(path, pos, sub, key, line)`` where ``(pos, sub, key)`` orders the
+    output lines: the file is never gathered into one row, so a constants file
+    with millions of keys stays spread over tasks; write it with
+    ``write_ordered_lines``.
+    """
+    old = lines.select(path_col, F.col("line_no").alias("pos"), F.lit(1).alias("sub"),
+                       F.lit("").alias("key"), "line")
+    new = (decls.join(first_line_no, path_col)
+                .select(path_col, F.col("first_line_no").alias("pos"), F.lit(0).alias("sub"),
+                        "key", F.col("declaration").alias("line")))
+    return old.unionByName(new)
+
+
+def write_ordered_lines(ordered: DataFrame, path: str, path_col: str = "path") -> None:
+    """Write ``(path, pos, sub, key, line)`` rows as text, one folder per source path, in order.
+
+    Range partitioning on the ordering keys keeps every part sorted and
+    disjoint; reading a folder's parts in name order gives the file.
+    """
+    keys = [path_col, "pos", "sub", "key"]
+    (ordered.repartitionByRange(*keys).sortWithinPartitions(*keys)
+            .select(path_col, "line").write.mode("overwrite").partitionBy(path_col).text(path))

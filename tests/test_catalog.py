@@ -83,3 +83,21 @@ def test_derive_keys_materialized_equals_lazy(spark):
     lazy = C.derive_keys(texts, order_cols=("n",)).drop("first_seen")
     staged = C.derive_keys(texts, order_cols=("n",), materialize=True).drop("first_seen")
     assert sorted(map(tuple, lazy.collect())) == sorted(map(tuple, staged.collect()))
+
+
+def test_insert_declarations_before_first_constant(spark, tmp_dir):
+    import os
+    from locflow.operators import extract as X
+    src = ["namespace N {", "class XlfKeys {", '    public const string Bye = "Bye";', "}", "}"]
+    lines = spark.createDataFrame([("k.cs", i + 1, l) for i, l in enumerate(src)], "path string, line_no long, line string")
+    first = X.first_constants(X.extract_constants(lines))
+    keys = spark.createDataFrame([("k.cs", "Zed"), ("k.cs", "Alpha")], "path string, key string")
+    decls = C.render_declarations(keys).join(keys, "key")
+    out = C.insert_declarations(lines, decls, first)
+    target = os.path.join(tmp_dir, "consts")
+    C.write_ordered_lines(out, target)
+    folder = [d for d in os.listdir(target) if d.startswith("path=")][0]
+    parts = sorted(p for p in os.listdir(os.path.join(target, folder)) if p.startswith("part-"))
+    got = [l for p in parts for l in open(os.path.join(target, folder, p)).read().splitlines()]
+    assert got == ["namespace N {", "class XlfKeys {", 'public const string Alpha = "Alpha";',
+                   'public const string Zed = "Zed";', '    public const string Bye = "Bye";', "}", "}"]

@@ -40,12 +40,22 @@ def outcome(prev_action, action, review: bool = True):
              .when(action == "decline", F.when(open_before, "declined").otherwise("ignored")))
 
 
-def review_outcomes(actions: DataFrame, bucket: str = "hour", review: bool = True) -> DataFrame:
+def review_outcomes(actions: DataFrame, bucket: str = "hour", review: bool = True,
+                    skip_review=None) -> DataFrame:
     """``(actor, ts, event_id, action, outcome)`` for ``actions(actor, ts, event_id, action)``.
 
     ``bucket`` is a ``date_trunc`` unit; smaller buckets spread a hot actor
-    over more tasks, the result does not depend on it.
+    over more tasks, the result does not depend on it. ``skip_review`` is a
+    column predicate for proposals that need no review (Q14: texts already in
+    the pivot language); they are ``committed`` at once and never touch the
+    slot, so they are taken out before the lag.
     """
+    if skip_review is not None:
+        skip = (F.col("action") == "propose") & F.coalesce(skip_review, F.lit(False))
+        direct = (actions.filter(skip).select("actor", "ts", "event_id", "action",
+                                              F.lit("committed").alias("outcome")))
+        rest = review_outcomes(actions.filter(~skip), bucket, review)
+        return rest.unionByName(direct)
     a = actions.withColumn("_bucket", F.date_trunc(bucket, F.col("ts")))
     order = [F.col("ts"), F.col("event_id")]
     in_bucket = Window.partitionBy("actor", "_bucket").orderBy(*order)

@@ -55,8 +55,17 @@ def _decide(batch: pd.DataFrame, last, review: bool) -> pd.DataFrame:
 
 
 def review_stream(actions: DataFrame, review: bool = True, delay: str | None = None,
-                  ts_col: str = "ts") -> DataFrame:
-    """Outcomes for a streaming ``actions(actor, ts, event_id, action)`` DataFrame."""
+                  ts_col: str = "ts", skip_review=None) -> DataFrame:
+    """Outcomes for a streaming ``actions(actor, ts, event_id, action)`` DataFrame.
+
+    ``skip_review`` as in the batch form (Q14): such proposals are committed
+    at once, outside the actor's state.
+    """
+    if skip_review is not None:
+        skip = (F.col("action") == "propose") & F.coalesce(skip_review, F.lit(False))
+        direct = actions.filter(skip).select("actor", F.col(ts_col).cast("timestamp").alias("ts"), "event_id",
+                                             "action", F.lit("committed").alias("outcome"))
+        return review_stream(actions.filter(~skip), review, delay, ts_col).unionByName(direct)
     if delay is None:
         return _in_order(actions, review)
     # withWatermark refuses timestamp_ntz (the driver's events.ts); the session zone is UTC

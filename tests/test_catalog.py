@@ -101,3 +101,13 @@ def test_insert_declarations_before_first_constant(spark, tmp_dir):
     got = [l for p in parts for l in open(os.path.join(target, folder, p)).read().splitlines()]
     assert got == ["namespace N {", "class XlfKeys {", 'public const string Alpha = "Alpha";',
                    'public const string Zed = "Zed";', '    public const string Bye = "Bye";', "}", "}"]
+
+
+def test_new_captures_derived_key_vs_raw_match(spark):
+    from locflow.streaming.captures import new_captures
+    caps = spark.createDataFrame([('"Hello world:"',), ("Bye",), ("  ",)], "text string")
+    known = spark.createDataFrame([("HelloWorld",), ("Bye",)], "key string")
+    # Q13 fixed: the derived key is compared, so "Hello world:" is known
+    assert [r.cleaned for r in new_captures(caps, known).collect()] == []
+    # raw_match keeps the reference's test of the raw text against the keys
+    assert [r.cleaned for r in new_captures(caps, known, raw_match=True).collect()] == ["Hello world"]

@@ -44,3 +44,13 @@ def test_detect_override(spark):
     texts = spark.createDataFrame([(1, "the the le", None), (2, "xyz", None), (3, "le", "de")], "id long, text string, o string")
     got = {r.id: (r.detected, r.hits) for r in L.detect_language(texts, prof, ("id",), override_col="o").collect()}
     assert got == {1: ("en", 2), 2: ("und", 0), 3: ("de", 1)}
+
+
+def test_review_skips_pivot_language_proposals(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(1, t0 + dt.timedelta(minutes=i), i, a, l) for i, (a, l) in
+            enumerate([("propose", "cs"), ("propose", "en"), ("accept", None), ("propose", "en"), ("accept", None)])]
+    acts = spark.createDataFrame(rows, "actor long, ts timestamp, event_id long, action string, lang string")
+    got = [r.outcome for r in V.review_outcomes(acts, skip_review=F.col("lang") == "en").orderBy("event_id").collect()]
+    # the English proposals commit at once and do not take the slot the Czech one holds
+    assert got == ["opened", "committed", "accepted", "committed", "ignored"]

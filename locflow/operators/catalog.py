@@ -85,15 +85,18 @@ def key_conflicts(keys: DataFrame) -> DataFrame:
 
 def catalog_rows(texts: DataFrame, text_col: str = "text", lang_col: str = "lang",
                  key_col: str | None = None, order_cols=(), origin: str = "batch",
-                 source_col: str | None = None) -> DataFrame:
+                 source_col: str | None = None, legacy_source: bool = False) -> DataFrame:
     """Shape texts as catalog rows ``(lang, key, source, target, translate, origin, seq)``.
 
     The text goes to ``target``; ``source`` is the pivot text when given, else
-    the text (Q23 fixed; the reference always wrote an empty source).
+    the text (Q23 fixed); ``legacy_source=True`` writes the empty source the
+    reference wrote.
     """
     key = F.col(key_col) if key_col else T.pascal_key(text_col)
     seq = F.struct(*[F.col(c) for c in order_cols]) if order_cols else F.struct(F.lit(0).alias("n"))
     source = F.col(source_col) if source_col else F.col(text_col)
+    if legacy_source:
+        source = F.lit("")
     return (texts.filter(~T.is_blank(text_col))
                  .select(F.col(lang_col).alias("lang"), key.alias("key"), source.alias("source"),
                          F.col(text_col).alias("target"), F.lit(True).alias("translate"),

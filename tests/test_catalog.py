@@ -111,3 +111,9 @@ def test_new_captures_derived_key_vs_raw_match(spark):
     assert [r.cleaned for r in new_captures(caps, known).collect()] == []
     # raw_match keeps the reference's test of the raw text against the keys
     assert [r.cleaned for r in new_captures(caps, known, raw_match=True).collect()] == ["Hello world"]
+
+
+def test_catalog_rows_source_column(spark):
+    t = spark.createDataFrame([("en", "Save file", 1)], "lang string, text string, n long")
+    assert C.catalog_rows(t, order_cols=("n",)).collect()[0].source == "Save file"
+    assert C.catalog_rows(t, order_cols=("n",), legacy_source=True).collect()[0].source == ""

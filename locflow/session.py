@@ -31,10 +31,9 @@ def build_session(master: str | None = None, app: str = "locflow",
                   shuffle_partitions: int | None = None,
                   extra: dict | None = None) -> SparkSession:
     """Create or fetch a session; set locflow defaults only where unset."""
-    builder = SparkSession.builder.appName(app)
+    builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
     if master:
         builder = builder.master(master)
-        builder = builder.config("spark.ui.enabled", "false")
         builder = builder.config("spark.driver.memory", os.environ.get("LOCFLOW_DRIVER_MEMORY", "8g"))
     for k, v in JOB_DEFAULTS.items():
         builder = builder.config(k, v)

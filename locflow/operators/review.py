@@ -7,9 +7,9 @@ review off every proposal is ``committed`` at once.
 
 The slot after an event is open exactly when that event was a proposal, so
 the outcome of an event depends only on the actor's previous event: a
-``lag``. To keep one busy actor from landing in a single task, the lag runs
-per ``(actor, time bucket)`` and the first event of a bucket takes the last
-event of the actor's previous non-empty bucket from a small per-bucket table.
+``lag``. To keep one busy actor from landing in a single task, a hot actor's
+events are cut into time slices and the first event of a slice takes the
+last event of the actor's previous non-empty slice from a small table.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from locflow.operators.skew import hot_keys, settings
+
 # How the driver's ``events`` map onto review actions.
 EVENT_ACTIONS = {"view": "propose", "purchase": "accept", "error": "decline"}
 
@@ -40,26 +42,44 @@ def outcome(prev_action, action, review: bool = True):
              .when(action == "decline", F.when(open_before, "declined").otherwise("ignored")))
 
 
-def review_outcomes(actions: DataFrame, bucket: str = "hour", review: bool = True,
-                    skip_review=None) -> DataFrame:
+def review_outcomes(actions: DataFrame, review: bool = True, skip_review=None,
+                    slices: int | None = None) -> DataFrame:
     """``(actor, ts, event_id, action, outcome)`` for ``actions(actor, ts, event_id, action)``.
 
-    ``bucket`` is a ``date_trunc`` unit; smaller buckets spread a hot actor
-    over more tasks, the result does not depend on it. ``skip_review`` is a
-    column predicate for proposals that need no review (Q14: texts already in
-    the pivot language); they are ``committed`` at once and never touch the
-    slot, so they are taken out before the lag.
+    The lag runs per ``(actor, piece)``. An ordinary actor is one piece
+    (at most ``locflow.skew.hotRows`` events). A hot actor (more events than
+    that) is cut into ``slices`` (default ``locflow.skew.salts``) equal time
+    slices between its first and last event, so an actor with a third of all
+    events is spread over many tasks. The first event of a piece takes the
+    actor's last action before it from a small table with one row per piece.
+    The pieces come from count/min/max per actor, which are exact in any
+    evaluation order, so every branch of the plan sees the same pieces. The
+    result does not depend on the cut.
+
+    ``skip_review`` is a column predicate for proposals that need no review
+    (Q14: texts already in the pivot language); they are ``committed`` at
+    once and never touch the slot, so they are taken out before the lag.
     """
     if skip_review is not None:
         skip = (F.col("action") == "propose") & F.coalesce(skip_review, F.lit(False))
         direct = (actions.filter(skip).select("actor", "ts", "event_id", "action",
                                               F.lit("committed").alias("outcome")))
-        rest = review_outcomes(actions.filter(~skip), bucket, review)
+        rest = review_outcomes(actions.filter(~skip), review, slices=slices)
         return rest.unionByName(direct)
-    a = actions.withColumn("_bucket", F.date_trunc(bucket, F.col("ts")))
+    min_rows, salts = settings(actions.sparkSession)
+    slices = slices or salts
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    stats = actions.groupBy("actor").agg(F.count(F.lit(1)).alias("_n"), F.min(t).alias("_lo"),
+                                         F.max(t).alias("_hi"))
+    hot = hot_keys(stats, ["actor"], "_n", min_rows)
+    span = F.broadcast(stats.join(hot, "actor", "left_semi").select("actor", "_lo", "_hi"))  # bounded by hot_keys
+    a = actions.join(span, "actor", "left")
+    piece = F.when(F.col("_lo").isNull(), F.lit(0)).otherwise(
+        F.floor((t - F.col("_lo")) * F.lit(slices) / (F.col("_hi") - F.col("_lo") + F.lit(1))).cast("int"))
+    a = a.withColumn("_bucket", piece).drop("_lo", "_hi")
     order = [F.col("ts"), F.col("event_id")]
-    in_bucket = Window.partitionBy("actor", "_bucket").orderBy(*order)
-    a = a.withColumn("_prev", F.lag("action").over(in_bucket))
+    in_piece = Window.partitionBy("actor", "_bucket").orderBy(*order)
+    a = a.withColumn("_prev", F.lag("action").over(in_piece))
     last = (a.groupBy("actor", "_bucket")
              .agg(F.max_by("action", F.struct(*order)).alias("_last"))
              .withColumn("_carry", F.lag("_last").over(Window.partitionBy("actor").orderBy("_bucket")))

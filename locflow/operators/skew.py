@@ -44,8 +44,10 @@ def hot_keys(counts: DataFrame, on: list[str], count_col: str, min_rows: int | N
     short = F.lit(True)
     for c in on:
         short = short & (F.length(F.col(c).cast("string")) <= MAX_KEY_CHARS)
+    # the tie-break on the key makes the cut deterministic: both sides of a
+    # salted join compute this table and must agree on it
     return (counts.filter((F.col(count_col) > min_rows) & short)
-                  .orderBy(F.col(count_col).desc()).limit(MAX_HOT).select(*on))
+                  .orderBy(F.col(count_col).desc(), *on).limit(MAX_HOT).select(*on))
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",

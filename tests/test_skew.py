@@ -87,6 +87,10 @@ def test_review_hot_actor_over_buckets(spark):
         F.col("id").alias("event_id"),
         F.element_at(F.array(F.lit("propose"), F.lit("accept"), F.lit("decline"), F.lit("propose")),
                      (F.col("id") % 4 + 1).cast("int")).alias("action")))
-    a = V.review_outcomes(acts, bucket="hour").select("event_id", "outcome")
-    b = V.review_outcomes(acts, bucket="year").select("event_id", "outcome")
-    assert a.count() == n and a.exceptAll(b).count() == 0
+    plain = V.review_outcomes(acts).select("event_id", "outcome")  # nothing is hot at the default threshold
+    old = _with_conf(spark, {"locflow.skew.hotRows": "1000", "locflow.skew.salts": "16"})
+    try:
+        cut = V.review_outcomes(acts).select("event_id", "outcome")
+        assert cut.count() == n and cut.exceptAll(plain).count() == 0 and plain.exceptAll(cut).count() == 0
+    finally:
+        _restore(spark, old)

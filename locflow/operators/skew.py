@@ -15,14 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-# Rows per key above which a key is treated as hot, and how many buckets a
-# hot key is spread over. Session settings override them. The hot-key table
-# is broadcast, so it is bounded: at most MAX_HOT keys (the heaviest), each
-# at most MAX_KEY_CHARS long. A key outside that bound still joins
+# Rows per key above which a key is treated as hot (about one task's worth
+# of rows on a large cluster), and how many buckets a hot key is spread
+# over. Session settings override them. The hot-key table is broadcast, so
+# it is bounded: at most ``total rows / HOT_ROWS`` keys (1e12 rows give at
+# most 100,000), each at most MAX_KEY_CHARS long. A longer key still joins
 # correctly, only without salting; no row is ever dropped.
-HOT_ROWS = 1_000_000
+HOT_ROWS = 10_000_000
 SALTS = 64
-MAX_HOT = 10_000
 MAX_KEY_CHARS = 512
 HOT_ROWS_CONF = "locflow.skew.hotRows"
 SALTS_CONF = "locflow.skew.salts"
@@ -35,19 +35,18 @@ def settings(spark) -> tuple[int, int]:
 
 
 def hot_keys(counts: DataFrame, on: list[str], count_col: str, min_rows: int | None = None) -> DataFrame:
-    """The heaviest keys with more than ``min_rows`` rows: at most ``MAX_HOT`` short keys.
+    """Short keys with more than ``min_rows`` rows (at most ``total rows / min_rows`` of them).
 
     ``counts`` has one row per key (an aggregate the job computes anyway).
+    A plain filter: the same rows in any evaluation, so both sides of a
+    salted join agree on the hot set.
     """
     if min_rows is None:
         min_rows, _ = settings(counts.sparkSession)
     short = F.lit(True)
     for c in on:
         short = short & (F.length(F.col(c).cast("string")) <= MAX_KEY_CHARS)
-    # the tie-break on the key makes the cut deterministic: both sides of a
-    # salted join compute this table and must agree on it
-    return (counts.filter((F.col(count_col) > min_rows) & short)
-                  .orderBy(F.col(count_col).desc(), *on).limit(MAX_HOT).select(*on))
+    return counts.filter((F.col(count_col) > min_rows) & short).select(*on)
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",

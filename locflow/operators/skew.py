@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 
 # Rows per key above which a key is treated as hot (about one task's worth
@@ -67,7 +68,7 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
         counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
         hot = hot_keys(counts, on, "_n", min_rows)
     flag = F.broadcast(hot.withColumn("_hot", F.lit(True)))  # bounded by hot_keys
-    cols = salt_cols or [c for c in big.columns]
+    cols = salt_cols or [f.name for f in big.schema.fields if not isinstance(f.dataType, MapType)]
     b = (big.join(flag, on, "left")
             .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in cols]),
                                                               F.lit(salts))).otherwise(F.lit(0)))

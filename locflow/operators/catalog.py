@@ -127,7 +127,8 @@ def upsert_catalog(catalog: DataFrame, batch: DataFrame):
 
     The batch winners and the catalog meet in one join on ``(lang, key)``; the
     aggregation already partitioned the batch by those keys, so only the
-    catalog is shuffled (or broadcast by AQE when it is measured small).
+    catalog is shuffled (or broadcast by AQE when it is measured small). The
+    losers' join back to the winners salts keys the winners' count marks hot.
     """
     counted = first_wins(batch, with_count=True)
     hot = hot_keys(counted, ["lang", "key"], "_n")

@@ -51,8 +51,7 @@ def hot_keys(counts: DataFrame, on: list[str], count_col: str, min_rows: int | N
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
-                hot: DataFrame | None = None, count_col: str | None = None,
-                salt_cols: list[str] | None = None) -> DataFrame:
+                hot: DataFrame | None = None, salt_cols: list[str] | None = None) -> DataFrame:
     """``big.join(small, on, how)`` with hot keys spread over salts.
 
     ``hot`` are the hot keys (from ``hot_keys``, bounded); if omitted they are

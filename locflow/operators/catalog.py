@@ -22,11 +22,12 @@ CATALOG_COLUMNS = ("lang", "key", "source", "target", "translate", "origin", "se
 
 def derive_keys(texts: DataFrame, text_col: str = "text", lang_col: str = "lang",
                 order_cols=(), explicit_col: str | None = None, materialize: bool = False) -> DataFrame:
-    """``(lang, text, key, first_seen, uses, texts_per_key)`` (STR-03).
+    """``(lang, text, key, first_seen, uses, texts_per_key, winner)`` (STR-03).
 
     Distinct texts per language (partial aggregation), the PascalCase key of
-    each (explicit key wins), and how many distinct texts share that key.
-    Texts whose key is blank are refused (FLT-01, Q24).
+    each (explicit key wins), how many distinct texts share that key, and the
+    key's first text (``winner``, smallest ``first_seen`` then text), all from
+    one per-key aggregation. Texts whose key is blank are refused (FLT-01, Q24).
 
     The distinct-text table feeds both the per-key count and the join back,
     and Spark computes it once per branch. ``materialize=True`` checkpoints
@@ -50,7 +51,10 @@ def derive_keys(texts: DataFrame, text_col: str = "text", lang_col: str = "lang"
     # The count per key is a partial aggregation joined back on (lang, key):
     # a hot key costs one count row, and its texts are spread over salts
     # (a window over the key would put them all in one task).
-    per_key = d.groupBy("lang", "key").agg(F.count(F.lit(1)).alias("texts_per_key"))
+    per_key = (d.groupBy("lang", "key")
+                .agg(F.count(F.lit(1)).alias("texts_per_key"),
+                     F.min(F.struct("first_seen", "text")).alias("_w"))
+                .withColumn("winner", F.col("_w.text")).drop("_w"))
     hot = hot_keys(per_key, ["lang", "key"], "texts_per_key")
     return salted_join(d, per_key, ["lang", "key"], "inner", hot=hot, salt_cols=["lang", "text"])
 
@@ -71,8 +75,13 @@ def key_conflicts(keys: DataFrame) -> DataFrame:
 
     Only keys shared by several texts take part; the winner is the text with
     the smallest ``first_seen`` (then the smaller text) and is found by one
-    partial ``min`` per key, never a per-key list.
+    partial ``min`` per key, never a per-key list. ``derive_keys`` already
+    carries it, so this is a filter; other inputs get the aggregation and a
+    salted join back.
     """
+    if "winner" in keys.columns:
+        return (keys.filter((F.col("texts_per_key") > 1) & (F.col("text") != F.col("winner")))
+                    .select("lang", "key", "text", "winner"))
     shared = keys.filter(F.col("texts_per_key") > 1)
     win = (shared.groupBy("lang", "key")
                  .agg(F.min(F.struct("first_seen", "text")).alias("_w"), F.count(F.lit(1)).alias("_n"))

@@ -117,3 +117,12 @@ def test_catalog_rows_source_column(spark):
     t = spark.createDataFrame([("en", "Save file", 1)], "lang string, text string, n long")
     assert C.catalog_rows(t, order_cols=("n",)).collect()[0].source == "Save file"
     assert C.catalog_rows(t, order_cols=("n",), legacy_source=True).collect()[0].source == ""
+
+
+def test_key_conflicts_without_winner_column(spark):
+    texts = spark.createDataFrame([("en", "Hello world", 1), ("en", "Hello, world!", 2), ("en", "hello WORLD", 3)],
+                                  "lang string, text string, n long")
+    keys = C.derive_keys(texts, order_cols=("n",))
+    a = sorted(tuple(r) for r in C.key_conflicts(keys).collect())
+    b = sorted(tuple(r) for r in C.key_conflicts(keys.drop("winner")).collect())
+    assert a == b == [("en", "HelloWorld", "Hello, world!", "Hello world"), ("en", "HelloWorld", "hello WORLD", "Hello world")]

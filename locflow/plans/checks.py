@@ -678,3 +678,25 @@ def q_add_texts(spark, sf_dir):
     inserted, _, _ = add_texts(texts, catalog, constants, mem, profiles, id_cols=("conv_id", "turn"))
     return inserted.select("lang", "key", "target", F.col("seq.conv_id").alias("conv_id"),
                            F.col("seq.turn").alias("turn"))
+
+
+@register("q_xliff_roundtrip", f"""
+WITH {O.doc_lines_cte()},
+r AS (SELECT lang, {O.pascal('text')} AS key, text AS target, doc_id, line_no FROM doc_texts)
+SELECT lang, key, arg_min(target, (doc_id, line_no)) AS target FROM r WHERE length(key) > 0 GROUP BY lang, key
+""")
+def q_xliff_roundtrip(spark, sf_dir):
+    """SNK-01, SRC-03/04, SET-03: the first-wins catalog of all document lines written as XLIFF parts
+    into the session's checkpoint folder and read back through the XML source."""
+    import uuid
+    from locflow.session import ensure_checkpoint_dir
+    from locflow.sources import xliff
+    base = ensure_checkpoint_dir(spark)
+    if not base:
+        raise RuntimeError("q_xliff_roundtrip writes its catalog under spark.checkpoint.dir; set it")
+    path = f"{base.rstrip('/')}/locflow-xliff-{uuid.uuid4().hex}"
+    catalog = C.first_wins(C.catalog_rows(FX.doc_texts(spark, sf_dir), order_cols=("doc_id", "line_no")))
+    xliff.write_catalog(catalog, path, units_per_file=20_000)
+    back, _ = xliff.read_catalogs(spark, path, tags=("en", "fr", "de", "es"), glob="part-*",
+                                  lang_from="attribute")
+    return back.select("lang", "key", "target")

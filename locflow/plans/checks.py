@@ -700,3 +700,30 @@ def q_xliff_roundtrip(spark, sf_dir):
     back, _ = xliff.read_catalogs(spark, path, tags=("en", "fr", "de", "es"), glob="part-*",
                                   lang_from="attribute")
     return back.select("lang", "key", "target")
+
+
+@register("q_source_files", f"""
+WITH {O.code_cte()},
+f AS (SELECT doc_id, content || chr(10) AS content FROM code),
+t AS (SELECT doc_id, content, regexp_extract_all(content, {O.q(O.TOKENS['code'])}) AS toks,
+             array_to_string(string_split_regex(content, {O.q(O.TOKENS['code'])}), '') AS g FROM f)
+SELECT doc_id, CAST(length(content) AS BIGINT) AS n_chars, CAST(len(toks) AS BIGINT) AS n_tokens,
+       length(g) - length(replace(g, '"', '')) = 0 AS balanced
+FROM t
+""")
+def q_source_files(spark, sf_dir):
+    """SRC-05/06, FLT-07: the code view written as one file per document, read back whole
+    (recursive listing, glob filter) and tokenised."""
+    import uuid
+    from locflow.session import ensure_checkpoint_dir
+    from locflow.sources.files import read_sources
+    base = ensure_checkpoint_dir(spark)
+    if not base:
+        raise RuntimeError("q_source_files writes its files under spark.checkpoint.dir; set it")
+    path = f"{base.rstrip('/')}/locflow-sources-{uuid.uuid4().hex}"
+    (FX.code_sources(spark, sf_dir).select("doc_id", "content").repartition("doc_id")
+        .write.partitionBy("doc_id").text(path))
+    src = read_sources(spark, path, glob="*.txt")
+    doc_id = F.regexp_extract("path", r"doc_id=([0-9]+)", 1).cast("bigint")
+    b = X.balance(src.withColumn("doc_id", doc_id))
+    return b.select("doc_id", F.length("content").cast("bigint").alias("n_chars"), "n_tokens", "balanced")

@@ -46,11 +46,13 @@ def cmd_split(spark, a):
 def cmd_translate(spark, a):
     src = read_sources(spark, a.sources, a.glob, lang=a.lang)
     catalog, cat_rejects = xliff.read_catalogs(spark, a.catalogs)
+    catalog = catalog.filter(F.col("lang") == a.lang)
     rewritten, inserted, conflicts, rejected = flows.translate_files(
-        src, K.stoplist(spark), _decisions(spark, a.decisions), catalog.filter(F.col("lang") == a.lang),
-        materialize=True)
+        src, K.stoplist(spark), _decisions(spark, a.decisions), catalog, materialize=True)
     write_sources(rewritten, os.path.join(a.out, "sources"))
-    xliff.write_catalog(inserted, os.path.join(a.out, "catalog"))
+    unit = ["lang", "key", "source", "target", "translate"]
+    # the catalog as it stands after the insert: existing units plus the new ones
+    xliff.write_catalog(catalog.select(*unit).unionByName(inserted.select(*unit)), os.path.join(a.out, "catalog"))
     conflicts.write.mode("overwrite").json(os.path.join(a.out, "conflicts"))
     rejected.unionByName(cat_rejects.select("path")).write.mode("overwrite").json(os.path.join(a.out, "rejects"))
 

@@ -45,7 +45,8 @@ def test_cli_split_translate_constants(spark, tmp_dir):
     assert [r.content for r in srcs] == ['class A { string s = sess.i18n(XlfKeys.HelloWorld); string t = "utf-8"; }\n']
     back, _ = __import__("locflow.sources.xliff", fromlist=["x"]).read_catalogs(
         spark, os.path.join(out, "catalog"), glob="part-*", lang_from="attribute")
-    assert [(r.lang, r.key, r.target) for r in back.collect()] == [("en", "HelloWorld", "Hello world")]
+    assert sorted((r.lang, r.key, r.target) for r in back.collect()) == [
+        ("en", "Bye", "Nashle"), ("en", "Hello", " Ahoj "), ("en", "HelloWorld", "Hello world")]
 
     main(["missing-constants", cats, keys, out], spark=spark)
     folder = os.path.join(out, "constants")

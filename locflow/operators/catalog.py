@@ -29,23 +29,28 @@ def derive_keys(texts: DataFrame, text_col: str = "text", lang_col: str = "lang"
     key's first text (``winner``, smallest ``first_seen`` then text), all from
     one per-key aggregation. Texts whose key is blank are refused (FLT-01, Q24).
 
-    The distinct-text table feeds both the per-key count and the join back,
-    and Spark computes it once per branch. ``materialize=True`` checkpoints
-    it into the session's checkpoint folder first (worth it on a corpus
-    where re-reading and re-keying the sources costs more than writing the
-    distinct texts once).
+    The distinct-text table feeds both the per-key count and the join back;
+    with the key derived before the shuffle both read one exchange.
+    ``materialize=True`` checkpoints the table into the session's checkpoint
+    folder instead (for callers that read it again later).
     """
     first = (F.min(F.struct(*[F.col(c) for c in order_cols])).alias("first_seen")
              if order_cols else F.lit(None).alias("first_seen"))
     aggs = [first, F.count(F.lit(1)).alias("uses")]
+    base = texts.filter(~T.is_blank(text_col))
     if explicit_col:
         aggs.append(F.min(explicit_col).alias("_explicit"))
-    d = (texts.filter(~T.is_blank(text_col))
-              .groupBy(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).agg(*aggs))
-    d = d.withColumn("key", T.key_for("text", explicit="_explicit" if explicit_col else None))
+        d = base.groupBy(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).agg(*aggs)
+        d = d.withColumn("key", T.key_for("text", explicit="_explicit")).drop("_explicit")
+    else:
+        # The key is a function of the text, so it is derived before the
+        # shuffle and becomes part of the grouping: the per-key count and the
+        # join back then read the same exchange (Spark reuses it), and each
+        # key is computed once.
+        d = (base.withColumn("_key", T.pascal_key(text_col))
+                 .groupBy(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col("_key").alias("key"))
+                 .agg(*aggs))
     d = d.filter(F.length("key") > 0)
-    if explicit_col:
-        d = d.drop("_explicit")
     if materialize:
         d = stage(d, "distinct_texts")
     # The count per key is a partial aggregation joined back on (lang, key):
@@ -53,6 +58,7 @@ def derive_keys(texts: DataFrame, text_col: str = "text", lang_col: str = "lang"
     # (a window over the key would put them all in one task).
     per_key = (d.groupBy("lang", "key")
                 .agg(F.count(F.lit(1)).alias("texts_per_key"),
+                     F.sum("uses").alias("key_uses"),
                      F.min(F.struct("first_seen", "text")).alias("_w"))
                 .withColumn("winner", F.col("_w.text")).drop("_w"))
     hot = hot_keys(per_key, ["lang", "key"], "texts_per_key")

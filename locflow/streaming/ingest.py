@@ -21,22 +21,38 @@ CATALOG_SCHEMA = ("lang string, key string, source string, target string, transl
                   "origin string, seq struct<ts:timestamp,event_id:bigint>")
 
 
-def _existing(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
-    """Catalog rows of earlier batches; empty before the first batch (any Hadoop file system)."""
+def _existing(spark: SparkSession, path: str, batch_id: int, schema: str,
+              base_path: str | None = None) -> DataFrame:
+    """Catalog rows of earlier batches; empty before the first batch (any Hadoop file system).
+
+    With ``base_path`` (a ``compact_catalog`` snapshot) the snapshot stands in
+    for the folders it covers, and only later folders are listed and read.
+    """
+    upto = -1
+    base = None
+    if base_path:
+        try:
+            base = spark.read.schema(schema + ", upto bigint").parquet(base_path)
+            upto = base.agg(F.max("upto")).first()[0]  # one scalar
+            upto = -1 if upto is None else int(upto)
+            base = base.drop("upto")
+        except AnalysisException:
+            base = None
     try:
         df = spark.read.schema(schema + ", batch_id bigint").parquet(path)
+        df = df.filter((F.col("batch_id") < batch_id) & (F.col("batch_id") > upto)).drop("batch_id")
     except AnalysisException:
-        return spark.createDataFrame([], schema)
-    return df.filter(F.col("batch_id") < batch_id).drop("batch_id")
+        df = spark.createDataFrame([], schema)
+    return df if base is None else base.unionByName(df)
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, catalog_path: str, conflicts_path: str,
                  text_col: str = "text", lang_col: str = "lang", order_cols=("ts", "event_id"),
-                 schema: str = CATALOG_SCHEMA) -> None:
+                 schema: str = CATALOG_SCHEMA, base_path: str | None = None) -> None:
     """One micro-batch: shape rows, upsert against earlier batches, write this batch's folder."""
     spark = batch.sparkSession
     rows = catalog_rows(batch, text_col, lang_col, order_cols=order_cols, origin="stream")
-    existing = _existing(spark, catalog_path, batch_id, schema)
+    existing = _existing(spark, catalog_path, batch_id, schema, base_path)
     # Only catalog rows whose key occurs in this micro-batch matter. The semi
     # join lets AQE broadcast the batch's keys (a micro-batch is small next to
     # the catalog), so the catalog is scanned and filtered, not shuffled.
@@ -50,7 +66,8 @@ def ingest_batch(batch: DataFrame, batch_id: int, catalog_path: str, conflicts_p
 
 def run_ingest(stream: DataFrame, catalog_path: str, conflicts_path: str, checkpoint: str,
                text_col: str = "text", lang_col: str = "lang", order_cols=("ts", "event_id"),
-               watermark: tuple[str, str] | None = None, available_now: bool = True):
+               watermark: tuple[str, str] | None = None, available_now: bool = True,
+               base_path: str | None = None):
     """Start the ingest query; returns the ``StreamingQuery``.
 
     ``watermark=(ts_col, delay)`` thins repeated captures first with
@@ -63,18 +80,35 @@ def run_ingest(stream: DataFrame, catalog_path: str, conflicts_path: str, checkp
         s = s.withWatermark(*watermark).dropDuplicatesWithinWatermark([lang_col, text_col])
 
     def handle(batch_df: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch_df, batch_id, catalog_path, conflicts_path, text_col, lang_col, order_cols)
+        ingest_batch(batch_df, batch_id, catalog_path, conflicts_path, text_col, lang_col, order_cols,
+                     base_path=base_path)
 
     w = s.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w
     return w.start()
 
 
-def read_catalog(spark: SparkSession, catalog_path: str, schema: str = CATALOG_SCHEMA) -> DataFrame:
-    """The catalog as ingested so far (all batch folders)."""
+def read_catalog(spark: SparkSession, catalog_path: str, schema: str = CATALOG_SCHEMA,
+                 base_path: str | None = None) -> DataFrame:
+    """The catalog as ingested so far: all batch folders, or a snapshot plus the folders after it."""
+    if base_path:
+        return _existing(spark, catalog_path, 1 << 62, schema, base_path)
     return spark.read.schema(schema + ", batch_id bigint").parquet(catalog_path)
 
 
+def compact_catalog(spark: SparkSession, catalog_path: str, base_path: str, upto: int,
+                    schema: str = CATALOG_SCHEMA, old_base: str | None = None) -> None:
+    """Snapshot the catalog (``old_base`` plus folders ``batch_id <= upto``) into ``base_path``.
+
+    A stream started with ``base_path`` then reads the snapshot and only the
+    folders after ``upto``, so its per-batch listing stays short. Write each
+    snapshot to a new path and switch the stream to it; nothing is deleted.
+    """
+    rows = _existing(spark, catalog_path, upto + 1, schema, old_base)
+    (rows.withColumn("upto", F.lit(upto).cast("bigint")).repartition("lang")
+         .write.mode("overwrite").parquet(base_path))
+
+
 def run_captures(stream: DataFrame, known: DataFrame, catalog_path: str, conflicts_path: str,
                  checkpoint: str, lang: str = "en", text_col: str = "text",
                  order_cols=("ts", "event_id"), available_now: bool = True):

@@ -148,3 +148,30 @@ def test_capture_stream_skips_known_and_ingests(spark, tmp_dir):
     assert "View7" not in keys and "Click46" not in keys and "Error8" in keys
     assert got.count() == 750 - 2
     assert got.filter("target LIKE '%:%' OR target LIKE '%\"%'").count() == 0  # cleaned (STR-06)
+
+
+def test_ingest_with_compacted_snapshot(spark, tmp_dir):
+    """Same stream, same checkpoint: two files, a snapshot of those batches, two more files read against it."""
+    from locflow.streaming.ingest import compact_catalog
+    full, ev = _split_events(spark, tmp_dir)
+    src = os.path.join(tmp_dir, "live")
+    os.makedirs(src)
+    files = sorted(os.listdir(full))
+    def shape(df):
+        return df.select("ts", "event_id", F.lit("en").alias("lang"),
+                         F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("text"))
+    def stream():
+        return shape(spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src))
+    cat, conf, ck, base = (os.path.join(tmp_dir, n) for n in ("catalog", "conflicts", "ck", "base"))
+    for f in files[:2]:
+        os.link(os.path.join(full, f), os.path.join(src, f))
+    run_ingest(stream(), cat, conf, ck).awaitTermination(300)
+    upto = max(int(n.split("=")[1]) for n in os.listdir(cat) if n.startswith("batch_id="))
+    compact_catalog(spark, cat, base, upto=upto)
+    for f in files[2:]:
+        os.link(os.path.join(full, f), os.path.join(src, f))
+    run_ingest(stream(), cat, conf, ck, base_path=base).awaitTermination(300)
+    got = read_catalog(spark, cat, base_path=base).select("lang", "key", "target")
+    empty = spark.createDataFrame([], "lang string, key string, source string, target string, translate boolean, origin string, seq struct<ts:timestamp,event_id:bigint>")
+    want, _ = upsert_catalog(empty, catalog_rows(shape(ev), order_cols=("ts", "event_id")))
+    assert got.count() == 750 and got.exceptAll(want.select("lang", "key", "target")).count() == 0

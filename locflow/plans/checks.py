@@ -21,6 +21,7 @@ from locflow.operators import review as V
 from locflow.operators import rewrite as W
 from locflow.plans import fixtures as FX
 from locflow.plans import oracle as O
+from locflow.functions.tokens import CONST_LINE
 from locflow.sources.tables import table
 
 QUERIES: dict = {}
@@ -727,3 +728,28 @@ def q_source_files(spark, sf_dir):
     doc_id = F.regexp_extract("path", r"doc_id=([0-9]+)", 1).cast("bigint")
     b = X.balance(src.withColumn("doc_id", doc_id))
     return b.select("doc_id", F.length("content").cast("bigint").alias("n_chars"), "n_tokens", "balanced")
+
+
+_PROP = ("'public static string ' || regexp_extract(l, " + O.q(CONST_LINE) + ", 1) || ' { get { return ' || "
+         + O.lookup("regexp_extract(l, " + O.q(CONST_LINE) + ", 1)") + " || '; } }'")
+
+
+@register("q_migrate_constants", f"""
+WITH {O.code_cte()},
+m AS (SELECT doc_id, string_split_regex(content, chr(10)) AS ls FROM code),
+n AS (SELECT doc_id, ls,
+             list_position(list_transform(ls, lambda l: regexp_matches(l, {O.q(CONST_LINE)})), true) AS first,
+             list_reverse(list_filter(list_transform(ls, lambda l: CASE WHEN regexp_matches(l, {O.q(CONST_LINE)})
+                                                                   THEN {_PROP} END),
+                                      lambda x: x IS NOT NULL)) AS props
+      FROM m)
+SELECT doc_id,
+       CASE WHEN first IS NULL OR first = 0 THEN array_to_string(ls, chr(10))
+            ELSE array_to_string(list_concat(ls[1:first - 1], [array_to_string(props, chr(10))],
+                                             list_filter(ls[first + 1:], lambda l: NOT regexp_matches(l, {O.q(CONST_LINE)}))),
+                                 chr(10)) END AS content
+FROM n
+""")
+def q_migrate_constants(spark, sf_dir):
+    """EXT-05: every code file with its constant declarations replaced by lookup properties at the first one."""
+    return X.migrate_constants(FX.code_sources(spark, sf_dir)).select("doc_id", "content")

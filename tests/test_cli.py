@@ -4,6 +4,7 @@ import json
 import os
 
 from locflow.cli import main
+from locflow.sources import xliff
 from test_xliff import CATALOG
 
 
@@ -43,8 +44,7 @@ def test_cli_split_translate_constants(spark, tmp_dir):
     main(["translate", src, cats, out, "--lang", "en"], spark=spark)
     srcs = spark.read.parquet(os.path.join(out, "sources")).collect()
     assert [r.content for r in srcs] == ['class A { string s = sess.i18n(XlfKeys.HelloWorld); string t = "utf-8"; }\n']
-    back, _ = __import__("locflow.sources.xliff", fromlist=["x"]).read_catalogs(
-        spark, os.path.join(out, "catalog"), glob="part-*", lang_from="attribute")
+    back, _ = xliff.read_catalogs(spark, os.path.join(out, "catalog"), glob="part-*", lang_from="attribute")
     assert sorted((r.lang, r.key, r.target) for r in back.collect()) == [
         ("en", "Bye", "Nashle"), ("en", "Hello", " Ahoj "), ("en", "HelloWorld", "Hello world")]
 

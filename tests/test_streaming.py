@@ -1,6 +1,7 @@
 import os
 import time
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import SF01
@@ -16,7 +17,7 @@ EVENTS_SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type strin
 def _split_events(spark, folder, parts=4):
     """Write sf0.01 events as ``parts`` time-ordered files with increasing mtimes."""
     ev = spark.read.parquet(f"{SF01}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    b = ev.withColumn("_p", F.ntile(parts).over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("ts", "event_id")))
+    b = ev.withColumn("_p", F.ntile(parts).over(Window.orderBy("ts", "event_id")))
     src = os.path.join(folder, "src")
     os.makedirs(src)
     now = time.time() - 1000
@@ -100,7 +101,6 @@ def test_ingest_with_watermark_dedup(spark, tmp_dir):
 def test_review_stream_out_of_order_with_watermark(spark, tmp_dir):
     """Files arrive out of time order (3rd quarter before the 2nd); buffering under a watermark restores order."""
     ev = spark.read.parquet(f"{SF01}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    from pyspark.sql import Window
     b = ev.withColumn("_p", F.ntile(4).over(Window.orderBy("ts", "event_id")))
     src = os.path.join(tmp_dir, "src")
     os.makedirs(src)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from locflow.session import ensure_checkpoint_dir
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers of a local session find this package, wherever the driver was started.
+
+    On a cluster the package is installed or sent along (``--py-files``); the
+    entry is then merely one more path.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A whole input table, by any path that Spark reads."""
+    importable(spark)
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder under the session's shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)

@@ -3,7 +3,8 @@
     python -m locflow split SOURCES OUT
     python -m locflow translate SOURCES CATALOGS OUT [--decisions FILE.jsonl] [--lang en]
     python -m locflow missing-constants CATALOGS CONSTANTS_FILE OUT
-    python -m locflow migrate-constants SOURCES OUT
+    python -m locflow migrate-constants SOURCES OUT [--catalogs CATALOGS] [--lang en]
+    python -m locflow add-texts TEXTS_FILE CATALOGS CONSTANTS_FILE OUT [--memory FILE.jsonl] [--lang LANG]
     python -m locflow clean-lines SOURCES OUT
 
 Run under ``spark-submit`` on a cluster or plainly for ``local[*]``. Outputs
@@ -21,14 +22,20 @@ from pyspark.sql import functions as F
 
 from locflow.operators import catalog as C
 from locflow.operators import classify as K
+from locflow.functions import text as T
 from locflow.operators import extract as X
+from locflow.operators import language as L
 from locflow.operators.report import write_report
 from locflow.plans import flows
-from locflow.session import build_session
+from locflow.session import build_session, stage
 from locflow.sources import xliff
 from locflow.sources.files import read_sources, to_lines, write_sources
 
 DECISIONS_SCHEMA = "text string, verdict string"
+MEMORY_SCHEMA = "src_text string, tgt_text string"
+CATALOG_SCHEMA = ("lang string, key string, source string, target string, translate boolean, origin string, "
+                  "seq struct<path:string,line_no:bigint>")
+PIVOT = "en"
 
 
 def _decisions(spark, path):
@@ -37,6 +44,18 @@ def _decisions(spark, path):
     return spark.read.schema(DECISIONS_SCHEMA).json(path)
 
 
+def _tags(a):
+    """Languages of the catalog files: the usual ones, those named, and the one that is added to."""
+    return sorted({*xliff.DEFAULT_TAGS, *(a.tags.split(",") if a.tags else ()), *([a.lang] if getattr(a, "lang", None) else ())})
+
+
+def _write_catalog(catalog, inserted, a):
+    """The catalog as it stands after the insert: existing units of every language plus the new ones."""
+    unit = ["lang", "key", "source", "target", "translate"]
+    merged = stage(catalog.select(*unit).unionByName(inserted.select(*unit)), "merged")
+    xliff.write_catalog(merged, os.path.join(a.out, "catalog"))
+
+
 def cmd_split(spark, a):
     src = read_sources(spark, a.sources, a.glob)
     _, report, _, _ = flows.split_files(src, K.stoplist(spark), ("path",), path_col="path")
@@ -45,36 +64,65 @@ def cmd_split(spark, a):
 
 def cmd_translate(spark, a):
     src = read_sources(spark, a.sources, a.glob, lang=a.lang)
-    catalog, cat_rejects = xliff.read_catalogs(spark, a.catalogs)
-    catalog = catalog.filter(F.col("lang") == a.lang)
+    catalog, cat_rejects = xliff.read_catalogs(spark, a.catalogs, tags=_tags(a))
+    catalog = stage(catalog, "catalog")
     rewritten, inserted, conflicts, rejected = flows.translate_files(
         src, K.stoplist(spark), _decisions(spark, a.decisions), catalog, materialize=True)
     write_sources(rewritten, os.path.join(a.out, "sources"))
-    unit = ["lang", "key", "source", "target", "translate"]
-    # the catalog as it stands after the insert: existing units plus the new ones
-    xliff.write_catalog(catalog.select(*unit).unionByName(inserted.select(*unit)), os.path.join(a.out, "catalog"))
+    _write_catalog(catalog, inserted, a)
     conflicts.write.mode("overwrite").json(os.path.join(a.out, "conflicts"))
-    rejected.unionByName(cat_rejects.select("path")).write.mode("overwrite").json(os.path.join(a.out, "rejects"))
+    rejects = rejected.select(F.col("reason").alias("stage"), "path", F.concat(
+        F.lit("token "), F.col("ordinal").cast("string")).alias("detail"))
+    rejects.unionByName(cat_rejects).write.mode("overwrite").json(os.path.join(a.out, "rejects"))
 
 
-def cmd_missing_constants(spark, a):
-    catalog, _ = xliff.read_catalogs(spark, a.catalogs)
+def _constants_file(spark, a):
+    """Lines, constants and topmost constant of the constants file, and its path as Spark names it (one row)."""
     folder, name = os.path.split(os.path.abspath(a.constants_file))
-    consts_file = read_sources(spark, folder, glob=name, recursive=False)
-    lines = to_lines(consts_file)
+    lines = to_lines(read_sources(spark, folder, glob=name, recursive=False))
     constants = X.extract_constants(lines)
     first = X.first_constants(constants)
-    target = first.select("path").first()  # one row: the constants file's path as Spark names it
+    target = first.select("path").first()
     if target is None:
         raise SystemExit(f"no constant declaration in {a.constants_file}")
-    decls = C.render_declarations(C.missing_constants(catalog, constants)).withColumn("path", F.lit(target.path))
+    return lines, constants, first, target.path
+
+
+def cmd_missing_constants(spark, a):
+    catalog, _ = xliff.read_catalogs(spark, a.catalogs, tags=_tags(a))
+    catalog = catalog.filter(F.col("lang") == PIVOT)    # constants are declared for the pivot's keys
+    lines, constants, first, path = _constants_file(spark, a)
+    decls = C.render_declarations(C.missing_constants(catalog, constants)).withColumn("path", F.lit(path))
     ordered = C.insert_declarations(lines, decls, first)
     C.write_ordered_lines(ordered, os.path.join(a.out, "constants"))
 
 
 def cmd_migrate_constants(spark, a):
-    src = read_sources(spark, a.sources, a.glob)
-    write_sources(X.migrate_constants(src).withColumnRenamed("content", "rewritten"), os.path.join(a.out, "sources"))
+    src = read_sources(spark, a.sources, a.glob, lang=a.lang)
+    if a.catalogs:
+        catalog = stage(xliff.read_catalogs(spark, a.catalogs, tags=_tags(a))[0], "catalog")
+    else:
+        catalog = spark.createDataFrame([], CATALOG_SCHEMA)
+    rewritten, inserted, conflicts = flows.migrate_catalog(src, catalog)
+    write_sources(rewritten.withColumnRenamed("content", "rewritten"), os.path.join(a.out, "sources"))
+    _write_catalog(catalog, inserted, a)
+    conflicts.write.mode("overwrite").json(os.path.join(a.out, "conflicts"))
+
+
+def cmd_add_texts(spark, a):
+    """Flow C: a file of texts, one a line, into the catalog and the constants file."""
+    texts = spark.read.text(a.texts).select(F.col("value").alias("text")).filter(~T.is_blank("text")).distinct()
+    texts = stage(texts.withColumn("id", F.xxhash64("text")), "texts")
+    catalog = stage(xliff.read_catalogs(spark, a.catalogs, tags=_tags(a))[0], "catalog")
+    memory = spark.read.schema(MEMORY_SCHEMA).json(a.memory) if a.memory else spark.createDataFrame([], MEMORY_SCHEMA)
+    profiles = stage(L.build_profiles(catalog, text_col="target"), "profiles")
+    lines, constants, first, path = _constants_file(spark, a)
+    inserted, conflicts, new = flows.add_texts(texts.withColumn("_lang", F.lit(a.lang)), catalog, constants, memory, profiles,
+                                               override_col="_lang" if a.lang else None)
+    _write_catalog(catalog, inserted, a)
+    conflicts.write.mode("overwrite").json(os.path.join(a.out, "conflicts"))
+    C.write_ordered_lines(C.insert_declarations(lines, new.withColumn("path", F.lit(path)), first),
+                          os.path.join(a.out, "constants"))
 
 
 def cmd_clean_lines(spark, a):
@@ -91,6 +139,11 @@ def parser() -> argparse.ArgumentParser:
     m = sub.add_parser("missing-constants"); m.add_argument("catalogs"); m.add_argument("constants_file")
     m.add_argument("out")
     g = sub.add_parser("migrate-constants"); g.add_argument("sources"); g.add_argument("out")
+    g.add_argument("--catalogs"); g.add_argument("--lang", default=PIVOT)
+    n = sub.add_parser("add-texts"); n.add_argument("texts"); n.add_argument("catalogs"); n.add_argument("constants_file")
+    n.add_argument("out"); n.add_argument("--memory"); n.add_argument("--lang")
+    for x in (t, m, g, n):
+        x.add_argument("--tags", help="further language tags of catalog files, comma-separated")
     c = sub.add_parser("clean-lines"); c.add_argument("sources"); c.add_argument("out")
     for x in (s, t, g, c):
         x.add_argument("--glob", default="*.cs")
@@ -98,7 +151,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 COMMANDS = {"split": cmd_split, "translate": cmd_translate, "missing-constants": cmd_missing_constants,
-            "migrate-constants": cmd_migrate_constants, "clean-lines": cmd_clean_lines}
+            "migrate-constants": cmd_migrate_constants, "clean-lines": cmd_clean_lines, "add-texts": cmd_add_texts}
 
 
 def main(argv=None, spark=None) -> None:

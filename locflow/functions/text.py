@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from locflow.functions.tokens import BLANK, BOLD, EDGES, WS_RUN
+from locflow.functions.tokens import BLANK, BOLD, EDGES, WS_CHARS
 
 # The lookup expression written in place of a literal and the
 # constant declaration generated for a key. ``{key}`` is the derived key.
@@ -24,8 +24,8 @@ def col(c) -> Column:
 
 
 def ws_trim(c) -> Column:
-    """Trim Unicode white space on both edges (Spark ``trim`` strips only U+0020)."""
-    return F.regexp_replace(col(c), f"^{WS_RUN}|{WS_RUN}\\z", "")
+    """Trim Unicode white space on both edges (Spark ``trim`` strips only U+0020); linear in the text."""
+    return F.btrim(col(c), F.lit(WS_CHARS))
 
 
 def is_blank(c) -> Column:
@@ -72,7 +72,8 @@ def key_for(text, translation=None, explicit=None) -> Column:
         basis = F.when(is_blank(t), basis).otherwise(t)
     key = pascal_key(basis)
     if explicit is not None:
-        key = F.coalesce(col(explicit), key)
+        e = col(explicit)
+        key = F.when(is_blank(e), key).otherwise(e)     # a blank explicit key names nothing
     return key
 
 
@@ -104,32 +105,73 @@ def clean_capture(c) -> Column:
     return F.regexp_replace(F.regexp_replace(col(c), r'^"+|"+\z', ""), r":+\z", "")
 
 
-def verbatim_to_regular(c) -> Column:
-    """``@"\\"`` .. ``@"\\\\\\\\"`` (1-4 backslashes) to the regular form (STR-07)."""
-    out = col(c)
-    for n in range(1, 5):
-        out = F.replace(out, F.lit('@"' + "\\" * n + '"'), F.lit('"' + "\\\\" * n + '"'))
-    return out
+def backslash_verbatim(raw) -> Column:
+    """A regular literal of one to four escaped backslashes as a verbatim one (STR-07), others as they are.
+
+    Applied to a whole token, so a literal that merely begins like that is
+    never touched. The direction is inferred from how the reference calls its
+    helper (the helper's body is not there).
+    """
+    raw = col(raw)
+    half = F.substring(raw, 2, 8)
+    body = half.substr(F.lit(1), F.length(raw) - 2)
+    return F.when(raw.rlike(r'^"(?:\\\\){1,4}"\z'), F.concat(
+        F.lit('@"'), body.substr(F.lit(1), (F.length(body) / 2).cast("int")), F.lit('"'))).otherwise(raw)
+
+
+# One-letter escapes of a regular literal and what they stand for.
+ESCAPES = (("\\", "\\"), ('"', '"'), ("'", "'"), ("n", "\n"), ("r", "\r"), ("t", "\t"), ("0", "\0"), ("a", "\x07"),
+           ("b", "\b"), ("f", "\f"), ("v", "\x0b"))
+
+_HEX4 = r"(?:[0-9A-CEFa-cef][0-9A-Fa-f]{3}|[Dd][0-7][0-9A-Fa-f]{2})"     # no half of a surrogate pair
+_PAIR = r"\\u[Dd][89ABab][0-9A-Fa-f]{2}\\u[Dd][C-Fc-f][0-9A-Fa-f]{2}"
+_WIDE = r"\\U00(?:0[1-9A-Fa-f]|10)[0-9A-Fa-f]{4}|\\U0000" + _HEX4
+_PIECES = rf"(?s){_PAIR}|\\u{_HEX4}|{_WIDE}|\\x(?:{_HEX4}|[0-9A-Fa-f]{{1,3}})|\\.|[^\\]++|\\"
 
 
 def escape_text(c) -> Column:
     """Text to the body of a regular C# literal (STR-08, escaping direction)."""
-    return F.replace(F.replace(col(c), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    out = col(c)
+    for letter, char in ESCAPES:
+        if letter != "'":
+            out = F.replace(out, F.lit(char), F.lit("\\" + letter))
+    return out
 
 
 def unescape_text(c) -> Column:
-    """Body of a regular literal back to text (STR-08, loading direction)."""
-    return F.replace(F.replace(col(c), F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
+    """Body of a regular literal back to text (STR-08, loading direction).
+
+    One pass from left to right over all escapes of the language; what is no
+    escape (an unknown letter, half a surrogate pair) stays as written.
+    """
+    def value(piece):
+        hexes = F.replace(F.substring(piece, 3, 10), F.lit("\\u"), F.lit(""))
+        letter = F.substring(piece, 2, 1)
+        out = F.when(~piece.startswith("\\"), piece)
+        for name, char in ESCAPES:
+            out = out.when(piece == F.lit("\\" + name), F.lit(char))
+        known = piece.rlike(r"^\\[uxU][0-9A-Fa-f]")
+        out = out.when(known & (letter == "U"), F.decode(F.unhex(hexes), "UTF-32"))
+        return out.when(known, F.decode(F.unhex(F.lpad(hexes, F.greatest(F.length(hexes), F.lit(4)), F.lit("0"))), "UTF-16BE")) \
+                  .otherwise(piece)
+
+    c = col(c)
+    return F.when(~c.contains("\\"), c).otherwise(
+        F.array_join(F.transform(F.regexp_extract_all(c, F.lit(_PIECES), F.lit(0)), value), ""))
 
 
 def literal_value(text, kind) -> Column:
-    """The string a literal stands for: escapes resolved (regular) or ``""`` → ``"`` (verbatim)."""
+    """The string a literal stands for: escapes resolved (regular) or ``""`` → ``"`` (verbatim).
+
+    A literal of markup (``kind`` null or ``markup``) is its own value.
+    """
     text, kind = col(text), col(kind)
-    return F.when(kind == "verbatim", F.replace(text, F.lit('""'), F.lit('"'))).otherwise(unescape_text(text))
+    return (F.when(kind == "verbatim", F.replace(text, F.lit('""'), F.lit('"')))
+             .when(kind == "regular", unescape_text(text)).otherwise(text))
 
 
 def regular_form(text, kind) -> Column:
-    """Any literal rewritten as a regular literal (STR-07 generalised: ``@"\\"`` → ``"\\\\"``)."""
+    """Any literal rewritten as a regular literal of the same value (STR-07 generalised: ``@"\\"`` → ``"\\\\"``)."""
     return wrap_quotes(escape_text(literal_value(text, kind)))
 
 
@@ -166,10 +208,16 @@ def clean_line(c) -> Column:
     return F.regexp_replace(ws_trim(F.substring_index(col(c), "//", 1)), r",+\z", "")
 
 
+def token_kind(raw) -> Column:
+    """Kind of a code token: ``verbatim``, ``regular``, ``interpolated`` or ``comment``."""
+    raw = col(raw)
+    return (F.when(raw.startswith("//"), "comment")
+             .when(raw.startswith("$") | raw.startswith("@$"), "interpolated")
+             .when(raw.startswith("@"), "verbatim").otherwise("regular"))
+
+
 def inner_text(raw, kind) -> Column:
-    """Characters between a literal's quotes; a verbatim literal also drops ``@`` (EXT-09)."""
+    """Characters between a literal's quotes, without what stands before the first one (EXT-09)."""
     raw, kind = col(raw), col(kind)
-    start = F.when(kind == "verbatim", F.lit(3)).otherwise(F.lit(2))
+    start = F.when(kind == "comment", F.lit(2)).otherwise(F.instr(raw, '"') + 1)
     return raw.substr(start, F.length(raw) - start)
-
-

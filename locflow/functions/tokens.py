@@ -11,19 +11,18 @@ characters.
 from __future__ import annotations
 
 # The token grammar of source code (verbatim literal, regular
-# literal with backslash escapes, line comment) and of markup (any quoted run).
-CODE_TOKEN = r'@"[^"]*+(?:""[^"]*+)*+"|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|//[^\n]*+'
-CODE_TOKEN_RE2 = r'@"[^"]*(?:""[^"]*)*"|"[^"\\\n]*(?:\\.[^"\\\n]*)*"|//[^\n]*'
+# literal with backslash escapes, either of them interpolated, line comment)
+# and of markup (any quoted run).
+CODE_TOKEN = (r'(?:\$@|@\$?)"[^"]*+(?:""[^"]*+)*+"|\$?"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|//[^\n]*+')
 MARKUP_TOKEN = r'"[^"]*+"'
-MARKUP_TOKEN_RE2 = r'"[^"]*"'
 
 PROFILES = {"code": CODE_TOKEN, "markup": MARKUP_TOKEN}
-PROFILES_RE2 = {"code": CODE_TOKEN_RE2, "markup": MARKUP_TOKEN_RE2}
 
 # White space as .NET ``Char.IsWhiteSpace`` sees it: separators, the C0
 # controls 9-13 and U+0085. The same class works in Java and RE2.
 WS = r"[\p{Z}\t\n\x0B\f\r\x{85}]"
-WS_RUN = WS + "+"
+# The same characters one by one, for trimming without a pattern.
+WS_CHARS = ("\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000")
 BLANK = r"\A" + WS + r"*+\z"
 
 # Edge split (EXT-07): up to two non letter/digit characters on each edge.

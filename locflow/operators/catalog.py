@@ -35,7 +35,7 @@ def derive_keys(texts: DataFrame, text_col: str = "text", lang_col: str = "lang"
     folder instead (for callers that read it again later).
     """
     first = (F.min(F.struct(*[F.col(c) for c in order_cols])).alias("first_seen")
-             if order_cols else F.lit(None).alias("first_seen"))
+             if order_cols else F.lit(None).cast("string").alias("first_seen"))
     aggs = [first, F.count(F.lit(1)).alias("uses")]
     base = texts.filter(~T.is_blank(text_col))
     if explicit_col:
@@ -135,7 +135,7 @@ def upsert_catalog(catalog: DataFrame, batch: DataFrame):
     """Insert-if-absent by ``(lang, key)`` (JN-02, SET-03, Q12) → ``(inserted, key_conflicts)``.
 
     * the batch is reduced to its first row per key (partial ``min``);
-    * keys absent from the catalog are ``inserted``;
+    * keys absent from the catalog are ``inserted`` (a unit of the catalog counts as present whatever its target is);
     * a batch text that loses its key, to an earlier batch row or to the
       catalog's existing text, is recorded in ``key_conflicts(lang, key,
       kept, dropped, against)``; equal texts are no conflict.
@@ -145,16 +145,21 @@ def upsert_catalog(catalog: DataFrame, batch: DataFrame):
     catalog is shuffled (or broadcast by AQE when it is measured small). The
     losers' join back to the winners salts keys the winners' count marks hot.
     """
-    counted = first_wins(batch, with_count=True)
+    # one row per distinct text, its first occurrence; winners are an aggregate over these rows, so both branches
+    # read one exchange
+    rest = [c for c in batch.columns if c not in ("lang", "key", "target", "seq")]
+    texts = (batch.groupBy("lang", "key", "target").agg(F.min(F.struct("seq", *rest)).alias("_f"))
+                  .select("lang", "key", "target", "_f.*"))
+    counted = first_wins(texts, with_count=True)
     hot = hot_keys(counted, ["lang", "key"], "_n")
     win = counted.drop("_n")
-    existing = catalog.select("lang", "key", F.col("target").alias("_existing"))
+    existing = catalog.groupBy("lang", "key").agg(F.min("target").alias("_existing"), F.lit(True).alias("_present"))
     j = win.join(existing, ["lang", "key"], "left")
-    inserted = j.filter(F.col("_existing").isNull()).drop("_existing")
-    vs_catalog = (j.filter(F.col("_existing").isNotNull() & (F.col("_existing") != F.col("target")))
+    inserted = j.filter(F.col("_present").isNull()).drop("_existing", "_present")
+    vs_catalog = (j.filter(F.col("_present") & ~F.col("_existing").eqNullSafe(F.col("target")))
                    .select("lang", "key", F.col("_existing").alias("kept"),
                            F.col("target").alias("dropped"), F.lit("catalog").alias("against")))
-    losers = (salted_join(batch.select("lang", "key", "target").distinct(),
+    losers = (salted_join(texts.select("lang", "key", "target"),
                           win.select("lang", "key", F.col("target").alias("_w")), ["lang", "key"], "inner",
                           hot=hot, salt_cols=["lang", "target"])
                    .filter(F.col("target") != F.col("_w"))

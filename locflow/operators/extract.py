@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from locflow.functions import text as T
 from locflow.functions.tokens import CONST_LINE, LOOKUP_PREFIXES, PROFILES
+from locflow.operators.skew import hot_keys, salted_join
 
 TOKS, GAPS = "_toks", "_gaps"
 
@@ -76,7 +77,7 @@ def extract_literals(df: DataFrame, text_col: str = "content", id_cols=("path",)
     """``literals(<id>, ordinal, kind, raw, text, wrapped[, offset, line_no])`` (EXT-01/02/09, FLT-04/05).
 
     * ``ordinal``: 0-based index among all tokens of the file (comments included).
-    * ``kind``: ``regular`` | ``verbatim`` | ``comment``.
+    * ``kind``: ``regular`` | ``verbatim`` | ``interpolated`` | ``comment``.
     * ``text``: characters between the quotes (EXT-09).
     * ``wrapped``: the literal sits right behind a lookup prefix (FLT-05).
     * ``offset``/``line_no``: code-point offset of the token and its 1-based line
@@ -97,9 +98,7 @@ def extract_literals(df: DataFrame, text_col: str = "content", id_cols=("path",)
     x = t.select(*cols)
     raw = F.col("tk.raw")
     gap = F.col("tk.gap")
-    kind = (F.when(raw.startswith('@"'), "verbatim")
-              .when(raw.startswith("//"), "comment")
-              .otherwise("regular"))
+    kind = T.token_kind(raw)
     wrapped = F.lit(False)
     for p in prefixes:
         wrapped = wrapped | gap.endswith(p)
@@ -164,7 +163,8 @@ def core_variants(df: DataFrame, text_col: str = "text") -> DataFrame:
     per_text = (split_edges(texts, "text").filter(F.length("core") > 0)
                 .groupBy("core", "text").agg(F.count(F.lit(1)).alias("uses")))
     spellings = per_text.groupBy("core").agg(F.count(F.lit(1)).alias("spellings"))
-    return per_text.join(spellings, "core")
+    return salted_join(per_text, spellings, ["core"], "inner", hot=hot_keys(spellings, ["core"], "spellings"),
+                       salt_cols=["core", "text"])
 
 
 def bold_literals(literals: DataFrame, text_col: str = "text") -> DataFrame:
@@ -230,5 +230,8 @@ def migrate_constants(sources: DataFrame, text_col: str = "content",
 
 
 def normalise_escapes(sources: DataFrame, text_col: str = "content") -> DataFrame:
-    """Verbatim all-backslash literals to the regular form (STR-07), narrow."""
-    return sources.withColumn(text_col, T.verbatim_to_regular(text_col))
+    """Regular all-backslash literals to the verbatim form (STR-07), token by token, narrow."""
+    t = tokenize(sources, text_col, "code")
+    toks = F.transform(F.col(TOKS), T.backslash_verbatim)
+    parts = F.zip_with(F.col(GAPS), F.concat(toks, F.array(F.lit(""))), lambda g, tok: F.concat(g, tok))
+    return t.withColumn(text_col, F.array_join(parts, "")).drop(TOKS, GAPS)

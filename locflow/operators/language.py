@@ -43,14 +43,14 @@ def detect_language(texts: DataFrame, profiles: DataFrame, id_cols=("doc_id",),
                     text_col: str = "text", override_col: str | None = None) -> DataFrame:
     """``(<id>, detected, hits)`` per text (LNG-01); ``override_col`` wins when set (STM-04).
 
-    Profiles are a bounded table (``n`` tokens times the number of
-    languages), so they are broadcast and the token explode never shuffles;
-    only the per ``(text, lang)`` hit counts are aggregated. The texts
+    Profiles are a small table (``n`` tokens times the number of languages),
+    which the planner broadcasts once it has measured it; only the per
+    ``(text, lang)`` hit counts are aggregated. The texts
     themselves are not shuffled: only their ids meet the hit counts, so texts
     without a hit come out as ``und``.
     """
     ids = list(id_cols)
-    prof = F.broadcast(profiles.select("lang", "token"))
+    prof = profiles.select("lang", "token")
     toks = texts.select(*ids, F.explode(tokens(text_col)).alias("token"))
     hits = (toks.join(prof, "token").groupBy(*ids, "lang").agg(F.count(F.lit(1)).alias("hits"))
                 .groupBy(*ids).agg(F.min(F.struct((-F.col("hits")).alias("neg"), F.col("lang"))).alias("_b"))

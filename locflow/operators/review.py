@@ -7,9 +7,11 @@ review off every proposal is ``committed`` at once.
 
 The slot after an event is open exactly when that event was a proposal, so
 the outcome of an event depends only on the actor's previous event: a
-``lag``. To keep one busy actor from landing in a single task, a hot actor's
-events are cut into time slices and the first event of a slice takes the
-last event of the actor's previous non-empty slice from a small table.
+``lag``. Every actor's events are cut into fixed pieces of time, and the
+first event of a piece takes the last event of the actor's previous
+non-empty piece from a table of one row per piece. No statistics are needed:
+a busy actor is spread over as many tasks as it has pieces, and a burst
+inside one piece is cut again by the last digits of its time.
 """
 
 from __future__ import annotations
@@ -17,8 +19,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locflow.operators.skew import hot_keys, settings
-
 # How the driver's ``events`` map onto review actions.
 EVENT_ACTIONS = {"view": "propose", "purchase": "accept", "error": "decline"}
 
@@ -43,48 +43,49 @@ def outcome(prev_action, action, review: bool = True):
              .when(action == "decline", F.when(open_before, "declined").otherwise("ignored")))
 
 
+PIECE_SECONDS = 3600        # a piece of an actor's time
+BURST_MICROS = 10_000_000   # a piece of a busy piece
+
+
 def review_outcomes(actions: DataFrame, review: bool = True, skip_review=None,
-                    slices: int | None = None) -> DataFrame:
+                    piece_seconds: int = PIECE_SECONDS, burst_micros: int = BURST_MICROS) -> DataFrame:
     """``(actor, ts, event_id, action, outcome)`` for ``actions(actor, ts, event_id, action)``.
 
-    The lag runs per ``(actor, piece)``. An ordinary actor is one piece
-    (at most ``locflow.skew.hotRows`` events). A hot actor (more events than
-    that) is cut into ``slices`` (default ``locflow.skew.salts``) equal time
-    slices between its first and last event, so an actor with a third of all
-    events is spread over many tasks. The first event of a piece takes the
-    actor's last action before it from a small table with one row per piece.
-    The pieces come from count/min/max per actor, which are exact in any
-    evaluation order, so every branch of the plan sees the same pieces. The
-    result does not depend on the cut.
+    Two levels of pieces, both by the clock: the lag runs inside an actor's
+    ``burst_micros``; the last action of each such piece is one row, and the
+    first event of a piece looks back along these rows, inside the actor's
+    ``piece_seconds`` and then along the rows of those. So an actor with a
+    third of all events, in bursts or not, is spread over many tasks, and what
+    one task orders is bounded by the time it covers. The result does not
+    depend on the cut. One scan.
 
     ``skip_review`` is a column predicate for proposals that need no review
     (Q14: texts already in the pivot language); they are ``committed`` at
-    once and never touch the slot, so they are taken out before the lag.
+    once and never touch the slot, so they take no part in the lag.
     """
+    skip = F.lit(False)
     if skip_review is not None:
         skip = (F.col("action") == "propose") & F.coalesce(skip_review, F.lit(False))
-        direct = (actions.filter(skip).select("actor", "ts", "event_id", "action",
-                                              F.lit("committed").alias("outcome")))
-        rest = review_outcomes(actions.filter(~skip), review, slices=slices)
-        return rest.unionByName(direct)
-    min_rows, salts = settings(actions.sparkSession)
-    slices = slices or salts
     t = F.unix_micros(F.col("ts").cast("timestamp"))
-    stats = actions.groupBy("actor").agg(F.count(F.lit(1)).alias("_n"), F.min(t).alias("_lo"),
-                                         F.max(t).alias("_hi"))
-    hot = hot_keys(stats, ["actor"], "_n", min_rows)
-    span = F.broadcast(stats.join(hot, "actor", "left_semi").select("actor", "_lo", "_hi"))  # bounded by hot_keys
-    a = actions.join(span, "actor", "left")
-    piece = F.when(F.col("_lo").isNull(), F.lit(0)).otherwise(
-        F.floor((t - F.col("_lo")) * F.lit(slices) / (F.col("_hi") - F.col("_lo") + F.lit(1))).cast("int"))
-    a = a.withColumn("_bucket", piece).drop("_lo", "_hi")
+    piece = lambda size: F.coalesce(F.floor(t / F.lit(size)), F.lit(-(1 << 62)))
+    a = actions.select("*", skip.alias("_skip"), piece(burst_micros).alias("_burst"),
+                       piece(piece_seconds * 1_000_000).alias("_piece"))
     order = [F.col("ts"), F.col("event_id")]
-    in_piece = Window.partitionBy("actor", "_bucket").orderBy(*order)
-    a = a.withColumn("_prev", F.lag("action").over(in_piece))
-    last = (a.groupBy("actor", "_bucket")
-             .agg(F.max_by("action", F.struct(*order)).alias("_last"))
-             .withColumn("_carry", F.lag("_last").over(Window.partitionBy("actor").orderBy("_bucket")))
-             .select("actor", "_bucket", "_carry"))
-    a = a.join(last, ["actor", "_bucket"], "left")
+    said = F.when(~F.col("_skip"), F.col("action"))      # skipped proposals leave the slot as it was
+    back = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    a = a.withColumn("_prev", F.last(said, ignorenulls=True).over(
+        back(Window.partitionBy("actor", "_piece", "_burst").orderBy(*order))))
+    bursts = (a.groupBy("actor", "_piece", "_burst")
+               .agg(F.max_by("action", F.when(~F.col("_skip"), F.struct(*order))).alias("_last")))
+    pieces = (bursts.groupBy("actor", "_piece")
+                    .agg(F.max_by("_last", F.when(F.col("_last").isNotNull(), F.col("_burst"))).alias("_last")))
+    pieces = pieces.select("actor", "_piece", F.last("_last", ignorenulls=True).over(
+        back(Window.partitionBy("actor").orderBy("_piece"))).alias("_before_piece"))
+    bursts = bursts.select("actor", "_piece", "_burst", F.last("_last", ignorenulls=True).over(
+        back(Window.partitionBy("actor", "_piece").orderBy("_burst"))).alias("_before_burst"))
+    carry = bursts.join(pieces, ["actor", "_piece"]).select(
+        "actor", "_piece", "_burst", F.coalesce("_before_burst", "_before_piece").alias("_carry"))
+    a = a.join(carry, ["actor", "_piece", "_burst"], "left")
     prev = F.coalesce(F.col("_prev"), F.col("_carry"))
-    return a.select("actor", "ts", "event_id", "action", outcome(prev, F.col("action"), review).alias("outcome"))
+    result = F.when(F.col("_skip"), F.lit("committed")).otherwise(outcome(prev, F.col("action"), review))
+    return a.select("actor", "ts", "event_id", "action", result.alias("outcome"))

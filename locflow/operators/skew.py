@@ -16,15 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
 
-# Rows per key above which a key is treated as hot (about one task's worth
-# of rows on a large cluster), and how many buckets a hot key is spread
-# over. Session settings override them. The hot-key table is broadcast, so
-# it is bounded: at most ``total rows / HOT_ROWS`` keys (1e12 rows give at
-# most 100,000), each at most MAX_KEY_CHARS long. A longer key still joins
-# correctly, only without salting; no row is ever dropped.
-HOT_ROWS = 10_000_000
+# A key is hot from this many rows, or from this many bytes of its own text in its rows, on; about one task's worth on
+# a large cluster. The table of hot keys holds 64-bit hashes only and is bounded by total rows / HOT_ROWS plus total
+# bytes / HOT_BYTES: 10^12 rows of 100 TB give at most 1.8 million hashes, 15 MB. Two keys of one hash are both salted,
+# on both sides of the join, so the hash can never change a result.
+HOT_ROWS = 1_000_000
+HOT_BYTES = 128 << 20
 SALTS = 64
-MAX_KEY_CHARS = 512
 HOT_ROWS_CONF = "locflow.skew.hotRows"
 SALTS_CONF = "locflow.skew.salts"
 
@@ -35,8 +33,12 @@ def settings(spark) -> tuple[int, int]:
     return hot, salts
 
 
+def key_hash(on: list[str]):
+    return F.xxhash64(*[F.col(c) for c in on])
+
+
 def hot_keys(counts: DataFrame, on: list[str], count_col: str, min_rows: int | None = None) -> DataFrame:
-    """Short keys with more than ``min_rows`` rows (at most ``total rows / min_rows`` of them).
+    """Hashes (``_key``) of the keys that hold too many rows, or too many bytes, for one task.
 
     ``counts`` has one row per key (an aggregate the job computes anyway).
     A plain filter: the same rows in any evaluation, so both sides of a
@@ -44,10 +46,9 @@ def hot_keys(counts: DataFrame, on: list[str], count_col: str, min_rows: int | N
     """
     if min_rows is None:
         min_rows, _ = settings(counts.sparkSession)
-    short = F.lit(True)
-    for c in on:
-        short = short & (F.length(F.col(c).cast("string")) <= MAX_KEY_CHARS)
-    return counts.filter((F.col(count_col) > min_rows) & short).select(*on)
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in on), F.lit(0))
+    too_many = (F.col(count_col) > min_rows) | (F.col(count_col) * size > HOT_BYTES)
+    return counts.filter(too_many).select(key_hash(on).alias("_key")).distinct()
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
@@ -66,14 +67,14 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
     if hot is None:
         counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
         hot = hot_keys(counts, on, "_n", min_rows)
-    flag = F.broadcast(hot.withColumn("_hot", F.lit(True)))  # bounded by hot_keys
+    flag = F.broadcast(hot.withColumn("_hot", F.lit(True)))  # bounded, see HOT_ROWS
     cols = salt_cols or [f.name for f in big.schema.fields if not isinstance(f.dataType, MapType)]
-    b = (big.join(flag, on, "left")
+    b = (big.withColumn("_key", key_hash(on)).join(flag, "_key", "left")
             .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in cols]),
                                                               F.lit(salts))).otherwise(F.lit(0)))
-            .drop("_hot"))
-    s = (small.join(flag, on, "left")
+            .drop("_hot", "_key"))
+    s = (small.withColumn("_key", key_hash(on)).join(flag, "_key", "left")
               .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
                                              .otherwise(F.array(F.lit(0)))))
-              .drop("_hot"))
+              .drop("_hot", "_key"))
     return b.join(s, on + ["_salt"], how).drop("_salt")

@@ -7,6 +7,8 @@ views. Column names agree so results can be compared by value.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ from locflow.operators import review as V
 from locflow.operators import rewrite as W
 from locflow.plans import fixtures as FX
 from locflow.plans import oracle as O
-from locflow.functions.tokens import CONST_LINE
+from locflow.session import ensure_checkpoint_dir, stage
 from locflow.sources.tables import table
 
 QUERIES: dict = {}
@@ -44,7 +46,7 @@ def _page_literals(spark, sf_dir, positions=False):
 
 
 def _page_classified(spark, sf_dir):
-    return K.classify(_page_literals(spark, sf_dir), FX.page_stoplist(spark))
+    return K.classify(_page_literals(spark, sf_dir), K.stoplist(spark))
 
 
 def _code_literals(spark, sf_dir, positions=True):
@@ -56,20 +58,24 @@ def _doc_keys(spark, sf_dir):
     return C.derive_keys(FX.doc_texts(spark, sf_dir), order_cols=("doc_id", "line_no"))
 
 
-PAGE_STOP = O.stop_cte(FX.PAGE_STOP_EXTRA)
+PAGE_STOP = O.stop_cte()
 PAGE_LITS = O.literals_cte("plit", "pg", ["page_id"], "html", "markup", positions=False)
 PAGE_CLS = (f"{PAGE_STOP}, {PAGE_LITS}, "
             f"pcls AS (SELECT l.*, {O.reason('text')} AS reason FROM plit l LEFT JOIN stop s ON l.text = s.token), "
             "pcls2 AS (SELECT *, reason = 'text' AS translatable FROM pcls)")
 DOC_STOP = O.stop_cte()
+CODE_LITS = O.literals_cte('lit', 'code', ['doc_id'], 'content', 'code', positions=False)
 
 
 # ---------------------------------------------------------------- flagship
 
 FLAGSHIP_SQL = f"""
 WITH {O.pages_cte()}, {O.literals_cte('plit', 'pg', ['page_id', 'page_lang'], 'html', 'markup', positions=False)},
-{PAGE_STOP},
-c AS (SELECT l.*, {O.reason('text')} = 'text' AS translatable FROM plit l LEFT JOIN stop s ON l.text = s.token),
+{O.code_cte()}, {O.literals_cte('clit', 'code', ['doc_id', 'lang'], 'content', 'code', positions=False)},
+{DOC_STOP},
+l AS (SELECT page_lang, text, wrapped FROM plit
+      UNION ALL SELECT lang, {O.literal_value('kind', 'text')}, wrapped FROM clit WHERE kind IN ('regular', 'verbatim')),
+c AS (SELECT l.*, {O.reason('text')} = 'text' AS translatable FROM l LEFT JOIN stop s ON l.text = s.token),
 d AS (SELECT page_lang, translatable, {O.first_line('text')} AS text, count(*) AS uses
       FROM c WHERE NOT {O.blank('text')} AND NOT wrapped GROUP BY ALL),
 k AS (SELECT *, {O.pascal('text')} AS key FROM d)
@@ -81,10 +87,13 @@ FROM k GROUP BY page_lang, translatable
 
 @register("q_flagship", FLAGSHIP_SQL)
 def q_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages → literals → classify → distinct texts → keys, summarised per page language."""
-    lit = X.extract_literals(FX.pages(spark, sf_dir), "html", ("page_id", "page_lang"), "markup",
-                             positions=False)
-    c = K.classify(lit, FX.page_stoplist(spark))
+    """Pages and code → literals → values → classify → distinct texts → keys, summarised per language."""
+    pages = X.extract_literals(FX.pages(spark, sf_dir), "html", ("page_id", "page_lang"), "markup", positions=False)
+    code = X.extract_literals(FX.code_sources(spark, sf_dir), "content", ("doc_id", "lang"), "code", positions=False)
+    lit = pages.select("page_lang", "text", "wrapped").unionByName(
+        code.filter(F.col("kind") != "interpolated").select(
+            F.col("lang").alias("page_lang"), T.literal_value("text", "kind").alias("text"), "wrapped"))
+    c = K.classify(lit, K.stoplist(spark))
     d = (c.filter(~T.is_blank("text") & ~F.col("wrapped"))
           .withColumn("text", T.first_line("text"))
           .groupBy("page_lang", "translatable", "text").agg(F.count(F.lit(1)).alias("uses"))
@@ -226,17 +235,25 @@ def q_first_constant(spark, sf_dir):
 # ---------------------------------------------------------------- classify, decide
 
 @register("q_classify", f"""
-WITH {O.pages_cte()}, {PAGE_CLS}
-SELECT page_id, ordinal, text, translatable, reason FROM pcls2
+WITH {O.pages_cte()}, {O.literals_cte('plit', 'pg', ['page_id'], 'html', 'markup', positions=False)},
+{O.code_cte()}, {CODE_LITS}, {DOC_STOP},
+l AS (SELECT 'page' AS src, page_id AS id, ordinal, text FROM plit
+      UNION ALL SELECT 'code', doc_id, ordinal, {O.literal_value('kind', 'text')} FROM lit WHERE kind IN ('regular', 'verbatim')),
+c AS (SELECT l.*, {O.reason('text')} AS reason FROM l LEFT JOIN stop s ON l.text = s.token)
+SELECT src, id, ordinal, text, reason = 'text' AS translatable, reason FROM c
 """)
 def q_classify(spark, sf_dir):
-    """SRC-09, FLT-06: every page literal with its verdict and the rule that gave it."""
-    return _page_classified(spark, sf_dir).select("page_id", "ordinal", "text", "translatable", "reason")
+    """SRC-09, FLT-06: every page and code literal's value with its verdict and the rule that gave it."""
+    pages = _page_literals(spark, sf_dir).select(F.lit("page").alias("src"), F.col("page_id").alias("id"), "ordinal", "text")
+    code = _code_literals(spark, sf_dir, positions=False).filter(F.col("kind") != "interpolated").select(
+        F.lit("code").alias("src"), F.col("doc_id").alias("id"), "ordinal", T.literal_value("text", "kind").alias("text"))
+    return K.classify(pages.unionByName(code), K.stoplist(spark)).select(
+        "src", "id", "ordinal", "text", "translatable", "reason")
 
 
 @register("q_decisions", f"""
 WITH {O.doc_lines_cte()}, {DOC_STOP},
-c AS (SELECT d.doc_id, d.text, {O.reason('d.text')} = 'text' AS translatable
+c AS (SELECT d.doc_id, d.text, {O.reason('d.text', "WHEN line_no = 1 THEN 'heading'")} = 'text' AS translatable
       FROM doc_texts d LEFT JOIN stop s ON d.text = s.token),
 pf AS (SELECT doc_id, text, bool_or(translatable) AS in_bet, bool_or(NOT translatable) AS in_not FROM c GROUP BY doc_id, text),
 dec AS (SELECT d.text, CASE WHEN l.toxic = 1 THEN 'manual_no' WHEN l.quality = 0 THEN 'auto_no' ELSE 'auto_yes' END AS verdict
@@ -251,26 +268,30 @@ v AS (SELECT pf.doc_id, pf.text,
 SELECT doc_id, text, verdict = 'kept' AS kept, verdict FROM v
 """)
 def q_decisions(spark, sf_dir):
-    """SRC-08, SET-02: stored decisions from labels applied to each document's lines."""
+    """SRC-08, SET-02: stored decisions from labels applied to each document's lines; a user rule sets first
+    lines aside, so a line that also occurs further down is in both sets."""
     texts = FX.doc_texts(spark, sf_dir)
-    classified = K.classify(texts, K.stoplist(spark))
+    classified = K.classify(texts, K.stoplist(spark), rules=[("heading", F.col("line_no") == 1)])
     return K.apply_decisions(classified, FX.labelled_decisions(spark, sf_dir), ("doc_id",))
 
 
 @register("q_path_guard", f"""
-WITH {O.pages_cte()}, {O.literals_cte('lit', 'pg', ['page_id'], 'html', 'markup', positions=False)},
-listing AS (SELECT DISTINCT regexp_extract(url, 'https?://[^/]+(/[a-z]+)', 1) AS p FROM pages),
-l2 AS (SELECT p FROM listing WHERE p <> '')
-SELECT page_id, ordinal, text, l2.p IS NOT NULL AS is_path
-FROM lit LEFT JOIN l2 ON lit.text = l2.p WHERE NOT {O.blank('text')}
+WITH {O.pages_cte()}, {O.literals_cte('plit', 'pg', ['page_id'], 'html', 'markup', positions=False)},
+{O.code_cte()}, {CODE_LITS},
+l AS (SELECT 'page' AS src, page_id AS id, ordinal, text FROM plit
+      UNION ALL SELECT 'code', doc_id, ordinal, {O.literal_value('kind', 'text')} FROM lit WHERE kind IN ('regular', 'verbatim')),
+listing AS (SELECT url AS p FROM pages UNION SELECT 'f' || doc_id || '.cs' FROM documents)
+SELECT src, id, ordinal, text, text IN (SELECT p FROM listing WHERE p IS NOT NULL) AS is_path FROM l WHERE NOT {O.blank('text')}
 """)
 def q_path_guard(spark, sf_dir):
-    """FLT-02: page literals that are themselves a listed path (first URL segment)."""
-    listing = (table(spark, sf_dir, "pages")
-               .select(F.regexp_extract("url", "https?://[^/]+(/[a-z]+)", 1).alias("path"))
-               .filter(F.col("path") != ""))
-    lit = _page_literals(spark, sf_dir).filter(~T.is_blank("text"))
-    return K.flag_path_like(lit, listing).select("page_id", "ordinal", "text", "is_path")
+    """FLT-02: page and code literals that are themselves a listed path (page URLs and source file names, whole)."""
+    listing = table(spark, sf_dir, "pages").select(F.col("url").alias("path")).unionByName(
+        FX.code_sources(spark, sf_dir).select(F.regexp_extract("path", "[^/]*$", 0).alias("path")))
+    pages = _page_literals(spark, sf_dir).select(F.lit("page").alias("src"), F.col("page_id").alias("id"), "ordinal", "text")
+    code = _code_literals(spark, sf_dir, positions=False).filter(F.col("kind") != "interpolated").select(
+        F.lit("code").alias("src"), F.col("doc_id").alias("id"), "ordinal", T.literal_value("text", "kind").alias("text"))
+    lit = pages.unionByName(code).filter(~T.is_blank("text"))
+    return K.flag_path_like(lit, listing).select("src", "id", "ordinal", "text", "is_path")
 
 
 @register("q_report", f"""
@@ -444,67 +465,75 @@ def q_lang_detect(spark, sf_dir):
     return det.join(docs.select("doc_id", "lang"), "doc_id").select("doc_id", "lang", "detected", "hits")
 
 
-_MEM = ("src AS (SELECT conv_id, turn, text AS src_text FROM conversations WHERE role = 'user'), "
-        "pairs AS (SELECT s.conv_id, s.turn, s.src_text, n.text AS tgt_text FROM src s "
-        "JOIN conversations n ON n.conv_id = s.conv_id AND n.turn = s.turn + 1), "
-        "mem AS (SELECT src_text, arg_min(tgt_text, (conv_id, turn)) AS tgt_text FROM pairs GROUP BY src_text), "
-        "ut AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user')")
+_MEM = (f"{O.doc_lines_cte()}, "
+        "cl AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, "
+        "CAST(generate_subscripts(string_split_regex(text, '\\r?\\n'), 1) AS BIGINT) AS line_no, "
+        "unnest(string_split_regex(text, '\\r?\\n')) AS text FROM conversations), "
+        f"ut AS (SELECT * FROM cl WHERE NOT {O.blank('text')} "
+        "UNION ALL SELECT doc_id, -1, line_no, text FROM doc_texts WHERE doc_id IN (SELECT doc_id FROM labels)), "
+        "ml AS (SELECT doc_id AS conv_id, line_no AS turn, line AS text FROM doc_lines WHERE doc_id NOT IN (SELECT doc_id FROM labels)), "
+        "mem AS (SELECT s.text AS src_text, arg_min(n.text, (s.conv_id, s.turn)) AS tgt_text FROM ml s "
+        "JOIN ml n ON n.conv_id = s.conv_id AND n.turn = s.turn + 1 GROUP BY s.text)")
+_TEXT_IDS = ["conv_id", "turn", "line_no"]
+
+
+def _texts_and_memory(spark, sf_dir):
+    """Texts to look up, and a memory made from other documents; both are read by several branches."""
+    texts = stage(FX.lookup_texts(spark, sf_dir), "texts")
+    memory = stage(M.memory_from_turns(FX.aligned_lines(spark, sf_dir)), "memory")
+    return texts, memory
 
 
-def _memory(spark, sf_dir):
-    conv = FX.conversations(spark, sf_dir)
-    mem = M.memory_from_turns(conv)
-    texts = conv.filter(F.col("role") == "user").select("conv_id", "turn", "text")
-    return M.translate_from_memory(texts, mem)
+def _profiles(spark, sf_dir):
+    return stage(L.build_profiles(FX.documents(spark, sf_dir), 50), "profiles")
 
 
 @register("q_memory", f"""
 WITH {_MEM}
-SELECT ut.conv_id, ut.turn, ut.text, {O.carry_capital('ut.text', 'mem.tgt_text')} AS translation
+SELECT ut.conv_id, ut.turn, ut.line_no, ut.text, {O.carry_capital('ut.text', 'mem.tgt_text')} AS translation
 FROM ut JOIN mem ON ut.text = mem.src_text
 """)
 def q_memory(spark, sf_dir):
-    """JN-04, STR-02: user turns found in the translation memory, capital carried over."""
-    translated, _ = _memory(spark, sf_dir)
-    return translated.select("conv_id", "turn", "text", "translation")
+    """JN-04, STR-02: lines found in the translation memory, capital carried over."""
+    translated, _ = M.translate_from_memory(*_texts_and_memory(spark, sf_dir))
+    return translated.select(*_TEXT_IDS, "text", "translation")
 
 
 @register("q_untranslated", f"""
 WITH {_MEM}
-SELECT conv_id, turn, text FROM ut WHERE text NOT IN (SELECT src_text FROM mem)
+SELECT conv_id, turn, line_no, text FROM ut WHERE text NOT IN (SELECT src_text FROM mem)
 """)
 def q_untranslated(spark, sf_dir):
-    """JN-04: user turns with no memory hit."""
-    _, missing = _memory(spark, sf_dir)
-    return missing.select("conv_id", "turn", "text")
+    """JN-04: lines with no memory hit."""
+    _, missing = M.translate_from_memory(*_texts_and_memory(spark, sf_dir))
+    return missing.select(*_TEXT_IDS, "text")
+
+
+# A turn of the system is English whatever its words look like: the override of STM-04.
+_OVERRIDE = "CASE WHEN ut.turn = 0 THEN 'en' ELSE det.detected END"
 
 
 @register("q_bilingual", f"""
-WITH {_MEM}, {O.profiles_cte('documents', 'lang', 'text')}, {O.detect_cte('det', 'ut', ['conv_id', 'turn'], 'text')},
-t AS (SELECT ut.conv_id, ut.turn, ut.text, det.detected AS lang,
+WITH {_MEM}, {O.profiles_cte('documents', 'lang', 'text')}, {O.detect_cte('det', 'ut', _TEXT_IDS, 'text')},
+t AS (SELECT ut.conv_id, ut.turn, ut.line_no, ut.text, {_OVERRIDE} AS lang,
              {O.carry_capital('ut.text', 'mem.tgt_text')} AS translation
-      FROM ut JOIN det USING (conv_id, turn) LEFT JOIN mem ON ut.text = mem.src_text),
+      FROM ut JOIN det USING (conv_id, turn, line_no) LEFT JOIN mem ON ut.text = mem.src_text),
 k AS (SELECT *, {O.pascal(f"CASE WHEN translation IS NULL OR {O.blank('translation')} THEN text ELSE translation END")} AS key FROM t),
-r AS (SELECT conv_id, turn, key, lang, text AS target FROM k
+r AS (SELECT conv_id, turn, line_no, key, lang, text AS target FROM k
       UNION ALL
-      SELECT conv_id, turn, key, 'en' AS lang, translation AS target FROM k
+      SELECT conv_id, turn, line_no, key, 'en' AS lang, translation AS target FROM k
       WHERE lang <> 'en' AND translation IS NOT NULL AND NOT {O.blank('translation')})
 SELECT * FROM r
 """)
 def q_bilingual(spark, sf_dir):
-    """JN-05, STM-04: user turns routed to catalog rows by detected language (pivot ``en``)."""
-    conv = FX.conversations(spark, sf_dir)
-    mem = M.memory_from_turns(conv)
-    texts = conv.filter(F.col("role") == "user").select("conv_id", "turn", "text")
-    profiles = L.build_profiles(FX.documents(spark, sf_dir), 50)
-    det = L.detect_language(texts, profiles, ("conv_id", "turn"))
-    hits = mem.select(F.col("src_text").alias("text"), "tgt_text")
-    t = (texts.join(det, ["conv_id", "turn"]).join(hits, "text", "left")
-              .withColumn("translation", F.when(F.col("tgt_text").isNotNull(),
-                                                T.carry_capital("text", "tgt_text")))
-              .withColumn("key", T.key_for("text", "translation"))
-              .select("conv_id", "turn", "key", F.col("detected").alias("lang"), "text", "translation"))
-    return C.to_catalog_rows(t).select("conv_id", "turn", "key", "lang", "target")
+    """JN-05, STM-04: lines routed to catalog rows by language (pivot ``en``); first turns override the detection."""
+    texts, mem = _texts_and_memory(spark, sf_dir)
+    texts = texts.withColumn("forced", F.when(F.col("turn") == 0, F.lit("en")))
+    det = L.detect_language(texts, _profiles(spark, sf_dir), _TEXT_IDS, override_col="forced")
+    t = (M.lookup_memory(texts.drop("forced"), mem).join(det, _TEXT_IDS)
+          .withColumn("key", T.key_for("text", "translation"))
+          .select(*_TEXT_IDS, "key", F.col("detected").alias("lang"), "text", "translation"))
+    return C.to_catalog_rows(t).select(*_TEXT_IDS, "key", "lang", "target")
 
 
 @register("q_new_captures", f"""
@@ -516,14 +545,15 @@ ck AS (SELECT *, {O.pascal('text')} AS key FROM cl WHERE NOT {O.blank('text')})
 SELECT conv_id, turn, line_no, text, key, key IN (SELECT key FROM keys) AS known FROM ck WHERE length(key) > 0
 """)
 def q_new_captures(spark, sf_dir):
-    """STR-06, STM-01 (batch twin): captured lines cleaned, keyed, checked against the catalog keys."""
+    """STR-06, STM-01 (batch twin of the stream): captured lines cleaned and keyed, and whether ``new_captures``
+    keeps them next to the catalog keys."""
+    from locflow.streaming.captures import clean_captures, new_captures
     caps = FX.capture_lines(spark, sf_dir)
-    cl = (caps.select("conv_id", "turn", "line_no", T.clean_capture("captured").alias("text"))
-              .filter(~T.is_blank("text")).withColumn("key", T.pascal_key("text"))
-              .filter(F.length("key") > 0))
-    known = C.key_set(FX.doc_texts(spark, sf_dir)).withColumn("known", F.lit(True))
-    return (cl.join(known, "key", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-              .select("conv_id", "turn", "line_no", "text", "key", "known"))
+    known = stage(C.key_set(FX.doc_texts(spark, sf_dir)), "known")
+    fresh = new_captures(caps, known, "captured").select("conv_id", "turn", "line_no", F.lit(False).alias("_new"))
+    cl = clean_captures(caps, "captured").join(fresh, ["conv_id", "turn", "line_no"], "left")
+    return cl.select("conv_id", "turn", "line_no", F.col("cleaned").alias("text"), "key",
+                     F.coalesce("_new", F.lit(True)).alias("known"))
 
 
 # ---------------------------------------------------------------- rewrite, review
@@ -567,11 +597,12 @@ def q_review(spark, sf_dir):
 
 # ---------------------------------------------------------------- flows
 
-_FLOW_BASE = (f"{O.code_cte()}, {O.literals_cte('lit', 'code', ['doc_id'], 'content', 'code', positions=False)}, "
+_FLOW_BASE = (f"{O.code_cte()}, {CODE_LITS}, "
               f"bal AS (SELECT doc_id FROM (SELECT doc_id, array_to_string(string_split_regex(content, {O.q(O.TOKENS['code'])}), '') AS g FROM code) "
               "WHERE length(g) = length(replace(g, '\"', ''))), "
-              f"cand AS (SELECT doc_id, ordinal, {O.first_line('text')} AS text FROM lit WHERE kind <> 'comment' "
-              f"AND NOT {O.blank('text')} AND NOT wrapped AND doc_id IN (SELECT doc_id FROM bal)), "
+              f"val AS (SELECT doc_id, ordinal, {O.literal_value('kind', 'text')} AS text FROM lit "
+              "WHERE kind IN ('regular', 'verbatim') AND NOT wrapped AND doc_id IN (SELECT doc_id FROM bal)), "
+              f"cand AS (SELECT * FROM val WHERE NOT {O.blank('text')}), "
               f"{DOC_STOP}, "
               f"cls AS (SELECT c.*, {O.reason('c.text')} = 'text' AS translatable FROM cand c LEFT JOIN stop s ON c.text = s.token)")
 
@@ -583,7 +614,7 @@ per AS (SELECT doc_id,
           count(DISTINCT text) FILTER (WHERE NOT translatable) AS n_not,
           list_sort(list_distinct(list(text) FILTER (WHERE translatable))) AS yes,
           list_sort(list_distinct(list(text) FILTER (WHERE NOT translatable))) AS no
-        FROM cls GROUP BY doc_id),
+        FROM (SELECT doc_id, split_part(text, chr(10), 1) AS text, translatable FROM cls) GROUP BY doc_id),
 st AS (SELECT doc_id, path, doc_id NOT IN (SELECT doc_id FROM bal) AS rej FROM code)
 SELECT st.doc_id, regexp_replace(regexp_replace(regexp_extract(path, '([^/\\\\]*)$', 1), '\\.[^.]*$', ''), '2+$', '') AS stem,
        CASE WHEN rej THEN 'unbalanced' ELSE 'ok' END AS status,
@@ -600,18 +631,39 @@ def q_split_files(spark, sf_dir):
     return report
 
 
-@register("q_translate_files", f"""
+_KEPT = f"""
 WITH {_FLOW_BASE}, {O.doc_lines_cte()},
 pf AS (SELECT doc_id, text, bool_or(translatable) AS in_bet, bool_or(NOT translatable) AS in_not FROM cls GROUP BY doc_id, text),
 dec AS (SELECT d.text, CASE WHEN l.toxic = 1 THEN 'manual_no' WHEN l.quality = 0 THEN 'auto_no' ELSE 'auto_yes' END AS verdict
         FROM doc_texts d JOIN labels l USING (doc_id)),
 fl AS (SELECT text, bool_or(verdict = 'manual_no') AS manual_no, bool_or(verdict = 'auto_no') AS auto_no,
               bool_or(verdict = 'auto_yes') AS auto_yes FROM dec GROUP BY text),
-kept0 AS (SELECT pf.doc_id, pf.text, {O.pascal('pf.text')} AS key FROM pf LEFT JOIN fl USING (text)
+kept0 AS (SELECT pf.doc_id, pf.text, {O.pascal(O.first_line('pf.text'))} AS key FROM pf LEFT JOIN fl USING (text)
           WHERE in_bet AND NOT coalesce(manual_no, false) AND NOT coalesce(auto_no, false)
             AND (NOT in_not OR coalesce(auto_yes, false))),
 kept AS (SELECT * FROM kept0 WHERE length(key) > 0),
-pos AS (SELECT c.doc_id, c.ordinal, k.key FROM cls c JOIN kept k USING (doc_id, text)),
+pos AS (SELECT c.doc_id, c.ordinal, k.key, c.text, code.lang FROM cls c JOIN kept k USING (doc_id, text) JOIN code USING (doc_id)),
+ex AS (SELECT lang, {O.pascal('text')} AS key, arg_min(text, (doc_id, line_no)) AS existing FROM doc_texts
+       WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY ALL),
+win AS (SELECT lang, key, arg_min(text, (doc_id, ordinal)) AS target, arg_min(doc_id, (doc_id, ordinal)) AS doc_id,
+               arg_min(ordinal, (doc_id, ordinal)) AS ordinal FROM pos GROUP BY lang, key)"""
+
+
+def _labelled_catalog(spark, sf_dir):
+    """First-wins catalog of the labelled documents' lines."""
+    doc = FX.doc_texts(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    rows = C.catalog_rows(doc.join(labels, "doc_id", "left_semi"), order_cols=("doc_id", "line_no"), origin="existing")
+    return C.first_wins(rows)
+
+
+def _translated(spark, sf_dir):
+    from locflow.plans.flows import translate_files
+    return translate_files(FX.code_sources(spark, sf_dir), K.stoplist(spark), FX.labelled_decisions(spark, sf_dir),
+                           _labelled_catalog(spark, sf_dir), ("doc_id",))
+
+
+@register("q_translate_files", f"""{_KEPT},
 t AS (SELECT doc_id, regexp_extract_all(content, {O.q(O.TOKENS['code'])}) AS toks,
              string_split_regex(content, {O.q(O.TOKENS['code'])}) AS gaps FROM code WHERE doc_id IN (SELECT doc_id FROM bal)),
 x AS (SELECT doc_id, unnest(gaps) AS gap, generate_subscripts(gaps, 1) AS i, toks FROM t),
@@ -623,62 +675,101 @@ FROM y GROUP BY doc_id
 """)
 def q_translate_files(spark, sf_dir):
     """Flow A on the code view: kept literals replaced by their lookups, per balanced file."""
-    from locflow.plans.flows import translate_files
-    empty = spark.createDataFrame([], "lang string, key string, source string, target string, translate boolean, "
-                                      "origin string, seq struct<doc_id:bigint,ordinal:bigint>")
-    rewritten, _, _, _ = translate_files(FX.code_sources(spark, sf_dir), K.stoplist(spark),
-                                         FX.labelled_decisions(spark, sf_dir), empty, ("doc_id",))
-    return rewritten.select("doc_id", "rewritten", "replaced")
+    return _translated(spark, sf_dir)[0].select("doc_id", "rewritten", "replaced")
+
+
+@register("q_translate_inserted", f"""{_KEPT}
+SELECT lang, key, target, doc_id, ordinal FROM win ANTI JOIN ex USING (lang, key)
+""")
+def q_translate_inserted(spark, sf_dir):
+    """Flow A, JN-02: catalog rows that the kept literals add, with their whole values."""
+    return _translated(spark, sf_dir)[1].select("lang", "key", "target", F.col("seq.doc_id").alias("doc_id"),
+                                                F.col("seq.ordinal").alias("ordinal"))
 
 
-_VALUE = "CASE WHEN kind = 'verbatim' THEN replace(text, '\"\"', '\"') ELSE " + O.unescape("text") + " END"
+@register("q_translate_conflicts", f"""{_KEPT}
+SELECT w.lang, w.key, ex.existing AS kept, w.target AS dropped, 'catalog' AS against
+FROM win w JOIN ex USING (lang, key) WHERE ex.existing <> w.target
+UNION ALL
+SELECT d.lang, d.key, w.target, d.text, 'batch'
+FROM (SELECT DISTINCT lang, key, text FROM pos) d JOIN win w USING (lang, key) WHERE d.text <> w.target
+""")
+def q_translate_conflicts(spark, sf_dir):
+    """Flow A, Q12: literals whose key stands for another text."""
+    return _translated(spark, sf_dir)[2]
+
+
+@register("q_translate_rejects", f"""
+WITH {_FLOW_BASE}
+SELECT doc_id, NULL::BIGINT AS ordinal, 'unbalanced' AS reason FROM code WHERE doc_id NOT IN (SELECT doc_id FROM bal)
+UNION ALL
+SELECT doc_id, ordinal, 'interpolated' FROM lit WHERE kind = 'interpolated' AND doc_id IN (SELECT doc_id FROM bal)
+""")
+def q_translate_rejects(spark, sf_dir):
+    """Flow A, FLT-03: unbalanced files, and interpolated literals, which no lookup can stand for."""
+    from locflow.plans.flows import split_files
+    return split_files(FX.code_sources(spark, sf_dir), K.stoplist(spark), ("doc_id",))[2]
 
 
 @register("q_escapes", f"""
-WITH {O.code_cte()}, {O.literals_cte('lit', 'code', ['doc_id'], 'content', 'code', positions=False)},
-v AS (SELECT doc_id, ordinal, kind, text, {_VALUE} AS value FROM lit WHERE kind <> 'comment')
-SELECT doc_id, ordinal, kind, text, value, '"' || {O.escape('value')} || '"' AS regular FROM v
+WITH {O.code_cte()}, {CODE_LITS},
+v AS (SELECT doc_id, ordinal, kind, text, raw, {O.literal_value('kind', 'text')} AS value FROM lit WHERE kind IN ('regular', 'verbatim'))
+SELECT doc_id, ordinal, kind, text, value, '"' || {O.escape('value')} || '"' AS regular,
+       CASE WHEN regexp_matches(raw, '^"(\\\\\\\\){{1,4}}"$') THEN '@"' || substr(raw, 2, (length(raw) - 2) // 2) || '"' ELSE raw END AS normalised
+FROM v
 """)
 def q_escapes(spark, sf_dir):
-    """STR-07/08/09: every code literal's value and its regular-literal form."""
-    lit = _code_literals(spark, sf_dir, positions=False)
+    """STR-07/08/09: every code literal's value, its regular form, and its all-backslash form both ways."""
+    lit = _code_literals(spark, sf_dir, positions=False).filter(F.col("kind") != "interpolated")
     return lit.select("doc_id", "ordinal", "kind", "text", T.literal_value("text", "kind").alias("value"),
-                      T.regular_form("text", "kind").alias("regular"))
+                      T.regular_form("text", "kind").alias("regular"), T.backslash_verbatim("raw").alias("normalised"))
+
+
+@register("q_normalise_escapes", f"""
+WITH {O.code_cte()},
+t AS (SELECT doc_id, regexp_extract_all(content, {O.q(O.TOKENS['code'])}) AS toks,
+             string_split_regex(content, {O.q(O.TOKENS['code'])}) AS gaps FROM code),
+x AS (SELECT doc_id, unnest(gaps) AS gap, generate_subscripts(gaps, 1) AS i, toks FROM t),
+y AS (SELECT doc_id, i, gap, CASE WHEN i <= len(toks) THEN toks[i] END AS tok FROM x)
+SELECT doc_id, string_agg(gap || coalesce(CASE WHEN regexp_matches(tok, '^"(\\\\\\\\){{1,4}}"$')
+         THEN '@"' || substr(tok, 2, (length(tok) - 2) // 2) || '"' ELSE tok END, ''), '' ORDER BY i) AS content
+FROM y GROUP BY doc_id
+""")
+def q_normalise_escapes(spark, sf_dir):
+    """STR-07: every code file with its all-backslash literals in verbatim form."""
+    return X.normalise_escapes(FX.code_sources(spark, sf_dir)).select("doc_id", "content")
 
 
 @register("q_add_texts", f"""
-WITH {_MEM}, {O.profiles_cte('documents', 'lang', 'text')}, {O.detect_cte('det', 'ut', ['conv_id', 'turn'], 'text')},
-{O.doc_lines_cte()},
-t AS (SELECT ut.conv_id, ut.turn, ut.text, det.detected AS lang,
+WITH {_MEM}, {O.profiles_cte('documents', 'lang', 'text')}, {O.detect_cte('det', 'ut', _TEXT_IDS, 'text')},
+known AS (SELECT DISTINCT {O.pascal('text')} AS key FROM doc_texts WHERE line_no = 1),
+t AS (SELECT ut.conv_id, ut.turn, ut.line_no, ut.text, det.detected AS lang,
              {O.carry_capital('ut.text', 'mem.tgt_text')} AS translation
-      FROM ut JOIN det USING (conv_id, turn) LEFT JOIN mem ON ut.text = mem.src_text),
+      FROM ut JOIN det USING (conv_id, turn, line_no) LEFT JOIN mem ON ut.text = mem.src_text),
 k0 AS (SELECT *, {O.pascal(f"CASE WHEN translation IS NULL OR {O.blank('translation')} THEN text ELSE translation END")} AS key FROM t),
-k AS (SELECT * FROM k0 WHERE length(key) > 0),
-r0 AS (SELECT conv_id, turn, key, lang, text AS target FROM k
+k AS (SELECT * FROM k0 WHERE length(key) > 0 AND key NOT IN (SELECT key FROM known)),
+r0 AS (SELECT conv_id, turn, line_no, key, lang, text AS target FROM k
        UNION ALL
-       SELECT conv_id, turn, key, 'en' AS lang, translation AS target FROM k
+       SELECT conv_id, turn, line_no, key, 'en' AS lang, translation AS target FROM k
        WHERE lang <> 'en' AND translation IS NOT NULL AND NOT {O.blank('translation')}),
 r AS (SELECT * FROM r0 WHERE NOT {O.blank('target')}),
-win AS (SELECT lang, key, arg_min(target, (conv_id, turn)) AS target, arg_min(conv_id, (conv_id, turn)) AS conv_id,
-               arg_min(turn, (conv_id, turn)) AS turn FROM r GROUP BY lang, key),
-ex AS (SELECT DISTINCT lang, {O.pascal('text')} AS key FROM doc_texts WHERE doc_id IN (SELECT doc_id FROM labels))
-SELECT lang, key, target, conv_id, turn FROM win ANTI JOIN ex USING (lang, key)
+win AS (SELECT lang, key, arg_min(target, (conv_id, turn, line_no)) AS target, min((conv_id, turn, line_no)) AS seq
+        FROM r GROUP BY lang, key),
+ex AS (SELECT DISTINCT lang, {O.pascal('text')} AS key FROM doc_texts WHERE doc_id NOT IN (SELECT doc_id FROM labels))
+SELECT lang, key, target, seq[1] AS conv_id, seq[2] AS turn, seq[3] AS line_no FROM win ANTI JOIN ex USING (lang, key)
 """)
 def q_add_texts(spark, sf_dir):
-    """Flow C on conversations: user turns → language → memory → keys → routed rows, inserted first-wins
-    into the catalog of labelled documents' lines."""
+    """Flow C: lines of turns and of labelled documents → language → memory → keys → known-key test against the
+    constants declared for first lines → routed rows, inserted first-wins into the catalog of the other documents."""
     from locflow.plans.flows import add_texts
-    conv = FX.conversations(spark, sf_dir)
-    texts = conv.filter(F.col("role") == "user").select("conv_id", "turn", "text")
-    mem = M.memory_from_turns(conv)
-    profiles = L.build_profiles(FX.documents(spark, sf_dir), 50)
+    texts, mem = _texts_and_memory(spark, sf_dir)
     doc = FX.doc_texts(spark, sf_dir)
-    labelled = doc.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-    catalog = C.first_wins(C.catalog_rows(labelled, order_cols=("doc_id", "line_no"), origin="existing"))
-    constants = X.extract_constants(FX.code_lines(spark, sf_dir), ("doc_id",))
-    inserted, _, _ = add_texts(texts, catalog, constants, mem, profiles, id_cols=("conv_id", "turn"))
-    return inserted.select("lang", "key", "target", F.col("seq.conv_id").alias("conv_id"),
-                           F.col("seq.turn").alias("turn"))
+    labels = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    catalog = C.first_wins(C.catalog_rows(doc.join(labels, "doc_id", "left_anti"), order_cols=("doc_id", "line_no"),
+                                          origin="existing"))
+    constants = C.key_set(doc.filter(F.col("line_no") == 1))
+    inserted, _, _ = add_texts(texts, catalog, constants, mem, _profiles(spark, sf_dir), id_cols=_TEXT_IDS)
+    return inserted.select("lang", "key", "target", *(F.col(f"seq.{c}").alias(c) for c in _TEXT_IDS))
 
 
 @register("q_xliff_roundtrip", f"""
@@ -689,20 +780,39 @@ SELECT lang, key, arg_min(target, (doc_id, line_no)) AS target FROM r WHERE leng
 def q_xliff_roundtrip(spark, sf_dir):
     """SNK-01, SRC-03/04, SET-03: the first-wins catalog of all document lines written as XLIFF parts
     into the session's checkpoint folder and read back through the XML source."""
-    import uuid
-    from locflow.session import ensure_checkpoint_dir
     from locflow.sources import xliff
-    base = ensure_checkpoint_dir(spark)
-    if not base:
-        raise RuntimeError("q_xliff_roundtrip writes its catalog under spark.checkpoint.dir; set it")
-    path = f"{base.rstrip('/')}/locflow-xliff-{uuid.uuid4().hex}"
-    catalog = C.first_wins(C.catalog_rows(FX.doc_texts(spark, sf_dir), order_cols=("doc_id", "line_no")))
-    xliff.write_catalog(catalog, path, units_per_file=20_000)
+    path = _folder(spark, "xliff")
+    catalog = stage(C.first_wins(C.catalog_rows(FX.doc_texts(spark, sf_dir), order_cols=("doc_id", "line_no"))), "catalog")
+    xliff.write_catalog(catalog, path)
     back, _ = xliff.read_catalogs(spark, path, tags=("en", "fr", "de", "es"), glob="part-*",
                                   lang_from="attribute")
     return back.select("lang", "key", "target")
 
 
+@register("q_xliff_named", f"""
+WITH {O.doc_lines_cte()},
+r AS (SELECT lang, {O.pascal('text')} AS key, text AS target, doc_id, line_no,
+             CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 1 ELSE 0 END AS part FROM doc_texts)
+SELECT lang, key, arg_min(target, (part, doc_id, line_no)) AS target FROM r
+WHERE length(key) > 0 AND lang IN ('en', 'de') GROUP BY lang, key
+""")
+def q_xliff_named(spark, sf_dir):
+    """SRC-01..04: catalogs named by language, several files each (documents without a label in one folder, labelled
+    ones in the next), read back by name: all files of a language, first wins, other tags set aside."""
+    from locflow.sources import xliff
+    path = _folder(spark, "named")
+    labels = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("part", F.lit(1))
+    doc = FX.doc_texts(spark, sf_dir).join(labels, "doc_id", "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    rows = C.catalog_rows(doc, order_cols=("part", "doc_id", "line_no")).withColumn("part", F.col("seq.part"))
+    rows = stage(rows, "units")
+    for part in (0, 1):
+        for lang in ("en", "de", "fr"):     # fr is not among the tags asked for
+            own = C.first_wins(rows.filter((F.col("part") == part) & (F.col("lang") == lang)).drop("part"))
+            xliff.write_catalog(own, f"{path}/{part}/app.{lang}-XX.xlf", buckets=4)
+    back, _ = xliff.read_catalogs(spark, path, tags=("en", "de"), glob="part-*", recursive=True)
+    return back.select("lang", "key", "target")
+
+
 @register("q_source_files", f"""
 WITH {O.code_cte()},
 f AS (SELECT doc_id, content || chr(10) AS content FROM code),
@@ -713,43 +823,63 @@ SELECT doc_id, CAST(length(content) AS BIGINT) AS n_chars, CAST(len(toks) AS BIG
 FROM t
 """)
 def q_source_files(spark, sf_dir):
-    """SRC-05/06, FLT-07: the code view written as one file per document, read back whole
-    (recursive listing, glob filter) and tokenised."""
-    import uuid
-    from locflow.session import ensure_checkpoint_dir
+    """SRC-05/06, FLT-07: the code view written as one file per document, all in one folder, read back whole
+    (recursive listing, glob filter) and tokenised; a file's note names its document."""
     from locflow.sources.files import read_sources
-    base = ensure_checkpoint_dir(spark)
-    if not base:
-        raise RuntimeError("q_source_files writes its files under spark.checkpoint.dir; set it")
-    path = f"{base.rstrip('/')}/locflow-sources-{uuid.uuid4().hex}"
-    (FX.code_sources(spark, sf_dir).select("doc_id", "content").repartition("doc_id")
-        .write.partitionBy("doc_id").text(path))
+    path = _folder(spark, "sources")
+    cores = spark.sparkContext.defaultParallelism
+    (FX.code_sources(spark, sf_dir).select("content").repartition(cores)
+        .write.option("maxRecordsPerFile", 1).text(path))
     src = read_sources(spark, path, glob="*.txt")
-    doc_id = F.regexp_extract("path", r"doc_id=([0-9]+)", 1).cast("bigint")
+    doc_id = F.regexp_extract("content", r'// "note (-?[0-9]+)"', 1).cast("bigint")
     b = X.balance(src.withColumn("doc_id", doc_id))
     return b.select("doc_id", F.length("content").cast("bigint").alias("n_chars"), "n_tokens", "balanced")
 
 
-_PROP = ("'public static string ' || regexp_extract(l, " + O.q(CONST_LINE) + ", 1) || ' { get { return ' || "
-         + O.lookup("regexp_extract(l, " + O.q(CONST_LINE) + ", 1)") + " || '; } }'")
+def _folder(spark, name):
+    """A fresh folder under the session's shared checkpoint folder."""
+    base = ensure_checkpoint_dir(spark)
+    if not base:
+        raise RuntimeError(f"set spark.checkpoint.dir to a shared folder: the {name} files are written there")
+    return f"{base.rstrip('/')}/locflow-{name}-{uuid.uuid4().hex}"
+
+
+_PROP = ("'public static string ' || regexp_extract(l, " + O.q(O.CONST_LINE) + ", 1) || ' { get { return ' || "
+         + O.lookup("regexp_extract(l, " + O.q(O.CONST_LINE) + ", 1)") + " || '; } }'")
 
 
 @register("q_migrate_constants", f"""
 WITH {O.code_cte()},
 m AS (SELECT doc_id, string_split_regex(content, chr(10)) AS ls FROM code),
 n AS (SELECT doc_id, ls,
-             list_position(list_transform(ls, lambda l: regexp_matches(l, {O.q(CONST_LINE)})), true) AS first,
-             list_reverse(list_filter(list_transform(ls, lambda l: CASE WHEN regexp_matches(l, {O.q(CONST_LINE)})
+             list_position(list_transform(ls, lambda l: regexp_matches(l, {O.q(O.CONST_LINE)})), true) AS first,
+             list_reverse(list_filter(list_transform(ls, lambda l: CASE WHEN regexp_matches(l, {O.q(O.CONST_LINE)})
                                                                    THEN {_PROP} END),
                                       lambda x: x IS NOT NULL)) AS props
       FROM m)
 SELECT doc_id,
        CASE WHEN first IS NULL OR first = 0 THEN array_to_string(ls, chr(10))
             ELSE array_to_string(list_concat(ls[1:first - 1], [array_to_string(props, chr(10))],
-                                             list_filter(ls[first + 1:], lambda l: NOT regexp_matches(l, {O.q(CONST_LINE)}))),
+                                             list_filter(ls[first + 1:], lambda l: NOT regexp_matches(l, {O.q(O.CONST_LINE)}))),
                                  chr(10)) END AS content
 FROM n
 """)
 def q_migrate_constants(spark, sf_dir):
     """EXT-05: every code file with its constant declarations replaced by lookup properties at the first one."""
     return X.migrate_constants(FX.code_sources(spark, sf_dir)).select("doc_id", "content")
+
+
+@register("q_migrate_catalog", f"""
+WITH {O.code_cte()}, {O.doc_lines_cte()}, {_CONSTS},
+rows AS (SELECT code.lang, key, {O.unescape('value')} AS target, doc_id, line_no FROM consts JOIN code USING (doc_id)),
+r AS (SELECT * FROM rows WHERE NOT {O.blank('target')}),
+win AS (SELECT lang, key, arg_min(target, (doc_id, line_no)) AS target, arg_min(doc_id, (doc_id, line_no)) AS doc_id,
+               arg_min(line_no, (doc_id, line_no)) AS line_no FROM r GROUP BY lang, key),
+ex AS (SELECT DISTINCT lang, {O.pascal('text')} AS key FROM doc_texts WHERE doc_id IN (SELECT doc_id FROM labels))
+SELECT lang, key, target, doc_id, line_no FROM win ANTI JOIN ex USING (lang, key)
+""")
+def q_migrate_catalog(spark, sf_dir):
+    """EXT-05: the values of migrated constants as new catalog units under the constants' names."""
+    from locflow.plans.flows import migrate_catalog
+    _, inserted, _ = migrate_catalog(FX.code_sources(spark, sf_dir), _labelled_catalog(spark, sf_dir), ("doc_id",))
+    return inserted.select("lang", "key", "target", F.col("seq.doc_id").alias("doc_id"), F.col("seq.line_no").alias("line_no"))

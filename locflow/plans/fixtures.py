@@ -12,20 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locflow.functions import text as T
-from locflow.operators.classify import stoplist
 from locflow.sources.files import to_lines
 from locflow.sources.tables import table
 
-# Extra stoplist rows for web pages (markup left in script
-# strings, a class name, the page language tags).
-PAGE_STOP_EXTRA = (("markup", "</p>"), ("class", "ad"), ("lang", "en"), ("lang", "fr"),
-                   ("lang", "de"), ("lang", "es"))
-
 # The `code` view. Each document becomes a C#-like file: a
-# constant per line of its text (quotes and backslashes removed so every
-# line is one literal), then lines that exercise comments, escapes, verbatim
-# strings, bold markup and an existing lookup. Documents whose text holds a
-# digit also get a literal that never closes.
+# constant per line of its text (quotes and backslashes escaped), then lines
+# that exercise comments, escapes, verbatim, multi-line and interpolated
+# strings, bold markup, an existing lookup, and every rule and vocabulary of
+# the classifier. Documents whose text holds a digit also get a literal that
+# never closes.
 CODE_HEAD = ("namespace N {",)
 CODE_TAIL = (
     'var u = "http://x/{id}" + "y{id}"; // tail "c"',
@@ -33,6 +28,14 @@ CODE_TAIL = (
     'var v = @"c:\\d{id}\\";',
     'var w = "<b>Item {id}</b>";',
     'var r = RLData.en["K{id}_1"];',
+    'var m = @"First {id}\nsecond ""line"" of {id}";',
+    'var f = $"Hello {name} {id}";',
+    'var g = $@"Dir {name}\\{id}";',
+    'var s = "Tab\\there\\n\\u00e9\\x41\\U0001F600\\uD83D\\uDE00 \\\\ done\\0 {id} \\q\\uD800";',
+    'var b = "\\\\\\\\" + @"\\\\" + "\\\\x";',
+    'var n = "{id}.5" + "user_name{id}" + "*** --- ***" + "./up/{id}";',
+    'var h = "href" + "table" + ".css" + "hidden" + "report{id}.xml" + "f{id}.cs";',
+    'var k = "Saved.ok" + "Say \\"hi\\"" + "Label {id}:";',
 )
 CODE_OPEN = 'var z = "open'
 CODE_END = "}"
@@ -66,7 +69,8 @@ def code_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``code`` view: ``(doc_id, lang, path, content)``."""
     d = documents(spark, sf_dir)
     doc_id = F.col("doc_id")
-    clean = F.split(F.translate(F.col("text"), '"\\', ""), "\r?\n", -1)
+    text = F.replace(F.replace(F.col("text"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    clean = F.split(text, "\r?\n", -1)
     consts = F.array_join(F.transform(clean, lambda l, i: F.concat(
         F.lit("    public const string K"), doc_id.cast("string"), F.lit("_"), (i + 1).cast("string"),
         F.lit(' = "'), l, F.lit('";'))), "\n")
@@ -88,10 +92,6 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("page_lang", F.regexp_extract("html", '<html lang="([a-z]+)"', 1))
 
 
-def page_stoplist(spark: SparkSession) -> DataFrame:
-    return stoplist(spark, PAGE_STOP_EXTRA)
-
-
 def labelled_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``decisions(text, verdict)`` from ``labels`` (SRC-08 input).
 
@@ -115,3 +115,21 @@ def capture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured texts: every line of every conversation turn."""
     c = conversations(spark, sf_dir).select("conv_id", "turn", "text")
     return (to_lines(c, "text", keep=("conv_id", "turn"), line_col="captured"))
+
+
+def lookup_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(conv_id, turn, line_no, text)``: every line of every turn, and of every labelled document (turn -1)."""
+    turns = capture_lines(spark, sf_dir).filter(~T.is_blank("captured")).select(
+        "conv_id", F.col("turn").cast("bigint").alias("turn"), "line_no", F.col("captured").alias("text"))
+    labels = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    labelled = doc_texts(spark, sf_dir).join(labels, "doc_id", "left_semi").select(
+        F.col("doc_id").alias("conv_id"), F.lit(-1).cast("bigint").alias("turn"), "line_no", "text")
+    return turns.unionByName(labelled)
+
+
+def aligned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(conv_id, turn, role, text)`` for a memory: lines of the documents without a label, each before the next."""
+    labels = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    rest = doc_lines(spark, sf_dir).join(labels, "doc_id", "left_anti")
+    return rest.select(F.col("doc_id").alias("conv_id"), F.col("line_no").alias("turn"), F.lit("user").alias("role"),
+                       F.col("line").alias("text"))

@@ -1,19 +1,28 @@
-"""DuckDB SQL pieces that state the same rules as the Spark column functions.
+"""DuckDB SQL pieces of the twins, stated from the specification.
 
 The oracle is an independent statement of each query: the registered Spark
-job and its SQL twin must agree on row count, schema and values. Patterns
-are shared text (RE2 forms where Java needs possessive quantifiers), so a
-rule change shows up in both.
+job and its SQL twin must agree on row count, schema and values. Nothing of
+the engine is imported here; patterns, rule order, vocabularies and templates
+are written down once more, in RE2 and SQL terms.
 """
 
 from __future__ import annotations
 
-from locflow.functions.tokens import BOLD, CODE_TOKEN_RE2, CONST_LINE, EDGES, LOOKUP_PREFIXES, MARKUP_TOKEN_RE2, WS
-from locflow.functions.text import LOOKUP_TEMPLATE
-from locflow.operators.classify import RULES, STOPLIST_ROWS
-
-TOKENS = {"code": CODE_TOKEN_RE2, "markup": MARKUP_TOKEN_RE2}
+TOKENS = {"code": r'(?:\$@|@\$?)"[^"]*(?:""[^"]*)*"|\$?"[^"\\\n]*(?:\\.[^"\\\n]*)*"|//[^\n]*', "markup": r'"[^"]*"'}
 NL = "chr(10)"
+WS = r"[\p{Z}\t\n\x0B\f\r\x{85}]"
+EDGES = (r"^[^\p{L}\p{N}]{0,2}", r"[^\p{L}\p{N}]{0,2}\z")
+BOLD = r"(?s)^" + WS + r"*(<b>)(.*)(</b>)" + WS + r"*\z"
+CONST_LINE = r'const string\s+(\w+)\s*=[^"]*"(.*)"'
+LOOKUP = ("sess.i18n(XlfKeys.", ")")
+WRAPPERS = ("RLData.en[", "RLData.cs[")
+STOP = {
+    "tag": "a abbr b body br button div em footer form h1 h2 h3 head header html i img input label li link meta nav ol "
+           "option p script section select small span strong style table tbody td textarea th thead title tr u ul",
+    "attr": "alt charset class content href id lang name rel src style target title type value width height",
+    "value": "utf-8 text/css text/javascript stylesheet button submit hidden _blank",
+    "ext": ".aspx .cs .css .gif .htm .html .jpg .js .json .png .svg .txt .xlf .xml",
+}
 
 
 def q(s: str) -> str:
@@ -22,11 +31,12 @@ def q(s: str) -> str:
 
 
 def ws_trim(e: str) -> str:
-    return f"regexp_replace({e}, {q('^' + WS + '+|' + WS + '+$')}, '', 'g')"
+    blanks = [9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
+    return f"trim({e}, {' || '.join(f'chr({c})' for c in blanks)})"
 
 
 def blank(e: str) -> str:
-    return f"({e} IS NULL OR length({ws_trim(e)}) = 0)"
+    return f"({e} IS NULL OR NOT regexp_matches({e}, {q('[^' + WS[1:])}))"
 
 
 def newlines(e: str) -> str:
@@ -48,8 +58,7 @@ def carry_capital(src: str, tgt: str) -> str:
 
 
 def lookup(key: str) -> str:
-    head, tail = LOOKUP_TEMPLATE.split("{key}")
-    return f"({q(head)} || {key} || {q(tail)})"
+    return f"({q(LOOKUP[0])} || {key} || {q(LOOKUP[1])})"
 
 
 def const_decl(key: str) -> str:
@@ -64,7 +73,7 @@ def doc_lines_cte() -> str:
 
 
 def code_cte() -> str:
-    consts = ("array_to_string(list_transform(string_split_regex(translate(text, '\"\\', ''), '\\r?\\n'), "
+    consts = ("array_to_string(list_transform(string_split_regex(replace(replace(text, '\\', '\\\\'), '\"', '\\\"'), '\\r?\\n'), "
               "lambda l, i: '    public const string K' || doc_id || '_' || i || ' = \"' || l || '\";'), chr(10))")
     tail = [
         "'var u = \"http://x/' || doc_id || '\" + \"y' || doc_id || '\"; // tail \"c\"'",
@@ -72,6 +81,14 @@ def code_cte() -> str:
         "'var v = @\"c:\\d' || doc_id || '\\\";'",
         "'var w = \"<b>Item ' || doc_id || '</b>\";'",
         "'var r = RLData.en[\"K' || doc_id || '_1\"];'",
+        "'var m = @\"First ' || doc_id || chr(10) || 'second \"\"line\"\" of ' || doc_id || '\";'",
+        "'var f = $\"Hello {name} ' || doc_id || '\";'",
+        "'var g = $@\"Dir {name}\\' || doc_id || '\";'",
+        "'var s = \"Tab\\there\\n\\u00e9\\x41\\U0001F600\\uD83D\\uDE00 \\\\ done\\0 ' || doc_id || ' \\q\\uD800\";'",
+        "'var b = \"\\\\\\\\\" + @\"\\\\\" + \"\\\\x\";'",
+        "'var n = \"' || doc_id || '.5\" + \"user_name' || doc_id || '\" + \"*** --- ***\" + \"./up/' || doc_id || '\";'",
+        "'var h = \"href\" + \"table\" + \".css\" + \"hidden\" + \"report' || doc_id || '.xml\" + \"f' || doc_id || '.cs\";'",
+        "'var k = \"Saved.ok\" + \"Say \\\"hi\\\"\" + \"Label ' || doc_id || ':\";'",
     ]
     return ("code AS (SELECT doc_id, lang, 'src/' || source || '/f' || doc_id || '.cs' AS path, "
             "concat_ws(chr(10), 'namespace N {', '// \"note ' || doc_id || '\"', " + consts + ", "
@@ -91,7 +108,7 @@ def literals_cte(name: str, src: str, ids: list[str], text: str, profile: str, p
     """Tokens of ``src.text`` with ordinal, kind, text, wrapped[, offset, line_no]."""
     pat = q(TOKENS[profile])
     idl = ", ".join(ids)
-    wrapped = " OR ".join(f"ends_with(gap, {q(p)})" for p in LOOKUP_PREFIXES)
+    wrapped = " OR ".join(f"ends_with(gap, {q(p)})" for p in WRAPPERS)
     pos = ""
     win = ""
     if positions:
@@ -102,26 +119,35 @@ def literals_cte(name: str, src: str, ids: list[str], text: str, profile: str, p
             f"string_split_regex({text}, {pat}) AS gaps FROM {src}), "
             f"{name}_x AS (SELECT {idl}, CAST(generate_subscripts(toks, 1) - 1 AS BIGINT) AS ordinal, "
             f"unnest(toks) AS raw, unnest(gaps[1:len(toks)]) AS gap FROM {name}_t), "
-            f"{name}_k AS (SELECT *, CASE WHEN starts_with(raw, '@\"') THEN 'verbatim' "
-            f"WHEN starts_with(raw, '//') THEN 'comment' ELSE 'regular' END AS kind FROM {name}_x), "
+            f"{name}_k AS (SELECT *, CASE WHEN starts_with(raw, '//') THEN 'comment' "
+            f"WHEN contains(split_part(raw, '\"', 1), '$') THEN 'interpolated' "
+            f"WHEN starts_with(raw, '@') THEN 'verbatim' ELSE 'regular' END AS kind FROM {name}_x), "
             f"{name} AS (SELECT {idl}, ordinal, kind, raw, "
-            f"CASE WHEN kind = 'verbatim' THEN substr(raw, 3, length(raw) - 3) ELSE substr(raw, 2, length(raw) - 2) END AS text, "
+            f"CASE WHEN kind = 'comment' THEN substr(raw, 2, length(raw) - 2) "
+            f"ELSE substr(raw, strpos(raw, '\"') + 1, length(raw) - strpos(raw, '\"') - 1) END AS text, "
             f"({wrapped}) AS wrapped{pos} FROM {name}_k{win})")
 
 
-def stop_cte(extra=()) -> str:
-    rows = list(STOPLIST_ROWS) + list(extra)
-    values = ", ".join(f"({q(k)}, {q(t)})" for k, t in rows)
+def stop_cte() -> str:
+    values = ", ".join(f"({q(k)}, {q(t)})" for k, tokens in STOP.items() for t in tokens.split())
     return f"stop AS (SELECT token, min(kind) AS stop_kind FROM (VALUES {values}) v(kind, token) GROUP BY token)"
 
 
-def reason(text: str) -> str:
-    """Rule order of ``classify``; expects ``stop_kind`` from a left join to ``stop``."""
-    parts = [f"WHEN {blank(text)} THEN 'blank'",
-             "WHEN stop_kind IS NOT NULL THEN 'stop:' || stop_kind"]
-    for name, pattern in RULES:
-        parts.append(f"WHEN regexp_matches({text}, {q(pattern)}) THEN {q(name)}")
-    return "(CASE " + " ".join(parts) + " ELSE 'text' END)"
+def reason(text: str, first: str = "") -> str:
+    """Rules in order; expects ``stop_kind`` from a left join to ``stop``. ``first``: user rules behind blank."""
+    exts = "[" + ", ".join(map(q, STOP["ext"].split())) + "]"
+    m = lambda p, e=text: f"regexp_matches({e}, {q(p)})"
+    name = (f"({m(r'^[A-Za-z0-9_.-]+$')} AND NOT starts_with({text}, '.') AND NOT contains({text}, '..') "
+            f"AND list_contains({exts}, regexp_extract({text}, '[.][^.]*$')))")
+    drive = m(r"^(/|\./|\.\./|~/|[A-Za-z]:[\\/]|\\\\[A-Za-z0-9])")
+    parts = f"({m(r'[A-Za-z0-9_.-]\\[A-Za-z0-9_.-]')} AND NOT {m(chr(92).join(['[', 't', 'n', 'x0B', 'f', 'r ]']))})"
+    identifier = m(r"_|[a-z][A-Z]|[A-Za-z][0-9]", f"substr({text}, 2)")
+    return ("(CASE " + f"WHEN {blank(text)} THEN 'blank' " + first + " WHEN stop_kind IS NOT NULL THEN 'stop:' || stop_kind "
+            f"WHEN {m(r'^[A-Za-z][A-Za-z0-9+.-]*://')} THEN 'url' "
+            f"WHEN {drive} OR {parts} OR {name} THEN 'path' "
+            f"WHEN {m('[0-9]')} AND NOT {m(r'\p{L}')} THEN 'number' "
+            f"WHEN {m(r'^[A-Za-z_][A-Za-z0-9_]*$')} AND {identifier} THEN 'identifier' "
+            f"WHEN NOT {m(r'\p{L}')} THEN 'no_letter' ELSE 'text' END)")
 
 
 def edges(text: str) -> tuple[str, str, str]:
@@ -170,9 +196,28 @@ def detect_cte(name: str, src: str, ids: list[str], text: str) -> str:
             f"CAST(coalesce(b.hits, 0) AS BIGINT) AS hits FROM {src} s LEFT JOIN {name}_b b USING ({idl}))")
 
 
+_HEX4 = r"(?:[0-9A-CEFa-cef][0-9A-Fa-f]{3}|[Dd][0-7][0-9A-Fa-f]{2})"
+_PIECES = (r"(?s)\\u[Dd][89ABab][0-9A-Fa-f]{2}\\u[Dd][C-Fc-f][0-9A-Fa-f]{2}|\\u" + _HEX4
+           + r"|\\U00(?:0[1-9A-Fa-f]|10)[0-9A-Fa-f]{4}|\\U0000" + _HEX4 + r"|\\x(?:" + _HEX4 + r"|[0-9A-Fa-f]{1,3})|\\.|[^\\]+|\\")
+_LETTERS = {"\\": 92, '"': 34, "'": 39, "n": 10, "r": 13, "t": 9, "0": 0, "a": 7, "b": 8, "f": 12, "v": 11}
+
+
 def unescape(e: str) -> str:
-    return f"replace(replace({e}, '\\\"', '\"'), '\\\\', '\\')"
+    num = lambda x: f"('0x' || {x})::INT"
+    letters = " ".join(f"WHEN p = {q(chr(92) + k)} THEN chr({v})" for k, v in _LETTERS.items())
+    pair = f"chr(65536 + ({num('p[3:6]')} - 55296) * 1024 + {num('p[9:12]')} - 56320)"
+    one = (f"CASE WHEN NOT starts_with(p, '\\') THEN p {letters} WHEN length(p) = 12 THEN {pair} "
+           f"WHEN regexp_matches(p, {q(r'^\\[uxU][0-9A-Fa-f]')}) THEN chr({num('p[3:]')}) ELSE p END")
+    return f"array_to_string(list_transform(regexp_extract_all({e}, {q(_PIECES)}), lambda p: {one}), '')"
 
 
 def escape(e: str) -> str:
-    return f"replace(replace({e}, '\\', '\\\\'), '\"', '\\\"')"
+    for k, v in _LETTERS.items():
+        if k != "'":
+            e = f"replace({e}, chr({v}), {q(chr(92) + k)})"
+    return e
+
+
+def literal_value(kind: str, text: str) -> str:
+    return (f"(CASE WHEN {kind} = 'verbatim' THEN replace({text}, '\"\"', '\"') "
+            f"WHEN {kind} = 'regular' THEN {unescape(text)} ELSE {text} END)")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -22,6 +23,7 @@ JOB_DEFAULTS = {
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),    # a batch of very long texts stays small
     # Strings in this engine are compared ordinally (UTF8_BINARY); ANSI mode
     # stays as the session has it.
 }
@@ -80,27 +82,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def stage(df, name: str = "stage"):
-    """Cut lineage: reliably checkpoint ``df`` into the session's checkpoint folder.
+    """Cut lineage: write ``df`` as Parquet into the session's checkpoint folder and read it back.
 
-    For an intermediate that several sinks read (or a long chain), so a lost
-    executor recomputes from the checkpoint, not from the sources. Never a
-    local checkpoint.
+    For an intermediate that several branches or sinks read (or a long
+    chain), so a lost executor reads files again and not the sources. The
+    planner knows the written table's size in bytes, so it broadcasts it only
+    below the session's threshold. Never a local checkpoint.
     """
     spark = df.sparkSession
-    if not ensure_checkpoint_dir(spark):
+    base = ensure_checkpoint_dir(spark)
+    if not base:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before staging " + name)
-    return df.checkpoint(eager=True)
-
-
-BROADCAST_MAX_ROWS = 200_000
-
-
-def broadcast_if_small(df, max_rows: int = BROADCAST_MAX_ROWS):
-    """Broadcast ``df`` only after checking its size; beyond the limit AQE plans a shuffle join.
-
-    The check is one ``count`` of a side that callers expect to be small (a
-    vocabulary, a profile table); only the number reaches the driver.
-    """
-    from pyspark.sql import functions as F
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    path = f"{base.rstrip('/')}/locflow-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -10,39 +10,6 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-# Inputs up to this size are spread over all cores after the scan.
-SPREAD_MAX_BYTES = 1 << 30
-
-
-def spread_small_input(df: DataFrame, max_bytes: int = SPREAD_MAX_BYTES) -> DataFrame:
-    """Round-robin a small input over all cores; leave a large one as scanned.
-
-    A Parquet file written as one row group is read by one task, however
-    many cores there are, and every narrow stage after it (tokenising, keys)
-    then runs on that one task. Inputs at most ``max_bytes`` (Spark's size
-    estimate of the scan, from file sizes) are cheap to redistribute; larger
-    inputs arrive in many row groups and keep their splits, so a big input
-    never pays this shuffle.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # pragma: no cover - estimate unavailable
-        return df
-    if cores > 1 and size <= max_bytes:
-        return df.repartition(cores * 2)
-    return df
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    """One driver table; a folder of part files or a single ``<name>.parquet``."""
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return spread_small_input(df) if spread else df
-
-
-def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    """Temp views for SQL users, one per table present in ``sf_dir``."""
-    for n in names:
-        if os.path.exists(os.path.join(sf_dir, f"{n}.parquet")):
-            table(spark, sf_dir, n).createOrReplaceTempView(n)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One driver table; a folder of part files or a single ``<name>.parquet``, in the splits that it has."""
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

@@ -21,6 +21,16 @@ CATALOG_SCHEMA = ("lang string, key string, source string, target string, transl
                   "origin string, seq struct<ts:timestamp,event_id:bigint>")
 
 
+def _read_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The table at ``path``; None only where the path does not exist yet. Any other fault is raised."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def _existing(spark: SparkSession, path: str, batch_id: int, schema: str,
               base_path: str | None = None) -> DataFrame:
     """Catalog rows of earlier batches; empty before the first batch (any Hadoop file system).
@@ -31,18 +41,16 @@ def _existing(spark: SparkSession, path: str, batch_id: int, schema: str,
     upto = -1
     base = None
     if base_path:
-        try:
-            base = spark.read.schema(schema + ", upto bigint").parquet(base_path)
+        base = _read_or_none(spark, base_path, schema + ", upto bigint")
+        if base is not None:
             upto = base.agg(F.max("upto")).first()[0]  # one scalar
             upto = -1 if upto is None else int(upto)
             base = base.drop("upto")
-        except AnalysisException:
-            base = None
-    try:
-        df = spark.read.schema(schema + ", batch_id bigint").parquet(path)
-        df = df.filter((F.col("batch_id") < batch_id) & (F.col("batch_id") > upto)).drop("batch_id")
-    except AnalysisException:
+    df = _read_or_none(spark, path, schema + ", batch_id bigint")
+    if df is None:
         df = spark.createDataFrame([], schema)
+    else:
+        df = df.filter((F.col("batch_id") < batch_id) & (F.col("batch_id") > upto)).drop("batch_id")
     return df if base is None else base.unionByName(df)
 
 
@@ -67,19 +75,22 @@ def ingest_batch(batch: DataFrame, batch_id: int, catalog_path: str, conflicts_p
 def run_ingest(stream: DataFrame, catalog_path: str, conflicts_path: str, checkpoint: str,
                text_col: str = "text", lang_col: str = "lang", order_cols=("ts", "event_id"),
                watermark: tuple[str, str] | None = None, available_now: bool = True,
-               base_path: str | None = None):
+               base_path: str | None = None, prepare=None):
     """Start the ingest query; returns the ``StreamingQuery``.
 
     ``watermark=(ts_col, delay)`` thins repeated captures first with
     ``dropDuplicatesWithinWatermark`` on ``(lang, text)``; it drops captures
     older than the watermark, so it is off by default (see
-    ``numRowsDroppedByWatermark`` in the query progress when on).
+    ``numRowsDroppedByWatermark`` in the query progress when on). ``prepare`` is
+    applied to every micro-batch first.
     """
     s = stream
     if watermark:
         s = s.withWatermark(*watermark).dropDuplicatesWithinWatermark([lang_col, text_col])
 
     def handle(batch_df: DataFrame, batch_id: int) -> None:
+        if prepare is not None:
+            batch_df = prepare(batch_df)
         ingest_batch(batch_df, batch_id, catalog_path, conflicts_path, text_col, lang_col, order_cols,
                      base_path=base_path)
 
@@ -105,20 +116,25 @@ def compact_catalog(spark: SparkSession, catalog_path: str, base_path: str, upto
     snapshot to a new path and switch the stream to it; nothing is deleted.
     """
     rows = _existing(spark, catalog_path, upto + 1, schema, old_base)
-    (rows.withColumn("upto", F.lit(upto).cast("bigint")).repartition("lang")
+    (rows.withColumn("upto", F.lit(upto).cast("bigint")).repartition("lang", "key")
          .write.mode("overwrite").parquet(base_path))
 
 
-def run_captures(stream: DataFrame, known: DataFrame, catalog_path: str, conflicts_path: str,
+def run_captures(stream: DataFrame, known, catalog_path: str, conflicts_path: str,
                  checkpoint: str, lang: str = "en", text_col: str = "text",
                  order_cols=("ts", "event_id"), available_now: bool = True):
     """STM-01 + STM-02: clean captured texts, skip keys already known, insert the rest first-wins.
 
-    ``known`` is a static DataFrame of declared keys (re-read each
-    micro-batch by the stream-static anti join).
+    ``known`` gives the declared keys: a function of the session, called for
+    every micro-batch (so keys that were added to its files since count), or
+    a DataFrame, which keeps the file listing it was made with.
     """
     from locflow.streaming.captures import new_captures
-    fresh = new_captures(stream, known, text_col).select(
-        *order_cols, F.lit(lang).alias("lang"), F.col("cleaned").alias("text"))
-    return run_ingest(fresh, catalog_path, conflicts_path, checkpoint, "text", "lang", order_cols,
-                      available_now=available_now)
+
+    def fresh(batch: DataFrame) -> DataFrame:
+        keys = known(batch.sparkSession) if callable(known) else known
+        return new_captures(batch, keys, text_col).select(
+            *order_cols, F.lit(lang).alias("lang"), F.col("cleaned").alias("text"))
+
+    return run_ingest(stream, catalog_path, conflicts_path, checkpoint, "text", "lang", order_cols,
+                      available_now=available_now, prepare=fresh)

@@ -17,6 +17,11 @@ def test_decision_algebra(spark):
 
 
 def test_classify_rules(spark):
+    values = ["Hello\nWorld", 'Say "hi"', "Saved.ok", "a.b.json", "..png", "c:\\d", "dir\\file", "Dir \\ file", ".css",
+              "a1", "ab1", "1a", "x.y.z"]
+    df = spark.createDataFrame([(t,) for t in values], "text string")
+    assert [r.reason for r in K.classify(df, K.stoplist(spark)).collect()] == [
+        "text", "text", "text", "path", "text", "path", "path", "text", "stop:ext", "text", "identifier", "text", "text"]
     texts = ["", "utf-8", "http://x", "/de", "a.png", "12.5 %", "fooBar", "foo_bar", "###", "Hello world", "div"]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     got = [r.reason for r in K.classify(df, K.stoplist(spark)).collect()]
@@ -33,6 +38,9 @@ def test_upsert_golden(spark):
     ins, conf = C.upsert_catalog(cat, batch)
     assert [(r.lang, r.key, r.target) for r in ins.collect()] == [("cs", "K2", "a")]
     assert sorted((r.dropped, r.against) for r in conf.collect()) == [("b", "batch"), ("new", "catalog")]
+    # a unit without a target is present all the same
+    ins0, conf0 = C.upsert_catalog(spark.createDataFrame([("cs", "K2", "s", None, True, "x", (0,))], CAT), batch)
+    assert [r.key for r in ins0.collect()] == ["K1"]
     # upsert twice = once
     merged = cat.unionByName(ins)
     ins2, _ = C.upsert_catalog(merged, batch)

@@ -60,3 +60,34 @@ def test_cli_split_translate_constants(spark, tmp_dir):
     main(["migrate-constants", os.path.dirname(keys), out], spark=spark)
     mig = spark.read.parquet(os.path.join(out, "sources")).collect()[0].content
     assert "public static string Bye { get { return sess.i18n(XlfKeys.Bye); } }" in mig
+    back, _ = xliff.read_catalogs(spark, os.path.join(out, "catalog"), glob="part-*", lang_from="attribute")
+    assert [(r.lang, r.key, r.target) for r in back.collect()] == [("en", "Bye", "Bye")]
+
+
+def test_cli_translate_keeps_all_languages(spark, tmp_dir):
+    src, cats, _ = _setup(tmp_dir)
+    for tag in ("cs-CZ", "de-DE"):
+        with open(os.path.join(cats, f"app.{tag}.xlf"), "w") as f:
+            f.write(CATALOG.replace('target-language="cs-CZ"', f'target-language="{tag}"'))
+    out = os.path.join(tmp_dir, "out")
+    main(["translate", src, cats, out, "--lang", "de"], spark=spark)
+    back, _ = xliff.read_catalogs(spark, os.path.join(out, "catalog"), tags=("cs", "de", "en"), glob="part-*", lang_from="attribute")
+    rows = sorted((r.lang, r.key) for r in back.collect())
+    assert rows == [("cs", "Bye"), ("cs", "Hello"), ("de", "Bye"), ("de", "Hello"), ("de", "HelloWorld"), ("en", "Bye"), ("en", "Hello")]
+
+
+def test_cli_add_texts(spark, tmp_dir):
+    _, cats, keys = _setup(tmp_dir)
+    texts = os.path.join(tmp_dir, "texts.txt")
+    with open(texts, "w") as f:
+        f.write("New entry\n\nBye\nNew entry\n")
+    out = os.path.join(tmp_dir, "out")
+    main(["add-texts", texts, cats, keys, out, "--lang", "en"], spark=spark)
+    back, _ = xliff.read_catalogs(spark, os.path.join(out, "catalog"), glob="part-*", lang_from="attribute")
+    assert sorted((r.lang, r.key, r.target) for r in back.collect()) == [
+        ("en", "Bye", "Nashle"), ("en", "Hello", " Ahoj "), ("en", "NewEntry", "New entry")]
+    folder = os.path.join(out, "constants")
+    sub = [d for d in os.listdir(folder) if d.startswith("path=")][0]
+    lines = [l for p in sorted(os.listdir(os.path.join(folder, sub))) if p.startswith("part-")
+             for l in open(os.path.join(folder, sub, p)).read().splitlines()]
+    assert lines[1] == 'public const string NewEntry = "NewEntry";' and sum("Bye" in l for l in lines) == 1

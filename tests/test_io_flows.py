@@ -2,6 +2,8 @@
 
 import os
 
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from locflow.operators import catalog as C
@@ -77,9 +79,70 @@ def test_flow_c_add_texts(spark, tmp_dir):
     constants = spark.createDataFrame([("HelloWorld",)], "key string")
     ins, conf, new_consts = flows.add_texts(texts, catalog, constants, memory, profiles)
     rows = sorted((r.lang, r.key, r.target) for r in ins.collect())
-    assert rows == [("cs", "HelloWorld", "Ahoj svete"), ("cs", "Nashle", "Nashle"), ("en", "HelloWorld", "Hello world")]
+    assert rows == [("cs", "Nashle", "Nashle")]     # HelloWorld is a declared constant: known, not added
     assert conf.count() == 0
-    assert [r.key for r in new_consts.collect()] == ["Nashle"]
+    assert [(r.key, r.declaration) for r in new_consts.collect()] == [("Nashle", 'public const string Nashle = "Nashle";')]
+    none = spark.createDataFrame([], "key string")
+    ins, _, new_consts = flows.add_texts(texts, catalog, none, memory, profiles,
+                                         listing=spark.createDataFrame([("Nashle",)], "path string"))
+    rows = sorted((r.lang, r.key, r.target) for r in ins.collect())
+    assert rows == [("cs", "HelloWorld", "Ahoj svete"), ("en", "HelloWorld", "Hello world")]    # both rows, one key; no path
+    assert [r.key for r in new_consts.collect()] == ["HelloWorld"]
+
+
+LITERALS = r"""var a = @"First line
+second line kept";
+var b = $"Hello {name}";
+var c = $@"Dir {name}\x"; var d = @$"Dir {name}";
+var e = "Hello\nWorld";
+var f = "Say \"hi\"";
+var g = "Saved.ok";
+var h = @"C:\dir\file"; var i = "report.xml";
+"""
+
+
+def test_flow_a_loses_nothing(spark):
+    """Multi-line, escaped and interpolated literals: whatever is replaced has its whole value in the catalog."""
+    src = spark.createDataFrame([("one", "en", LITERALS)], "path string, lang string, content string")
+    empty = spark.createDataFrame([], "lang string, key string, source string, target string, translate boolean, "
+                                      "origin string, seq struct<path:string,ordinal:bigint>")
+    none = spark.createDataFrame([], "text string, verdict string")
+    rewritten, inserted, conflicts, rejected = flows.translate_files(src, K.stoplist(spark), none, empty)
+    rows = {r.key: r.target for r in inserted.collect()}
+    assert rows == {"FirstLine": "First line\nsecond line kept", "Hello": "Hello\nWorld", "SayHi": 'Say "hi"', "SavedOk": "Saved.ok"}
+    text = rewritten.first().rewritten
+    for k in rows:
+        assert f"= sess.i18n(XlfKeys.{k});" in text
+    for kept in ('$"Hello {name}"', '$@"Dir {name}\\x"', '@$"Dir {name}"', '@"C:\\dir\\file"', '"report.xml"'):
+        assert kept in text
+    assert sorted((r.ordinal, r.reason) for r in rejected.collect()) == [(1, "interpolated"), (2, "interpolated"), (3, "interpolated")]
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(st.sampled_from('aB é\\"\n{}$@/.:1_'), min_size=1, max_size=12), min_size=1, max_size=5))
+def test_every_replaced_value_is_in_the_catalog(spark, values):
+    """Property: literals written from values; each replaced one is found in the catalog or among the conflicts, whole."""
+    body = "".join('x = @"' + v.replace('"', '""') + '";\n' for v in values)
+    src = spark.createDataFrame([("one", "en", body)], "path string, lang string, content string")
+    empty = spark.createDataFrame([], "lang string, key string, source string, target string, translate boolean, "
+                                      "origin string, seq struct<path:string,ordinal:bigint>")
+    none = spark.createDataFrame([], "text string, verdict string")
+    rewritten, inserted, conflicts, _ = flows.translate_files(src, K.stoplist(spark), none, empty)
+    out = rewritten.first().rewritten
+    stored = {r.target for r in inserted.collect()} | {r.dropped for r in conflicts.collect()}
+    replaced = [v for v in values if 'x = @"' + v.replace('"', '""') + '";\n' not in out]
+    assert set(replaced) <= stored
+    assert out.count("sess.i18n(") == sum(1 for v in values if v in stored)
+
+
+def test_migrated_constants_reach_the_catalog(spark):
+    src = spark.createDataFrame([("k.cs", "en", 'class K {\n  public const string Hello = "He said \\"x\\"";\n}\n')],
+                                "path string, lang string, content string")
+    empty = spark.createDataFrame([], "lang string, key string, source string, target string, translate boolean, "
+                                      "origin string, seq struct<path:string,line_no:bigint>")
+    rewritten, inserted, _ = flows.migrate_catalog(src, empty)
+    assert [(r.lang, r.key, r.target) for r in inserted.collect()] == [("en", "Hello", 'He said "x"')]
+    assert "sess.i18n(XlfKeys.Hello)" in rewritten.first().content
 
 
 def test_write_declarations_sorted(spark, tmp_dir):

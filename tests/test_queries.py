@@ -10,7 +10,9 @@ from conftest import SF001
 from __spark_entry__ import entry, oracle_sql, queries
 from locflow.sources.tables import TABLES
 
-NAMES = sorted(queries())
+from locflow.plans.checks import ORACLE, QUERIES
+
+NAMES = sorted(QUERIES)     # the optional training-data queries have their own tests
 
 
 @pytest.fixture(scope="module")
@@ -36,7 +38,22 @@ def test_entry(spark):
 
 
 def test_every_query_has_oracle():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLE) == set(QUERIES)
+    assert set(QUERIES) <= set(queries()) and set(ORACLE) <= set(oracle_sql())
+
+
+def test_no_split_is_one_sided(spark):
+    """Each verdict, rule, vocabulary and side occurs in the registered results."""
+    values = lambda name, col: {r[0] for r in queries()[name](spark, SF001).select(col).distinct().collect()}
+    assert values("q_classify", "reason") == {"text", "url", "path", "number", "identifier", "no_letter", "stop:tag",
+                                              "stop:attr", "stop:value", "stop:ext"}
+    assert values("q_flagship", "translatable") == {True, False}
+    assert {"kept", "manual_no", "auto_no", "not_translatable"} <= values("q_decisions", "verdict")
+    assert values("q_path_guard", "is_path") == {True, False}
+    assert len(values("q_report", "to_translate")) > 1
+    assert values("q_translate_rejects", "reason") == {"unbalanced", "interpolated"}
+    for name in ("q_memory", "q_untranslated", "q_translate_inserted", "q_migrate_catalog", "q_add_texts"):
+        assert queries()[name](spark, SF001).limit(1).count() == 1, name
 
 
 @pytest.mark.parametrize("salted", [False, True], ids=["plain", "salted"])

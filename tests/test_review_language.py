@@ -25,14 +25,35 @@ def test_review_bucket_does_not_change_result(spark):
     ev = spark.read.parquet(f"{SF01}/events.parquet")
     acts = V.actions_from_events(ev)
     a = V.review_outcomes(acts).select("event_id", "outcome")
-    spark.conf.set("locflow.skew.hotRows", "20")  # every busy actor is cut into time slices
-    try:
-        b = V.review_outcomes(acts, slices=7).select("event_id", "outcome")
-        c = V.review_outcomes(acts, slices=64).select("event_id", "outcome")
-        assert a.count() == 5977 and a.exceptAll(b).count() == 0 and c.exceptAll(a).count() == 0
-        assert b.exceptAll(a).count() == 0
-    finally:
-        spark.conf.unset("locflow.skew.hotRows")
+    b = V.review_outcomes(acts, piece_seconds=86_400 * 7, burst_micros=3_600_000_000).select("event_id", "outcome")
+    c = V.review_outcomes(acts, piece_seconds=60, burst_micros=1).select("event_id", "outcome")
+    assert a.count() == 5977
+    for x in (b, c):
+        assert a.exceptAll(x).count() == 0 and x.exceptAll(a).count() == 0
+
+
+def test_review_burst_is_split_and_exact(spark):
+    """One actor, 20,000 events, all but one within ten minutes: many pieces, and the outcomes of a plain lag."""
+    t0 = dt.datetime(2024, 1, 1)
+    n = 20_000
+    acts = spark.range(n).select(
+        F.lit(1).cast("long").alias("actor"),
+        (F.lit(t0).cast("timestamp") + F.make_interval(secs=F.when(F.col("id") == 0, F.lit(-1e8)).otherwise(F.col("id") * 0.03))).alias("ts"),
+        F.col("id").alias("event_id"),
+        F.element_at(F.array(F.lit("propose"), F.lit("accept"), F.lit("decline"), F.lit("propose"), F.lit("propose")),
+                     (F.col("id") % 5 + 1).cast("int")).alias("action"))
+    prev = F.lag("action").over(Window.partitionBy("actor").orderBy("ts", "event_id"))
+    want = acts.select("event_id", V.outcome(prev, F.col("action")).alias("outcome"))
+    got = V.review_outcomes(acts)
+    assert got.count() == n and got.select("event_id", "outcome").exceptAll(want).count() == 0
+    micros = F.unix_micros("ts")
+    assert acts.select(F.floor(micros / V.BURST_MICROS)).distinct().count() > 50
+
+
+def test_review_nulls_are_kept(spark):
+    acts = spark.createDataFrame([(1, None, 1, "propose"), (None, dt.datetime(2024, 1, 1), 2, "accept")],
+                                 "actor long, ts timestamp, event_id long, action string")
+    assert sorted(r.outcome for r in V.review_outcomes(acts).collect()) == ["ignored", "opened"]
 
 
 def test_two_round_top_n_equals_direct(spark):

@@ -1,12 +1,9 @@
 """Hot keys: a third of all rows on one text / key / actor; results stay exact and the hot side is split."""
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from locflow.operators import catalog as C
 from locflow.operators import memory as M
-from locflow.operators import review as V
 
 SKEW_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -78,19 +75,35 @@ def test_keys_with_hot_key_exact(spark):
         _restore(spark, old)
 
 
-def test_review_hot_actor_over_buckets(spark):
-    t0 = dt.datetime(2024, 1, 1)
-    n = 20000
-    acts = (spark.range(n).select(
-        F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id") % 50 + 2).cast("long").alias("actor"),
-        (F.lit(t0).cast("timestamp") + F.make_interval(secs=F.col("id") * 37)).alias("ts"),
-        F.col("id").alias("event_id"),
-        F.element_at(F.array(F.lit("propose"), F.lit("accept"), F.lit("decline"), F.lit("propose")),
-                     (F.col("id") % 4 + 1).cast("int")).alias("action")))
-    plain = V.review_outcomes(acts).select("event_id", "outcome")  # nothing is hot at the default threshold
-    old = _with_conf(spark, {"locflow.skew.hotRows": "1000", "locflow.skew.salts": "16"})
+def test_long_hot_key_is_split(spark):
+    """Keys have no length limit: 20,000 rows of one 600-character key are spread like those of a short one."""
+    from locflow.operators.skew import salted_join
+    old = _with_conf(spark, {**SKEW_CONF, "locflow.skew.hotRows": "1000", "locflow.skew.salts": "8",
+                             "spark.sql.adaptive.coalescePartitions.enabled": "false"})
+    try:
+        for width in (100, 600):
+            big = spark.range(20_000).select("id", F.lit("k" * width).alias("text"))
+            small = spark.createDataFrame([("k" * width, 7)], "text string, v int")
+            out = salted_join(big, small, ["text"], "left")
+            assert out.filter("v = 7").count() == 20_000
+            assert out.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        _restore(spark, old)
+
+
+def test_heavy_key_is_hot_by_bytes(spark):
+    from locflow.operators import skew
+    counts = spark.createDataFrame([("x" * 3000, 100_000), ("y", 100_000)], "text string, n long")
+    hot = skew.hot_keys(counts, ["text"], "n")
+    assert hot.count() == 1     # 300 MB of text in one key, against 100 kB
+
+
+def test_core_variants_with_hot_core(spark):
+    from locflow.operators import extract as X
+    old = _with_conf(spark, {**SKEW_CONF, "locflow.skew.hotRows": "5", "locflow.skew.salts": "4"})
     try:
-        cut = V.review_outcomes(acts).select("event_id", "outcome")
-        assert cut.count() == n and cut.exceptAll(plain).count() == 0 and plain.exceptAll(cut).count() == 0
+        texts = spark.createDataFrame([(p + "Hello" + s,) for p in ("", "/", "(", "-/") for s in ("", ":", "!", "..")] * 20, "text string")
+        rows = X.core_variants(texts).collect()
+        assert len(rows) == 16 and {r.spellings for r in rows} == {16} and {r.uses for r in rows} == {20}
     finally:
         _restore(spark, old)

@@ -150,6 +150,57 @@ def test_capture_stream_skips_known_and_ingests(spark, tmp_dir):
     assert got.filter("target LIKE '%:%' OR target LIKE '%\"%'").count() == 0  # cleaned (STR-06)
 
 
+def test_captures_read_known_keys_per_batch(spark, tmp_dir):
+    """Known keys come from files that grow between batches; a key added after the start is known from then on."""
+    from locflow.streaming.ingest import run_captures
+    src, _ = _split_events(spark, tmp_dir, parts=2)
+    stream = (spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+              .select("ts", "event_id", F.concat(F.col("event_type"), F.lit(" "), F.col("event_id").cast("string")).alias("text")))
+    keys = os.path.join(tmp_dir, "keys")
+    spark.createDataFrame([("Nothing",)], "key string").write.parquet(keys)
+    calls = []
+
+    def known(session):
+        calls.append(1)
+        if len(calls) == 2:     # between the batches someone declares all views
+            ev = session.read.schema(EVENTS_SCHEMA).parquet(src).filter("event_type = 'view'")
+            ev.select(F.concat(F.lit("View"), F.col("event_id").cast("string")).alias("key")).write.mode("append").parquet(keys)
+        return session.read.parquet(keys)
+
+    cat, conf, ck = (os.path.join(tmp_dir, n) for n in ("catalog", "conflicts", "ck"))
+    run_captures(stream, known, cat, conf, ck).awaitTermination(300)
+    per = {r["batch_id"]: r["count"] for r in spark.read.parquet(cat).filter("key LIKE 'View%'").groupBy("batch_id").count().collect()}
+    assert len(calls) == 2 and per.get(0, 0) > 0 and per.get(1, 0) == 0
+
+
+def test_only_a_missing_path_reads_as_empty(spark, tmp_dir):
+    import pytest
+    from pyspark.errors import AnalysisException
+    from locflow.streaming.ingest import CATALOG_SCHEMA, _existing
+    assert _existing(spark, os.path.join(tmp_dir, "not there"), 3, CATALOG_SCHEMA).count() == 0
+    there = os.path.join(tmp_dir, "there")
+    spark.range(3).write.parquet(os.path.join(there, "batch_id=0"))
+    with pytest.raises(AnalysisException):      # any other fault is raised, not taken for an empty catalog
+        _existing(spark, there, 3, "lang string, lang string").count()
+
+
+def test_compaction_is_spread_by_key(spark, tmp_dir):
+    from locflow.streaming.ingest import CATALOG_SCHEMA, compact_catalog
+    cat, base = os.path.join(tmp_dir, "catalog"), os.path.join(tmp_dir, "base")
+    rows = spark.range(4000).selectExpr(
+        "'en' AS lang", "concat('K', id) AS key", "'s' AS source", "repeat('t', 200) AS target", "true AS translate", "'o' AS origin",
+        "struct(timestamp'2024-01-01' AS ts, id AS event_id) AS seq")
+    rows.write.parquet(os.path.join(cat, "batch_id=0"))
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        compact_catalog(spark, cat, base, upto=0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert sum(p.startswith("part-") for p in os.listdir(base)) > 1
+    assert spark.read.schema(CATALOG_SCHEMA).parquet(base).count() == 4000
+
+
 def test_ingest_with_compacted_snapshot(spark, tmp_dir):
     """Same stream, same checkpoint: two files, a snapshot of those batches, two more files read against it."""
     from locflow.streaming.ingest import compact_catalog

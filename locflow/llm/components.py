@@ -77,7 +77,7 @@ def components(links: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "links-least")
         large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                        .where("u <> v").distinct(), "links-large")
+                        .where("u <> v"), "links-large")
         least = written(large.groupBy("u").agg(F.min("v").alias("m")), "links-least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = written(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "links")

@@ -18,8 +18,14 @@ and the largest class of every bucket, and every member is compared to these
 two; links are confirmed on the full sets and joined to components. Only
 buckets that still hold members of different components are then searched
 whole, in blocks of rows, for pairs across components within the distance,
-each pair found in the first of its common buckets only. So copies of copies
-cost one comparison each, and no link is lost.
+each pair looked at in the first of its common buckets only. There the
+members bring their sets with every hash cut to 16 bits (32 for large sets);
+equal sets stay equal when cut, so what two cut sets have in common is never
+less than what the sets have, and a pair whose cut sets stay below the
+threshold is no link. Of pairs clearly above it only a spanning forest is
+passed on, of pairs near it every one, and these are confirmed like the
+others. So no link is lost, and what leaves a bucket is in proportion to its
+members.
 
 Defined cases: null and empty texts, and texts of white space, have an empty
 set and link with nothing; a text with fewer words than a shingle has the
@@ -38,14 +44,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locflow.llm.components import components
+from locflow.llm.components import Union, components
 from locflow.llm.shared import pieces, written
 
 SYMBOLS, CHUNKS, DISTANCE = 64, 15, 29
 BLOCK_CHARS = 1 << 20
 BLOCK_ROWS = 512            # rows of one bucket that are compared to one another at a time
 CACHE_WORDS = 500_000
-SET_ROWS = 1 << 14          # shingles handled at a time while signing
+SET_ROWS = 1 << 11          # shingles handled at a time while signing
+NARROW = 2048               # largest set whose hashes are cut to 16 bits; chance adds under 3 % of it to a comparison
+CLEAR = 0.04                # similarity above the threshold at which a comparison of cut sets is taken as a link
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD,
                 0xC4CEB9FE1A85EC53, 0x2127599BF4325C37, 0x880355F21E6D1965], dtype=np.uint64)
@@ -64,7 +72,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 SLOPE = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * ODD[0]) | np.uint64(1)
 SHIFT = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * ODD[1])
+SLOPE_32, SHIFT_32 = SLOPE.astype(np.uint32), SHIFT.astype(np.uint32)
 CHUNK_OF = np.array([k * CHUNKS // SYMBOLS for k in range(SYMBOLS)])
+CHUNK_START = np.flatnonzero(np.r_[True, CHUNK_OF[1:] != CHUNK_OF[:-1]])
 
 
 class Words(dict):
@@ -105,10 +115,31 @@ def class_of(found: np.ndarray) -> int | None:
 
 def sign(found: np.ndarray) -> bytes:
     """The signature: for each symbol 16 bits of the smallest value of the set under one hash function."""
-    least = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(found), SET_ROWS):
-        least = np.minimum(least, (found[k:k + SET_ROWS, None] * SLOPE + SHIFT).min(axis=0))
-    return (mix(least) & np.uint64(0xFFFF)).astype("<u2").tobytes()
+    least = np.full(SYMBOLS, np.iinfo(np.uint32).max, np.uint32)
+    short = (found >> np.uint64(32)).astype(np.uint32)
+    for k in range(0, len(short), SET_ROWS):
+        least = np.minimum(least, (short[k:k + SET_ROWS, None] * SLOPE_32 + SHIFT_32).min(axis=0))
+    return (mix(least.astype(np.uint64)) & np.uint64(0xFFFF)).astype("<u2").tobytes()
+
+
+def cut_set(found: np.ndarray) -> bytes:
+    """The set with its hashes cut short, sorted; repeated values are kept."""
+    kind = "<u2" if len(found) <= NARROW else "<u4"
+    return np.sort(found.astype(kind)).tobytes()
+
+
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted multisets."""
+    if not len(a) or not len(b):
+        return 0
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    if (a[1:] != a[:-1]).all() and (b[1:] != b[:-1]).all():
+        return int((both[1:] == both[:-1]).sum())
+    values, n_a = np.unique(a, return_counts=True)
+    others, n_b = np.unique(b, return_counts=True)
+    _, i, j = np.intersect1d(values, others, assume_unique=True, return_indices=True)
+    return int(np.minimum(n_a[i], n_b[j]).sum())
 
 
 def sketches(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -147,16 +178,18 @@ def bucket_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def filed(classes: DataFrame) -> DataFrame:
-    """``bucket, id``: each class under its keys."""
+    """``bucket, place, id``: each class under its keys; ``place`` is the symbol that the key leaves out."""
     def run(batches):
+        places = np.arange(SYMBOLS, dtype=np.int8)
         for batch in batches:
             if batch.num_rows:
                 ids = np.asarray(batch.column("id"), dtype=np.int64)
                 keys = bucket_keys(signature_rows(batch.column("signature")))
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(keys.ravel()),
+                                                  "place": pa.array(np.tile(places, len(ids))),
                                                   "id": pa.array(np.repeat(ids, SYMBOLS))})
 
-    return classes.select("id", "signature").mapInArrow(run, "bucket bigint, id bigint")
+    return classes.select("id", "signature").mapInArrow(run, "bucket bigint, place tinyint, id bigint")
 
 
 def within(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -196,49 +229,87 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def across(members: DataFrame) -> DataFrame:
-    """Pairs of one bucket in different components and within the distance; each from its first common bucket.
-
-    ``members``: ``bucket, id, component, signature``. A bucket is dealt over
-    blocks of about ``BLOCK_ROWS`` rows, and each pair of blocks is compared in one place.
+def cut_sets(texts: DataFrame, width: int) -> DataFrame:
+    """``id, cut``: the cut set of each text."""
+    def run(batches):
+        for batch in batches:
+            cut = [cut_set(shingles(t.as_py(), width)) for t in batch.column("text")]
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "cut": pa.array(cut, pa.binary())})
+
+    return texts.mapInArrow(run, "id bigint, cut binary")
+
+
+def pairs_of(table: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Pairs of one block of a bucket that are links or may be: across components, within the distance."""
+    own, i, j = (np.asarray(table.column(c)) for c in ("own", "i", "j"))
+    place = int(table.column("place")[0].as_py())
+    ids, component = np.asarray(table.column("id")), np.asarray(table.column("component"))
+    size = np.asarray(table.column("n_shingles"))
+    sig = signature_rows(table.column("signature"))
+    same = i[0] == j[0]
+    left = np.flatnonzero(own == i[0])
+    right = left if same else np.flatnonzero(own == j[0])
+    near: list[np.ndarray] = []
+    for x in left:
+        y = right[right > x] if same else right
+        y = y[component[y] != component[x]]
+        y = y[np.minimum(size[y], size[x]) * 100 >= np.maximum(size[y], size[x]) * percent]
+        if not len(y):
+            continue
+        differs = sig[y] != sig[x]
+        far = differs.sum(axis=1)
+        close = far <= DISTANCE
+        y, differs = y[close], differs[close]
+        if len(y):      # the pair's first bucket: of the first chunk with at most one difference, that symbol left out
+            chunk = (np.add.reduceat(differs, CHUNK_START, axis=1) <= 1).argmax(axis=1)
+            inside = differs & (CHUNK_OF == chunk[:, None])
+            first = np.where(inside.any(axis=1), inside.argmax(axis=1), CHUNK_START[chunk])
+            here = first == place
+            near.append(np.stack([far[close][here], np.full(here.sum(), x), y[here]]))
+    if not near:
+        return []
+    far, xs, ys = np.concatenate(near, axis=1)
+    cuts = table.column("cut")
+    sets: dict[int, np.ndarray] = {}
+
+    def cut(k):
+        if k not in sets:
+            sets[k] = np.frombuffer(cuts[k].as_py(), "<u2" if size[k] <= NARROW else "<u4")
+        return sets[k]
+
+    clear, out = Union(), []
+    for k in np.argsort(far, kind="stable"):        # nearest first, so that most others are joined already
+        x, y = int(xs[k]), int(ys[k])
+        if clear.root(int(component[x])) == clear.root(int(component[y])):
+            continue
+        a, b = cut(x), cut(y)
+        if a.dtype != b.dtype:
+            a, b = np.sort(a.astype("<u2")), np.sort(b.astype("<u2"))
+        n = common(a, b)
+        total = len(a) + len(b) - n
+        if 100 * n >= percent * total:
+            out.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))))
+            if n >= (percent / 100 + CLEAR) * total:
+                clear.join(int(component[x]), int(component[y]))
+    return out
+
+
+def across(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a < b`` of one bucket but different components that have to be confirmed; see ``pairs_of``.
+
+    ``members``: ``bucket, place, id, component, signature, n_shingles, cut``. A bucket is dealt
+    over blocks of about ``BLOCK_ROWS`` rows, and each pair of blocks is compared in one place.
     """
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
     blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
     rows = members.join(sizes, "bucket").select(
         "*", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"))
-    rows = rows.select("bucket", "id", "component", "signature", "own",
+    rows = rows.select("bucket", "place", "id", "component", "signature", "n_shingles", "cut", "own",
                        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
-        "id", "component", "signature")
+        "place", "id", "component", "signature", "n_shingles", "cut")
     dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
-    def pairs_of(table):
-        own, i, j = (np.asarray(table.column(c)) for c in ("own", "i", "j"))
-        ids, component = np.asarray(table.column("id")), np.asarray(table.column("component"))
-        sig = signature_rows(table.column("signature"))
-        left = np.flatnonzero(own == i[0])
-        right = left if i[0] == j[0] else np.flatnonzero(own == j[0])
-        out = []
-        for x in left:
-            y = right[component[right] != component[x]]
-            if i[0] == j[0]:
-                y = y[y > x]
-            if not len(y):
-                continue
-            differs = sig[y] != sig[x]
-            y, differs = y[differs.sum(axis=1) <= DISTANCE], differs[differs.sum(axis=1) <= DISTANCE]
-            if not len(y):
-                continue
-            # first chunk with at most one difference: the bucket of the pair
-            per_chunk = np.add.reduceat(differs, np.flatnonzero(np.r_[True, CHUNK_OF[1:] != CHUNK_OF[:-1]]), axis=1)
-            chunk = (per_chunk <= 1).argmax(axis=1)
-            first = np.array([int((np.flatnonzero(CHUNK_OF == c)[0]) if not d[CHUNK_OF == c].any()
-                                  else np.flatnonzero(d & (CHUNK_OF == c))[0]) for c, d in zip(chunk, differs)])
-            here = bucket_keys(sig[x:x + 1])[0][first] == table.column("bucket")[0].as_py()
-            for z in y[here]:
-                out.append((min(ids[x], ids[z]), max(ids[x], ids[z])))
-        return out
-
     def emit(found):
         rows = np.array(found, dtype=np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_pydict({"a": pa.array(rows[:, 0]), "b": pa.array(rows[:, 1])})
@@ -255,11 +326,11 @@ def across(members: DataFrame) -> DataFrame:
             found = []
             for s, e in zip(starts[:-1], starts[1:]):
                 if e - s > 1:
-                    found += pairs_of(table.slice(s, e - s))
+                    found += pairs_of(table.slice(s, e - s), percent)
             rest = table.slice(starts[-1])
             yield emit(found)
         if rest is not None and rest.num_rows > 1:
-            yield emit(pairs_of(rest))
+            yield emit(pairs_of(rest, percent))
 
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
@@ -305,10 +376,12 @@ def near_groups(df: DataFrame, width: int = 4, percent: int = 80, id_col: str =
 
     # what the stars left apart: members of other components in one bucket
     placed = crowded.where("id <> low and id <> high").join(joined, "id", "left").select(
-        "bucket", "id", F.coalesce("component", "id").alias("component"))
+        "bucket", "place", "id", F.coalesce("component", "id").alias("component"))
     apart = placed.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
-    rest = placed.join(written(apart, "near-apart").select("bucket"), "bucket").join(classes.select("id", "signature"), "id")
-    more = written(within(across(rest), classes, percent), "near-across")
+    rest = written(placed.join(written(apart, "near-apart").select("bucket"), "bucket"), "near-rest")
+    cut = written(cut_sets(texts.join(rest.select("id").distinct(), "id", "left_semi"), width), "near-cut")
+    rest = rest.join(cut, "id").join(classes.select("id", "signature", "n_shingles"), "id")
+    more = written(across(rest, percent).distinct(), "near-across")
     more = written(confirmed(more, texts, width, percent), "near-links")
     joined = written(components(links.unionByName(more)), "near-components")
 

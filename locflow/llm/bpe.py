@@ -20,6 +20,7 @@ other columns of the input are not read, whatever their names.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from functools import lru_cache
@@ -33,7 +34,7 @@ from locflow.llm.shared import pieces
 
 BLOCK_CHARS = 1 << 20       # characters of text handled at a time
 BLOCK_WORDS = 200_000       # words of one long text handled at a time
-CACHE_WORDS = 300_000       # words whose ids a worker remembers
+CACHE_WORDS = 800_000       # words whose ids a worker remembers, some 250 bytes each
 
 # The split pattern of byte-level BPE vocabularies of this family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -76,18 +77,15 @@ class Vocabulary:
             self.merges[pair] = rank
             if whole not in self.rank:
                 self.rank[whole], self.parts[whole] = rank, pair
-        # tokens by their bytes read backwards, as a table (state, byte) → state
-        self.back: dict[int, int] = {}
-        self.ends: list[int] = [-1]
+        # tokens by their bytes read backwards: byte → (further bytes, token that ends the walk here or -1)
+        self.back: dict = {}
         for b, i in self.ids.items():
-            state = 0
-            for c in reversed(b):
-                nxt = self.back.get(state << 8 | c)
-                if nxt is None:
-                    nxt = self.back[state << 8 | c] = len(self.ends)
-                    self.ends.append(-1)
-                state = nxt
-            self.ends[state] = i
+            level = self.back
+            for c in b[:0:-1]:
+                level = level.setdefault(c, [{}, -1])[0]
+            level.setdefault(b[0], [{}, -1])[1] = i
+        self.size = {i: len(b) for i, b in self.bytes.items()}
+        self.word = {i: i.to_bytes(4, "little") for i in self.bytes}
         self.memo: dict[int, bool] = {}
         self.words = regex.compile(PATTERN)
         self.library = Tokenizer.from_file(path).pre_tokenizer
@@ -128,52 +126,61 @@ class Vocabulary:
 
     def encode_words(self, words) -> dict[str, bytes]:
         """Ids (little-endian 32 bit) of each distinct word, by one walk over the trie of all words."""
+        collects = gc.isenabled()
+        gc.disable()        # the trie is a tree: looking for cycles among its nodes costs as much as the walk
+        try:
+            return self._walk(words)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _walk(self, words) -> dict[str, bytes]:
         root: dict = {}
         for w in words:
             node = root
             for c in w.encode():
-                nxt = node.get(c)
-                if nxt is None:
-                    nxt = node[c] = {}
-                node = nxt
+                if c in node:
+                    node = node[c]
+                else:
+                    node[c] = node = {}
             node[-1] = w
         found: dict[str, bytes] = {}
-        back, ends, fits, size = self.back, self.ends, self.fits, {i: len(b) for i, b in self.bytes.items()}
-        path = bytearray()
-        last = [-1]                     # last token of the prefix of each length on the path
-        stack = [(0, 0, root)]          # depth, byte, node
+        back, fits, known, size, word = self.back, self.fits, self.memo.get, self.size, self.word
+        path: list[int] = []
+        last: list[int] = []            # last token of the prefix that ends with each byte of the path
+        stack = [(0, c, child) for c, child in root.items() if c != -1]
+        if -1 in root:
+            found[root[-1]] = b""
         while stack:
             depth, byte, node = stack.pop()
-            if depth:
-                del path[depth - 1:]
-                del last[depth:]
-                path.append(byte)
-                state, at = 0, depth
-                token = -1
-                while at:
-                    at -= 1
-                    state = back.get(state << 8 | path[at])
-                    if state is None:
-                        break
-                    t = ends[state]
-                    if t >= 0:
-                        before = last[at]
-                        if at == 0 or fits(before, t):
-                            token = t
-                            break
-                if token < 0:
+            del path[depth:], last[depth:]
+            path.append(byte)
+            level, at = back, depth
+            while True:
+                if at < 0 or (step := level.get(path[at])) is None:
                     raise ValueError("a byte without a token")
-                last.append(token)
-                if -1 in node:
+                level, token = step
+                if token >= 0:
+                    if at == 0:
+                        break
+                    before = last[at - 1]
+                    good = known(before << 20 | token)
+                    if good or (good is None and fits(before, token)):
+                        break
+                at -= 1
+            last.append(token)
+            depth += 1
+            for c, child in node.items():
+                if c != -1:
+                    stack.append((depth, c, child))
+                else:
                     ids, at = [], depth
                     while at:
-                        ids.append(last[at])
-                        at -= size[last[at]]
+                        token = last[at - 1]
+                        ids.append(word[token])
+                        at -= size[token]
                     ids.reverse()
-                    found[node[-1]] = b"".join(i.to_bytes(4, "little") for i in ids)
-            for c, child in node.items():
-                if c != -1:
-                    stack.append((depth + 1, c, child))
+                    found[child] = b"".join(ids)
         return found
 
     def blocks(self, text: str):

@@ -10,9 +10,10 @@ The order is by size class (eight classes per doubling), then by a hash
 bucket of the id, then by size, id and text hash, so every size is drawn at the same
 rate and the taken words come near the target. The prefix sum is made in
 three levels, none of which holds an unbounded group: positions inside one
-(source, class, bucket), counts over the ``BUCKETS`` buckets of a class, and
-counts over the classes of a source (some 500 at most). A source with a third
-of all rows is thus dealt over thousands of groups.
+(source, class, bucket), counts over the 256 buckets of one sixteenth of a
+class, and counts over the sixteenths of a source's classes (some 8,000 at
+most). A source with a third of all rows is thus dealt over thousands of
+groups.
 
 Defined cases: a null or empty text has size 0 (it may be drawn; it takes no
 words); a null source is a source of its own, last in order; a null id is
@@ -34,7 +35,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2
 SEED = "mix"
-BUCKETS = 4096              # three hex digits of an id's MD5
+BUCKET_DIGITS = 3           # hex digits of an id's MD5: 4,096 buckets; the first digit is the sixteenth
 
 SOURCE = ["s_null", "s_name"]
 GROUP = [*SOURCE, "class", "bucket"]
@@ -53,7 +54,7 @@ def sized(df: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str
         "row", "size", "id_text", "tie", *SOURCE,
         (bits * 16 + F.call_function("shiftright", F.col("size"), F.greatest(bits - 4, F.lit(0))))
         .cast("bigint").alias("class"),
-        F.substring(F.md5("id_text"), 1, 3).alias("bucket"))
+        F.substring(F.md5("id_text"), 1, BUCKET_DIGITS).alias("bucket"))
 
 
 def offset(name: Column, seed: str) -> Column:
@@ -92,14 +93,14 @@ def draw(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
     """``sized`` rows with ``source_size``, ``target`` and ``copies`` (0 to ``cap``)."""
     counts = written(rows.groupBy(*GROUP).agg(F.count("*").alias("n"), F.sum("size").alias("words")), "mix-counts")
     plan = written(targets(counts, weights, share, cap, seed), "mix-targets")
-    by_class = counts.groupBy(*SOURCE, "class").agg(F.sum("n").alias("n"))
-    earlier = (Window.unboundedPreceding, -1)
-    classes = by_class.select(*SOURCE, "class", F.coalesce(F.sum("n").over(
-        Window.partitionBy(*SOURCE).orderBy("class").rowsBetween(*earlier)), F.lit(0)).alias("classes_before"))
-    buckets = counts.select(*GROUP, F.coalesce(F.sum("n").over(
-        Window.partitionBy(*SOURCE, "class").orderBy("bucket").rowsBetween(*earlier)), F.lit(0)).alias("buckets_before"))
-    starts = buckets.join(classes, [*SOURCE, "class"]).select(
-        *GROUP, (F.col("classes_before") + F.col("buckets_before")).alias("before"))
+    counts = counts.withColumn("part", F.substring("bucket", 1, 1))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = counts.groupBy(*SOURCE, "class", "part").agg(F.sum("n").alias("n"))
+    parts = parts.select(*SOURCE, "class", "part", before(Window.partitionBy(*SOURCE).orderBy("class", "part")).alias("parts_before"))
+    buckets = counts.select(*GROUP, "part", before(
+        Window.partitionBy(*SOURCE, "class", "part").orderBy("bucket")).alias("buckets_before"))
+    starts = buckets.join(parts, [*SOURCE, "class", "part"]).select(
+        *GROUP, (F.col("parts_before") + F.col("buckets_before")).alias("before"))
     inside = F.row_number().over(Window.partitionBy(*GROUP).orderBy("size", "id_text", "tie"))
     placed = rows.withColumn("inside", inside).join(starts, GROUP).join(plan, SOURCE)
     k = F.col("before") + F.col("inside")

@@ -14,8 +14,8 @@ ids and labels (two numbers a row) are broadcast to the documents.
 Defined cases: a null or empty text has statistics of 0 and a score like any
 other; a null id is not held out; repeated labels of one id count as the
 lowest; labels that are null are not learnt from; where one of the two
-labels is missing, every score is the share of label 1 (1 without any
-label), so nothing is rejected without evidence; an empty table gives no
+labels is missing or no statistic parts them, every score is the share of
+label 1 (1 without any label); an empty table gives no
 rows; the caller's columns travel inside a struct, so no name can clash.
 """
 
@@ -123,8 +123,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     chosen = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
     rows = written(statistics(chosen, [F.col("doc_id"), F.col("label").cast("double").alias("label")]), "quality-sample")
     seen = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    share = seen.get(1.0, 0) / sum(seen.values()) if seen else 1.0
     if len(seen) < 2:
-        return Model(0.0, (), seen.get(1.0, 0) / max(sum(seen.values()), 1) if seen else 1.0)
+        return Model(0.0, (), share)
     rows = rows.repartition(1).sortWithinPartitions("doc_id", "label", "s")    # bounded; makes the fit repeatable
     stats = VectorAssembler(inputCols=[f"f_{n}" for n in STATISTICS], outputCol="features")
     flat = stats.transform(rows.select("label", *(F.col(f"s.{n}").alias(f"f_{n}") for n in STATISTICS))).cache()
@@ -132,6 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
                                     featureSubsetStrategy="0.5", subsamplingRate=0.7).fit(flat.select("features", "label"))
     flat.unpersist()
     conjunctions = paths(forest.toDebugString)
+    if not conjunctions:        # too few rows to part them by anything
+        return Model(0.0, (), share)
     rules = VectorAssembler(inputCols=[f"r{k}" for k in range(len(conjunctions))], outputCol="features")
     hits = rules.transform(rows.select("label", *(holds(b).cast("double").alias(f"r{k}") for k, b in enumerate(conjunctions))))
     hits = hits.select("features", "label").cache()

@@ -194,6 +194,34 @@ def edges(c) -> Column:
     return F.struct(prefix.alias("prefix"), core.alias("core"), suffix.alias("suffix"))
 
 
+def split_value(c) -> Column:
+    """A value as ``struct(prefix, core, suffix)``: bold tags and edge characters off the core (EXT-06, EXT-07).
+
+    ``prefix || core || suffix`` is the value. A value whose core would be
+    blank stays whole.
+    """
+    c = col(c)
+    bold = c.rlike(BOLD)
+    before = F.when(bold, F.substring(c, F.lit(1), F.instr(c, "<b>") + 2)).otherwise(F.lit(""))
+    inside = F.when(bold, F.regexp_extract(c, BOLD, 2)).otherwise(c)
+    after = c.substr(F.length(before) + F.length(inside) + 1, F.length(c))
+    e = edges(inside)
+    whole = is_blank(e["core"])
+    empty = F.lit("")
+    return F.struct(F.when(whole, empty).otherwise(F.concat(before, e["prefix"])).alias("prefix"),
+                    F.when(whole, c).otherwise(e["core"]).alias("core"),
+                    F.when(whole, empty).otherwise(F.concat(e["suffix"], after)).alias("suffix"))
+
+
+def split_lookup(key, prefix, suffix, template: str = LOOKUP_TEMPLATE) -> Column:
+    """The lookup of a core between what was split off, as literals of their own."""
+    prefix, suffix = col(prefix), col(suffix)
+    head = F.when(prefix != "", F.concat(wrap_quotes(escape_text(prefix)), F.lit(" + "))).otherwise(F.lit(""))
+    tail = F.when(suffix != "", F.concat(F.lit(" + "), wrap_quotes(escape_text(suffix)))).otherwise(F.lit(""))
+    lookup = lookup_expr(key, template)
+    return F.when((prefix == "") & (suffix == ""), lookup).otherwise(F.concat(F.lit("("), head, lookup, tail, F.lit(")")))
+
+
 def bold_parts(c) -> Column:
     """``<b>x</b>`` (edge blanks allowed) to ``struct(open, core, close)``; null when not bold (EXT-06)."""
     c = col(c)

@@ -151,6 +151,11 @@ def split_edges(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumn("_e", e).select("*", "_e.prefix", "_e.core", "_e.suffix").drop("_e")
 
 
+def split_values(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Add ``prefix``, ``core``, ``suffix`` of bold and edge split together (EXT-06, EXT-07), narrow."""
+    return df.select("*", F.inline(F.array(T.split_value(text_col))))
+
+
 def core_variants(df: DataFrame, text_col: str = "text") -> DataFrame:
     """One row per ``(core, spelling)`` with uses and the number of spellings of the core.
 

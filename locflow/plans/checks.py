@@ -604,7 +604,8 @@ _FLOW_BASE = (f"{O.code_cte()}, {CODE_LITS}, "
               "WHERE kind IN ('regular', 'verbatim') AND NOT wrapped AND doc_id IN (SELECT doc_id FROM bal)), "
               f"cand AS (SELECT * FROM val WHERE NOT {O.blank('text')}), "
               f"{DOC_STOP}, "
-              f"cls AS (SELECT c.*, {O.reason('c.text')} = 'text' AS translatable FROM cand c LEFT JOIN stop s ON c.text = s.token)")
+              f"cls0 AS (SELECT c.*, {O.reason('c.text')} = 'text' AS translatable FROM cand c LEFT JOIN stop s ON c.text = s.token), "
+              f"{O.split_cte('cls', 'cls0')}")
 
 
 @register("q_split_files", f"""
@@ -614,7 +615,7 @@ per AS (SELECT doc_id,
           count(DISTINCT text) FILTER (WHERE NOT translatable) AS n_not,
           list_sort(list_distinct(list(text) FILTER (WHERE translatable))) AS yes,
           list_sort(list_distinct(list(text) FILTER (WHERE NOT translatable))) AS no
-        FROM (SELECT doc_id, split_part(text, chr(10), 1) AS text, translatable FROM cls) GROUP BY doc_id),
+        FROM (SELECT doc_id, split_part(CASE WHEN translatable THEN core ELSE text END, chr(10), 1) AS text, translatable FROM cls) GROUP BY doc_id),
 st AS (SELECT doc_id, path, doc_id NOT IN (SELECT doc_id FROM bal) AS rej FROM code)
 SELECT st.doc_id, regexp_replace(regexp_replace(regexp_extract(path, '([^/\\\\]*)$', 1), '\\.[^.]*$', ''), '2+$', '') AS stem,
        CASE WHEN rej THEN 'unbalanced' ELSE 'ok' END AS status,
@@ -633,16 +634,17 @@ def q_split_files(spark, sf_dir):
 
 _KEPT = f"""
 WITH {_FLOW_BASE}, {O.doc_lines_cte()},
-pf AS (SELECT doc_id, text, bool_or(translatable) AS in_bet, bool_or(NOT translatable) AS in_not FROM cls GROUP BY doc_id, text),
+pf AS (SELECT doc_id, text, core, bool_or(translatable) AS in_bet, bool_or(NOT translatable) AS in_not FROM cls GROUP BY doc_id, text, core),
 dec AS (SELECT d.text, CASE WHEN l.toxic = 1 THEN 'manual_no' WHEN l.quality = 0 THEN 'auto_no' ELSE 'auto_yes' END AS verdict
         FROM doc_texts d JOIN labels l USING (doc_id)),
 fl AS (SELECT text, bool_or(verdict = 'manual_no') AS manual_no, bool_or(verdict = 'auto_no') AS auto_no,
               bool_or(verdict = 'auto_yes') AS auto_yes FROM dec GROUP BY text),
-kept0 AS (SELECT pf.doc_id, pf.text, {O.pascal(O.first_line('pf.text'))} AS key FROM pf LEFT JOIN fl USING (text)
+kept0 AS (SELECT pf.doc_id, pf.text, {O.pascal(O.first_line('pf.core'))} AS key FROM pf LEFT JOIN fl USING (text)
           WHERE in_bet AND NOT coalesce(manual_no, false) AND NOT coalesce(auto_no, false)
             AND (NOT in_not OR coalesce(auto_yes, false))),
 kept AS (SELECT * FROM kept0 WHERE length(key) > 0),
-pos AS (SELECT c.doc_id, c.ordinal, k.key, c.text, code.lang FROM cls c JOIN kept k USING (doc_id, text) JOIN code USING (doc_id)),
+pos AS (SELECT c.doc_id, c.ordinal, k.key, c.core AS text, c.prefix, c.suffix, code.lang
+        FROM cls c JOIN kept k USING (doc_id, text) JOIN code USING (doc_id)),
 ex AS (SELECT lang, {O.pascal('text')} AS key, arg_min(text, (doc_id, line_no)) AS existing FROM doc_texts
        WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY ALL),
 win AS (SELECT lang, key, arg_min(text, (doc_id, ordinal)) AS target, arg_min(doc_id, (doc_id, ordinal)) AS doc_id,
@@ -667,9 +669,9 @@ def _translated(spark, sf_dir):
 t AS (SELECT doc_id, regexp_extract_all(content, {O.q(O.TOKENS['code'])}) AS toks,
              string_split_regex(content, {O.q(O.TOKENS['code'])}) AS gaps FROM code WHERE doc_id IN (SELECT doc_id FROM bal)),
 x AS (SELECT doc_id, unnest(gaps) AS gap, generate_subscripts(gaps, 1) AS i, toks FROM t),
-y AS (SELECT x.doc_id, x.i, x.gap, CASE WHEN x.i <= len(x.toks) THEN x.toks[x.i] END AS tok, p.key
+y AS (SELECT x.doc_id, x.i, x.gap, CASE WHEN x.i <= len(x.toks) THEN x.toks[x.i] END AS tok, p.key, p.prefix, p.suffix
       FROM x LEFT JOIN pos p ON p.doc_id = x.doc_id AND p.ordinal = x.i - 1)
-SELECT doc_id, string_agg(gap || coalesce({O.lookup('key')}, tok, ''), '' ORDER BY i) AS rewritten,
+SELECT doc_id, string_agg(gap || coalesce({O.split_lookup()}, tok, ''), '' ORDER BY i) AS rewritten,
        CAST(count(key) AS BIGINT) AS replaced
 FROM y GROUP BY doc_id
 """)

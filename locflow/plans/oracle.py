@@ -158,6 +158,28 @@ def edges(text: str) -> tuple[str, str, str]:
     return prefix, core, suffix
 
 
+def split_cte(name: str, src: str) -> str:
+    """``src`` with prefix, core and suffix of its text: bold tags, then edge characters, unless the core is blank."""
+    hit = bold_hit("text")
+    return (f"{name}_1 AS (SELECT *, CASE WHEN {hit} THEN substr(text, 1, strpos(text, '<b>') + 2) ELSE '' END AS b0, "
+            f"CASE WHEN {hit} THEN {bold('text', 2)} ELSE text END AS bc FROM {src}), "
+            f"{name}_2 AS (SELECT *, substr(text, length(b0) + length(bc) + 1) AS b1, regexp_extract(bc, {q(EDGES[0])}, 0) AS e0 FROM {name}_1), "
+            f"{name}_3 AS (SELECT *, substr(bc, length(e0) + 1) AS er FROM {name}_2), "
+            f"{name}_4 AS (SELECT *, regexp_extract(er, {q(EDGES[1])}, 0) AS e1 FROM {name}_3), "
+            f"{name}_5 AS (SELECT *, substr(er, 1, length(er) - length(e1)) AS ec FROM {name}_4), "
+            f"{name} AS (SELECT * EXCLUDE (b0, bc, b1, e0, er, e1, ec), "
+            f"CASE WHEN {blank('ec')} THEN '' ELSE b0 || e0 END AS prefix, CASE WHEN {blank('ec')} THEN text ELSE ec END AS core, "
+            f"CASE WHEN {blank('ec')} THEN '' ELSE e1 || b1 END AS suffix FROM {name}_5)")
+
+
+def split_lookup() -> str:
+    """Lookup of ``key`` between ``prefix`` and ``suffix`` written as literals; null without a key."""
+    one = lambda e: f"'\"' || {escape(e)} || '\"'"
+    return (f"(CASE WHEN key IS NULL THEN NULL WHEN prefix = '' AND suffix = '' THEN {lookup('key')} ELSE '(' || "
+            f"CASE WHEN prefix = '' THEN '' ELSE {one('prefix')} || ' + ' END || {lookup('key')} || "
+            f"CASE WHEN suffix = '' THEN '' ELSE ' + ' || {one('suffix')} END || ')' END)")
+
+
 def bold(text: str, i: int) -> str:
     return f"regexp_extract({text}, {q(BOLD)}, {i})"
 

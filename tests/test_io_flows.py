@@ -6,6 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from locflow.functions import text as T
 from locflow.operators import catalog as C
 from locflow.operators import classify as K
 from locflow.operators import language as L
@@ -109,10 +110,11 @@ def test_flow_a_loses_nothing(spark):
     none = spark.createDataFrame([], "text string, verdict string")
     rewritten, inserted, conflicts, rejected = flows.translate_files(src, K.stoplist(spark), none, empty)
     rows = {r.key: r.target for r in inserted.collect()}
-    assert rows == {"FirstLine": "First line\nsecond line kept", "Hello": "Hello\nWorld", "SayHi": 'Say "hi"', "SavedOk": "Saved.ok"}
+    assert rows == {"FirstLine": "First line\nsecond line kept", "Hello": "Hello\nWorld", "SayHi": 'Say "hi', "SavedOk": "Saved.ok"}
     text = rewritten.first().rewritten
-    for k in rows:
+    for k in ("FirstLine", "Hello", "SavedOk"):
         assert f"= sess.i18n(XlfKeys.{k});" in text
+    assert '= (sess.i18n(XlfKeys.SayHi) + "\\"");' in text
     for kept in ('$"Hello {name}"', '$@"Dir {name}\\x"', '@$"Dir {name}"', '@"C:\\dir\\file"', '"report.xml"'):
         assert kept in text
     assert sorted((r.ordinal, r.reason) for r in rejected.collect()) == [(1, "interpolated"), (2, "interpolated"), (3, "interpolated")]
@@ -131,8 +133,26 @@ def test_every_replaced_value_is_in_the_catalog(spark, values):
     out = rewritten.first().rewritten
     stored = {r.target for r in inserted.collect()} | {r.dropped for r in conflicts.collect()}
     replaced = [v for v in values if 'x = @"' + v.replace('"', '""') + '";\n' not in out]
-    assert set(replaced) <= stored
-    assert out.count("sess.i18n(") == sum(1 for v in values if v in stored)
+    assert out.count("sess.i18n(") == len(replaced)
+    for v in replaced:      # the core is stored whole, and what stands around it is in the source
+        cores = [c for c in stored if c in v]
+        assert any(all(p == "" or '"' + escaped(p) + '"' in out for p in v.split(c, 1)) for c in cores), v
+
+
+def escaped(part):
+    """A part as the body of a regular literal."""
+    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+        part = part.replace(a, b)
+    return part
+
+
+def test_split_values_are_lossless(spark):
+    values = ["Label:", "<b>Item</b>", " <b>(x)</b> ", "--Hello!", "!!", "a", "", "<b>--</b>", "x\n<b>y</b>"]
+    df = spark.createDataFrame([(v,) for v in values], "text string").select("text", T.split_value("text").alias("s"))
+    got = {r.text: (r.s.prefix, r.s.core, r.s.suffix) for r in df.collect()}
+    assert all("".join(p) == v for v, p in got.items())
+    assert got["Label:"] == ("", "Label", ":") and got["<b>Item</b>"] == ("<b>", "Item", "</b>")
+    assert got[" <b>(x)</b> "] == (" <b>(", "x", ")</b> ") and got["!!"] == ("", "!!", "") and got["<b>--</b>"] == ("", "<b>--</b>", "")
 
 
 def test_migrated_constants_reach_the_catalog(spark):

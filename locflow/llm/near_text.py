@@ -49,7 +49,7 @@ from locflow.llm.shared import pieces, written
 
 SYMBOLS, CHUNKS, DISTANCE = 64, 15, 29
 BLOCK_CHARS = 1 << 20
-BLOCK_ROWS = 512            # rows of one bucket that are compared to one another at a time
+BLOCK_ROWS = 4096           # rows of one bucket that are compared to one another at a time
 CACHE_WORDS = 500_000
 SET_ROWS = 1 << 11          # shingles handled at a time while signing
 NARROW = 2048               # largest set whose hashes are cut to 16 bits; chance adds under 3 % of it to a comparison

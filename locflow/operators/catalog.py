@@ -131,7 +131,7 @@ def first_wins(rows: DataFrame, with_count: bool = False) -> DataFrame:
     return out if with_count else out.drop("_n")
 
 
-def upsert_catalog(catalog: DataFrame, batch: DataFrame):
+def upsert_catalog(catalog: DataFrame, batch: DataFrame, materialize: bool = False):
     """Insert-if-absent by ``(lang, key)`` (JN-02, SET-03, Q12) → ``(inserted, key_conflicts)``.
 
     * the batch is reduced to its first row per key (partial ``min``);
@@ -144,12 +144,17 @@ def upsert_catalog(catalog: DataFrame, batch: DataFrame):
     aggregation already partitioned the batch by those keys, so only the
     catalog is shuffled (or broadcast by AQE when it is measured small). The
     losers' join back to the winners salts keys the winners' count marks hot.
+    ``materialize=True`` writes the batch's distinct texts to the checkpoint
+    folder first: winners, hot keys and losers then read that table and the
+    batch is computed once.
     """
     # one row per distinct text, its first occurrence; winners are an aggregate over these rows, so both branches
     # read one exchange
     rest = [c for c in batch.columns if c not in ("lang", "key", "target", "seq")]
     texts = (batch.groupBy("lang", "key", "target").agg(F.min(F.struct("seq", *rest)).alias("_f"))
                   .select("lang", "key", "target", "_f.*"))
+    if materialize:
+        texts = stage(texts, "distinct")
     counted = first_wins(texts, with_count=True)
     hot = hot_keys(counted, ["lang", "key"], "_n")
     win = counted.drop("_n")

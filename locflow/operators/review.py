@@ -73,19 +73,23 @@ def review_outcomes(actions: DataFrame, review: bool = True, skip_review=None,
     order = [F.col("ts"), F.col("event_id")]
     said = F.when(~F.col("_skip"), F.col("action"))      # skipped proposals leave the slot as it was
     back = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    a = a.withColumn("_prev", F.last(said, ignorenulls=True).over(
-        back(Window.partitionBy("actor", "_piece", "_burst").orderBy(*order))))
-    bursts = (a.groupBy("actor", "_piece", "_burst")
-               .agg(F.max_by("action", F.when(~F.col("_skip"), F.struct(*order))).alias("_last")))
+    in_burst = Window.partitionBy("actor", "_piece", "_burst").orderBy(*order)
+    a = a.select("*", F.last(said, ignorenulls=True).over(back(in_burst)).alias("_prev"),
+                 F.lead(F.lit(1)).over(in_burst).isNull().alias("_ends"))
+    # a burst's last row knows its last action; taken from the same window, so both branches read one exchange
+    bursts = a.filter("_ends").select("actor", "_piece", "_burst", F.coalesce(said, "_prev").alias("_last"))
     pieces = (bursts.groupBy("actor", "_piece")
                     .agg(F.max_by("_last", F.when(F.col("_last").isNotNull(), F.col("_burst"))).alias("_last")))
-    pieces = pieces.select("actor", "_piece", F.last("_last", ignorenulls=True).over(
+    pieces = pieces.select(F.col("actor").alias("_a"), F.col("_piece").alias("_p"), F.last("_last", ignorenulls=True).over(
         back(Window.partitionBy("actor").orderBy("_piece"))).alias("_before_piece"))
     bursts = bursts.select("actor", "_piece", "_burst", F.last("_last", ignorenulls=True).over(
         back(Window.partitionBy("actor", "_piece").orderBy("_burst"))).alias("_before_burst"))
-    carry = bursts.join(pieces, ["actor", "_piece"]).select(
-        "actor", "_piece", "_burst", F.coalesce("_before_burst", "_before_piece").alias("_carry"))
-    a = a.join(carry, ["actor", "_piece", "_burst"], "left")
+    # null-safe: an actor may be null, and no filter on it is inferred for one branch alone
+    carry = bursts.join(pieces, F.col("actor").eqNullSafe(F.col("_a")) & (F.col("_piece") == F.col("_p")), "left").select(
+        F.col("actor").alias("_a"), F.col("_piece").alias("_p"), F.col("_burst").alias("_b"),
+        F.coalesce("_before_burst", "_before_piece").alias("_carry"))
+    a = a.join(carry, F.col("actor").eqNullSafe(F.col("_a")) & (F.col("_piece") == F.col("_p"))
+               & (F.col("_burst") == F.col("_b")), "left")
     prev = F.coalesce(F.col("_prev"), F.col("_carry"))
     result = F.when(F.col("_skip"), F.lit("committed")).otherwise(outcome(prev, F.col("action"), review))
     return a.select("actor", "ts", "event_id", "action", result.alias("outcome"))

@@ -271,7 +271,8 @@ def q_decisions(spark, sf_dir):
     """SRC-08, SET-02: stored decisions from labels applied to each document's lines; a user rule sets first
     lines aside, so a line that also occurs further down is in both sets."""
     texts = FX.doc_texts(spark, sf_dir)
-    classified = K.classify(texts, K.stoplist(spark), rules=[("heading", F.col("line_no") == 1)])
+    classified = stage(K.classify(texts, K.stoplist(spark), rules=[("heading", F.col("line_no") == 1)]).select(
+        "doc_id", "text", "translatable"), "classified")
     return K.apply_decisions(classified, FX.labelled_decisions(spark, sf_dir), ("doc_id",))
 
 
@@ -290,7 +291,7 @@ def q_path_guard(spark, sf_dir):
     pages = _page_literals(spark, sf_dir).select(F.lit("page").alias("src"), F.col("page_id").alias("id"), "ordinal", "text")
     code = _code_literals(spark, sf_dir, positions=False).filter(F.col("kind") != "interpolated").select(
         F.lit("code").alias("src"), F.col("doc_id").alias("id"), "ordinal", T.literal_value("text", "kind").alias("text"))
-    lit = pages.unionByName(code).filter(~T.is_blank("text"))
+    lit = stage(pages.unionByName(code).filter(~T.is_blank("text")), "literals")
     return K.flag_path_like(lit, listing).select("src", "id", "ordinal", "text", "is_path")
 
 
@@ -353,11 +354,11 @@ _UPSERT = (f"r AS (SELECT lang, {O.pascal('text')} AS key, text AS target, doc_i
 
 
 def _upsert(spark, sf_dir):
-    texts = FX.doc_texts(spark, sf_dir)
+    texts = stage(FX.doc_texts(spark, sf_dir), "texts")
     labelled = texts.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
     existing = C.first_wins(C.catalog_rows(labelled, order_cols=("doc_id", "line_no"), origin="existing"))
     batch = C.catalog_rows(texts, order_cols=("doc_id", "line_no"))
-    return C.upsert_catalog(existing, batch)
+    return C.upsert_catalog(existing, batch, materialize=True)
 
 
 @register("q_upsert", f"""

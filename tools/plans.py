@@ -13,21 +13,20 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from __spark_entry__ import queries  # noqa: E402
+from locflow.plans.checks import QUERIES  # noqa: E402
 from locflow.session import build_session  # noqa: E402
 
 
 def summarise(plan: str) -> dict:
     return {
         "shuffles": len(re.findall(r"Exchange (hashpartitioning|rangepartitioning|SinglePartition)", plan)),
-        "spread": len(re.findall(r"Exchange RoundRobinPartitioning", plan)),
         "broadcasts": plan.count("BroadcastExchange"),
         "smj": plan.count("SortMergeJoin"),
         "bhj": plan.count("BroadcastHashJoin"),
         "windows": plan.count("Window ["),
         "generate": plan.count("Generate "),
         "scans": len(re.findall(r"FileScan parquet", plan)),
-        "read": sorted(set(re.findall(r"ReadSchema: (struct<[^>]*>)", plan))),
+        "read": sorted(set(re.findall(r"ReadSchema: (struct<[^\n]*)", plan))),
         "python": any(op in plan for op in ("BatchEvalPython", "ArrowEvalPython")),
     }
 
@@ -40,16 +39,16 @@ def main():
         md = args[i + 1]
         del args[i:i + 2]
     sf_dir = args[0] if args and os.path.isdir(args[0]) else "/root/testdata/sf0.01"
-    names = [a for a in args if not os.path.isdir(a)] or sorted(queries())
+    names = [a for a in args if not os.path.isdir(a)] or sorted(QUERIES)
     spark = build_session("local[8]", shuffle_partitions=8, extra={"spark.ui.showConsoleProgress": "false",
                                                                  "spark.sql.adaptive.enabled": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     rows = []
     for n in names:
-        plan = queries()[n](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        plan = QUERIES[n](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         s = summarise(plan)
         rows.append((n, s))
-        print(f"{n:22s} shuffles={s['shuffles']} spread={s['spread']} bcast={s['broadcasts']} smj={s['smj']} bhj={s['bhj']} "
+        print(f"{n:22s} shuffles={s['shuffles']} bcast={s['broadcasts']} smj={s['smj']} bhj={s['bhj']} "
               f"windows={s['windows']} scans={s['scans']} python={s['python']}")
         if os.environ.get("FULL"):
             print(plan)
@@ -58,15 +57,14 @@ def main():
             f.write("# PLANS\n\nStatic physical plans of the registered queries (`python tools/plans.py --md PLANS.md`, "
                     "sf0.01, AQE off so the planned shuffles are visible; at run time AQE may replace a shuffle join "
                     "by a broadcast one from measured sizes and coalesces partitions). Shuffles count every "
-                    "keyed `Exchange` (hash, range, single partition); `spread` counts the round-robin exchanges "
-                    "`spread_small_input` adds after scans of inputs under 1 GB (the driver's tables are single row "
-                    "groups), which a large input never gets. Reads list the Parquet `ReadSchema`s: only the columns "
-                    "a query needs are read.\n\n")
-            f.write("| query | shuffles | spread | broadcasts | sort-merge joins | broadcast joins | windows | generators | scans | Python in plan | read columns |\n")
-            f.write("| --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |\n")
+                    "keyed `Exchange` (hash, range, single partition). Jobs that write a staged table run while the "
+                    "query is built and are not part of its plan; their tables show as scans. Reads list the Parquet "
+                    "`ReadSchema`s: only the columns a query needs are read.\n\n")
+            f.write("| query | shuffles | broadcasts | sort-merge joins | broadcast joins | windows | generators | scans | Python in plan | read columns |\n")
+            f.write("| --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |\n")
             for n, s in rows:
-                reads = "; ".join(r.replace("struct<", "").rstrip(">") for r in s["read"])
-                f.write(f"| `{n}` | {s['shuffles']} | {s['spread']} | {s['broadcasts']} | {s['smj']} | {s['bhj']} | {s['windows']} | "
+                reads = "; ".join(r.strip()[len("struct<"):-1] for r in s["read"])
+                f.write(f"| `{n}` | {s['shuffles']} | {s['broadcasts']} | {s['smj']} | {s['bhj']} | {s['windows']} | "
                         f"{s['generate']} | {s['scans']} | {'yes' if s['python'] else 'no'} | {reads} |\n")
 
 

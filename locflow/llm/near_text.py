@@ -50,7 +50,7 @@ from locflow.llm.shared import pieces, written
 SYMBOLS, CHUNKS, DISTANCE = 64, 15, 29
 BLOCK_CHARS = 1 << 20
 BLOCK_ROWS = 4096           # rows of one bucket that are compared to one another at a time
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000       # words whose hashes a worker remembers, some 150 bytes each
 SET_ROWS = 1 << 11          # shingles handled at a time while signing
 NARROW = 2048               # largest set whose hashes are cut to 16 bits; chance adds under 3 % of it to a comparison
 CLEAR = 0.04                # similarity above the threshold at which a comparison of cut sets is taken as a link
@@ -383,7 +383,8 @@ def near_groups(df: DataFrame, width: int = 4, percent: int = 80, id_col: str =
     rest = rest.join(cut, "id").join(classes.select("id", "signature", "n_shingles"), "id")
     more = written(across(rest, percent).distinct(), "near-across")
     more = written(confirmed(more, texts, width, percent), "near-links")
-    joined = written(components(links.unionByName(more)), "near-components")
+    stars = joined.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    joined = written(components(stars.unionByName(more)), "near-components")
 
     # components by their smallest document
     placed = classes.join(joined, "id", "left").select("id", "doc", "copies", F.coalesce("component", "id").alias("component"))

@@ -10,14 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from locflow.session import ensure_checkpoint_dir
 
 
+BATCH_BYTES = 8 << 20       # of one Arrow batch, where the session sets nothing
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def importable(spark: SparkSession) -> None:
-    """Let Python workers of a local session find this package, wherever the driver was started.
+    """Let Python workers of a local session find this package, wherever the driver was started, and bound their batches.
 
     On a cluster the package is installed or sent along (``--py-files``); the
-    entry is then merely one more path.
+    entry is then merely one more path. Arrow batches are bounded by bytes as
+    well as by rows, so that ten thousand long texts never meet in one.
     """
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+    if BATCH_CONF not in spark.conf.getAll:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +48,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     a join broadcasts the table only if it is below the session's threshold.
     """
     spark = df.sparkSession
+    importable(spark)
     path = work_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

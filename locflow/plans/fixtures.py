@@ -67,7 +67,8 @@ def _fill(template: str, doc_id) -> F.Column:
 
 def code_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``code`` view: ``(doc_id, lang, path, content)``."""
-    d = documents(spark, sf_dir)
+    # always dealt by id, whatever the input's size: the view is far larger and dearer to tokenise than its documents
+    d = documents(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism * 2, "doc_id")
     doc_id = F.col("doc_id")
     text = F.replace(F.replace(F.col("text"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     clean = F.split(text, "\r?\n", -1)

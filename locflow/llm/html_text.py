@@ -10,11 +10,16 @@ is its characters per tag, adjusted for links:
 
 with C characters, T tags, LC and LT those within links, NC characters
 outside links, and CB, LB those of the body (an absent count is 1). A node's
-sum is the sum of its children's densities. The subtree of the largest sum is
-selected and widened along its path to the body: from a paragraph to the
-element that holds it, then on to every ancestor whose density reaches the
-threshold, the smallest density on that path; an enclosing article or main
-element ends the way. All blocks of the selected subtree are returned.
+sum is the sum of its children's densities. The threshold is the smallest
+density on the path from the node of the largest sum to the body. The subtree
+of the largest sum is selected and widened along its path: from a paragraph to
+the element that holds it, then to the last ancestor with another part of the
+text: an element that reaches the threshold and holds a sum of at least a
+quarter of the selected subtree's densest child. In elements that only arrange
+others or hold the whole page, other elements are left out; paragraphs,
+headings and lists that are not mostly links, and sections or articles beside
+one that is kept, stay. An enclosing article or main element ends the way. All
+blocks of the selected subtree are returned.
 
 A page is one row and its tree lives only while it is handled: a map without
 shuffle, memory bounded by one page; a lost task is run again. Scanning is
@@ -76,15 +81,17 @@ PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th tr tbo
                        "figcaption caption hr br address a b i em strong span u s small big font sub sup code q cite "
                        "abbr mark time label".split())
 
+PART = 4    # another part of the text has a sum of at least this fraction of the densest child of the selected subtree
+
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total", "peak")
 
     def __init__(self, tag, parent, cut):
         self.tag, self.parent, self.cut = tag, parent, cut
         self.parts: list = []       # texts and child nodes in page order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.density = self.total = 0.0
+        self.density = self.total = self.peak = 0.0
 
 
 def is_cut(tag: str, attributes: str, in_article: bool) -> bool:
@@ -210,13 +217,44 @@ def measure(nodes: list[Node], top: Node) -> None:
             base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
             node.density = c / t * math.log(max(c / max(lc, 1) * t / lt, 1.0 + 1e-9)) / math.log(base + 1e-9) \
                 if base > 1 + 1e-6 else float(c) / t
+        node.peak = max(node.peak, node.total, node.density)
         if node.parent is not None:
             node.parent.total += node.density
+            node.parent.peak = max(node.parent.peak, node.peak)
+
+
+def layout(node: Node) -> bool:
+    """Whether the element arranges others: less than half of its characters stand in it or in its paragraphs."""
+    own = sum(sum(map(len, x.split())) if isinstance(x, str) else x.chars for x in node.parts
+              if isinstance(x, str) or (not x.cut and x.tag in PARAGRAPHS))
+    return 2 * own < node.chars
+
+
+def leave_out(root: Node, path: set[Node], top: Node, is_part) -> None:
+    """Cut what is no part of the text below ``root``, as far as elements only arrange others or hold the whole page."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        arranges = layout(node)
+        if node.tag == "article" or not (arranges or node.chars == top.chars and node.tag != "main"):
+            continue
+        parts = [x for x in node.parts if isinstance(x, Node) and not x.cut and x.chars]
+        tags = {x.tag for x in parts if x in path or is_part(x)} & {"article", "section"}
+        begun = False       # a paragraph came before: lists of links are no menus any more
+        for x in parts:
+            plain = 2 * x.link_chars < x.chars
+            if x.tag in PARAGRAPHS:
+                begun = begun or x.tag == "p" and plain
+                x.cut = not (plain or x in path or begun and not arranges)
+            elif x in path or is_part(x) or x.tag in tags and plain:
+                stack.append(x)
+            else:
+                x.cut = not (plain and x.tag in ("header", "hgroup"))
 
 
 def select(nodes: list[Node], top: Node) -> Node:
-    """The subtree of the article."""
-    best = max(nodes, key=lambda x: x.total)
+    """The subtree of the article; what lies beside the path to it and is no part of the text is cut."""
+    best = max((x for x in nodes if x is top or x.parent is not None), key=lambda x: x.total)
     path = [best]
     while path[-1] is not top and path[-1].parent is not None:
         path.append(path[-1].parent)
@@ -227,11 +265,20 @@ def select(nodes: list[Node], top: Node) -> Node:
     if len(lone) == 1 and 2 * lone[0].chars >= top.chars:
         return lone[0]
     threshold = min(x.density for x in path)
-    chosen = path[0]
-    for node in path[1:]:
-        if chosen.tag in PARAGRAPHS or node.density >= threshold:
-            chosen = node
-    return chosen
+    densest = max((x.density for x in best.parts if isinstance(x, Node) and not x.cut), default=best.density)
+
+    def is_part(x):
+        return x.density >= threshold and PART * x.peak >= densest
+
+    at = 0
+    while at + 1 < len(path) and path[at].tag in PARAGRAPHS:
+        at += 1
+    for k in range(at + 1, len(path)):      # as far as other parts of the text lie
+        if any(isinstance(x, Node) and not x.cut and x is not path[k - 1] and x.tag not in PARAGRAPHS and is_part(x)
+               for x in path[k].parts):
+            at = k
+    leave_out(path[at], set(path[:at + 1]), top, is_part)
+    return path[at]
 
 
 def link_list(node: Node) -> bool:

@@ -248,3 +248,21 @@ def test_main_text_defined_cases(spark):
     assert sorted(rows_of(html_text.extract(pages)), key=str) == sorted(
         [(1, None, "", 0), (1, None, "", 0), (None, "u", WANT, len(WANT))], key=str)
     assert html_text.extract(pages.where(F.lit(False))).count() == 0
+
+
+OTHER = "Quite another part tells more of the same story here. " * 6
+TEASERS = "<div class=col2><p>Teaser one. <a>more</a></p><p>Teaser two. <a>more</a></p></div>"
+AROUND = "<div>A slogan</div><div><a>Home</a> <a>News</a></div>{}" + TEASERS + "<div>Copyright by us. Legal terms apply.</div>"
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<body>" + AROUND.format(f"<div id=x>{BODY}</div>") + "</body>", WANT),
+    ("<body><div>" + AROUND.format(f"<div id=x>{BODY}</div>") + "</div></body>", WANT),
+    ("<body>" + AROUND.format(BODY) + "</body>", WANT),
+    (f"<body><div>A slogan</div><div>{LONG}<br>{OTHER}</div>{TEASERS}</body>", f"{LONG.strip()}\n{OTHER.strip()}"),
+    (f"<body><div>A slogan</div><div><h1>T</h1><p>lead</p><div><p>{LONG}</p><p>{LONG}</p></div><div><p>{OTHER}</p></div></div>"
+     f"{TEASERS}</body>", f"T\nlead\n{LONG.strip()}\n{LONG.strip()}\n{OTHER.strip()}"),
+    (f"<body>bare {LONG}</body>", f"bare {LONG.strip()}"),
+])
+def test_density_leaves_out_unnamed_parts(page, want):
+    assert html_text.main_text(page) == want

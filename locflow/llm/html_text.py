@@ -15,11 +15,14 @@ density on the path from the node of the largest sum to the body. The subtree
 of the largest sum is selected and widened along its path: from a paragraph to
 the element that holds it, then to the last ancestor with another part of the
 text: an element that reaches the threshold and holds a sum of at least a
-quarter of the selected subtree's densest child. In elements that only arrange
+quarter of the selected subtree's densest child (or, with nearly no links, half
+of it, whatever its own density). In elements that only arrange
 others or hold the whole page, other elements are left out; paragraphs,
 headings and lists that are not mostly links, and sections or articles beside
-one that is kept, stay. An enclosing article or main element ends the way. All
-blocks of the selected subtree are returned.
+one that is kept, stay. A main element bounds the widening, an article does
+unless another article beside the path is such a part; inside them the path is
+followed up to the bound, and an article is taken whole. All blocks of what is
+selected are returned.
 
 A page is one row and its tree lives only while it is handled: a map without
 shuffle, memory bounded by one page; a lost task is run again. Scanning is
@@ -258,24 +261,25 @@ def select(nodes: list[Node], top: Node) -> Node:
     path = [best]
     while path[-1] is not top and path[-1].parent is not None:
         path.append(path[-1].parent)
-    article = next((x for x in path if x.tag in ("article", "main")), None)
-    if article is not None:
-        return article
-    lone = [x for x in nodes if x.tag == "article" and x.chars] or [x for x in nodes if x.tag == "main" and x.chars]
-    if len(lone) == 1 and 2 * lone[0].chars >= top.chars:
-        return lone[0]
     threshold = min(x.density for x in path)
     densest = max((x.density for x in best.parts if isinstance(x, Node) and not x.cut), default=best.density)
 
     def is_part(x):
-        return x.density >= threshold and PART * x.peak >= densest
+        if x.density >= threshold:
+            return PART * x.peak >= densest
+        return 2 * x.peak >= densest and 10 * x.link_chars < x.chars    # much plain text, spread over many tags
 
     at = 0
     while at + 1 < len(path) and path[at].tag in PARAGRAPHS:
         at += 1
+    for tag in ("article", "main"):         # inside one of these, the whole of it may be text
+        at = max([at, *(k for k, x in enumerate(path) if x.tag == tag)])
     for k in range(at + 1, len(path)):      # as far as other parts of the text lie
-        if any(isinstance(x, Node) and not x.cut and x is not path[k - 1] and x.tag not in PARAGRAPHS and is_part(x)
-               for x in path[k].parts):
+        bound = path[at].tag
+        if bound == "main":
+            break
+        if any(isinstance(x, Node) and not x.cut and x is not path[k - 1] and x.tag not in PARAGRAPHS
+               and (bound != "article" or x.tag == "article") and is_part(x) for x in path[k].parts):
             at = k
     leave_out(path[at], set(path[:at + 1]), top, is_part)
     return path[at]

@@ -266,3 +266,19 @@ AROUND = "<div>A slogan</div><div><a>Home</a> <a>News</a></div>{}" + TEASERS + "
 ])
 def test_density_leaves_out_unnamed_parts(page, want):
     assert html_text.main_text(page) == want
+
+
+ARTICLES = f"<article><p>{LONG}</p><p>{LONG}</p><p>x</p><p>{LONG}</p></article><article><p>{OTHER}</p></article>"
+PARTS = "\n".join([LONG.strip(), LONG.strip(), "x", LONG.strip(), OTHER.strip()])
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<body><main><h1>T</h1><p>lead</p>{ARTICLES}<article><p>tiny</p></article>{TEASERS}</main></body>",
+     f"T\nlead\n{PARTS}\ntiny"),
+    (f"<body><div><h1>T</h1>{ARTICLES}</div>{TEASERS}</body>", f"T\n{PARTS}"),
+    (f"<body><article>{OTHER * 4}</article><div><h1>T</h1><p>{LONG}</p><p>{LONG}</p><p>short</p></div></body>",
+     f"{(OTHER * 4).strip()}\nT\n{LONG.strip()}\n{LONG.strip()}\nshort"),
+    (f"<body>{TEASERS}<article>{BODY}<div>a short part</div></article>{TEASERS}</body>", f"{WANT}\na short part"),
+])
+def test_articles_only_bound_the_widening(page, want):
+    assert html_text.main_text(page) == want

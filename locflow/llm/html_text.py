@@ -111,9 +111,9 @@ def is_cut(tag: str, attributes: str, in_article: bool) -> bool:
                 words = WORD.findall(one)
                 if any(w in unwanted and (not k or words[k - 1] not in ABOUT) for k, w in enumerate(words)):
                     return True
-        elif name == "role" and value in CUT_ROLES or name == "aria-hidden" and value == "true":
+        elif name == "hidden" or name == "role" and value in CUT_ROLES or name == "aria-hidden" and value == "true":
             return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes))
+    return "hidden" in attributes and "hidden" in ATTRIBUTE.sub(" ", attributes).replace("/", " ").split()
 
 
 def parse(page: str) -> Node:

@@ -282,3 +282,12 @@ PARTS = "\n".join([LONG.strip(), LONG.strip(), "x", LONG.strip(), OTHER.strip()]
 ])
 def test_articles_only_bound_the_widening(page, want):
     assert html_text.main_text(page) == want
+
+
+@pytest.mark.parametrize("attributes, hidden", [
+    ('title="the hidden cost of it"', False), ("data-title='a hidden valley'", False), ("title=hidden", False),
+    ('style="overflow: hidden !important"', False), ("data-hidden=1", False), ("hidden", True), ("class=a hidden", True),
+    ('hidden=""', True), ("id='x'hidden", True), ("hidden=until-found", True),
+])
+def test_hidden_is_an_attribute_name(attributes, hidden):
+    assert html_text.main_text(f"<article>{BODY}<p {attributes}>more</p></article>") == WANT + ("" if hidden else "\nmore")

@@ -1,10 +1,11 @@
 """Operator 8: main text of a web page by composite text density.
 
 Every page becomes a small tree of its elements. Parts that are never
-article text (menus, headers and footers of the page, sidebars, notices,
-adverts, forms, scripts, styles, reader comments) are cut off by element,
-role or the words of their class and id. For each remaining node the density
-is its characters per tag, adjusted for links:
+article text (menus, headers and footers of the page, forms, scripts, styles,
+hidden parts) are cut off by element or role. Sidebars, notices, adverts, reader
+comments and the like are known by the words of their class and id; the words
+are weighed against the text (see ``settle``). For each remaining node the
+density is its characters per tag, adjusted for links:
 
     density = C / T * log(C / LC * T / LT) / log(log(C / NC * LC + LB / CB * C + e))
 
@@ -37,6 +38,7 @@ whatever their names.
 
 from __future__ import annotations
 
+import heapq
 import html
 import math
 import re
@@ -67,7 +69,7 @@ CLOSES = {"li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("d
           "tbody": (("thead", "tbody", "tfoot"), ("table",)), "thead": (("thead", "tbody", "tfoot"), ("table",)),
           "tfoot": (("thead", "tbody", "tfoot"), ("table",)), "option": (("option",), ("select", "datalist"))}
 
-# Elements, roles and class or id words of what is not article text.
+# Elements and roles of what is not article text, and class or id words that speak against it.
 CUT_TAGS = frozenset("""head nav footer aside form script style noscript template iframe object embed svg math canvas
 audio video button select input textarea datalist dialog menu title search xmp noembed noframes""".split())
 CUT_ROLES = frozenset("""navigation banner contentinfo complementary search alert alertdialog dialog menu menubar
@@ -80,6 +82,14 @@ comment comments commentlist disqus replies respond reply pagination pager toolb
 # A word after one of these says what an element has or lacks, not what it is.
 ABOUT = frozenset("with has have no not without show hide enable enabled disable".split())
 READERS = frozenset("comment comments commentlist disqus replies respond reply".split())
+# Words that say a listed word's form or place; any other word after a listed one (related-work) makes it a mere hint.
+FORMS = frozenset("""area badge bar block body bottom box btn button buttons card cards center col column container
+content contents desktop entries entry field footer form grid group header heading holder icon icons inner item items
+label left link links list lists message mobile news outer panel post posts primary region right row secondary section
+slot small sticky stories story text tile tiles title top unit wrap wrapper zone""".split())
+HINT, NAMED, OF_READERS = 1, 2, 3
+# What the text of an element named so counts for against the rest of the page.
+TRUST = {NAMED: 1 / 4, OF_READERS: 1 / 16}
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th tr tbody thead table ul ol dl figure "
                        "figcaption caption hr br address a b i em strong span u s small big font sub sup code q cite "
                        "abbr mark time label".split())
@@ -88,32 +98,43 @@ PART = 4    # another part of the text has a sum of at least this fraction of th
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total", "peak")
+    __slots__ = ("tag", "parent", "parts", "cut", "doubt", "chars", "tags", "link_chars", "link_tags", "density", "total",
+                 "peak")
 
-    def __init__(self, tag, parent, cut):
-        self.tag, self.parent, self.cut = tag, parent, cut
+    def __init__(self, tag, parent, cut, doubt=0):
+        self.tag, self.parent, self.cut, self.doubt = tag, parent, cut, doubt
         self.parts: list = []       # texts and child nodes in page order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = self.peak = 0.0
 
 
-def is_cut(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element can't be article text."""
+def doubt_of(name: str, unwanted: frozenset) -> int:
+    """What one class or id says against its element being article text."""
+    words = WORD.findall(name)
+    listed = [w in unwanted and (not k or words[k - 1] not in ABOUT) for k, w in enumerate(words)]
+    if True not in listed:
+        return 0
+    last = len(words) - 1 - listed[::-1].index(True)
+    if all(w in FORMS or w.isdigit() for w in words[last + 1:]):
+        return OF_READERS if words[last] in READERS else NAMED
+    return HINT
+
+
+def judge(tag: str, attributes: str, in_article: bool) -> tuple[bool, int]:
+    """Whether an element can't be article text, and the doubt that its class and id words raise."""
     if tag in CUT_TAGS or (tag == "header" and not in_article):
-        return True
+        return True, 0
     if not attributes or tag in ("html", "body", "main"):
-        return False
+        return False, 0
     unwanted = READERS if tag == "article" and not in_article else CUT_WORDS
+    doubt = 0
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m.group(1).lower(), (m.group(2) or m.group(3) or m.group(4) or "").lower()
         if name in ("class", "id"):
-            for one in value.split():
-                words = WORD.findall(one)
-                if any(w in unwanted and (not k or words[k - 1] not in ABOUT) for k, w in enumerate(words)):
-                    return True
+            doubt = max(doubt, *(doubt_of(one, unwanted) for one in value.split()), 0)
         elif name == "hidden" or name == "role" and value in CUT_ROLES or name == "aria-hidden" and value == "true":
-            return True
-    return "hidden" in attributes and "hidden" in ATTRIBUTE.sub(" ", attributes).replace("/", " ").split()
+            return True, 0
+    return "hidden" in attributes and "hidden" in ATTRIBUTE.sub(" ", attributes).replace("/", " ").split(), doubt
 
 
 def parse(page: str) -> Node:
@@ -173,7 +194,7 @@ def parse(page: str) -> Node:
             close(*CLOSES[tag])
         if counts.get("head") and tag == "body":
             close(("head",))
-        node = Node(tag, open_nodes[-1], is_cut(tag, m.group(3), articles > 0))
+        node = Node(tag, open_nodes[-1], *judge(tag, m.group(3), articles > 0))
         open_nodes[-1].parts.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
@@ -200,9 +221,10 @@ def in_order(root: Node) -> list[Node]:
     return out
 
 
-def measure(nodes: list[Node], top: Node) -> None:
-    """Counts of each subtree, then densities and their sums over children."""
+def count(nodes: list[Node]) -> None:
+    """Characters and tags of each subtree."""
     for node in reversed(nodes):
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
         for x in node.parts:
             if isinstance(x, str):
                 node.chars += sum(map(len, x.split()))
@@ -213,17 +235,89 @@ def measure(nodes: list[Node], top: Node) -> None:
                 node.link_tags += x.link_tags
         if node.tag == "a":
             node.link_chars, node.link_tags = node.chars, node.tags + 1
-    share = top.link_chars / max(top.chars, 1)
+
+
+def weigh(nodes: list[Node], share: float) -> None:
+    """Densities, their sums over children, and the largest of these below each node; ``share`` is the page's of links."""
     for node in reversed(nodes):
+        node.density = node.total = node.peak = 0.0
         c, t, lc, lt = node.chars, max(node.tags, 1), node.link_chars, max(node.link_tags, 1)
         if c:
             base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
             node.density = c / t * math.log(max(c / max(lc, 1) * t / lt, 1.0 + 1e-9)) / math.log(base + 1e-9) \
                 if base > 1 + 1e-6 else float(c) / t
+        for x in node.parts:
+            if not isinstance(x, str) and not x.cut:
+                node.total += x.density
+                node.peak = max(node.peak, x.peak)
         node.peak = max(node.peak, node.total, node.density)
-        if node.parent is not None:
-            node.parent.total += node.density
-            node.parent.peak = max(node.parent.peak, node.peak)
+
+
+def link_share(node: Node) -> float:
+    return node.link_chars / max(node.chars, 1)
+
+
+def settle(root: Node) -> None:
+    """Cut the elements whose class and id words speak against them and whose text does not outweigh the words.
+
+    The text of such an element, without nested ones, counts by its largest
+    density sum, times its share outside links, times the trust in the words;
+    a main element, a first heading or (but for readers' words) an article
+    within it counts for it, and against it where only the rest of the page
+    has one. It stays if that reaches the largest sum of the rest, so an
+    element round the page stays; the weightiest is settled first and joins
+    the rest. A mere hint cuts what is mostly links, unless it holds the
+    largest sum.
+    """
+    nodes = in_order(root)
+    if not any(x.doubt for x in nodes):
+        return
+    count(nodes)
+    share = link_share(root)
+    doubtful = [x for x in nodes if x.doubt >= NAMED and x.chars]
+    inner: dict[Node | None, list] = {}
+    holder: dict[Node, Node | None] = {root: None}      # the doubtful element round each node
+    for x in nodes[1:]:
+        up = x.parent if x.parent.doubt >= NAMED else holder[x.parent]
+        holder[x] = up
+    for x in doubtful:
+        x.cut = True
+        inner.setdefault(holder[x], []).append(x)
+
+    def look(top):
+        """The largest sum, whether there is a main or first heading, and whether an article, in the own text of ``top``."""
+        region = in_order(top)
+        count(region)
+        weigh(region, share)
+        tags = {x.tag for x in region[1:] if x.chars}
+        return top.peak * (1 - link_share(top)), bool(tags & {"main", "h1"}), "article" in tags
+
+    best, head, article = look(root)
+    found, value = {}, {}
+    for x in reversed(doubtful):
+        found[x] = own, own_head, own_article = look(x)
+        sign = own_head or own_article and x.doubt == NAMED
+        rest = head or article and x.doubt == NAMED
+        own *= 1 if sign == rest and not sign else 4 if sign and rest else 16 if sign else 1 / 4
+        value[x] = TRUST[x.doubt] * max([own, *(value[y] for y in inner.get(x, ()))])
+    order = {x: k for k, x in enumerate(doubtful)}
+    heap = [(-value[x], order[x], x) for x in inner.get(None, ())]
+    heapq.heapify(heap)
+    while heap:
+        worth, _, x = heapq.heappop(heap)
+        if -worth >= best:
+            x.cut = False
+            best = max(best, found[x][0])
+            for y in inner.get(x, ()):
+                heapq.heappush(heap, (-value[y], order[y], y))
+
+    hints = [x for x in nodes if x.doubt == HINT]
+    if hints:
+        nodes = in_order(root)
+        count(nodes)
+        weigh(nodes, link_share(root))
+        for x in hints:
+            x.cut = x.chars > 0 and 2 * x.link_chars >= x.chars and x.peak < root.peak
 
 
 def layout(node: Node) -> bool:
@@ -320,9 +414,11 @@ def blocks(root: Node) -> list[str]:
 def main_text(page: str) -> str:
     """The article's text, one block a line."""
     root = parse(page)
+    settle(root)
     nodes = in_order(root)
     top = next((x for x in nodes if x.tag == "body"), root)
-    measure(nodes, top)
+    count(nodes)
+    weigh(nodes, link_share(top))
     return "\n".join(blocks(select(nodes, top)))
 
 

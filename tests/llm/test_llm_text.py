@@ -291,3 +291,18 @@ def test_articles_only_bound_the_widening(page, want):
 ])
 def test_hidden_is_an_attribute_name(attributes, hidden):
     assert html_text.main_text(f"<article>{BODY}<p {attributes}>more</p></article>") == WANT + ("" if hidden else "\nmore")
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<body><div class='layout-sidebar-right'><div>{BODY}</div></div></body>", WANT),
+    (f"<body><div>Site</div><div id=page class=sidebar-right>{BODY}<div class=sidebar><p>{OTHER}</p></div></div></body>", WANT),
+    (f"<body><div class=widget><p>{LONG}</p><p>{OTHER}</p></div></body>", f"{LONG.strip()}\n{OTHER.strip()}"),
+    (f"<article>{BODY}<section class=related-work><p>{OTHER}</p></section><div class=social-history><p>old</p></div>"
+     "<div id=cookie-recipe>flour</div></article>", f"{WANT}\n{OTHER.strip()}\nold\nflour"),
+    (f"<article>{BODY}<div class=related-posts><a>p</a></div><div class='share-buttons'>q</div><div class=menu-fixed><a>m</a></div>"
+     f"<div class=cookie-notice>{OTHER}</div></article>", WANT),
+    (f"<body><div>{BODY}</div><section class=comments><article><p>{LONG * 9}</p></article></section></body>", WANT),
+    (f"<body><div class=comments-area><div>{BODY}</div></div></body>", WANT),
+])
+def test_class_words_are_weighed(page, want):
+    assert html_text.main_text(page) == want

@@ -379,12 +379,6 @@ def select(nodes: list[Node], top: Node) -> Node:
     return path[at]
 
 
-def link_list(node: Node) -> bool:
-    """A menu without a name: nearly all of its text is links, at least three."""
-    return node.tag in ("ul", "ol", "div", "section", "table") and node.link_tags >= 3 \
-        and node.link_chars >= 0.9 * node.chars
-
-
 def blocks(root: Node) -> list[str]:
     """The texts of the subtree's blocks in page order, white space made single."""
     out, line = [], []
@@ -402,7 +396,7 @@ def blocks(root: Node) -> list[str]:
             flush()
         elif isinstance(x, str):
             line.append(x)
-        elif not x.cut and (x is root or not link_list(x)):
+        elif not x.cut:
             if x.tag in BLOCK:
                 flush()
                 stack.append(None)

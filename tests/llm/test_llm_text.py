@@ -306,3 +306,17 @@ def test_hidden_is_an_attribute_name(attributes, hidden):
 ])
 def test_class_words_are_weighed(page, want):
     assert html_text.main_text(page) == want
+
+
+LINKS = "<li><a>s 1</a></li><li><a>s 2</a></li><li><a>s 3</a></li>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><ul>{LINKS}</ul><article>{BODY}<h2>Sources</h2><ol>{LINKS}</ol></article><div><ul>{LINKS}</ul></div></body>",
+    f"<body><ul>{LINKS}</ul><div>{BODY}<h2>Sources</h2><ul>{LINKS}</ul></div>{TEASERS}</body>",
+    f"<body><ul>{LINKS}</ul><main>{BODY}<h2>Sources</h2><div><ul>{LINKS}</ul></div></main></body>",
+    f"<article>{BODY}<h2>Sources</h2><table><tr><td><a>s 1</a><tr><td><a>s 2</a><tr><td><a>s 3</a></table></article>",
+    f"<body><ul>{LINKS}</ul>{BODY}<h2>Sources</h2><ul>{LINKS}</ul></body>",
+])
+def test_linked_sources_stay(page):
+    assert html_text.main_text(page) == f"{WANT}\nSources\ns 1\ns 2\ns 3"

@@ -32,7 +32,8 @@ set and link with nothing; a text with fewer words than a shingle has the
 whole sequence as its one shingle; a null id links with nothing and has a
 null component; rows that repeat an id and a text share their class; an empty
 table gives no rows; other columns are not read by ``near_groups`` and travel
-unchanged in ``keep_first``.
+unchanged in ``keep_one``. Where an id repeats with several texts, ``keep_one``
+removes those that go and no other.
 """
 
 from __future__ import annotations
@@ -353,6 +354,11 @@ def texts_of(df: DataFrame, needed: DataFrame, classes: DataFrame, width: int, i
 def near_groups(df: DataFrame, width: int = 4, percent: int = 80, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """One row per document: ``id, n_shingles, component, kept``."""
+    return classed(df, width, percent, id_col, text_col).drop("class_id")
+
+
+def classed(df: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per document: ``id, n_shingles, component, kept, class_id``."""
     sketch = written(sketches(df, width, id_col, text_col), "near-sketch")
     classes = written(sketch.where("class_id is not null and id is not null").groupBy(F.col("class_id").alias("id")).agg(
         F.min("id").alias("doc"), F.count("*").alias("copies"), F.first("signature").alias("signature"),
@@ -393,7 +399,8 @@ def near_groups(df: DataFrame, width: int = 4, percent: int = 80, id_col: str =
     final = placed.join(heads, "component").where("copies > 1 or head <> doc").select(F.col("id").alias("class_id"), "head")
     out = sketch.select("id", "n_shingles", "class_id").join(written(final, "near-final"), "class_id", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("head", "id"))
-    return out.select("id", "n_shingles", component.alias("component"), component.eqNullSafe(F.col("id")).alias("kept"))
+    return out.select("id", "n_shingles", component.alias("component"), component.eqNullSafe(F.col("id")).alias("kept"),
+                      "class_id")
 
 
 def near_duplicates(df: DataFrame) -> DataFrame:
@@ -401,9 +408,28 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     return near_groups(df).select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+def keep_one(df: DataFrame, width: int = 4, percent: int = 80, id_col: str = "doc_id",
+             text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, one document of each group, with their columns."""
-    gone = near_groups(df, id_col=id_col, text_col=text_col, **settings).where("not kept")
-    gone = written(gone.select(F.col("id").alias("gone_id")).distinct(), "near-gone")
+    found = written(classed(df, width, percent, id_col, text_col).select("id", "class_id", "kept"), "near-found")
+    gone = found.where("not kept").select(F.col("id").alias("gone_id"), F.col("class_id").alias("gone_class")).distinct()
+    gone = written(gone, "near-gone")
     rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"))
-    return rows.join(gone, F.col("id") == F.col("gone_id"), "left_anti").select("row.*")
+    # ids that repeat, with one text that goes and another that stays
+    split = gone.join(found.where("kept").select(F.col("id").alias("gone_id")), "gone_id", "left_semi")
+    split = written(split, "near-split")
+    if split.isEmpty():
+        return rows.join(gone.select("gone_id").distinct(), F.col("id") == F.col("gone_id"), "left_anti").select("row.*")
+
+    def classes(batches):
+        for texts in batches:
+            yield pa.array([class_of(shingles(t.as_py(), width)) if t.is_valid else None for t in texts], pa.int64())
+
+    mixed = split.select(F.col("gone_id").alias("mixed_id")).distinct()
+    rows = rows.join(mixed, F.col("id") == F.col("mixed_id"), "left")
+    text = F.when(F.col("mixed_id").isNotNull(), F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")))
+    rows = rows.withColumn("class_id", F.arrow_udf(classes, "bigint", F.ArrowUDFType.SCALAR_ITER)(text))
+    whole = gone.join(split.select("gone_id"), "gone_id", "left_anti").select("gone_id").distinct()
+    rows = rows.join(whole, F.col("id") == F.col("gone_id"), "left_anti")
+    same = (F.col("id") == F.col("gone_id")) & (F.col("class_id") == F.col("gone_class"))
+    return rows.join(split, same, "left_anti").select("row.*")

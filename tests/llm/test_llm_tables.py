@@ -303,6 +303,15 @@ def test_near_groups(spark, monkeypatch, width, block):
     assert near_text.near_duplicates(empty(spark)).count() == 0 and near_text.keep_one(empty(spark)).count() == 0
 
 
+def test_keep_one_where_an_id_has_two_texts(spark):
+    copied, other, alone = (" ".join(f"{c}{k}" for k in range(40)) for c in "abc")
+    rows = [(1, copied), (2, copied), (2, other), (2, None), (3, other), (3, copied), (4, alone), (4, alone), (5, copied),
+            (None, copied)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = [(1, copied), (2, other), (2, None), (4, alone), (4, alone), (None, copied)]
+    assert by_str(rows_of(near_text.keep_one(docs))) == by_str(want)
+
+
 def test_near_dense_group(spark):
     """Many edited copies of one text: pairs of copies lie on both sides of the threshold."""
     rng = random.Random(2)

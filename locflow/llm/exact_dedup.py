@@ -20,7 +20,8 @@ splits a hot text over many tasks. An owner's memory holds one chain.
 Defined cases: null counts as the empty text; a null id counts as larger
 than any other and is kept only in a group without any id; repeated rows are
 members of one group, and rows that repeat the smallest id are all marked
-kept; an empty table gives no rows; other columns are not read by ``groups``
+kept, as are all of a group without any id; of these ``keep_first`` lets one
+stay. An empty table gives no rows; other columns are not read by ``groups``
 and travel unchanged in ``keep_first``.
 """
 
@@ -200,13 +201,24 @@ def exact_groups(df: DataFrame) -> DataFrame:
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with their columns."""
-    gone = written(groups(df, id_col, text_col).where("not kept").select(
-        F.col("id").alias("gone_id"), F.col("address").alias("gone_address")).distinct(), "dedup-gone")
+    """The rows of ``df`` that stay, one of each text, with their columns."""
+    found = groups(df, id_col, text_col).where("group_size > 1").select(
+        F.col("id").alias("gone_id"), F.col("address").alias("gone_address"), "sha", "kept")
+    found = written(found, "dedup-found")
+    # rows that repeat the id that stays for their text
+    again = written(found.where("kept").groupBy("gone_id", "gone_address", "sha").count().where("count > 1").select(
+        "gone_id", "gone_address").distinct(), "dedup-again")
+    gone = written(found.where("not kept").select("gone_id", "gone_address").unionByName(again).distinct(), "dedup-gone")
     norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), RUNS, " ")
     rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(norm).alias("address"))
     same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("address") == F.col("gone_address"))
-    return rows.join(gone, same, "left_anti").select("row.*")
+    kept = rows.join(gone, same, "left_anti").select("row.*")
+    if again.isEmpty():
+        return kept
+    norm = F.regexp_replace(F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")), RUNS, " ")
+    copies = rows.join(again, same, "left_semi").withColumn("sha", F.sha2(norm, 256))
+    one = copies.groupBy("id", "address", "sha").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return kept.unionByName(one.select("row.*"))
 
 
 def oracle(documents: str = "documents") -> str:

@@ -152,6 +152,15 @@ def test_exact_groups(spark, bucket_bytes):
     assert exact_dedup.exact_groups(empty(spark)).count() == 0 and exact_dedup.keep_first(empty(spark)).count() == 0
 
 
+def test_keep_first_of_a_table_that_came_twice(spark):
+    rows = [(k, f"text {k % 4}") for k in range(8)] + [(None, "no id"), (None, "no  id"), (9, None), (9, ""), (10, "alone")]
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string").repartition(5)
+    kept = rows_of(exact_dedup.keep_first(docs))
+    assert by_str((i, re.sub(" +", " ", t or "")) for i, t in kept) == by_str(
+        [(0, "text 0"), (1, "text 1"), (2, "text 2"), (3, "text 3"), (None, "no id"), (9, ""), (10, "alone")])
+    assert by_str(kept) == by_str(rows_of(exact_dedup.keep_first(docs)))
+
+
 def test_directory_doubling():
     rng = np.random.default_rng(3)
     weights = rng.integers(0, 50, 1 << exact_dedup.PREFIX_BITS)

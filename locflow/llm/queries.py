@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locflow.llm import (bpe, exact_dedup, html_text, licences, mixing, near_text, near_vectors, quality, token_counts,
-                         warc)
+from locflow.llm import (bpe, chat_format, exact_dedup, html_text, lexical, licences, mixing, near_text, near_vectors, prefix_trie,
+                         quality, token_counts, warc)
 from locflow.llm.shared import table
 
 
@@ -54,9 +54,22 @@ def op10_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_text.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_grammar_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.formatted_conversations(spark, table(spark, sf_dir, "conversations"))
+
+
+def op12_euler_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_length_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_licence_rules, op2_bpe_trie, op3_warc_chains, op4_extendible_hash, op5_rule_ensemble, op6_pca_tiles,
-    op7_systematic_mix, op8_text_density, op9_token_counts, op10_hamming_join)}
+    op7_systematic_mix, op8_text_density, op9_token_counts, op10_hamming_join, op11_grammar_round_trip, op12_euler_trie,
+    op13_length_strata)}
 
 # Operators 1, 2, 5, 8, 9 and 10 have no SQL form; tests hold them against brute force, libraries or held-out labels.
 ORACLE = {
@@ -64,4 +77,7 @@ ORACLE = {
     "op4_extendible_hash": exact_dedup.oracle(),
     "op6_pca_tiles": near_vectors.oracle(),
     "op7_systematic_mix": mixing.oracle(),
+    "op11_grammar_round_trip": chat_format.oracle(),
+    "op12_euler_trie": prefix_trie.oracle(),
+    "op13_length_strata": lexical.oracle(),
 }

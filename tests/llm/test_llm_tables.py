@@ -32,7 +32,7 @@ def duck(sql, **frames):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings", "labels"):
+    for t in ("documents", "pages", "embeddings", "labels", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path(t)}'")
     df = QUERIES[name](spark, SF001)
     rel = con.sql(ORACLE[name])

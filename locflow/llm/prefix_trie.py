@@ -8,9 +8,10 @@ a prefix that a third of all conversations share costs a row a task).
 
 Euler tour: every node has an enter and an exit arc. The arc after an enter is
 that of the first child, or the own exit; after an exit that of the next
-sibling, or the parent's exit. Siblings are in order of ``BUCKETS`` hash
-buckets, then of their number, so that the root's children are never one
-sorted group: a window runs within a bucket, another over the buckets.
+sibling, or the parent's exit. Siblings are in order of a hash bucket, then of
+their number, so that the root's children are never one sorted group: a window
+runs within each of ``FAN ** 2`` buckets, another over the buckets of one of
+``FAN`` groups, a last one over a parent's groups.
 
 List ranking: sums of arc weights from an arc to the end of the tour, by
 pointer jumping in two stages. Every 32nd arc, by a hash, is a post. First
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 from locflow.llm.shared import written
 
 BLOCK = 1024
-BUCKETS = 1 << 16
+FAN = 256
 POSTS = 32
 CHUNK = 4096
 LANES = ["l0", "l1", "l2", "l3"]
@@ -125,19 +126,27 @@ def ranked(arcs: DataFrame) -> DataFrame:
     return near.join(far, "next", "left").select("arc", more("leaves").alias("leaves"), more("saved").alias("saved"))
 
 
+def following(level: DataFrame) -> DataFrame:
+    """``id, after``: the last child of a bucket and the first of the next bucket of its group (``pid, group, bucket, first, last``)."""
+    order = Window.partitionBy("pid", "group").orderBy("bucket")
+    return level.select(F.col("last").alias("id"), F.lead("first").over(order).alias("after")).where("after is not null")
+
+
 def tour(nodes: DataFrame, children: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The Euler tour's arcs and, per node with children, their number.
 
     ``nodes(id, n_convs, bytes)``, ``children(id, pid)``. Arc ``2 * id`` enters
     a node, ``2 * id + 1`` leaves it. The weights stand at the enter arcs.
     """
-    c = children.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)))
-    buckets = written(c.groupBy("pid", "bucket").agg(F.min("id").alias("first"), F.max("id").alias("last"),
-                                                     F.count("*").alias("n")), "trie-buckets")
-    family = buckets.groupBy("pid").agg(F.min(F.struct("bucket", "first")).alias("f"), F.sum("n").alias("n_children")).select(
+    c = children.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(FAN * FAN)))
+    level = written(c.groupBy("pid", "bucket").agg(F.min("id").alias("first"), F.max("id").alias("last"),
+                                                   F.count("*").alias("n")), "trie-buckets")
+    family = level.groupBy("pid").agg(F.min(F.struct("bucket", "first")).alias("f"), F.sum("n").alias("n_children")).select(
         F.col("pid").alias("id"), F.col("f.first").alias("child"), "n_children")
-    after = buckets.select(F.col("last").alias("id"), F.lead("first").over(
-        Window.partitionBy("pid").orderBy("bucket")).alias("after")).where("after is not null")
+    group = F.floor(F.col("bucket") / FAN)
+    after = following(level.withColumn("group", group)).unionByName(following(
+        level.groupBy("pid", group.alias("bucket")).agg(F.min_by("first", "bucket").alias("first"), F.max_by("last", "bucket").alias("last"))
+        .withColumn("group", F.lit(0))))
     sibling = c.select("id", "pid", F.lead("id").over(Window.partitionBy("pid", "bucket").orderBy("id")).alias("sibling")).join(
         after, "id", "left").select("id", "pid", F.coalesce("sibling", "after").alias("sibling"))
     n = nodes.join(family, "id", "left").join(sibling, "id", "left")

@@ -159,7 +159,7 @@ def chat_rows(n, seed, long=0):
 def test_trie_against_brute_force(spark, monkeypatch, n, seed, long):
     monkeypatch.setattr(prefix_trie, "BLOCK", 16)       # blocks, pieces and buckets of more than one
     monkeypatch.setattr(prefix_trie, "CHUNK", 3)
-    monkeypatch.setattr(prefix_trie, "BUCKETS", 4)
+    monkeypatch.setattr(prefix_trie, "FAN", 3)
     monkeypatch.setattr(prefix_trie, "POSTS", 4)
     rows = chat_rows(n, seed, long)
     df = conversations(spark, rows).repartition(5)

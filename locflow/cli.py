@@ -8,9 +8,10 @@
     python -m locflow clean-lines SOURCES OUT
 
 Run under ``spark-submit`` on a cluster or plainly for ``local[*]``. Outputs
-are written under OUT (never over the inputs): JSON reports, Parquet
-``(path, content)`` for rewritten sources, XLIFF parts for catalog rows,
-ordered text for constants files.
+are written under OUT (never over the inputs): JSON reports, rewritten
+sources as Parquet ``(path, content)`` and as files under their own names
+(``OUT/files``), XLIFF parts for catalog rows, ordered text for constants
+files, and what was set aside (``OUT/rejects``).
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from locflow.operators.report import write_report
 from locflow.plans import flows
 from locflow.session import build_session, stage
 from locflow.sources import xliff
-from locflow.sources.files import read_sources, to_lines, write_sources
+from locflow.sources.files import below, read_sources, to_lines, write_sources
+from locflow.sources.tree import write_tree
 
 DECISIONS_SCHEMA = "text string, verdict string"
 MEMORY_SCHEMA = "src_text string, tgt_text string"
@@ -44,9 +46,9 @@ def _decisions(spark, path):
     return spark.read.schema(DECISIONS_SCHEMA).json(path)
 
 
-def _tags(a):
-    """Languages of the catalog files: the usual ones, those named, and the one that is added to."""
-    return sorted({*xliff.DEFAULT_TAGS, *(a.tags.split(",") if a.tags else ()), *([a.lang] if getattr(a, "lang", None) else ())})
+def _catalogs(spark, a):
+    """The catalogs with every language that occurs (or those of ``--tags``), and what was set aside."""
+    return xliff.read_catalogs(spark, a.catalogs, tags=a.tags.split(",") if a.tags else None)
 
 
 def _write_catalog(catalog, inserted, a):
@@ -56,6 +58,18 @@ def _write_catalog(catalog, inserted, a):
     xliff.write_catalog(merged, os.path.join(a.out, "catalog"))
 
 
+def _write_sources(rewritten, a, text_col):
+    """Rewritten sources as a table, and as files below ``files`` under the names that they have below the sources."""
+    table = os.path.join(a.out, "sources")
+    write_sources(rewritten, table, text_col)
+    written = rewritten.sparkSession.read.parquet(table)
+    write_tree(written.select(below(a.sources).alias("path"), "content"), os.path.join(a.out, "files"), overwrite=True)
+
+
+def _write_rejects(rejects, a):
+    rejects.select("stage", "path", "detail").write.mode("overwrite").json(os.path.join(a.out, "rejects"))
+
+
 def cmd_split(spark, a):
     src = read_sources(spark, a.sources, a.glob)
     _, report, _, _ = flows.split_files(src, K.stoplist(spark), ("path",), path_col="path")
@@ -64,16 +78,16 @@ def cmd_split(spark, a):
 
 def cmd_translate(spark, a):
     src = read_sources(spark, a.sources, a.glob, lang=a.lang)
-    catalog, cat_rejects = xliff.read_catalogs(spark, a.catalogs, tags=_tags(a))
+    catalog, cat_rejects = _catalogs(spark, a)
     catalog = stage(catalog, "catalog")
     rewritten, inserted, conflicts, rejected = flows.translate_files(
         src, K.stoplist(spark), _decisions(spark, a.decisions), catalog, materialize=True)
-    write_sources(rewritten, os.path.join(a.out, "sources"))
+    _write_sources(rewritten, a, "rewritten")
     _write_catalog(catalog, inserted, a)
     conflicts.write.mode("overwrite").json(os.path.join(a.out, "conflicts"))
     rejects = rejected.select(F.col("reason").alias("stage"), "path", F.concat(
         F.lit("token "), F.col("ordinal").cast("string")).alias("detail"))
-    rejects.unionByName(cat_rejects).write.mode("overwrite").json(os.path.join(a.out, "rejects"))
+    _write_rejects(rejects.unionByName(cat_rejects), a)
 
 
 def _constants_file(spark, a):
@@ -89,7 +103,8 @@ def _constants_file(spark, a):
 
 
 def cmd_missing_constants(spark, a):
-    catalog, _ = xliff.read_catalogs(spark, a.catalogs, tags=_tags(a))
+    catalog, cat_rejects = _catalogs(spark, a)
+    _write_rejects(cat_rejects, a)
     catalog = catalog.filter(F.col("lang") == PIVOT)    # constants are declared for the pivot's keys
     lines, constants, first, path = _constants_file(spark, a)
     decls = C.render_declarations(C.missing_constants(catalog, constants)).withColumn("path", F.lit(path))
@@ -100,11 +115,13 @@ def cmd_missing_constants(spark, a):
 def cmd_migrate_constants(spark, a):
     src = read_sources(spark, a.sources, a.glob, lang=a.lang)
     if a.catalogs:
-        catalog = stage(xliff.read_catalogs(spark, a.catalogs, tags=_tags(a))[0], "catalog")
+        catalog, cat_rejects = _catalogs(spark, a)
+        catalog = stage(catalog, "catalog")
+        _write_rejects(cat_rejects, a)
     else:
         catalog = spark.createDataFrame([], CATALOG_SCHEMA)
     rewritten, inserted, conflicts = flows.migrate_catalog(src, catalog)
-    write_sources(rewritten.withColumnRenamed("content", "rewritten"), os.path.join(a.out, "sources"))
+    _write_sources(rewritten, a, "content")
     _write_catalog(catalog, inserted, a)
     conflicts.write.mode("overwrite").json(os.path.join(a.out, "conflicts"))
 
@@ -113,7 +130,9 @@ def cmd_add_texts(spark, a):
     """Flow C: a file of texts, one a line, into the catalog and the constants file."""
     texts = spark.read.text(a.texts).select(F.col("value").alias("text")).filter(~T.is_blank("text")).distinct()
     texts = stage(texts.withColumn("id", F.xxhash64("text")), "texts")
-    catalog = stage(xliff.read_catalogs(spark, a.catalogs, tags=_tags(a))[0], "catalog")
+    catalog, cat_rejects = _catalogs(spark, a)
+    catalog = stage(catalog, "catalog")
+    _write_rejects(cat_rejects, a)
     memory = spark.read.schema(MEMORY_SCHEMA).json(a.memory) if a.memory else spark.createDataFrame([], MEMORY_SCHEMA)
     profiles = stage(L.build_profiles(catalog, text_col="target"), "profiles")
     lines, constants, first, path = _constants_file(spark, a)
@@ -143,7 +162,7 @@ def parser() -> argparse.ArgumentParser:
     n = sub.add_parser("add-texts"); n.add_argument("texts"); n.add_argument("catalogs"); n.add_argument("constants_file")
     n.add_argument("out"); n.add_argument("--memory"); n.add_argument("--lang")
     for x in (t, m, g, n):
-        x.add_argument("--tags", help="further language tags of catalog files, comma-separated")
+        x.add_argument("--tags", help="only catalogs of these languages, comma-separated; the others are named in the rejects")
     c = sub.add_parser("clean-lines"); c.add_argument("sources"); c.add_argument("out")
     for x in (s, t, g, c):
         x.add_argument("--glob", default="*.cs")

@@ -60,17 +60,25 @@ def pascal_key(c) -> Column:
                                  F.lit(r"([\p{L}\p{N}]+)"), 1)
     cased = F.transform(words, lambda w: F.concat(F.upper(w.substr(F.lit(1), F.lit(1))),
                                                   F.lower(w.substr(F.lit(2), F.length(w)))))
-    key = F.array_join(cased, "")
-    return F.when(key.rlike(r"^\p{N}"), F.concat(F.lit("_"), key)).otherwise(key)
+    # the leading digit is seen on the text: the words are put together once
+    digit = F.when(col(c).rlike(r"^[^\p{L}\p{N}]*+\p{N}"), F.lit("_")).otherwise(F.lit(""))
+    return F.concat(digit, F.array_join(cased, ""))
+
+
+def has_key(c) -> Column:
+    """The text has a letter or digit, so its key is not blank; decided without making the key."""
+    return col(c).rlike(r"[\p{L}\p{N}]")
+
+
+def key_basis(text, translation) -> Column:
+    """The text that a key is made from: the translation if not blank, else the text."""
+    t = col(translation)
+    return F.when(is_blank(t), col(text)).otherwise(t)
 
 
 def key_for(text, translation=None, explicit=None) -> Column:
     """Key rule of STR-03: explicit key, else from the translation if not blank, else from the text."""
-    basis = col(text)
-    if translation is not None:
-        t = col(translation)
-        basis = F.when(is_blank(t), basis).otherwise(t)
-    key = pascal_key(basis)
+    key = pascal_key(col(text) if translation is None else key_basis(text, translation))
     if explicit is not None:
         e = col(explicit)
         key = F.when(is_blank(e), key).otherwise(e)     # a blank explicit key names nothing
@@ -237,15 +245,22 @@ def clean_line(c) -> Column:
 
 
 def token_kind(raw) -> Column:
-    """Kind of a code token: ``verbatim``, ``regular``, ``interpolated`` or ``comment``."""
+    """Kind of a code token: ``verbatim``, ``regular`` or ``interpolated`` (literals), ``comment``, ``block``, ``char``
+    or ``directive``."""
     raw = col(raw)
-    return (F.when(raw.startswith("//"), "comment")
+    return (F.when(raw.startswith("//"), "comment").when(raw.startswith("/*"), "block")
+             .when(raw.startswith("'"), "char").when(raw.rlike(r"^[ \t]*+#"), "directive")
              .when(raw.startswith("$") | raw.startswith("@$"), "interpolated")
              .when(raw.startswith("@"), "verbatim").otherwise("regular"))
 
 
 def inner_text(raw, kind) -> Column:
-    """Characters between a literal's quotes, without what stands before the first one (EXT-09)."""
+    """Characters between a literal's quotes, without what stands before the first one (EXT-09).
+
+    Of other tokens: what stands between their markers.
+    """
     raw, kind = col(raw), col(kind)
-    start = F.when(kind == "comment", F.lit(2)).otherwise(F.instr(raw, '"') + 1)
-    return raw.substr(start, F.length(raw) - start)
+    start = (F.when(kind == "comment", F.lit(2)).when(kind == "block", F.lit(3)).when(kind == "char", F.lit(2))
+              .when(kind == "directive", F.instr(raw, "#") + 1).otherwise(F.instr(raw, '"') + 1))
+    behind = F.when(kind == "block", F.lit(2)).when(kind == "directive", F.lit(0)).otherwise(F.lit(1))
+    return raw.substr(start, F.length(raw) - start + 1 - behind)

@@ -10,13 +10,24 @@ characters.
 
 from __future__ import annotations
 
-# The token grammar of source code (verbatim literal, regular
-# literal with backslash escapes, either of them interpolated, line comment)
-# and of markup (any quoted run).
-CODE_TOKEN = (r'(?:\$@|@\$?)"[^"]*+(?:""[^"]*+)*+"|\$?"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|//[^\n]*+')
+# The token grammar of source code, one alternation. Its states are the alternatives: inside a verbatim
+# literal, a regular one (either may be interpolated), a line comment, a block comment, a character literal and a
+# preprocessor line a quote opens nothing. Where none of them starts, a quote or a comment opener is a stray one.
+VERBATIM = r'(?:\$@|@\$?)"[^"]*+(?:""[^"]*+)*+"'
+REGULAR = r'\$?"[^"\\\n]*+(?:\\[^\n][^"\\\n]*+)*+"'
+LINE_COMMENT = r"//[^\n]*+"
+BLOCK_COMMENT = r"/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/"
+CHAR = r"'(?:[^'\\\n]|\\[^\n][^'\\\n]*+)'"
+DIRECTIVE = r"(?md:^)[ \t]*+#[^\n]*+"
+CODE_TOKEN = "|".join((VERBATIM, REGULAR, LINE_COMMENT, BLOCK_COMMENT, CHAR, DIRECTIVE))
+# Markup: any quoted run.
 MARKUP_TOKEN = r'"[^"]*+"'
 
 PROFILES = {"code": CODE_TOKEN, "markup": MARKUP_TOKEN}
+# What opens a token: outside all tokens it is stray, and the file's tokens can't be trusted (FLT-03).
+OPENERS = {"code": ('"', "'", "/*"), "markup": ('"',)}
+# Kinds of tokens that are string literals; the others are line and block comments, characters and preprocessor lines.
+LITERALS = ("regular", "verbatim", "interpolated")
 
 # White space as .NET ``Char.IsWhiteSpace`` sees it: separators, the C0
 # controls 9-13 and U+0085. The same class works in Java and RE2.

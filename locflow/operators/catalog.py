@@ -37,11 +37,11 @@ def derive_keys(texts: DataFrame, text_col: str = "text", lang_col: str = "lang"
     first = (F.min(F.struct(*[F.col(c) for c in order_cols])).alias("first_seen")
              if order_cols else F.lit(None).cast("string").alias("first_seen"))
     aggs = [first, F.count(F.lit(1)).alias("uses")]
-    base = texts.filter(~T.is_blank(text_col))
+    base = texts.filter(~T.is_blank(text_col) if explicit_col else T.has_key(text_col))
     if explicit_col:
         aggs.append(F.min(explicit_col).alias("_explicit"))
         d = base.groupBy(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).agg(*aggs)
-        d = d.withColumn("key", T.key_for("text", explicit="_explicit")).drop("_explicit")
+        d = d.withColumn("key", T.key_for("text", explicit="_explicit")).drop("_explicit").filter(F.length("key") > 0)
     else:
         # The key is a function of the text, so it is derived before the
         # shuffle and becomes part of the grouping: the per-key count and the
@@ -50,7 +50,6 @@ def derive_keys(texts: DataFrame, text_col: str = "text", lang_col: str = "lang"
         d = (base.withColumn("_key", T.pascal_key(text_col))
                  .groupBy(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col("_key").alias("key"))
                  .agg(*aggs))
-    d = d.filter(F.length("key") > 0)
     if materialize:
         d = stage(d, "distinct_texts")
     # The count per key is a partial aggregation joined back on (lang, key):
@@ -72,8 +71,7 @@ def key_set(texts: DataFrame, text_col: str = "text", lang_col: str | None = Non
     count of ``derive_keys`` is not needed.
     """
     cols = ([F.col(lang_col).alias("lang")] if lang_col else []) + [T.pascal_key(text_col).alias("key")]
-    return (texts.filter(~T.is_blank(text_col)).select(*cols)
-                 .filter(F.length("key") > 0).distinct())
+    return texts.filter(T.has_key(text_col)).select(*cols).distinct()
 
 
 def key_conflicts(keys: DataFrame) -> DataFrame:
@@ -112,11 +110,11 @@ def catalog_rows(texts: DataFrame, text_col: str = "text", lang_col: str = "lang
     source = F.col(source_col) if source_col else F.col(text_col)
     if legacy_source:
         source = F.lit("")
-    return (texts.filter(~T.is_blank(text_col))
-                 .select(F.col(lang_col).alias("lang"), key.alias("key"), source.alias("source"),
-                         F.col(text_col).alias("target"), F.lit(True).alias("translate"),
-                         F.lit(origin).alias("origin"), seq.alias("seq"))
-                 .filter(F.length("key") > 0))
+    # a filter on a derived key would derive it a second time, so the text tells whether there will be one
+    keyed = ~T.is_blank(text_col) & (F.length(key_col) > 0) if key_col else T.has_key(text_col)
+    return texts.filter(keyed).select(
+        F.col(lang_col).alias("lang"), key.alias("key"), source.alias("source"), F.col(text_col).alias("target"),
+        F.lit(True).alias("translate"), F.lit(origin).alias("origin"), seq.alias("seq"))
 
 
 def first_wins(rows: DataFrame, with_count: bool = False) -> DataFrame:
@@ -192,19 +190,23 @@ def to_catalog_rows(texts: DataFrame, pivot: str = "en", text_col: str = "text",
                  .select(*keep, F.col("_r.lang").alias("lang"), F.col("_r.target").alias("target")))
 
 
-def known_keys(df: DataFrame, constants: DataFrame, key_col: str = "key") -> DataFrame:
-    """Rows whose key is already declared (JN-01), ``left_semi``."""
-    return df.join(constants.select(F.col("key").alias(key_col)).distinct(), key_col, "left_semi")
+def known_keys(df: DataFrame, constants: DataFrame, key_col: str = "key", hot: DataFrame | None = None) -> DataFrame:
+    """Rows whose key is already declared (JN-01), ``left_semi``; a hot key's rows are spread over salts.
+
+    Without ``hot`` (as of ``skew.hot_keys``) the keys of ``df`` are counted,
+    so pass a staged table or the counts at hand.
+    """
+    return salted_join(df, constants.select(F.col("key").alias(key_col)).distinct(), [key_col], "left_semi", hot=hot)
 
 
-def new_keys(df: DataFrame, constants: DataFrame, key_col: str = "key") -> DataFrame:
-    """Rows whose key is not declared yet (JN-01), ``left_anti``."""
-    return df.join(constants.select(F.col("key").alias(key_col)).distinct(), key_col, "left_anti")
+def new_keys(df: DataFrame, constants: DataFrame, key_col: str = "key", hot: DataFrame | None = None) -> DataFrame:
+    """Rows whose key is not declared yet (JN-01), ``left_anti``; salted as ``known_keys``."""
+    return salted_join(df, constants.select(F.col("key").alias(key_col)).distinct(), [key_col], "left_anti", hot=hot)
 
 
 def missing_constants(catalog: DataFrame, constants: DataFrame) -> DataFrame:
     """Catalog keys without a constant (JN-03): distinct ``key``."""
-    return new_keys(catalog.select("key").distinct(), constants)
+    return catalog.select("key").distinct().join(constants.select("key").distinct(), "key", "left_anti")
 
 
 def compare_keys(catalog: DataFrame, constants: DataFrame) -> DataFrame:

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locflow.functions import text as T
-from locflow.functions.tokens import CONST_LINE, LOOKUP_PREFIXES, PROFILES
+from locflow.functions.tokens import CONST_LINE, LITERALS, LOOKUP_PREFIXES, OPENERS, PROFILES
+from locflow.operators.context import token_contexts
 from locflow.operators.skew import hot_keys, salted_join
 
 TOKS, GAPS = "_toks", "_gaps"
@@ -38,20 +39,23 @@ def tokenize(df: DataFrame, text_col: str = "content", profile: str = "code") ->
     return df.select("*", F.inline(F.array(arrays)))
 
 
-def _stray_quotes(gaps) -> F.Column:
-    joined = F.array_join(gaps, "")
-    return F.length(joined) - F.length(F.replace(joined, F.lit('"'), F.lit("")))
+def stray_openers(gaps, profile: str = "code") -> F.Column:
+    """Quotes and block comment openers that stand in no token; gaps are set apart so that two of them make no opener."""
+    outside = F.array_join(gaps, "\n")
+    return sum(((F.length(outside) - F.length(F.replace(outside, F.lit(o), F.lit("")))) / len(o) for o in OPENERS[profile]),
+               F.lit(0)).cast("bigint")
 
 
 def balance(df: DataFrame, text_col: str = "content", profile: str = "code") -> DataFrame:
     """Per file: token count, quotes left outside any token, and ``balanced`` (AGG-02).
 
-    A quote that no token consumed is a literal that never closes (FLT-03);
-    counting those replaces the reference's parity test on live quotes.
+    A quote (in code of either kind, or ``/*``) that no token consumed opens
+    something that never closes (FLT-03); counting those replaces the
+    reference's parity test on live quotes.
     """
     t = tokenize(df, text_col, profile)
     return (t.withColumn("n_tokens", F.size(TOKS).cast("bigint"))
-             .withColumn("stray_quotes", _stray_quotes(F.col(GAPS)).cast("bigint"))
+             .withColumn("stray_quotes", stray_openers(F.col(GAPS), profile))
              .withColumn("balanced", F.col("stray_quotes") == 0))
 
 
@@ -73,11 +77,13 @@ def quarantine_unbalanced(df: DataFrame, text_col: str = "content", id_cols=("pa
 
 def extract_literals(df: DataFrame, text_col: str = "content", id_cols=("path",),
                      profile: str = "code", prefixes=LOOKUP_PREFIXES, positions: bool = True,
-                     line_rule: bool = False, keep_comments: bool = False) -> DataFrame:
-    """``literals(<id>, ordinal, kind, raw, text, wrapped[, offset, line_no])`` (EXT-01/02/09, FLT-04/05).
+                     line_rule: bool = False, keep_comments: bool = False, context: bool = False) -> DataFrame:
+    """``literals(<id>, ordinal, kind, raw, text, wrapped[, context][, offset, line_no])`` (EXT-01/02/09, FLT-04/05).
 
-    * ``ordinal``: 0-based index among all tokens of the file (comments included).
-    * ``kind``: ``regular`` | ``verbatim`` | ``interpolated`` | ``comment``.
+    * ``ordinal``: 0-based index among all tokens of the file (comments, characters and preprocessor lines included).
+    * ``kind``: ``regular`` | ``verbatim`` | ``interpolated``; with ``keep_comments`` also ``comment``, ``block``,
+      ``char`` and ``directive``.
+    * ``context``: where the literal stands (``operators.context``); found within the file's row, no shuffle.
     * ``text``: characters between the quotes (EXT-09).
     * ``wrapped``: the literal sits right behind a lookup prefix (FLT-05).
     * ``offset``/``line_no``: code-point offset of the token and its 1-based line
@@ -88,7 +94,11 @@ def extract_literals(df: DataFrame, text_col: str = "content", id_cols=("path",)
     """
     ids = list(id_cols)
     t = tokenize(df, text_col, profile)
-    pairs = F.arrays_zip(F.slice(F.col(GAPS), 1, F.size(TOKS)).alias("gap"), F.col(TOKS).alias("raw"))
+    parts = [F.slice(F.col(GAPS), 1, F.size(TOKS)).alias("gap"), F.col(TOKS).alias("raw")]
+    if context:
+        t = t.select("*", F.inline(F.array(F.struct(token_contexts(F.col(GAPS), profile).alias("_contexts")))))
+        parts.append(F.col("_contexts").alias("context"))
+    pairs = F.arrays_zip(*parts)
     cols = ids + [F.posexplode(pairs).alias("pos", "tk")]
     if line_rule:
         lines = F.split(F.col(text_col), "\n", -1)
@@ -104,7 +114,7 @@ def extract_literals(df: DataFrame, text_col: str = "content", id_cols=("path",)
         wrapped = wrapped | gap.endswith(p)
     x = x.select(*ids, F.col("pos").cast("bigint").alias("ordinal"), kind.alias("kind"),
                  raw.alias("raw"), wrapped.alias("wrapped"), gap.alias("_gap"),
-                 *(["_line_flags"] if line_rule else []))
+                 *([F.col("tk.context").alias("context")] if context else []), *(["_line_flags"] if line_rule else []))
     x = x.withColumn("text", T.inner_text("raw", "kind"))
     if positions or line_rule:
         # Only lengths and line-break counts cross the shuffle, not the gap text.
@@ -124,7 +134,7 @@ def extract_literals(df: DataFrame, text_col: str = "content", id_cols=("path",)
         if not positions:
             x = x.drop("offset", "line_no")
     if not keep_comments:
-        x = x.filter(F.col("kind") != "comment")
+        x = x.filter(F.col("kind").isin(*LITERALS))
     return x
 
 
@@ -137,7 +147,7 @@ def distinct_texts(literals: DataFrame, id_cols=("path",), text_col: str = "text
     """
     keep = literals.filter(~T.is_blank(text_col))
     if "kind" in literals.columns:
-        keep = keep.filter(F.col("kind") != "comment")
+        keep = keep.filter(F.col("kind").isin(*LITERALS))
     if "wrapped" in literals.columns:
         keep = keep.filter(~F.col("wrapped"))
     return (keep.withColumn(text_col, T.first_line(text_col))

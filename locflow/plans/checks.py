@@ -128,7 +128,7 @@ def q_literals(spark, sf_dir):
 
 @register("q_code_literals", f"""
 WITH {O.code_cte()}, {O.literals_cte('lit', 'code', ['doc_id'], 'content', 'code')}
-SELECT doc_id, ordinal, kind, line_no, text, wrapped FROM lit WHERE kind <> 'comment'
+SELECT doc_id, ordinal, kind, line_no, text, wrapped FROM lit
 """)
 def q_code_literals(spark, sf_dir):
     """EXT-01/02/09, FLT-04/05 on the code view: regular and verbatim literals, comments skipped."""
@@ -137,22 +137,19 @@ def q_code_literals(spark, sf_dir):
 
 @register("q_unbalanced", f"""
 WITH {O.code_cte()},
-t AS (SELECT doc_id, regexp_extract_all(content, {O.q(O.TOKENS['code'])}) AS toks,
-             array_to_string(string_split_regex(content, {O.q(O.TOKENS['code'])}), '') AS g FROM code)
-SELECT doc_id, CAST(len(toks) AS BIGINT) AS n_tokens,
-       CAST(length(g) - length(replace(g, '"', '')) AS BIGINT) AS stray_quotes,
-       length(g) - length(replace(g, '"', '')) = 0 AS balanced
+t AS (SELECT doc_id, regexp_extract_all(content, {O.q(O.TOKENS['code'])}) AS toks, {O.stray('content')} AS stray FROM code)
+SELECT doc_id, CAST(len(toks) AS BIGINT) AS n_tokens, CAST(stray AS BIGINT) AS stray_quotes, stray = 0 AS balanced
 FROM t
 """)
 def q_unbalanced(spark, sf_dir):
-    """FLT-03, AGG-02: quotes outside any token per file; unbalanced files are set aside."""
+    """FLT-03, AGG-02: quotes and comment openers outside any token per file; unbalanced files are set aside."""
     return X.balance(FX.code_sources(spark, sf_dir)).select("doc_id", "n_tokens", "stray_quotes", "balanced")
 
 
 @register("q_distinct_texts", f"""
 WITH {O.pages_cte()}, {O.literals_cte('lit', 'pg', ['page_id'], 'html', 'markup', positions=False)}
 SELECT page_id, {O.first_line('text')} AS text, min(ordinal) AS first_ordinal, count(*) AS uses
-FROM lit WHERE NOT {O.blank('text')} AND kind <> 'comment' AND NOT wrapped
+FROM lit WHERE NOT {O.blank('text')} AND NOT wrapped
 GROUP BY page_id, {O.first_line('text')}
 """)
 def q_distinct_texts(spark, sf_dir):
@@ -161,7 +158,7 @@ def q_distinct_texts(spark, sf_dir):
 
 
 _BOLD_SELECT = (f"SELECT doc_id, ordinal, text, {O.bold('text', 1)} AS open_tag, {O.bold('text', 2)} AS core, "
-                f"{O.bold('text', 3)} AS close_tag FROM lit WHERE kind <> 'comment' AND {O.bold_hit('text')}")
+                f"{O.bold('text', 3)} AS close_tag FROM lit WHERE {O.bold_hit('text')}")
 
 
 @register("q_bold", f"""
@@ -251,6 +248,26 @@ def q_classify(spark, sf_dir):
         "src", "id", "ordinal", "text", "translatable", "reason")
 
 
+@register("q_classify_places", f"""
+WITH {O.pages_cte()}, {O.literals_cte('plit', 'pg', ['page_id'], 'html', 'markup', positions=False)},
+{O.code_cte()}, {CODE_LITS}, {DOC_STOP},
+l AS (SELECT 'page' AS src, page_id AS id, ordinal, text, context FROM plit
+      UNION ALL SELECT 'code', doc_id, ordinal, {O.literal_value('kind', 'text')}, context FROM lit WHERE kind IN ('regular', 'verbatim')),
+c AS (SELECT l.*, {O.reason('text', O.place_rules())} AS reason FROM l LEFT JOIN stop s ON l.text = s.token)
+SELECT src, id, ordinal, text, context, reason = 'text' AS translatable, reason FROM c
+""")
+def q_classify_places(spark, sf_dir):
+    """FLT-06 with the position: the place of every page and code literal takes part in its verdict, so one text
+    (``Pick 7``) is translatable in one call and not in another."""
+    pages = X.extract_literals(FX.pages(spark, sf_dir), "html", ("page_id",), "markup", positions=False, context=True).select(
+        F.lit("page").alias("src"), F.col("page_id").alias("id"), "ordinal", "text", "context")
+    code = X.extract_literals(FX.code_sources(spark, sf_dir), "content", ("doc_id",), "code", positions=False, context=True)
+    code = code.filter(F.col("kind") != "interpolated").select(
+        F.lit("code").alias("src"), F.col("doc_id").alias("id"), "ordinal", T.literal_value("text", "kind").alias("text"), "context")
+    return K.classify(pages.unionByName(code), K.stoplist(spark), context_col="context").select(
+        "src", "id", "ordinal", "text", "context", "translatable", "reason")
+
+
 @register("q_decisions", f"""
 WITH {O.doc_lines_cte()}, {DOC_STOP},
 c AS (SELECT d.doc_id, d.text, {O.reason('d.text', "WHEN line_no = 1 THEN 'heading'")} = 'text' AS translatable
@@ -387,8 +404,7 @@ def q_upsert_conflicts(spark, sf_dir):
 
 
 _CAT_KEYS = (f"{O.code_cte()}, {_CONSTS}, "
-             f"bal AS (SELECT doc_id FROM (SELECT doc_id, array_to_string(string_split_regex(content, {O.q(O.TOKENS['code'])}), '') AS g FROM code) "
-             "WHERE length(g) = length(replace(g, '\"', ''))), "
+             f"bal AS (SELECT doc_id FROM code WHERE {O.stray('content')} = 0), "
              f"{O.doc_lines_cte()}, {_KEYS}, "
              "cat AS (SELECT key FROM consts WHERE doc_id IN (SELECT doc_id FROM bal) "
              "UNION SELECT key FROM keys)")
@@ -599,13 +615,12 @@ def q_review(spark, sf_dir):
 # ---------------------------------------------------------------- flows
 
 _FLOW_BASE = (f"{O.code_cte()}, {CODE_LITS}, "
-              f"bal AS (SELECT doc_id FROM (SELECT doc_id, array_to_string(string_split_regex(content, {O.q(O.TOKENS['code'])}), '') AS g FROM code) "
-              "WHERE length(g) = length(replace(g, '\"', ''))), "
-              f"val AS (SELECT doc_id, ordinal, {O.literal_value('kind', 'text')} AS text FROM lit "
+              f"bal AS (SELECT doc_id FROM code WHERE {O.stray('content')} = 0), "
+              f"val AS (SELECT doc_id, ordinal, {O.literal_value('kind', 'text')} AS text, context FROM lit "
               "WHERE kind IN ('regular', 'verbatim') AND NOT wrapped AND doc_id IN (SELECT doc_id FROM bal)), "
               f"cand AS (SELECT * FROM val WHERE NOT {O.blank('text')}), "
               f"{DOC_STOP}, "
-              f"cls0 AS (SELECT c.*, {O.reason('c.text')} = 'text' AS translatable FROM cand c LEFT JOIN stop s ON c.text = s.token), "
+              f"cls0 AS (SELECT c.*, {O.reason('c.text', O.place_rules())} = 'text' AS translatable FROM cand c LEFT JOIN stop s ON c.text = s.token), "
               f"{O.split_cte('cls', 'cls0')}")
 
 
@@ -660,10 +675,10 @@ def _labelled_catalog(spark, sf_dir):
     return C.first_wins(rows)
 
 
-def _translated(spark, sf_dir):
+def _translated(spark, sf_dir, only):
     from locflow.plans.flows import translate_files
     return translate_files(FX.code_sources(spark, sf_dir), K.stoplist(spark), FX.labelled_decisions(spark, sf_dir),
-                           _labelled_catalog(spark, sf_dir), ("doc_id",))
+                           _labelled_catalog(spark, sf_dir), ("doc_id",), only=only)
 
 
 @register("q_translate_files", f"""{_KEPT},
@@ -678,7 +693,7 @@ FROM y GROUP BY doc_id
 """)
 def q_translate_files(spark, sf_dir):
     """Flow A on the code view: kept literals replaced by their lookups, per balanced file."""
-    return _translated(spark, sf_dir)[0].select("doc_id", "rewritten", "replaced")
+    return _translated(spark, sf_dir, "rewritten")[0].select("doc_id", "rewritten", "replaced")
 
 
 @register("q_translate_inserted", f"""{_KEPT}
@@ -686,7 +701,7 @@ SELECT lang, key, target, doc_id, ordinal FROM win ANTI JOIN ex USING (lang, key
 """)
 def q_translate_inserted(spark, sf_dir):
     """Flow A, JN-02: catalog rows that the kept literals add, with their whole values."""
-    return _translated(spark, sf_dir)[1].select("lang", "key", "target", F.col("seq.doc_id").alias("doc_id"),
+    return _translated(spark, sf_dir, "catalog")[1].select("lang", "key", "target", F.col("seq.doc_id").alias("doc_id"),
                                                 F.col("seq.ordinal").alias("ordinal"))
 
 
@@ -699,7 +714,7 @@ FROM (SELECT DISTINCT lang, key, text FROM pos) d JOIN win w USING (lang, key) W
 """)
 def q_translate_conflicts(spark, sf_dir):
     """Flow A, Q12: literals whose key stands for another text."""
-    return _translated(spark, sf_dir)[2]
+    return _translated(spark, sf_dir, "catalog")[2]
 
 
 @register("q_translate_rejects", f"""
@@ -819,10 +834,8 @@ def q_xliff_named(spark, sf_dir):
 @register("q_source_files", f"""
 WITH {O.code_cte()},
 f AS (SELECT doc_id, content || chr(10) AS content FROM code),
-t AS (SELECT doc_id, content, regexp_extract_all(content, {O.q(O.TOKENS['code'])}) AS toks,
-             array_to_string(string_split_regex(content, {O.q(O.TOKENS['code'])}), '') AS g FROM f)
-SELECT doc_id, CAST(length(content) AS BIGINT) AS n_chars, CAST(len(toks) AS BIGINT) AS n_tokens,
-       length(g) - length(replace(g, '"', '')) = 0 AS balanced
+t AS (SELECT doc_id, content, regexp_extract_all(content, {O.q(O.TOKENS['code'])}) AS toks, {O.stray('content')} AS stray FROM f)
+SELECT doc_id, CAST(length(content) AS BIGINT) AS n_chars, CAST(len(toks) AS BIGINT) AS n_tokens, stray = 0 AS balanced
 FROM t
 """)
 def q_source_files(spark, sf_dir):
@@ -839,6 +852,39 @@ def q_source_files(spark, sf_dir):
     return b.select("doc_id", F.length("content").cast("bigint").alias("n_chars"), "n_tokens", "balanced")
 
 
+@register("q_rewritten_files", f"""{_KEPT},
+t AS (SELECT doc_id, path, regexp_extract_all(content, {O.q(O.TOKENS['code'])}) AS toks,
+             string_split_regex(content, {O.q(O.TOKENS['code'])}) AS gaps FROM code WHERE doc_id IN (SELECT doc_id FROM bal)),
+x AS (SELECT doc_id, path, unnest(gaps) AS gap, generate_subscripts(gaps, 1) AS i, toks FROM t),
+y AS (SELECT x.doc_id, x.path, x.i, x.gap, CASE WHEN x.i <= len(x.toks) THEN x.toks[x.i] END AS tok, p.key, p.prefix, p.suffix
+      FROM x LEFT JOIN pos p ON p.doc_id = x.doc_id AND p.ordinal = x.i - 1),
+z AS (SELECT path, string_agg(gap || coalesce({O.split_lookup()}, tok, ''), '' ORDER BY i) AS body FROM y GROUP BY path)
+SELECT path, octet_length(encode(body))::BIGINT AS bytes, sha256(body) AS sha256 FROM z
+""")
+def q_rewritten_files(spark, sf_dir):
+    """SNK-02: the rewritten code files written one by one under their own paths, and read back as bytes."""
+    from locflow.sources.tree import read_tree, write_tree
+    rewritten = _translated(spark, sf_dir, "rewritten")[0]
+    path = _folder(spark, "files")
+    write_tree(rewritten, path, text_col="rewritten")
+    return read_tree(spark, path).select("path", F.octet_length("content").cast("bigint").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+@register("q_split_tokens", f"""
+WITH {O.code_cte()}, {CODE_LITS}
+SELECT kind, text, wrapped, count(*) AS n FROM lit GROUP BY ALL
+""")
+def q_split_tokens(spark, sf_dir):
+    """SRC-05, EXT-01: the code view written as one large file per source and task, tokenised by splits at once (chunks of
+    500 lines); the literals are those of the documents' own files."""
+    from locflow.operators.splits import split_literals
+    path = _folder(spark, "large")
+    (FX.code_sources(spark, sf_dir).select(F.regexp_extract("path", "src/([^/]*)/", 1).alias("source"), "content")
+        .write.partitionBy("source").text(path))
+    lit, _ = split_literals(spark, path, glob="*.txt", chunk_lines=500, only_balanced=False)
+    return lit.groupBy("kind", "text", "wrapped").agg(F.count("*").alias("n"))
+
+
 def _folder(spark, name):
     """A fresh folder under the session's shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)

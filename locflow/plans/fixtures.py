@@ -17,9 +17,9 @@ from locflow.sources.tables import table
 
 # The `code` view. Each document becomes a C#-like file: a
 # constant per line of its text (quotes and backslashes escaped), then lines
-# that exercise comments, escapes, verbatim, multi-line and interpolated
-# strings, bold markup, an existing lookup, and every rule and vocabulary of
-# the classifier. Documents whose text holds a digit also get a literal that
+# that exercise comments of both kinds, character literals, preprocessor
+# lines, escapes, verbatim, multi-line and interpolated strings, bold markup,
+# an existing lookup, and every rule, place and vocabulary of the classifier. Documents whose text holds a digit also get a literal that
 # never closes.
 CODE_HEAD = ("namespace N {",)
 CODE_TAIL = (
@@ -36,6 +36,15 @@ CODE_TAIL = (
     'var n = "{id}.5" + "user_name{id}" + "*** --- ***" + "./up/{id}";',
     'var h = "href" + "table" + ".css" + "hidden" + "report{id}.xml" + "f{id}.cs";',
     'var k = "Saved.ok" + "Say \\"hi\\"" + "Label {id}:";',
+    "char q = '\"'; var d = \"after {id}\"; char e = '\"', f2 = '\\'', g2 = '\\\\', h2 = '\\u0022';",
+    '/* block "quoted {id}"\n it\'s "two" // lines **/ var p = "behind {id}"; // it\'s "one"',
+    '#region don\'t "touch" {id}',
+    'var t = a/"slash {id}"*2; /**/ var o = "/* no comment {id} */"; /***"x"***/',
+    '  # endregion "',
+    '[Obsolete("Use other {id}")]',
+    'if (x.StartsWith("Pick {id}") || m["Item {id}"] == "Done {id}" && "Yes {id}" != y) Show("Pick {id}", /* and */ "Done {id}");',
+    'switch (x) { case "Case {id}": Add(key, "Case {id}" + "tail {id}"); break; }',
+    'w = w.Replace(\'a\', "Repl {id}").Replace("old {id}", "new {id}" + n);',
 )
 CODE_OPEN = 'var z = "open'
 CODE_END = "}"

@@ -8,7 +8,12 @@ are written down once more, in RE2 and SQL terms.
 
 from __future__ import annotations
 
-TOKENS = {"code": r'(?:\$@|@\$?)"[^"]*(?:""[^"]*)*"|\$?"[^"\\\n]*(?:\\.[^"\\\n]*)*"|//[^\n]*', "markup": r'"[^"]*"'}
+_VERBATIM = r'(?:\$@|@\$?)"[^"]*(?:""[^"]*)*"'
+_REGULAR = r'\$?"[^"\\\n]*(?:\\[^\n][^"\\\n]*)*"'
+_COMMENTS = r"//[^\n]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/"
+_CHAR = r"'(?:[^'\\\n]|\\[^\n][^'\\\n]*)'"
+TOKENS = {"code": f"{_VERBATIM}|{_REGULAR}|{_COMMENTS}|{_CHAR}" + r"|(?m:^)[ \t]*#[^\n]*", "markup": r'"[^"]*"'}
+LITERAL_KINDS = "('regular', 'verbatim', 'interpolated')"
 NL = "chr(10)"
 WS = r"[\p{Z}\t\n\x0B\f\r\x{85}]"
 EDGES = (r"^[^\p{L}\p{N}]{0,2}", r"[^\p{L}\p{N}]{0,2}\z")
@@ -89,6 +94,16 @@ def code_cte() -> str:
         "'var n = \"' || doc_id || '.5\" + \"user_name' || doc_id || '\" + \"*** --- ***\" + \"./up/' || doc_id || '\";'",
         "'var h = \"href\" + \"table\" + \".css\" + \"hidden\" + \"report' || doc_id || '.xml\" + \"f' || doc_id || '.cs\";'",
         "'var k = \"Saved.ok\" + \"Say \\\"hi\\\"\" + \"Label ' || doc_id || ':\";'",
+        """'char q = ''"''; var d = "after ' || doc_id || '"; char e = ''"'', f2 = ''\\'''', g2 = ''\\\\'', h2 = ''\\u0022'';'""",
+        """'/* block "quoted ' || doc_id || '"' || chr(10) || ' it''s "two" // lines **/ var p = "behind ' || doc_id || '"; // it''s "one"'""",
+        """'#region don''t "touch" ' || doc_id""",
+        """'var t = a/"slash ' || doc_id || '"*2; /**/ var o = "/* no comment ' || doc_id || ' */"; /***"x"***/'""",
+        """'  # endregion "'""",
+        """'[Obsolete("Use other ' || doc_id || '")]'""",
+        """'if (x.StartsWith("Pick ' || doc_id || '") || m["Item ' || doc_id || '"] == "Done ' || doc_id || '" && "Yes ' || doc_id """
+        """|| '" != y) Show("Pick ' || doc_id || '", /* and */ "Done ' || doc_id || '");'""",
+        """'switch (x) { case "Case ' || doc_id || '": Add(key, "Case ' || doc_id || '" + "tail ' || doc_id || '"); break; }'""",
+        """'w = w.Replace(''a'', "Repl ' || doc_id || '").Replace("old ' || doc_id || '", "new ' || doc_id || '" + n);'""",
     ]
     return ("code AS (SELECT doc_id, lang, 'src/' || source || '/f' || doc_id || '.cs' AS path, "
             "concat_ws(chr(10), 'namespace N {', '// \"note ' || doc_id || '\"', " + consts + ", "
@@ -104,28 +119,65 @@ def pages_cte() -> str:
             "FROM pages)")
 
 
+def stray(text: str, profile: str = "code") -> str:
+    """Openers outside all tokens of a text."""
+    g = f"array_to_string(string_split_regex({text}, {q(TOKENS[profile])}), chr(10))"
+    n = lambda o: f"(length({g}) - length(replace({g}, {q(o)}, ''))) // {len(o)}"
+    return "(" + " + ".join(map(n, ('"', "'", "/*") if profile == "code" else ('"',))) + ")"
+
+
+def context(profile: str) -> str:
+    """Place of a token by the gap before (``gap``) and behind it (``nxt``); null where the token before it decides."""
+    m = lambda e, p: f"regexp_matches({e}, {q(p)})"
+    call = r"^\s*(?:,[^(){};]*)?\(\s*([A-Za-z0-9_]+)"
+    if profile == "markup":
+        name = f"lower(reverse(regexp_extract(reverse(gap), {q(r'^\s*=\s*([A-Za-z0-9:_.-]+)')}, 1)))"
+        return f"CASE WHEN {name} <> '' THEN 'attr:' || {name} ELSE '' END"
+    return (f"CASE WHEN {m('reverse(gap)', r'^\s*=[=!]')} OR {m('nxt', r'^\s*[=!]=')} THEN 'compare' "
+            f"WHEN {m('gap', r'^\s*[,+]?\s*$')} THEN NULL "
+            f"WHEN {m('reverse(gap)', r'^\s*(?:,[^(){};]*)?\(\s*[A-Za-z0-9_.:]+\s*\[(?:[ \t\r]*(?:\n|\z)|\s*[{};])')} THEN 'attribute' "
+            f"WHEN {m('reverse(gap)', r'^\s+esac(?:[^A-Za-z0-9_]|\z)')} THEN 'case' "
+            f"WHEN {m('reverse(gap)', r'^\s*\[\s*[A-Za-z0-9_\])]')} THEN 'index' "
+            f"WHEN {m('reverse(gap)', call)} THEN 'call:' || reverse(regexp_extract(reverse(gap), {q(call)}, 1)) ELSE '' END")
+
+
+CALLS = ("Attribute Combine Compare CompareTo Contains Element EndsWith Equals FindName GetAttribute GetEnvironmentVariable GetField "
+         "GetMethod GetProperty IndexOf LastIndexOf OpenSubKey Replace SetAttribute Split StartsWith Trim TrimEnd TrimStart")
+SHOWN = "alt aria-label content label placeholder summary title value"
+
+
+def place_rules(c: str = "context") -> str:
+    """The rules of a place, for the front of ``reason``."""
+    some = lambda words: "(" + ", ".join(map(q, words.split())) + ")"
+    return (f"WHEN {c} IN ('attribute', 'case', 'index', 'compare') THEN 'context:' || {c} "
+            f"WHEN starts_with({c}, 'call:') AND {c}[6:] IN {some(CALLS)} THEN 'context:call' "
+            f"WHEN starts_with({c}, 'attr:') AND {c}[6:] NOT IN {some(SHOWN)} THEN 'context:attr'")
+
+
 def literals_cte(name: str, src: str, ids: list[str], text: str, profile: str, positions: bool = True) -> str:
-    """Tokens of ``src.text`` with ordinal, kind, text, wrapped[, offset, line_no]."""
+    """Tokens of ``src.text`` with ordinal, kind, text, wrapped, context[, offset, line_no]."""
     pat = q(TOKENS[profile])
     idl = ", ".join(ids)
     wrapped = " OR ".join(f"ends_with(gap, {q(p)})" for p in WRAPPERS)
     pos = ""
-    win = ""
+    win = f" WINDOW u AS (PARTITION BY {idl} ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     if positions:
         pos = (f", CAST(coalesce(sum(length(gap) + length(raw)) OVER w, 0) + length(gap) AS BIGINT) AS \"offset\""
                f", CAST(coalesce(sum({newlines('gap')} + {newlines('raw')}) OVER w, 0) + {newlines('gap')} + 1 AS BIGINT) AS line_no")
-        win = f" WINDOW w AS (PARTITION BY {idl} ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        win += f", w AS (PARTITION BY {idl} ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    first = "strpos(raw, '\"')"
     return (f"{name}_t AS (SELECT {idl}, regexp_extract_all({text}, {pat}) AS toks, "
             f"string_split_regex({text}, {pat}) AS gaps FROM {src}), "
             f"{name}_x AS (SELECT {idl}, CAST(generate_subscripts(toks, 1) - 1 AS BIGINT) AS ordinal, "
-            f"unnest(toks) AS raw, unnest(gaps[1:len(toks)]) AS gap FROM {name}_t), "
-            f"{name}_k AS (SELECT *, CASE WHEN starts_with(raw, '//') THEN 'comment' "
+            f"unnest(toks) AS raw, unnest(gaps[1:len(toks)]) AS gap, unnest(gaps[2:]) AS nxt FROM {name}_t), "
+            f"{name}_k AS (SELECT *, CASE WHEN starts_with(raw, '//') THEN 'comment' WHEN starts_with(raw, '/*') THEN 'block' "
+            f"WHEN starts_with(raw, chr(39)) THEN 'char' WHEN regexp_matches(raw, '^[ \\t]*#') THEN 'directive' "
             f"WHEN contains(split_part(raw, '\"', 1), '$') THEN 'interpolated' "
-            f"WHEN starts_with(raw, '@') THEN 'verbatim' ELSE 'regular' END AS kind FROM {name}_x), "
-            f"{name} AS (SELECT {idl}, ordinal, kind, raw, "
-            f"CASE WHEN kind = 'comment' THEN substr(raw, 2, length(raw) - 2) "
-            f"ELSE substr(raw, strpos(raw, '\"') + 1, length(raw) - strpos(raw, '\"') - 1) END AS text, "
-            f"({wrapped}) AS wrapped{pos} FROM {name}_k{win})")
+            f"WHEN starts_with(raw, '@') THEN 'verbatim' ELSE 'regular' END AS kind, {context(profile)} AS own FROM {name}_x), "
+            f"{name}_a AS (SELECT {idl}, ordinal, kind, raw, "
+            f"substr(raw, {first} + 1, length(raw) - {first} - 1) AS text, "
+            f"({wrapped}) AS wrapped, coalesce(last_value(own IGNORE NULLS) OVER u, '') AS context{pos} FROM {name}_k{win}), "
+            f"{name} AS (SELECT * FROM {name}_a WHERE kind IN {LITERAL_KINDS})")
 
 
 def stop_cte() -> str:

@@ -81,6 +81,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     return path
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers of a local session find this package; on a cluster it is installed or sent along (``--py-files``)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+
+
 def stage(df, name: str = "stage"):
     """Cut lineage: write ``df`` as Parquet into the session's checkpoint folder and read it back.
 

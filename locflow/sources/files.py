@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,6 +24,14 @@ def read_sources(spark: SparkSession, path: str, glob: str = "*.cs",
                      F.col("value").alias("content"))
 
 
+def below(root: str, path_col: str = "path") -> Column:
+    """The part of a file's path below the folder ``root`` (Spark names files by encoded URI); else the whole path."""
+    path = F.url_decode(F.replace(F.col(path_col), F.lit("+"), F.lit("%2B")))
+    folder = (root if "://" in root else os.path.abspath(root)).rstrip("/").split("://")[-1] + "/"
+    at = F.instr(path, folder)
+    return F.when(at > 0, path.substr(at + len(folder), F.length(path))).otherwise(path)
+
+
 def only_extension(df: DataFrame, ext: str = ".cs", path_col: str = "path") -> DataFrame:
     """Keep rows whose path ends with ``ext`` (FLT-07)."""
     return df.filter(F.col(path_col).endswith(ext))
@@ -43,7 +53,7 @@ def write_sources(df: DataFrame, path: str, text_col: str = "rewritten", path_co
                   fmt: str = "parquet") -> None:
     """Write rewritten sources keyed by ``path`` (SNK-02); never in place.
 
-    One row per source file; ``fmt='text'`` is not offered because a text
-    sink cannot keep the file's path next to its content.
+    One row per source file, the working store of a corpus; files under their
+    own names are written by ``sources.tree.write_tree``.
     """
     df.select(path_col, F.col(text_col).alias("content")).write.mode("overwrite").format(fmt).save(path)

@@ -12,9 +12,8 @@ from locflow.operators.skew import salted_join
 def clean_captures(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Add ``cleaned`` (quotes off both ends, colons off the end) and its ``key``; drop blank keys."""
     return (df.withColumn("cleaned", T.clean_capture(text_col))
-              .filter(~T.is_blank("cleaned"))
-              .withColumn("key", T.pascal_key("cleaned"))
-              .filter(F.length("key") > 0))
+              .filter(T.has_key("cleaned"))
+              .withColumn("key", T.pascal_key("cleaned")))
 
 
 def new_captures(stream: DataFrame, known: DataFrame, text_col: str = "text",

@@ -91,3 +91,26 @@ def test_cli_add_texts(spark, tmp_dir):
     lines = [l for p in sorted(os.listdir(os.path.join(folder, sub))) if p.startswith("part-")
              for l in open(os.path.join(folder, sub, p)).read().splitlines()]
     assert lines[1] == 'public const string NewEntry = "NewEntry";' and sum("Bye" in l for l in lines) == 1
+
+
+def test_cli_keeps_languages_nobody_named_and_names_rejects(spark, tmp_dir):
+    src, cats, keys = _setup(tmp_dir)
+    for tag in ("cs-CZ", "de-DE", "pt-BR"):
+        with open(os.path.join(cats, f"app.{tag}.xlf"), "w") as f:
+            f.write(CATALOG.replace('target-language="cs-CZ"', f'target-language="{tag}"'))
+    with open(os.path.join(cats, "untagged.xlf"), "w") as f:
+        f.write(CATALOG)
+    texts = os.path.join(tmp_dir, "texts.txt")
+    with open(texts, "w") as f:
+        f.write("New entry\n")
+    for k, args in enumerate((["translate", src, cats], ["add-texts", texts, cats, keys], ["migrate-constants", os.path.dirname(keys)])):
+        out = os.path.join(tmp_dir, f"out{k}")
+        main([*args, out] + (["--catalogs", cats] if args[0] == "migrate-constants" else ["--lang", "en"]), spark=spark)
+        back, _ = xliff.read_catalogs(spark, os.path.join(out, "catalog"), tags=None, glob="part-*", lang_from="attribute")
+        assert {r.lang for r in back.collect()} == {"cs", "de", "en", "pt"}, args[0]
+        assert any(r["stage"] == "catalog_name" and "untagged" in r["path"] for r in _json_rows(os.path.join(out, "rejects"))), args[0]
+    assert open(os.path.join(tmp_dir, "out0", "files", "a", "one.cs")).read() == (
+        'class A { string s = sess.i18n(XlfKeys.HelloWorld); string t = "utf-8"; }\n')
+    out = os.path.join(tmp_dir, "out9")
+    main(["missing-constants", cats, keys, out, "--tags", "en,cs"], spark=spark)
+    assert {r["detail"][-2:] for r in _json_rows(os.path.join(out, "rejects")) if r["stage"] == "catalog_name"} == {"de", "pt", ": "}

@@ -84,3 +84,53 @@ def test_clean_lines(spark):
                                   "path string, line_no long, line string")
     got = [(r.cleaned, r.uses, r.first_line_no) for r in X.clean_lines(lines).collect()]
     assert got == [("name", 2, 1)]
+
+
+CHARS = """char c = '"'; var d = "after"; char e = '"', f = '\\'', g = '\\\\';
+/* a "quoted" note
+   it's "more" **/ var h = "behind"; // it's
+#region don't "touch"
+var i = x/*"y"*/ + "last";
+"""
+
+
+def test_characters_comments_and_directives_hold_no_literals(spark):
+    df = spark.createDataFrame([("f", CHARS), ("open", 'a = "x"; /* "y"'), ("odd", "it's")], "path string, content string")
+    assert {r.path: r.stray_quotes for r in X.balance(df).collect()} == {"f": 0, "open": 1, "odd": 1}
+    got = _lits(spark, [("f", CHARS)], keep_comments=True).orderBy("ordinal").collect()
+    assert [r.text for r in got if r.kind == "regular"] == ["after", "behind", "last"]
+    assert [(r.kind, r.text) for r in got if r.kind not in ("regular", "comment")] == [
+        ("char", '"'), ("char", '"'), ("char", "\\'"), ("char", "\\\\"), ("block", ' a "quoted" note\n   it\'s "more" *'),
+        ("directive", 'region don\'t "touch"'), ("block", '"y"')]
+    assert [r.text for r in _lits(spark, [("f", CHARS)]).orderBy("ordinal").collect()] == ["after", "behind", "last"]
+    out = W.rewrite_sources(spark.createDataFrame([("f", CHARS)], "path string, content string"), select=lambda t: F.lit(True)).first()
+    want = CHARS
+    for t in ("after", "behind", "last"):
+        want = want.replace(f'"{t}"', f"sess.i18n(XlfKeys.{t.title()})")
+    assert out.rewritten == want and out.replaced == 3
+
+
+PLACES = """[Obsolete("a0")] class A {
+if (x.StartsWith("call") || m["index"] == "cmp" && "cmp2" != y) Show("shown", /* , */ 'c', "shown2" + "shown3");
+case "label": y[0] = "plain"; F(a, b[1], "arg2"); s.Replace('x', "repl").Trim ( "t" );
+[B][Display(Name = "no place")]
+[Other( "a1", "a2")]
+w = x == null ? "yes" : "no" == z ? Equals(x, "eq" + n + "eq2") : f("v") + "w";"""
+
+
+def test_places(spark):
+    got = {r.text: r.context for r in _lits(spark, [("f", PLACES)], context=True).collect()}
+    assert got == {"a0": "attribute", "call": "call:StartsWith", "index": "index", "cmp": "compare", "cmp2": "compare",
+                   "shown": "call:Show", "shown2": "call:Show", "shown3": "call:Show", "label": "case", "plain": "", "arg2": "call:F",
+                   "repl": "call:Replace", "t": "call:Trim", "no place": "", "a1": "attribute", "a2": "attribute", "yes": "", "no": "compare",
+                   "eq": "call:Equals", "eq2": "", "v": "call:f", "w": ""}
+    page = spark.createDataFrame([("p", '<a href="h" title = "t">"q"</a><img ALT="x" class="c d">')], "path string, content string")
+    got = {r.text: r.context for r in X.extract_literals(page, profile="markup", context=True).collect()}
+    assert got == {"h": "attr:href", "t": "attr:title", "q": "", "x": "attr:alt", "c d": "attr:class"}
+
+
+def test_places_of_many_tokens_and_of_none(spark):
+    long = "F(" + ", ".join(f'"v{k}"' for k in range(30_000)) + ");"
+    df = spark.createDataFrame([("long", long), ("none", "x"), ("empty", ""), ("null", None)], "path string, content string")
+    got = X.extract_literals(df, context=True, positions=False).groupBy("path", "context").count().collect()
+    assert [(r.path, r.context, r["count"]) for r in got] == [("long", "call:F", 30_000)]

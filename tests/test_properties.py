@@ -1,5 +1,8 @@
 """Properties, checked against brute force on generated inputs."""
 
+import os
+import tempfile
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -8,53 +11,67 @@ from conftest import SF01
 from locflow.functions import text as T
 from locflow.operators import catalog as C
 from locflow.operators import extract as X
+from locflow.operators.splits import split_literals
 from locflow.plans import fixtures as FX
+from locflow.sources.files import read_sources
 
 
 def scan(s: str):
-    """Brute-force scanner for the code grammar: verbatim, regular (backslash escapes, no newline), line comment."""
-    toks, i, n = [], 0, len(s)
-    while i < n:
-        if s.startswith('@"', i):
-            j = i + 2
-            while True:
-                k = s.find('"', j)
-                if k < 0:
-                    j = -1
-                    break
-                if k + 1 < n and s[k + 1] == '"':
-                    j = k + 2
-                    continue
-                j = k + 1
-                break
-            if j > 0:
-                toks.append(s[i:j]); i = j; continue
-            i += 1; continue
-        if s[i] == '"':
-            j = i + 1
-            ok = False
-            while j < n:
-                c = s[j]
-                if c == "\\" and j + 1 < n and s[j + 1] != "\n":
-                    j += 2; continue
-                if c == "\\" or c == "\n":
-                    break
-                if c == '"':
-                    ok = True; break
-                j += 1
-            if ok:
-                toks.append(s[i:j + 1]); i = j + 1; continue
-            i += 1; continue
-        if s.startswith("//", i):
-            k = s.find("\n", i)
-            k = n if k < 0 else k
-            toks.append(s[i:k]); i = k; continue
+    """Brute-force scanner for the code grammar, one state after the other, character by character."""
+    def verbatim(i):
+        """End of a verbatim literal whose first quote is at ``i``; a doubled quote goes on."""
+        i += 1
+        while i < len(s):
+            if s[i] == '"':
+                if s[i + 1:i + 2] != '"':
+                    return i + 1
+                i += 1
+            i += 1
+        return -1
+
+    def quoted(i, mark):
+        """End of what ``mark`` opens at ``i``, on its line, with backslash escapes."""
         i += 1
+        while i < len(s) and s[i] != "\n":
+            if s[i] == mark:
+                return i + 1
+            if s[i] == "\\":
+                if s[i + 1:i + 2] in ("", "\n"):
+                    return -1
+                i += 1
+            i += 1
+        return -1
+
+    def character(i):
+        end = quoted(i, "'")
+        body = s[i + 1:end - 1]
+        return end if end > 0 and (len(body) == 1 or body[:1] == "\\" and "\\" not in body[2:]) else -1
+
+    toks, i = [], 0
+    while i < len(s):
+        end = -1
+        if s.startswith(('$@"', '@$"', '@"'), i):
+            end = verbatim(s.index('"', i))
+        if end < 0 and s.startswith(('"', '$"'), i):
+            end = quoted(s.index('"', i), '"')
+        if end < 0 and s.startswith("//", i):
+            end = s.find("\n", i) if "\n" in s[i:] else len(s)
+        if end < 0 and s.startswith("/*", i) and "*/" in s[i + 2:]:
+            end = s.index("*/", i + 2) + 2
+        if end < 0 and s[i] == "'":
+            end = character(i)
+        if end < 0 and (i == 0 or s[i - 1] == "\n") and s[i:].split("\n")[0].lstrip(" \t").startswith("#"):
+            end = s.find("\n", i) if "\n" in s[i:] else len(s)
+        if end < 0:
+            i += 1
+        else:
+            toks.append(s[i:end])
+            i = end
     return toks
 
 
-ALPHABET = st.sampled_from(list('ab"\\@/\n x'))
-CODE = st.lists(st.text(alphabet=ALPHABET, max_size=40), min_size=20, max_size=40)
+ALPHABET = st.sampled_from(list('ab"\\@/\n x$') + ["'", "*", "#", "/*", "*/", '@"', "'\"'", "\n#", "\\'"])
+CODE = st.lists(st.lists(ALPHABET, max_size=25).map("".join), min_size=60, max_size=120)
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
@@ -70,6 +87,30 @@ def test_tokens_match_brute_force_and_rebuild(spark, texts):
         assert list(r._toks) == scan(r.content), r.content
 
 
+@settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
+@given(CODE, st.sampled_from([("37", 1), ("64", 2), ("128m", 3)]))
+def test_split_tokens_equal_those_of_whole_files(spark, texts, cut):
+    """Any splits, any chunks: the same tokens, ordinals and positions, and the same files set aside."""
+    folder = tempfile.mkdtemp(prefix="locflow-splits-")
+    for k, t in enumerate(texts):
+        with open(os.path.join(folder, f"f{k}.cs"), "w", newline="") as f:
+            f.write(t)
+    whole = read_sources(spark, folder)
+    cols = ["path", "ordinal", "kind", "raw", "text", "wrapped", "offset", "line_no"]
+    ok, rejects = X.quarantine_unbalanced(whole)
+    want = sorted(map(tuple, X.extract_literals(ok, keep_comments=True).select(*cols).collect()))
+    size, lines = cut
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        lit, out = split_literals(spark, folder, chunk_lines=lines, keep_comments=True)
+        assert sorted(map(tuple, lit.select(*cols).collect())) == want
+        assert sorted(r.path for r in out.collect()) == sorted(r.path for r in rejects.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.text(alphabet=st.sampled_from(list("ab-!.:  1é")), max_size=12), min_size=20, max_size=40))
 def test_edges_lossless_and_keys(spark, texts):

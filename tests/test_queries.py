@@ -47,6 +47,10 @@ def test_no_split_is_one_sided(spark):
     values = lambda name, col: {r[0] for r in queries()[name](spark, SF001).select(col).distinct().collect()}
     assert values("q_classify", "reason") == {"text", "url", "path", "number", "identifier", "no_letter", "stop:tag",
                                               "stop:attr", "stop:value", "stop:ext"}
+    places = queries()["q_classify_places"](spark, SF001).where("src = 'code' AND text IN ('Pick 7', 'Done 7')")
+    assert sorted(map(tuple, places.select("text", "translatable", "reason").collect())) == [
+        ("Done 7", False, "context:compare"), ("Done 7", True, "text"), ("Pick 7", False, "context:call"), ("Pick 7", True, "text")]
+    assert {"context:call", "context:case", "context:index", "context:compare", "context:attribute", "context:attr"} <= values("q_classify_places", "reason")
     assert values("q_flagship", "translatable") == {True, False}
     assert {"kept", "manual_no", "auto_no", "not_translatable"} <= values("q_decisions", "verdict")
     assert values("q_path_guard", "is_path") == {True, False}

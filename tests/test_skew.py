@@ -107,3 +107,21 @@ def test_core_variants_with_hot_core(spark):
         assert len(rows) == 16 and {r.spellings for r in rows} == {16} and {r.uses for r in rows} == {20}
     finally:
         _restore(spark, old)
+
+
+def test_known_and_new_keys_spread_a_hot_key(spark):
+    """JN-01: 200,000 rows of one key meet the constants in many partitions."""
+    from locflow.operators import catalog as C
+    rows = spark.range(200_000).select(F.lit("Hot").alias("key"), "id").unionByName(
+        spark.range(100).select(F.concat(F.lit("K"), F.col("id").cast("string")).alias("key"), "id"))
+    for key, conf in {"locflow.skew.hotRows": "1000", "locflow.skew.salts": "16", "spark.sql.autoBroadcastJoinThreshold": "-1",
+                      "spark.sql.adaptive.coalescePartitions.enabled": "false"}.items():
+        spark.conf.set(key, conf)
+    try:
+        for constants, out, n in ((["K1"], C.new_keys, 200_099), (["Hot", "K1"], C.known_keys, 200_001)):
+            got = out(rows, spark.createDataFrame([(c,) for c in constants], "key string"))
+            per = [r[1] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(per) == n and max(per) < 100_000 and len(per) > 4
+    finally:
+        for key in ("locflow.skew.hotRows", "locflow.skew.salts", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled"):
+            spark.conf.unset(key)

@@ -157,8 +157,7 @@ def distinct_texts(literals: DataFrame, id_cols=("path",), text_col: str = "text
 
 def split_edges(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Add ``prefix``, ``core``, ``suffix`` (EXT-07), narrow."""
-    e = T.edges(text_col)
-    return df.withColumn("_e", e).select("*", "_e.prefix", "_e.core", "_e.suffix").drop("_e")
+    return df.select("*", F.inline(F.array(T.edges(text_col))))     # behind a generator, so that the parts are made once
 
 
 def split_values(df: DataFrame, text_col: str = "text") -> DataFrame:

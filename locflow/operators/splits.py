@@ -40,21 +40,44 @@ PATTERNS = [f"{CODE_TOKEN}|{_OPEN}"] + [f"{_REST[s]}|{CODE_TOKEN}|{_OPEN}" for s
 
 
 def read_chunks(spark: SparkSession, path: str, glob: str = "*.cs", recursive: bool = True,
-                chunk_lines: int = CHUNK_LINES) -> DataFrame:
+                chunk_lines: int = CHUNK_LINES, mark: str = "\n", leads: bool = False) -> DataFrame:
     """``path, split, chunk, content``: pieces of files, whole lines each with its line break.
 
-    Lines of a chunk are neighbours in one task, so they are put together
-    before the shuffle, which moves one row a chunk.
+    Another ``mark`` than the line break cuts elsewhere; with ``leads`` a mark
+    stands before its record, not behind it (also before a file's first one,
+    which had none). Records of a chunk are neighbours in one task, so they
+    are put together before the shuffle, which moves one row a chunk.
     """
+    record = F.concat(F.lit(mark), "value") if leads else F.concat("value", F.lit(mark))
     lines = (spark.read.option("recursiveFileLookup", "true" if recursive else "false").option("pathGlobFilter", glob)
-             .option("lineSep", "\n").text(path)
+             .option("lineSep", mark).text(path)
              .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"),
-                     F.monotonically_increasing_id().alias("id"), F.concat("value", F.lit("\n")).alias("line")))
+                     F.monotonically_increasing_id().alias("id"), record.alias("line")))
     chunk = F.floor(F.col("id") / chunk_lines).alias("chunk")
     rows = lines.groupBy("path", "split", chunk).agg(F.sort_array(F.collect_list(F.struct("id", "line"))).alias("l"))
     return rows.select("path", "split", "chunk", F.array_join(F.transform("l", lambda x: x["line"]), "").alias("content"))
 
 
+def entered(facts: DataFrame, states: int) -> DataFrame:
+    """``facts(path, split, chunk, to)`` with ``n``, the chunk's number in its file, and the ``state`` it begins in.
+
+    ``to`` is the state that a chunk ends in, for each that it may begin in; a file begins in state 0. The functions
+    are composed within groups of ``GROUP`` chunks, then over the groups.
+    """
+    order = Window.partitionBy("path").orderBy("split", "chunk")
+    facts = facts.withColumn("n", F.row_number().over(order)).withColumn("g", F.floor((F.col("n") - 1) / GROUP))
+    groups = facts.groupBy("path", "g").agg(F.sort_array(F.collect_list(F.struct("n", "to"))).alias("c"))
+    groups = groups.select("path", "g", F.aggregate("c", F.array(*map(F.lit, range(states))),
+                                                    lambda at, x: F.transform(at, lambda s: x["to"][s])).alias("to"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    walk = lambda steps, start: F.aggregate(steps, start, lambda s, to: to[s])
+    groups = groups.select("path", "g", walk(F.collect_list("to").over(before(Window.partitionBy("path").orderBy("g"))),
+                                             F.lit(0)).alias("enter"))
+    inside = F.collect_list("to").over(before(Window.partitionBy("path", "g").orderBy("n")))
+    return facts.withColumn("steps", inside).join(groups, ["path", "g"]).withColumn(
+        "state", walk(F.col("steps"), F.col("enter"))).drop("steps", "enter", "g")
+
+
 def _outcome(content: Column, state: int) -> Column:
     """``struct(state, tokens, stray)`` of a chunk that begins in ``state``."""
     def last(tokens: Column) -> Column:
@@ -75,20 +98,9 @@ def begin_states(chunks: DataFrame) -> DataFrame:
     c = F.col("content")
     facts = stage(chunks.select("path", "split", "chunk", F.array(*[_outcome(c, s) for s in (CODE, BLOCK, VERBATIM)]).alias("f"),
                                 F.length(c).cast("bigint").alias("chars"), T.newlines(c).cast("bigint").alias("lines")), "chunks")
-    order = Window.partitionBy("path").orderBy("split", "chunk")
-    facts = facts.withColumn("n", F.row_number().over(order)).withColumn("g", F.floor((F.col("n") - 1) / GROUP))
-    after = lambda f: F.transform(f, lambda x: x["state"])
-    groups = facts.groupBy("path", "g").agg(F.sort_array(F.collect_list(F.struct("n", after(F.col("f")).alias("to")))).alias("c"))
-    groups = groups.select("path", "g", F.aggregate("c", F.array(F.lit(CODE), F.lit(BLOCK), F.lit(VERBATIM)),
-                                                    lambda at, x: F.transform(at, lambda s: x["to"][s])).alias("to"))
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    walk = lambda steps, start: F.aggregate(steps, start, lambda s, to: to[s])
-    groups = groups.select("path", "g", walk(F.collect_list("to").over(before(Window.partitionBy("path").orderBy("g"))),
-                                             F.lit(CODE)).alias("enter"))
-    inside = F.collect_list(after(F.col("f"))).over(before(Window.partitionBy("path", "g").orderBy("n")))
-    known = facts.withColumn("steps", inside).join(groups, ["path", "g"]).withColumn("state", walk(F.col("steps"), F.col("enter")))
-    known = known.withColumn("here", F.col("f")[F.col("state")])
-    so_far = lambda e: F.coalesce(F.sum(e).over(before(order)), F.lit(0))
+    known = entered(facts.withColumn("to", F.transform("f", lambda x: x["state"])), 3).withColumn("here", F.col("f")[F.col("state")])
+    before = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda e: F.coalesce(F.sum(e).over(before), F.lit(0))
     return known.select("path", "split", "chunk", "n", "state", so_far(F.col("here.starts")).alias("ordinal"),
                         so_far(F.col("chars")).alias("offset"), so_far(F.col("lines")).alias("line"),
                         F.col("here.stray").alias("stray"), F.col("here.state").alias("open"))

@@ -526,6 +526,67 @@ def q_untranslated(spark, sf_dir):
     return missing.select(*_TEXT_IDS, "text")
 
 
+_MASK = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({t}), '\{{[^{{}}]*\}}|%[0-9]*[sd]', '{{}}', 'g'), '[0-9]+(?:[.,][0-9]+)*', '0', 'g'), '\s+', ' ', 'g'))"
+_NUMBERS = "regexp_extract_all({c}, '[0-9]+(?:[.,][0-9]+)*')"
+
+
+@register("q_memory_near", f"""
+WITH {_MEM},
+asked AS (SELECT DISTINCT text, {_MASK.format(t='text')} AS mask FROM ut WHERE text NOT IN (SELECT src_text FROM mem)),
+known AS (SELECT mask, min((src_text, tgt_text)) AS m FROM (SELECT *, {_MASK.format(t='src_text')} AS mask FROM mem WHERE NOT {O.blank('src_text')}) GROUP BY mask),
+am AS (SELECT mask, list_distinct(regexp_extract_all(mask, '[\\p{{L}}\\p{{N}}]+|\\{{\\}}')) AS ws FROM (SELECT DISTINCT mask FROM asked) WHERE mask NOT IN (SELECT mask FROM known)),
+km AS (SELECT mask, list_distinct(regexp_extract_all(mask, '[\\p{{L}}\\p{{N}}]+|\\{{\\}}')) AS ws FROM known),
+pair AS (SELECT a.mask AS am, k.mask AS km, count(*) AS shared, any_value(a.n) + any_value(k.n) AS total
+         FROM (SELECT mask, unnest(ws) AS w, len(ws) AS n FROM am) a JOIN (SELECT mask, unnest(ws) AS w, len(ws) AS n FROM km) k
+           ON a.w = k.w AND a.n * 100 >= k.n * 60 AND k.n * 100 >= a.n * 60 GROUP BY a.mask, k.mask),
+close AS (SELECT am, km, levenshtein(am, km) AS d, greatest(octet_length(encode(am)), octet_length(encode(km))) AS longer FROM pair WHERE shared * 160 >= total * 60),
+best AS (SELECT am AS mask, min((ceil(d * 100 / longer)::BIGINT - 100, km)) AS b FROM close WHERE d * 100 <= longer * 30 GROUP BY am),
+hit AS (SELECT mask, -b[1] AS score, b[2] AS km FROM best UNION ALL SELECT DISTINCT mask, 100, mask FROM asked WHERE mask IN (SELECT mask FROM known)),
+f AS (SELECT asked.text, k.m[1] AS match, score, k.m[2] AS tgt FROM asked JOIN hit USING (mask) JOIN known k ON k.mask = hit.km),
+g AS (SELECT *, {_NUMBERS.format(c='match')} AS nm, {_NUMBERS.format(c='text')} AS nt, {_NUMBERS.format(c='tgt')} AS ng,
+             string_split_regex(tgt, '[0-9]+(?:[.,][0-9]+)*') AS gaps FROM f),
+h AS (SELECT *, CASE WHEN len(nm) = len(nt) THEN array_to_string(list_transform(range(1, len(gaps) + 1), lambda i:
+             gaps[i] || coalesce(CASE WHEN list_contains(nm, ng[i]) THEN nt[list_position(nm, ng[i])] ELSE ng[i] END, '')), '') ELSE tgt END AS filled FROM g)
+SELECT text, match, score::BIGINT AS score, {O.carry_capital('text', 'filled')} AS translation FROM h
+""")
+def q_memory_near(spark, sf_dir):
+    """JN-04 beyond equal texts: for every line that the memory lacks, its nearest source text with the numbers carried over."""
+    from locflow.operators.near_memory import near_matches
+    texts, memory = _texts_and_memory(spark, sf_dir)
+    _, missing = M.translate_from_memory(texts, memory)
+    return near_matches(missing, memory)
+
+
+@register("q_lang_short", f"""
+WITH {O.doc_lines_cte()},
+clean AS (SELECT 'train' AS part, 0 AS line_no, doc_id, lang, ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}]+', ' ', 'g')) || ' ' AS t
+          FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND lang IS NOT NULL
+          UNION ALL SELECT 'ask', line_no, doc_id, lang, ' ' || trim(regexp_replace(lower(text), '[^\\p{{L}}]+', ' ', 'g')) || ' ' FROM doc_texts),
+split AS (SELECT part, doc_id, line_no, lang, regexp_extract_all(t, '(?s).') AS cs FROM clean),
+grams AS (SELECT part, doc_id, line_no, lang, unnest(list_transform(range(1, len(cs) - 1), lambda i: cs[i] || cs[i + 1] || cs[i + 2])) AS gram FROM split),
+c AS (SELECT lang, gram, count(*) AS c FROM grams WHERE part = 'train' GROUP BY lang, gram),
+tot AS (SELECT lang, sum(c) AS total, count(*) AS kinds FROM c GROUP BY lang),
+top AS (SELECT lang, gram, floor(ln((c + 1)::DOUBLE) * 1000)::BIGINT AS weight
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY c DESC, gram) AS r FROM c) WHERE r <= 1500),
+seen AS (SELECT doc_id, line_no, top.lang, sum(weight) AS s FROM grams JOIN top USING (gram) WHERE part = 'ask' GROUP BY ALL),
+n AS (SELECT doc_id, line_no, count(*) AS n FROM grams WHERE part = 'ask' GROUP BY ALL),
+score AS (SELECT n.doc_id, n.line_no, tot.lang, coalesce(s, 0) - n * floor(ln((total + kinds)::DOUBLE) * 1000)::BIGINT AS score
+          FROM n CROSS JOIN tot LEFT JOIN seen ON seen.doc_id = n.doc_id AND seen.line_no = n.line_no AND seen.lang = tot.lang),
+best AS (SELECT doc_id, line_no, list(lang ORDER BY score DESC, lang) AS langs, list(score ORDER BY score DESC) AS scores FROM score GROUP BY ALL)
+SELECT d.doc_id, d.line_no, d.lang, CASE WHEN scores[1] - scores[2] >= 3000 THEN langs[1] ELSE 'und' END AS detected,
+       coalesce(scores[1] - scores[2], 0)::BIGINT AS lead
+FROM doc_texts d LEFT JOIN best USING (doc_id, line_no)
+""")
+def q_lang_short(spark, sf_dir):
+    """LNG-01 by trigrams: profiles of the documents without a label, asked for every line of all documents."""
+    from locflow.operators.short_language import build_gram_profiles, detect_short
+    labels = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    profiles = stage(build_gram_profiles(FX.documents(spark, sf_dir).join(labels, "doc_id", "left_anti")), "grams")
+    texts = FX.doc_texts(spark, sf_dir)
+    det = detect_short(texts, profiles, ("doc_id", "line_no"))
+    return texts.select("doc_id", "line_no", "lang").join(det, ["doc_id", "line_no"])
+
+
 # A turn of the system is English whatever its words look like: the override of STM-04.
 _OVERRIDE = "CASE WHEN ut.turn = 0 THEN 'en' ELSE det.detected END"
 
@@ -831,6 +892,54 @@ def q_xliff_named(spark, sf_dir):
     return back.select("lang", "key", "target")
 
 
+_CATALOG_FILES = f"""
+WITH {O.doc_lines_cte()},
+r AS (SELECT lang, {O.pascal('text')} AS key, text AS target, 'app' || doc_id || '.' || lang || '-XX.xlf' AS file, line_no
+      FROM doc_texts WHERE lang IS NOT NULL),
+f AS (SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang),
+k AS (SELECT * FROM f WHERE lang IN ('en', 'de', 'fr'))
+SELECT 'unit' AS what, lang, key, arg_min(target, (file, line_no)) AS target, 1::BIGINT AS n
+FROM r WHERE length(key) > 0 AND lang IN ('en', 'de', 'fr') GROUP BY lang, key
+UNION ALL SELECT 'listed', lang, '', '', n FROM k
+UNION ALL SELECT 'catalog_name', lang, 'unknown language tag: ' || lang, '', n FROM f WHERE lang NOT IN ('en', 'de', 'fr')
+UNION ALL SELECT 'catalog_scope', lang, 'out of scope: target-language ' || lang || '-XX, original APP/OTHER.RESX', '', n FROM k
+UNION ALL SELECT 'catalog_element', lang, 'not the first element of its file', '', n FROM k
+UNION ALL SELECT 'catalog_group', lang, 'groups after the first: 1', '', n FROM k
+"""
+
+
+def _catalog_files(spark, sf_dir, read):
+    """Every document's catalog as a file of its own; what is listed, read and set aside, all in one table."""
+    from locflow.sources import xliff
+    from locflow.sources.tree import write_tree
+    path = _folder(spark, "catalogs")
+    write_tree(FX.document_catalogs(spark, sf_dir), path)
+    tags = ("en", "de", "fr")
+    catalog, rejects = read(spark, path, tags=tags)
+    listed, _ = xliff.list_catalog_files(spark, path, tags=tags)
+    nothing, one = F.lit(""), F.lit(1).cast("bigint")
+    name = F.element_at(F.split("path", r"[.-]"), -3)
+    return catalog.select(F.lit("unit").alias("what"), "lang", "key", "target", one.alias("n")).unionByName(
+        listed.groupBy("lang").agg(F.count("*").alias("n")).select(F.lit("listed").alias("what"), "lang", nothing.alias("key"),
+                                                                   nothing.alias("target"), "n")).unionByName(
+        rejects.groupBy(F.col("stage").alias("what"), name.alias("lang"), F.col("detail").alias("key")).agg(F.count("*").alias("n")).select(
+            "what", "lang", "key", nothing.alias("target"), "n"))
+
+
+@register("q_catalog_files", _CATALOG_FILES)
+def q_catalog_files(spark, sf_dir):
+    """SRC-01..04, FLT-08, TOP-01: a folder of catalogs listed and read, first element and group, with all rejects."""
+    from locflow.sources.xliff import read_catalogs
+    return _catalog_files(spark, sf_dir, read_catalogs)
+
+
+@register("q_catalog_units", _CATALOG_FILES)
+def q_catalog_units(spark, sf_dir):
+    """SRC-03 unit by unit: the same folder, cut at every unit by all splits (chunks of 3 units), gives the same."""
+    from locflow.sources.xliff_units import read_units
+    return _catalog_files(spark, sf_dir, lambda spark, path, tags: read_units(spark, path, tags, units_per_chunk=3))
+
+
 @register("q_source_files", f"""
 WITH {O.code_cte()},
 f AS (SELECT doc_id, content || chr(10) AS content FROM code),

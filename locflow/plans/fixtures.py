@@ -143,3 +143,28 @@ def aligned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = doc_lines(spark, sf_dir).join(labels, "doc_id", "left_anti")
     return rest.select(F.col("doc_id").alias("conv_id"), F.col("line_no").alias("turn"), F.lit("user").alias("role"),
                        F.col("line").alias("text"))
+
+
+# A catalog of one document. An element out of scope, one with the document's units, a commented unit and
+# a second group, and a later element.
+CATALOG_HEAD = ('<?xml version="1.0" encoding="utf-8"?>\n<xliff version="1.2" xmlns="urn:oasis:names:tc:xliff:document:1.2">\n'
+                '<file original="APP/OTHER.RESX" source-language="en" target-language="{tag}" datatype="xml"><body><group id="A">'
+                '<trans-unit id="Other"><source>o</source><target>o</target></trans-unit></group></body></file>\n'
+                '<file original="APP/RESOURCES/R.RESX" source-language="en" target-language="{tag}" datatype="xml"><body>\n'
+                '<group id="G"><!-- <trans-unit id="Gone"><source>g</source><target>g</target></trans-unit> -->\n')
+CATALOG_TAIL = ('</group>\n<group id="H"><trans-unit id="Late"><source>l</source><target>l</target></trans-unit></group></body></file>\n'
+                '<file original="APP/RESOURCES/S.RESX" source-language="en" target-language="{tag}" datatype="xml"><body>'
+                '<trans-unit id="Later"><source>x</source><target>x</target></trans-unit></body></file>\n</xliff>\n')
+
+
+def document_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(path, content)``: per document a catalog file named by its language, its lines as units under their keys."""
+    xml = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = F.filter(F.split("text", "\r?\n", -1), T.has_key)
+    unit = lambda l: F.concat(F.lit('<trans-unit id="'), T.pascal_key(l), F.lit('" translate="yes"><source>'), xml(l),
+                              F.lit("</source><target>"), xml(l), F.lit("</target></trans-unit>\n"))
+    tag = F.concat("lang", F.lit("-XX"))
+    fill = lambda t: F.replace(F.lit(t), F.lit("{tag}"), tag)
+    return documents(spark, sf_dir).where("lang is not null").select(
+        F.concat(F.lit("app"), F.col("doc_id").cast("string"), F.lit("."), tag, F.lit(".xlf")).alias("path"),
+        F.concat(fill(CATALOG_HEAD), F.array_join(F.transform(lines, unit), ""), fill(CATALOG_TAIL)).alias("content"))

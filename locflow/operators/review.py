@@ -48,7 +48,8 @@ BURST_MICROS = 10_000_000   # a piece of a busy piece
 
 
 def review_outcomes(actions: DataFrame, review: bool = True, skip_review=None,
-                    piece_seconds: int = PIECE_SECONDS, burst_micros: int = BURST_MICROS) -> DataFrame:
+                    piece_seconds: int = PIECE_SECONDS, burst_micros: int = BURST_MICROS,
+                    carried: DataFrame | None = None) -> DataFrame:
     """``(actor, ts, event_id, action, outcome)`` for ``actions(actor, ts, event_id, action)``.
 
     Two levels of pieces, both by the clock: the lag runs inside an actor's
@@ -68,9 +69,13 @@ def review_outcomes(actions: DataFrame, review: bool = True, skip_review=None,
         skip = (F.col("action") == "propose") & F.coalesce(skip_review, F.lit(False))
     t = F.unix_micros(F.col("ts").cast("timestamp"))
     piece = lambda size: F.coalesce(F.floor(t / F.lit(size)), F.lit(-(1 << 62)))
-    a = actions.select("*", skip.alias("_skip"), piece(burst_micros).alias("_burst"),
+    actions = actions.select("*", skip.alias("_skip"), F.lit(False).alias("_carried"))
+    if carried is not None:     # without a time it comes before every event of its actor
+        actions = actions.unionByName(carried.select("actor", "action", F.lit(False).alias("_skip"), F.lit(True).alias("_carried")),
+                                      allowMissingColumns=True)
+    a = actions.select("*", piece(burst_micros).alias("_burst"),
                        piece(piece_seconds * 1_000_000).alias("_piece"))
-    order = [F.col("ts"), F.col("event_id")]
+    order = [~F.col("_carried"), F.col("ts"), F.col("event_id")]
     said = F.when(~F.col("_skip"), F.col("action"))      # skipped proposals leave the slot as it was
     back = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     in_burst = Window.partitionBy("actor", "_piece", "_burst").orderBy(*order)
@@ -92,4 +97,4 @@ def review_outcomes(actions: DataFrame, review: bool = True, skip_review=None,
                & (F.col("_burst") == F.col("_b")), "left")
     prev = F.coalesce(F.col("_prev"), F.col("_carry"))
     result = F.when(F.col("_skip"), F.lit("committed")).otherwise(outcome(prev, F.col("action"), review))
-    return a.select("actor", "ts", "event_id", "action", result.alias("outcome"))
+    return a.where(~F.col("_carried")).select("actor", "ts", "event_id", "action", result.alias("outcome"))

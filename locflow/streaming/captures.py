@@ -17,19 +17,20 @@ def clean_captures(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def new_captures(stream: DataFrame, known: DataFrame, text_col: str = "text",
-                 raw_match: bool = False) -> DataFrame:
+                 raw_match: bool = False, hot: DataFrame | None = None) -> DataFrame:
     """Captures whose derived key is not known yet (stream–static ``left_anti``).
 
     Works on a streaming or a batch DataFrame. The known keys are a static
     side re-planned each micro-batch; AQE broadcasts them when measured
     small. ``raw_match=True`` keeps the reference's test of the raw text
-    against the keys (Q13) instead of the derived key.
+    against the keys (Q13) instead of the derived key. ``hot`` are the hashes
+    of hot keys, if known (``streaming.heavy``); a batch counts them otherwise,
+    a stream then joins without salts.
     """
     c = clean_captures(stream, text_col)
     keys = known.select(F.col("key").alias("_k")).distinct()
     probe = F.col(text_col) if raw_match else F.col("key")
-    if not stream.isStreaming:
-        # batch: hot keys are spread over salts (a stream has no global count)
+    if hot is not None or not stream.isStreaming:
         c = c.withColumn("_k", probe)
-        return salted_join(c, keys, ["_k"], "left_anti").drop("_k")
+        return salted_join(c, keys, ["_k"], "left_anti", hot=hot).drop("_k")
     return c.join(keys, probe == F.col("_k"), "left_anti")

@@ -14,10 +14,16 @@ The outcome of an event depends only on the actor's previous action (see
   events come for the actor. The buffer per actor holds at most ``delay``
   worth of its events; events older than the watermark are dropped by Spark
   as late (see ``numRowsDroppedByWatermark``).
+* ``run_review``: in-order input whose actors may be busier than a task. Each
+  micro-batch is the batch job, which cuts an actor's events by the clock and
+  composes the pieces, with the actor's last action of earlier batches in
+  front. Only that action is kept, by actor, in files that are read by bucket;
+  no Python sees a row.
 """
 
 from __future__ import annotations
 
+import os
 from typing import Iterator
 
 import pandas as pd
@@ -25,6 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from locflow.operators.review import review_outcomes
+from locflow.streaming.ingest import _read_or_none
+
+BUCKETS = 256
+LAST_SCHEMA = "actor bigint, action string, batch_id bigint, bucket int"
 OUTPUT_SCHEMA = "actor long, ts timestamp, event_id long, action string, outcome string"
 STATE_SCHEMA = "last_action string"
 BUFFER_STATE_SCHEMA = ("last_action string, buf_ts array<timestamp>, buf_id array<long>, "
@@ -112,3 +123,46 @@ def _buffered(actions: DataFrame, review: bool) -> DataFrame:
 
     return actions.groupBy("actor").applyInPandasWithState(
         step, OUTPUT_SCHEMA, BUFFER_STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _last_actions(spark, path: str, batch_id: int, buckets: list[int]) -> DataFrame:
+    """``actor, action``: the last action of every actor of these buckets before ``batch_id``."""
+    kept = _read_or_none(spark, path, LAST_SCHEMA)
+    if kept is None:
+        return spark.createDataFrame([], "actor bigint, action string")
+    kept = kept.where((F.col("batch_id") < batch_id) & F.col("bucket").isin(*buckets))
+    return kept.groupBy("actor").agg(F.max_by("action", "batch_id").alias("action"))
+
+
+def review_batch(actions: DataFrame, batch_id: int, out_path: str, last_path: str, review: bool = True, skip_review=None) -> None:
+    """One micro-batch: its outcomes, and its actors' last actions, each into the folder of its id."""
+    spark = actions.sparkSession
+    actions = actions.persist()
+    try:
+        bucket = F.pmod(F.xxhash64("actor"), F.lit(BUCKETS)).cast("int")
+        buckets = [r[0] for r in actions.select(bucket.alias("b")).distinct().collect()]     # at most BUCKETS numbers
+        before = _last_actions(spark, last_path, batch_id, buckets)
+        mine = before.join(actions.select(F.col("actor").alias("a")).distinct(), F.col("actor").eqNullSafe(F.col("a")), "left_semi")
+        out = review_outcomes(actions, review, skip_review, carried=mine)
+        out.write.mode("overwrite").parquet(os.path.join(out_path, f"batch_id={batch_id}"))
+        said = actions if skip_review is None else actions.where(~((F.col("action") == "propose") & F.coalesce(skip_review, F.lit(False))))
+        last = said.groupBy("actor").agg(F.max_by("action", F.struct("ts", "event_id")).alias("action"))
+        (last.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket")
+             .parquet(os.path.join(last_path, f"batch_id={batch_id}")))
+    finally:
+        actions.unpersist()
+
+
+def run_review(actions: DataFrame, out_path: str, last_path: str, checkpoint: str, review: bool = True, skip_review=None,
+               available_now: bool = True):
+    """Start the review of a streaming ``actions(actor, ts, event_id, action)``; returns the ``StreamingQuery``.
+
+    Outcomes lie in ``out_path/batch_id=<n>``. Events of one actor must not
+    come earlier in time than those of batches before; a replayed batch
+    writes the same rows again.
+    """
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        review_batch(batch, batch_id, out_path, last_path, review, skip_review)
+
+    w = actions.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w).start()

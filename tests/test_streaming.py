@@ -226,3 +226,93 @@ def test_ingest_with_compacted_snapshot(spark, tmp_dir):
     empty = spark.createDataFrame([], "lang string, key string, source string, target string, translate boolean, origin string, seq struct<ts:timestamp,event_id:bigint>")
     want, _ = upsert_catalog(empty, catalog_rows(shape(ev), order_cols=("ts", "event_id")))
     assert got.count() == 750 and got.exceptAll(want.select("lang", "key", "target")).count() == 0
+
+
+def test_batches_read_only_the_buckets_of_their_keys(spark, tmp_dir):
+    from locflow.streaming import ingest
+    cat, conf = os.path.join(tmp_dir, "catalog"), os.path.join(tmp_dir, "conflicts")
+    batch = lambda texts: spark.createDataFrame([(t, k) for k, t in enumerate(texts)], "text string, event_id long").select(
+        F.lit(None).cast("timestamp").alias("ts"), "event_id", F.lit("en").alias("lang"), "text")
+    ingest.ingest_batch(batch([f"Text {k}" for k in range(2000)]), 0, cat, conf)
+    ingest.ingest_batch(batch(["Text 7", "text  7!", "Brand new"]), 1, cat, conf)
+    assert sorted(r.key for r in read_catalog(spark, cat).where("batch_id = 1").collect()) == ["BrandNew"]
+    assert [(r.kept, r.dropped, r.against) for r in spark.read.parquet(conf).where("batch_id = 1").collect()] == [("Text 7", "text  7!", "batch")]
+    rows = catalog_rows(batch(["Text 7"]), order_cols=("ts", "event_id"))
+    bucket = rows.select(ingest._bucket().alias("b")).first().b
+    one = ingest._existing(spark, cat, 2, ingest.CATALOG_SCHEMA, buckets=[bucket])
+    files = {r[0] for r in one.select(F.input_file_name()).distinct().collect()}
+    assert files and all(f"bucket={bucket}/" in f for f in files)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "bucket#" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert one.where("key = 'Text7'").count() == 1
+    # a snapshot is read by bucket too, and a replay of a batch changes nothing
+    base = os.path.join(tmp_dir, "base")
+    ingest.compact_catalog(spark, cat, base, upto=0)
+    ingest.ingest_batch(batch(["Text 7", "text  7!", "Brand new"]), 1, cat, conf, base_path=base)
+    assert read_catalog(spark, cat, base_path=base).count() == 2001
+
+
+def test_review_of_a_busy_actor_is_spread_and_equals_the_batch(spark, tmp_dir):
+    from locflow.streaming.review import run_review
+    src, ev = _split_events(spark, tmp_dir)
+    busy = lambda df: actions_from_events(df).withColumn("actor", F.when(F.col("event_id") % 3 == 0, -1).otherwise(F.col("actor")))
+    stream = busy(spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src))
+    out, last, ck = (os.path.join(tmp_dir, n) for n in ("out", "last", "ck"))
+    skip = F.col("event_id") % 10 == 0
+    run_review(stream, out, last, ck, skip_review=skip).awaitTermination(300)
+    cols = ["actor", "event_id", "action", "outcome"]
+    got, want = spark.read.parquet(out), review_outcomes(busy(ev), skip_review=skip)
+    assert got.select("batch_id").distinct().count() == 4
+    assert got.count() == want.count() == 5977 and got.select(cols).exceptAll(want.select(cols)).count() == 0
+    run_review(stream, out, last, ck, skip_review=skip).awaitTermination(300)       # nothing new, nothing twice
+    assert spark.read.parquet(out).count() == 5977
+    # the busy actor's third of a batch lies in many partitions before it is written
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mine = review_outcomes(busy(ev), carried=spark.createDataFrame([(-1, "propose")], "actor long, action string")).where("actor = -1")
+        parts = [r[1] for r in mine.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) > 4 and max(parts) < sum(parts) / 2
+    first = mine.orderBy("ts", "event_id").first()
+    assert first.outcome == {"propose": "rejected_busy", "accept": "accepted", "decline": "declined"}[first.action]
+
+
+def test_hot_keys_of_a_stream_are_spread_from_the_second_batch_on(spark, tmp_dir):
+    from locflow.streaming.heavy import HeavyKeys
+    from locflow.streaming.ingest import run_captures
+    heavy = HeavyKeys(os.path.join(tmp_dir, "heavy"), items=64)
+    keys = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, "Hot").otherwise(F.concat(F.lit("K"), F.col("id").cast("string"))).alias("_k"))
+    assert heavy.hot(spark, 0).count() == 0
+    heavy.update(keys, ["_k"], 0)
+    heavy.update(keys.where("_k <> 'Hot'").limit(100), ["_k"], 1)
+    hot = [r._key for r in heavy.hot(spark, 2).collect()]
+    assert hot == [spark.range(1).select(F.xxhash64(F.lit("Hot"))).first()[0]]
+    assert [r._key for r in heavy.hot(spark, 1).collect()] == hot and heavy.hot(spark, 0).count() == 0     # a replay sees what the batch saw
+    heavy.update(keys, ["_k"], 1)
+    # the same join, on a stream: rows of the hot key lie in many partitions, and none is lost
+    src = os.path.join(tmp_dir, "texts")
+    keys.select("id", F.col("_k").alias("text")).repartition(2).write.parquet(src)
+    seen = []
+    for conf, value in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.coalescePartitions.enabled", "false")):
+        spark.conf.set(conf, value)
+    try:
+        known = spark.createDataFrame([("K1",), ("K2",)], "key string")
+        stream = new_captures(spark.readStream.schema("id long, text string").parquet(src), known, hot=heavy.hot(spark, 2))
+        q = stream.writeStream.foreachBatch(lambda df, n: seen.extend(df.where("key = 'Hot'").groupBy(F.spark_partition_id()).count().collect()) or
+                                            seen.append((None, df.count()))).trigger(availableNow=True).option(
+            "checkpointLocation", os.path.join(tmp_dir, "ck2")).start()
+        q.awaitTermination(300)
+    finally:
+        for conf in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled"):
+            spark.conf.unset(conf)
+    total, parts = seen[-1][1], [r[1] for r in seen[:-1]]
+    assert total == 30_000 - 2 and sum(parts) == 10_000 and len(parts) > 4 and max(parts) < 5_000
+    # and in the ingest
+    files, _ = _split_events(spark, os.path.join(tmp_dir, "ev"), parts=2) if os.makedirs(os.path.join(tmp_dir, "ev")) is None else None
+    text = F.when(F.col("event_id") % 2 == 0, "Busy").otherwise(F.concat(F.lit("Text "), F.col("event_id").cast("string")))
+    stream = spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(files).select("ts", "event_id", text.alias("text"))
+    cat, conf, ck, sketch = (os.path.join(tmp_dir, n) for n in ("catalog", "conflicts", "ck", "sketch"))
+    run_captures(stream, known, cat, conf, ck, heavy=sketch).awaitTermination(300)
+    assert read_catalog(spark, cat).where("key = 'Busy'").count() == 1
+    assert sorted(os.listdir(sketch)) == ["batch_id=0", "batch_id=1"] and HeavyKeys(sketch).hot(spark, 9).count() == 1

@@ -819,7 +819,7 @@ def q_normalise_escapes(spark, sf_dir):
     return X.normalise_escapes(FX.code_sources(spark, sf_dir)).select("doc_id", "content")
 
 
-@register("q_add_texts", f"""
+_ADDED = f"""
 WITH {_MEM}, {O.profiles_cte('documents', 'lang', 'text')}, {O.detect_cte('det', 'ut', _TEXT_IDS, 'text')},
 known AS (SELECT DISTINCT {O.pascal('text')} AS key FROM doc_texts WHERE line_no = 1),
 t AS (SELECT ut.conv_id, ut.turn, ut.line_no, ut.text, det.detected AS lang,
@@ -834,12 +834,11 @@ r0 AS (SELECT conv_id, turn, line_no, key, lang, text AS target FROM k
 r AS (SELECT * FROM r0 WHERE NOT {O.blank('target')}),
 win AS (SELECT lang, key, arg_min(target, (conv_id, turn, line_no)) AS target, min((conv_id, turn, line_no)) AS seq
         FROM r GROUP BY lang, key),
-ex AS (SELECT DISTINCT lang, {O.pascal('text')} AS key FROM doc_texts WHERE doc_id NOT IN (SELECT doc_id FROM labels))
-SELECT lang, key, target, seq[1] AS conv_id, seq[2] AS turn, seq[3] AS line_no FROM win ANTI JOIN ex USING (lang, key)
-""")
-def q_add_texts(spark, sf_dir):
-    """Flow C: lines of turns and of labelled documents → language → memory → keys → known-key test against the
-    constants declared for first lines → routed rows, inserted first-wins into the catalog of the other documents."""
+ex AS (SELECT lang, {O.pascal('text')} AS key, arg_min(text, (doc_id, line_no)) AS existing FROM doc_texts
+       WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY ALL)"""
+
+
+def _added(spark, sf_dir):
     from locflow.plans.flows import add_texts
     texts, mem = _texts_and_memory(spark, sf_dir)
     doc = FX.doc_texts(spark, sf_dir)
@@ -847,8 +846,52 @@ def q_add_texts(spark, sf_dir):
     catalog = C.first_wins(C.catalog_rows(doc.join(labels, "doc_id", "left_anti"), order_cols=("doc_id", "line_no"),
                                           origin="existing"))
     constants = C.key_set(doc.filter(F.col("line_no") == 1))
-    inserted, _, _ = add_texts(texts, catalog, constants, mem, _profiles(spark, sf_dir), id_cols=_TEXT_IDS)
-    return inserted.select("lang", "key", "target", *(F.col(f"seq.{c}").alias(c) for c in _TEXT_IDS))
+    return add_texts(texts, catalog, constants, mem, _profiles(spark, sf_dir), id_cols=_TEXT_IDS)
+
+
+@register("q_add_texts", f"""{_ADDED}
+SELECT lang, key, target, seq[1] AS conv_id, seq[2] AS turn, seq[3] AS line_no FROM win ANTI JOIN ex USING (lang, key)
+""")
+def q_add_texts(spark, sf_dir):
+    """Flow C: lines of turns and of labelled documents → language → memory → keys → known-key test against the
+    constants declared for first lines → routed rows, inserted first-wins into the catalog of the other documents."""
+    return _added(spark, sf_dir)[0].select("lang", "key", "target", *(F.col(f"seq.{c}").alias(c) for c in _TEXT_IDS))
+
+
+@register("q_add_texts_conflicts", f"""{_ADDED}
+SELECT w.lang, w.key, ex.existing AS kept, w.target AS dropped, 'catalog' AS against FROM win w JOIN ex USING (lang, key) WHERE ex.existing <> w.target
+UNION ALL
+SELECT d.lang, d.key, w.target, d.target, 'batch'
+FROM (SELECT DISTINCT lang, key, target FROM r) d JOIN win w USING (lang, key) WHERE d.target <> w.target
+""")
+def q_add_texts_conflicts(spark, sf_dir):
+    """Flow C, Q12: texts whose key stands for another text, in the catalog or earlier in the batch."""
+    return _added(spark, sf_dir)[1]
+
+
+@register("q_add_texts_constants", f"""{_ADDED}
+SELECT DISTINCT key, {O.const_decl('key')} AS declaration FROM win ANTI JOIN ex USING (lang, key)
+""")
+def q_add_texts_constants(spark, sf_dir):
+    """Flow C, STR-05: the constants to declare for what was inserted."""
+    return _added(spark, sf_dir)[2]
+
+
+@register("q_insert_declarations", f"""
+WITH {O.code_cte()}, {_CONSTS}, {O.doc_lines_cte()},
+k AS (SELECT DISTINCT doc_id, {O.pascal('text')} AS key FROM doc_texts),
+f AS (SELECT doc_id, min(line_no) AS first FROM consts GROUP BY doc_id)
+SELECT doc_id, line_no AS pos, 1 AS sub, '' AS key, line FROM code_lines
+UNION ALL
+SELECT doc_id, first, 0, key, {O.const_decl('key')} FROM k JOIN f USING (doc_id) WHERE length(key) > 0
+""")
+def q_insert_declarations(spark, sf_dir):
+    """SNK-04: declarations for the keys of a document's lines put before the first constant of its code file; the ordered lines."""
+    lines = FX.code_lines(spark, sf_dir)
+    first = X.first_constants(X.extract_constants(lines, ("doc_id",)), ("doc_id",))
+    keys = FX.doc_texts(spark, sf_dir).filter(T.has_key("text")).select("doc_id", T.pascal_key("text").alias("key")).distinct()
+    decls = keys.select("doc_id", "key", T.const_decl("key").alias("declaration"))
+    return C.insert_declarations(lines, decls, first, path_col="doc_id")
 
 
 @register("q_xliff_roundtrip", f"""
@@ -1027,13 +1070,17 @@ def q_migrate_constants(spark, sf_dir):
     return X.migrate_constants(FX.code_sources(spark, sf_dir)).select("doc_id", "content")
 
 
-@register("q_migrate_catalog", f"""
+_MIGRATED = f"""
 WITH {O.code_cte()}, {O.doc_lines_cte()}, {_CONSTS},
 rows AS (SELECT code.lang, key, {O.unescape('value')} AS target, doc_id, line_no FROM consts JOIN code USING (doc_id)),
 r AS (SELECT * FROM rows WHERE NOT {O.blank('target')}),
 win AS (SELECT lang, key, arg_min(target, (doc_id, line_no)) AS target, arg_min(doc_id, (doc_id, line_no)) AS doc_id,
                arg_min(line_no, (doc_id, line_no)) AS line_no FROM r GROUP BY lang, key),
-ex AS (SELECT DISTINCT lang, {O.pascal('text')} AS key FROM doc_texts WHERE doc_id IN (SELECT doc_id FROM labels))
+ex AS (SELECT lang, {O.pascal('text')} AS key, arg_min(text, (doc_id, line_no)) AS existing FROM doc_texts
+       WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY ALL)"""
+
+
+@register("q_migrate_catalog", f"""{_MIGRATED}
 SELECT lang, key, target, doc_id, line_no FROM win ANTI JOIN ex USING (lang, key)
 """)
 def q_migrate_catalog(spark, sf_dir):
@@ -1041,3 +1088,19 @@ def q_migrate_catalog(spark, sf_dir):
     from locflow.plans.flows import migrate_catalog
     _, inserted, _ = migrate_catalog(FX.code_sources(spark, sf_dir), _labelled_catalog(spark, sf_dir), ("doc_id",))
     return inserted.select("lang", "key", "target", F.col("seq.doc_id").alias("doc_id"), F.col("seq.line_no").alias("line_no"))
+
+
+@register("q_migrate_conflicts", f"""
+WITH {O.code_cte()}, {_CONSTS},
+named AS (SELECT code.lang, regexp_extract(key, '^K[0-9]+') AS key, {O.unescape('value')} AS target, doc_id, line_no FROM consts JOIN code USING (doc_id)),
+r AS (SELECT * FROM named WHERE NOT {O.blank('target')}),
+win AS (SELECT lang, key, arg_min(target, (doc_id, line_no)) AS target FROM r GROUP BY lang, key)
+SELECT d.lang, d.key, w.target AS kept, d.target AS dropped, 'batch' AS against
+FROM (SELECT DISTINCT lang, key, target FROM r) d JOIN win w USING (lang, key) WHERE d.target <> w.target
+""")
+def q_migrate_conflicts(spark, sf_dir):
+    """EXT-05, Q12: with one name for all constants of a file, the values that lose it to the file's first."""
+    from locflow.plans.flows import migrate_catalog
+    code = FX.code_sources(spark, sf_dir).withColumn("content", F.regexp_replace("content", r"(const string K[0-9]+)_[0-9]+ = ", "$1 = "))
+    empty = C.first_wins(C.catalog_rows(FX.doc_texts(spark, sf_dir), order_cols=("doc_id", "line_no"))).limit(0)
+    return migrate_catalog(code, empty, ("doc_id",))[2]

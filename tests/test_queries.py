@@ -11,6 +11,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 from locflow.sources.tables import TABLES
 
 from locflow.plans.checks import ORACLE, QUERIES
+from locflow.plans.jobs import all_plans
 
 NAMES = sorted(QUERIES)     # the optional training-data queries have their own tests
 
@@ -86,6 +87,6 @@ FORBIDDEN = ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "Broadcas
 
 @pytest.mark.parametrize("name", NAMES)
 def test_plan_has_no_python_or_cartesian(spark, name):
-    plan = queries()[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    _, plans = all_plans(lambda: queries()[name](spark, SF001))
     for op in FORBIDDEN:
-        assert op not in plan, f"{name}: {op}"
+        assert not any(op in plan for plan in plans), f"{name}: {op}"

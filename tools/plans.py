@@ -14,6 +14,7 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from locflow.plans.checks import QUERIES  # noqa: E402
+from locflow.plans.jobs import all_plans  # noqa: E402
 from locflow.session import build_session  # noqa: E402
 
 
@@ -45,10 +46,11 @@ def main():
     spark.sparkContext.setLogLevel("ERROR")
     rows = []
     for n in names:
-        plan = QUERIES[n](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-        s = summarise(plan)
+        _, plans = all_plans(lambda: QUERIES[n](spark, sf_dir))
+        plan = "\n".join(plans)
+        s = summarise(plan) | {"jobs": len(plans)}
         rows.append((n, s))
-        print(f"{n:22s} shuffles={s['shuffles']} bcast={s['broadcasts']} smj={s['smj']} bhj={s['bhj']} "
+        print(f"{n:22s} tables={len(plans)} shuffles={s['shuffles']} bcast={s['broadcasts']} smj={s['smj']} bhj={s['bhj']} "
               f"windows={s['windows']} scans={s['scans']} python={s['python']}")
         if os.environ.get("FULL"):
             print(plan)
@@ -57,14 +59,14 @@ def main():
             f.write("# PLANS\n\nStatic physical plans of the registered queries (`python tools/plans.py --md PLANS.md`, "
                     "sf0.01, AQE off so the planned shuffles are visible; at run time AQE may replace a shuffle join "
                     "by a broadcast one from measured sizes and coalesces partitions). Shuffles count every "
-                    "keyed `Exchange` (hash, range, single partition). Jobs that write a staged table run while the "
-                    "query is built and are not part of its plan; their tables show as scans. Reads list the Parquet "
+                    "keyed `Exchange` (hash, range, single partition) of all jobs of a query: those that write a staged table "
+                    "while the query is built, and the last one; `tables` counts them. Reads list the Parquet "
                     "`ReadSchema`s: only the columns a query needs are read.\n\n")
-            f.write("| query | shuffles | broadcasts | sort-merge joins | broadcast joins | windows | generators | scans | Python in plan | read columns |\n")
-            f.write("| --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |\n")
+            f.write("| query | tables | shuffles | broadcasts | sort-merge joins | broadcast joins | windows | generators | scans | Python in plan | read columns |\n")
+            f.write("| --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |\n")
             for n, s in rows:
                 reads = "; ".join(r.strip()[len("struct<"):-1] for r in s["read"])
-                f.write(f"| `{n}` | {s['shuffles']} | {s['broadcasts']} | {s['smj']} | {s['bhj']} | {s['windows']} | "
+                f.write(f"| `{n}` | {s['jobs']} | {s['shuffles']} | {s['broadcasts']} | {s['smj']} | {s['bhj']} | {s['windows']} | "
                         f"{s['generate']} | {s['scans']} | {'yes' if s['python'] else 'no'} | {reads} |\n")
 
 

@@ -43,6 +43,22 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 SAME_CLASSES = re.compile("[՘-\U0010ffff]")
 
 
+# Between a word and the blank before the next, no split of the pattern is undone.
+BORDER = re.compile(r"(?<=\w)(?= \w)")
+
+
+def cut_safely(text: str, size: int):
+    """Parts of a text of about ``size`` characters, cut only where the pattern splits whatever stands around."""
+    at = 0
+    while len(text) - at > size:
+        m = BORDER.search(text, at + size)
+        if not m:
+            break
+        yield text[at:m.start()]
+        at = m.start()
+    yield text[at:] if at else text
+
+
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-in of each byte in a byte-level vocabulary, as character → byte."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -196,7 +212,8 @@ class Vocabulary:
 
     def plain(self, text: str):
         if SAME_CLASSES.search(text):
-            yield [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
+            for part in cut_safely(text, BLOCK_CHARS):
+                yield [part[a:b] for _, (a, b) in self.library.pre_tokenize_str(part)]
         elif len(text) <= BLOCK_CHARS:
             yield self.words.findall(text)
         else:
@@ -232,11 +249,9 @@ class Encoder:
 
         for k, text in enumerate(texts):
             for part in self.vocab.blocks(text):
-                if isinstance(part, int):
-                    waiting.append((k, None))
-                    special = part.to_bytes(4, "little")
-                    cache[None] = special
-                    waiting[-1] = (k, [None])
+                if isinstance(part, int):       # an added token stands for itself
+                    cache[part] = part.to_bytes(4, "little")
+                    waiting.append((k, [part]))
                     continue
                 fresh.update(w for w in part if w not in cache)
                 waiting.append((k, part))

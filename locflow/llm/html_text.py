@@ -55,6 +55,7 @@ TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<!\[CDATA\[(?:.*?\]\]>|.*)|<[!?][^>]*+>?|
                    r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(>?)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 WORD = re.compile(r"[a-z]+|[0-9]+")
+UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b")
 
 # Fixed values of the HTML standard: elements without content, elements of raw text, elements that stand as blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -70,8 +71,8 @@ CLOSES = {"li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("d
           "tfoot": (("thead", "tbody", "tfoot"), ("table",)), "option": (("option",), ("select", "datalist"))}
 
 # Elements and roles of what is not article text, and class or id words that speak against it.
-CUT_TAGS = frozenset("""head nav footer aside form script style noscript template iframe object embed svg math canvas
-audio video button select input textarea datalist dialog menu title search xmp noembed noframes""".split())
+CUT_TAGS = frozenset("""head nav footer aside form script style template iframe object embed svg canvas annotation
+annotation-xml audio video button select input textarea datalist dialog menu title search xmp noembed noframes""".split())
 CUT_ROLES = frozenset("""navigation banner contentinfo complementary search alert alertdialog dialog menu menubar
 toolbar status tooltip form""".split())
 CUT_WORDS = frozenset("""ad ads advert adverts advertisement advertising adsense banner sponsor sponsored sponsors
@@ -90,9 +91,9 @@ slot small sticky stories story text tile tiles title top unit wrap wrapper zone
 HINT, NAMED, OF_READERS = 1, 2, 3
 # What the text of an element named so counts for against the rest of the page.
 TRUST = {NAMED: 1 / 4, OF_READERS: 1 / 16}
-PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th tr tbody thead table ul ol dl figure "
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th tr tbody thead table ul ol menu dl figure "
                        "figcaption caption hr br address a b i em strong span u s small big font sub sup code q cite "
-                       "abbr mark time label".split())
+                       "abbr mark time label button math".split())
 
 PART = 4    # another part of the text has a sum of at least this fraction of the densest child of the selected subtree
 
@@ -120,10 +121,17 @@ def doubt_of(name: str, unwanted: frozenset) -> int:
     return HINT
 
 
-def judge(tag: str, attributes: str, in_article: bool) -> tuple[bool, int]:
-    """Whether an element can't be article text, and the doubt that its class and id words raise."""
-    if tag in CUT_TAGS or (tag == "header" and not in_article):
+def judge(tag: str, attributes: str, in_article: bool, in_paragraph: bool = False) -> tuple[bool, int]:
+    """Whether an element can't be article text, and the doubt that its class and id words raise.
+
+    A button in a paragraph is a word of it, and a ``menu`` in an article a list; what stands for scripts that don't
+    run (``noscript``) is in doubt like an element named so.
+    """
+    if tag in CUT_TAGS and not (tag == "button" and in_paragraph or tag == "menu" and in_article) or (
+            tag == "header" and not in_article):
         return True, 0
+    if tag == "noscript":
+        return False, NAMED
     if not attributes or tag in ("html", "body", "main"):
         return False, 0
     unwanted = READERS if tag == "article" and not in_article else CUT_WORDS
@@ -132,7 +140,8 @@ def judge(tag: str, attributes: str, in_article: bool) -> tuple[bool, int]:
         name, value = m.group(1).lower(), (m.group(2) or m.group(3) or m.group(4) or "").lower()
         if name in ("class", "id"):
             doubt = max(doubt, *(doubt_of(one, unwanted) for one in value.split()), 0)
-        elif name == "hidden" or name == "role" and value in CUT_ROLES or name == "aria-hidden" and value == "true":
+        elif name == "hidden" or name == "role" and value in CUT_ROLES or name == "aria-hidden" and value == "true" \
+                or name == "style" and UNSEEN.search(value):
             return True, 0
     return "hidden" in attributes and "hidden" in ATTRIBUTE.sub(" ", attributes).replace("/", " ").split(), doubt
 
@@ -140,30 +149,22 @@ def judge(tag: str, attributes: str, in_article: bool) -> tuple[bool, int]:
 def parse(page: str) -> Node:
     """The page's tree; tolerant of unclosed and stray tags."""
     root = Node("html", None, False)
-    open_nodes, counts = [root], {"html": 1}
+    open_nodes, places = [root], {"html": [0]}        # the open elements, and by tag where they stand among them
     articles, at, n = 0, 0, len(page)
 
-    def close_last():
-        nonlocal articles
-        node = open_nodes.pop()
-        counts[node.tag] -= 1
-        articles -= node.tag in ("article", "main")
+    def nearest(tags):
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def close(tags, until=()):
-        """End the nearest open element of these tags, with all inside it."""
-        if not any(counts.get(t) for t in tags):
+        """End the nearest open element of these tags, with all inside it, unless one of ``until`` is nearer."""
+        nonlocal articles
+        found = nearest(tags)
+        if not found or until and nearest(until) > found:
             return
-        if until:       # look only as far as the list or table that holds it
-            k = len(open_nodes) - 1
-            while k > 0 and open_nodes[k].tag not in tags:
-                if open_nodes[k].tag in until:
-                    return
-                k -= 1
-        while len(open_nodes) > 1:
-            last = open_nodes[-1].tag in tags
-            close_last()
-            if last:
-                return
+        while len(open_nodes) > found:
+            node = open_nodes.pop()
+            places[node.tag].pop()
+            articles -= node.tag in ("article", "main")
 
     while at < n:
         m = TOKEN.search(page, at)
@@ -180,21 +181,21 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m.group(1):
-            if tag in counts and tag not in ("html", "body"):
+            if tag not in ("html", "body"):
                 close((tag,))
             continue
         if not m.group(4) and at < n:      # a quote that never ends: go on after the next >
             end = page.find(">", at)
             at = end + 1 if end >= 0 else n
-        if tag in ("html", "body") and (tag == "html" or counts.get("body")):
+        if tag in ("html", "body") and (tag == "html" or places.get("body")):
             continue
-        if counts.get("p") and tag in ENDS_PARAGRAPH:
+        if places.get("p") and tag in ENDS_PARAGRAPH:
             close(("p",))
         if tag in CLOSES:
             close(*CLOSES[tag])
-        if counts.get("head") and tag == "body":
+        if places.get("head") and tag == "body":
             close(("head",))
-        node = Node(tag, open_nodes[-1], *judge(tag, m.group(3), articles > 0))
+        node = Node(tag, open_nodes[-1], *judge(tag, m.group(3), articles > 0, bool(places.get("p"))))
         open_nodes[-1].parts.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
@@ -205,8 +206,8 @@ def parse(page: str) -> Node:
             else:
                 at = n
         elif tag not in VOID and not (m.group(3).endswith("/") and tag in ("svg", "path", "g")):
+            places.setdefault(tag, []).append(len(open_nodes))
             open_nodes.append(node)
-            counts[tag] = counts.get(tag, 0) + 1
             articles += tag in ("article", "main")
     return root
 

@@ -50,7 +50,8 @@ from locflow.llm.shared import pieces, written
 
 SYMBOLS, CHUNKS, DISTANCE = 64, 15, 29
 BLOCK_CHARS = 1 << 20
-BLOCK_ROWS = 4096           # rows of one bucket that are compared to one another at a time
+BLOCK_ROWS = 512            # rows of one bucket that are compared to one another at a time
+BLOCK_BYTES = 4 << 20       # and what their cut sets hold
 CACHE_WORDS = 200_000       # words whose hashes a worker remembers, some 150 bytes each
 SET_ROWS = 1 << 11          # shingles handled at a time while signing
 NARROW = 2048               # largest set whose hashes are cut to 16 bits; chance adds under 3 % of it to a comparison
@@ -299,10 +300,11 @@ def across(members: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a < b`` of one bucket but different components that have to be confirmed; see ``pairs_of``.
 
     ``members``: ``bucket, place, id, component, signature, n_shingles, cut``. A bucket is dealt
-    over blocks of about ``BLOCK_ROWS`` rows, and each pair of blocks is compared in one place.
+    over blocks of about ``BLOCK_ROWS`` rows and ``BLOCK_BYTES`` of sets (at least one), and each pair
+    of blocks is compared in one place.
     """
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"), F.sum(F.octet_length("cut")).alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK_ROWS, F.col("bytes") / BLOCK_BYTES)).cast("int")
     rows = members.join(sizes, "bucket").select(
         "*", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"))
     rows = rows.select("bucket", "place", "id", "component", "signature", "n_shingles", "cut", "own",

@@ -320,3 +320,84 @@ LINKS = "<li><a>s 1</a></li><li><a>s 2</a></li><li><a>s 3</a></li>"
 ])
 def test_linked_sources_stay(page):
     assert html_text.main_text(page) == f"{WANT}\nSources\ns 1\ns 2\ns 3"
+
+
+@pytest.mark.parametrize("text, want", [
+    ("GNU General Public License v3.0", "gpl,gpl-3.0"), ("Mozilla Public License v2.0", "mpl-2.0"),
+    ("GNU Lesser General Public License v2.1", "gpl,lgpl-2.1"), ("GPL version 2 or later", "gpl-2.0-or-later"),
+    ("under the GPL v3", "gpl,gpl-3.0"), ("LGPLv2.1+", "lgpl-2.1"), ("GNU LGPL v2.1", "lgpl-2.1"), ("It is BSD licensed.", "bsd"),
+    ("MIT-licensed code", "mit"), ("Apache License, Version 2.0", "apache-2.0"), ("GPLv3", "gpl-3.0"), ("GPL-3.0-only", "gpl-3.0-only"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("Python 2.0 was released", ""), ("since php 3.0", ""), ("room mit 0", ""), ("commercial license plates", ""),
+    ("the public domain of mathematics", ""), ("This work is in the public domain.", "public-domain"),
+    ("SPDX-License-Identifier: PHP-3.0", "php-3.0"), ("licensed under python 2.0", "python-2.0"),
+    ("Copyright (c) 2019, 2021 A. All rights reserved", "copyright,reserved"), ("cc by 4.0 cc0", "cc-by,cc-by-4.0,cc0-1.0"),
+])
+def test_licence_labels(text, want):
+    found = {d[0] for d in licences.detect(text)[1]}
+    assert found == set(filter(None, want.split(",")))
+
+
+def test_licence_rules_are_many_and_their_keywords_needed():
+    """Each rule's keyword is a word of whatever its expression matches, or the rule could never be tried."""
+    hand = [x.split("|", 2) for x in licences.NAMES.strip().splitlines()]
+    assert len(hand) > 200 and len({tuple(x) for x in hand}) == len(hand)
+    assert len(licences.rules()) > 500
+    for label, keyword, expression in hand:
+        assert re.search(rf"(?<![a-z0-9]){keyword}(?![a-z0-9])", expression.replace("?", " ").replace("|", " ")), (label, keyword)
+
+
+def test_several_added_tokens(tmp_path):
+    """Added tokens keep their own ids, each at its place."""
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    spec = json.load(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8"))
+    first = spec["added_tokens"][0]
+    new = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) + 1
+    spec["added_tokens"].append({**first, "id": new, "content": "<|second|>"})
+    p = tmp_path / "two.json"
+    p.write_text(json.dumps(spec), encoding="utf-8")
+    text = f"a{first['content']}b <|second|>{first['content']} c<|second|>"
+    library = Tokenizer.from_file(str(p))
+    want = library.encode(text, add_special_tokens=False).ids
+    enc = bpe.Encoder(str(p))
+    got = memoryview(enc.ids_of([text])[0]).cast("I").tolist()
+    assert got == want and want.count(new) == 2
+    assert enc.text_of(enc.ids_of([text])[0]) == text
+
+
+def test_long_texts_of_later_scripts_are_cut_safely(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 7)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, enc = Tokenizer.from_file(path), bpe.Encoder(path)
+    for text in ("日本 語の テスト  です。 a b  c\n d 's it's 1 2 ", "שלום עולם " * 40, "日本" * 50, "क ख  ग " * 9 + "é’s x", "ab cd\u2003ef 日 gh  ij"):
+        assert "".join(bpe.cut_safely(text, 7)) == text
+        assert memoryview(enc.ids_of([text])[0]).cast("I").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(list(bpe.cut_safely("שלום עולם " * 40, 7))) > 20
+
+
+def test_open_elements_are_closed_in_linear_time():
+    import time
+    page = "<table><tr><td><table>" + "<b>" * 40_000 + "<tr></tr>" * 40_000 + "<li>x</li>" * 40_000
+    start = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - start < 3
+
+
+@pytest.mark.parametrize("inner, kept", [
+    ("<p>Let <math><mi>x</mi><mo>+</mo><mn>1</mn><annotation>x+1</annotation></math> be</p>", "Let x+1 be"),
+    ("<p>Press <button>Go</button> now</p>", "Press Go now"), ("<menu><li>one thing</li><li>two things</li></menu>", "one thing\ntwo things"),
+    ('<p style="color: red; display : none">no</p>', ""), ('<p style="visibility:hidden">no</p>', ""), ('<p style="display:block">yes</p>', "yes"),
+    ("<button>Buy</button>", ""),
+])
+def test_words_in_controls_and_formulas(inner, kept):
+    assert html_text.main_text(f"<body><article>{BODY}{inner}</article></body>") == WANT + ("\n" + kept if kept else "")
+
+
+def test_article_that_stands_for_scripts():
+    assert html_text.main_text(f"<body><div id=app></div><noscript><article><h1>T</h1>{BODY}</article></noscript></body>") == "T\n" + WANT
+    assert html_text.main_text(f"<body><noscript>Please turn scripts on.</noscript><article>{BODY}</article></body>") == WANT

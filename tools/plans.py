@@ -57,7 +57,7 @@ def main():
     if md:
         with open(md, "w") as f:
             f.write("# PLANS\n\nStatic physical plans of the registered queries (`python tools/plans.py --md PLANS.md`, "
-                    "sf0.01, AQE off so the planned shuffles are visible; at run time AQE may replace a shuffle join "
+                    f"{os.path.basename(sf_dir)}, AQE off so the planned shuffles are visible; at run time AQE may replace a shuffle join "
                     "by a broadcast one from measured sizes and coalesces partitions). Shuffles count every "
                     "keyed `Exchange` (hash, range, single partition) of all jobs of a query: those that write a staged table "
                     "while the query is built, and the last one; `tables` counts them. Reads list the Parquet "

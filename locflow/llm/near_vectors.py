@@ -5,17 +5,25 @@ class. The unit vectors are turned into the principal axes of the whole
 table (the turn leaves products as they are), so the leading coordinates
 carry most of a product. Two unit vectors of cosine c lie at most
 sqrt(2 - 2c) apart, so with cells of that width along the ``GRID`` leading
-axes only neighbouring cells can hold a pair. Cells are dealt into tiles of
-about ``TILE`` rows, and each pair of neighbouring tiles is compared in one
-place: products are accumulated ``STEP`` axes at a time, the rest of each
-product is bounded by the product of the two suffix norms, and a pair is
-given up as soon as product plus bound can't reach the threshold. What
-survives is decided by the cosine of the original components in double
-precision.
-
-A tile pair returns, per class, how many vectors it is linked to, and a
-spanning forest of its links, never the pairs themselves; links are joined to
-components as written tables.
+axes only neighbouring cells can hold a pair. A vector stands in its own cell
+and visits the one below along each axis; two vectors meet in the cell that is
+the lower of theirs along every axis, and there only, as two visitors along
+one axis are not compared. Cells are dealt into tiles.
+
+No vector is copied per tile pair. First only the heads meet, the ``STEP``
+leading coordinates in single precision and the norm of the rest: a tile pair
+names its members whose head product plus the product of the two suffix norms
+reaches the threshold with anyone. Only these come back with their whole
+vectors: products are accumulated ``STEP`` axes at a time, the rest of each
+product is bounded by the suffix norms, and a pair is given up as soon as
+product plus bound can't reach the threshold. What survives is decided by the
+cosine of the original components in double precision.
+
+A tile holds ``TILE_BYTES`` of whole vectors, so what a task holds is bounded
+for any vector length, and the heads of a cell are copied once per
+``TILE_BYTES`` of its vectors. A tile pair returns, per class, how many
+vectors it is linked to, and a spanning forest of its links, never the pairs
+themselves; links are joined to components as written tables.
 
 Defined cases: a null label, a null or zero vector and one with a null or
 non-finite component link with nothing (a component of their own); vectors of
@@ -28,7 +36,6 @@ columns are not read, whatever their names.
 from __future__ import annotations
 
 import math
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +47,11 @@ from locflow.llm.shared import written
 
 COSINE = 0.98
 GRID = 2                    # leading axes that are cut into cells
-TILE = 1024
-STEP = 16                   # axes per round of accumulation
+TILE_BYTES = 16 << 20       # whole vectors of one tile
+AT_ONCE = 512               # rows of a tile that are compared with as many others in one go
+STEP = 16                   # axes per round of accumulation, and of a head
 SLACK = 1e-9                # far above rounding, far below what the threshold could notice
+HEAD_SLACK = 1e-5           # the same for heads, in single precision
 
 
 def raw_rows(column, dim: int) -> np.ndarray:
@@ -94,89 +103,132 @@ def axes(classes: DataFrame, dim: int) -> np.ndarray:
 
 
 def celled(classes: DataFrame, turn: np.ndarray, width: float, grid: int) -> DataFrame:
-    """Classes with their cell along the leading axes."""
+    """``class_id, label, head, c0, ...``: the classes' heads and their own cells along the leading axes."""
     dim = len(turn)
 
     def run(batches):
         for batch in batches:
             x = raw_rows(batch.column("v"), dim)
-            z = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ turn[:, :grid]
-            cells = np.floor(z / width).astype(np.int32)
+            z = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ turn
+            cells = np.floor(z[:, :grid] / width).astype(np.int32)
+            head = np.column_stack([z[:, :STEP], suffix_norms(z, STEP)]).astype("<f4")
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("class_id", "label", "v", "copies")),
+                [batch.column("class_id"), batch.column("label"), pa.array([h.tobytes() for h in head], pa.binary()),
                  *(pa.array(np.ascontiguousarray(cells[:, k])) for k in range(grid))],
-                names=["class_id", "label", "v", "copies", *(f"c{k}" for k in range(grid))])
+                names=["class_id", "label", "head", *(f"c{k}" for k in range(grid))])
 
     label = classes.schema["label"].dataType.simpleString()
-    return classes.where(F.col("dim") == dim).select("class_id", "label", "v", "copies").mapInArrow(
-        run, f"class_id bigint, label {label}, v binary, copies bigint, " + ", ".join(f"c{k} int" for k in range(grid)))
+    return classes.where(F.col("dim") == dim).select("class_id", "label", "v").mapInArrow(
+        run, f"class_id bigint, label {label}, head binary, " + ", ".join(f"c{k} int" for k in range(grid)))
 
 
-def compare(left: np.ndarray, right: np.ndarray, turn: np.ndarray, cosine: float, same: bool):
-    """Index pairs whose cosine reaches the threshold (``same``: of one tile, each pair once)."""
-    nl, nr = np.linalg.norm(left, axis=1), np.linalg.norm(right, axis=1)
-    zl, zr = (left / nl[:, None]) @ turn, (right / nr[:, None]) @ turn
-    dim = zl.shape[1]
-    rest = lambda z, k: np.sqrt(np.maximum((z[:, k:] ** 2).sum(axis=1), 0.0))
+def suffix_norms(z: np.ndarray, k: int) -> np.ndarray:
+    return np.sqrt(np.maximum((z[:, k:] ** 2).sum(axis=1), 0.0))
+
+
+def blocks(is_left: np.ndarray, same: bool):
+    """Row numbers to compare with one another, ``AT_ONCE`` by ``AT_ONCE``, and whether both are the same rows."""
+    left = np.arange(len(is_left)) if same else np.flatnonzero(is_left)
+    right = left if same else np.flatnonzero(~is_left)
+    for p in range(0, len(left), AT_ONCE):
+        for q in range(p if same else 0, len(right), AT_ONCE):
+            yield left[p:p + AT_ONCE], right[q:q + AT_ONCE], same and p == q
+
+
+def met(li: np.ndarray, ri: np.ndarray, visits: np.ndarray, same: bool) -> np.ndarray:
+    """Which pairs are compared here: not two visitors along one axis, and each pair of the same rows once."""
+    here = (visits[li][:, None] & visits[ri][None, :]) == 0
+    return np.triu(here, 1) if same else here
+
+
+def compare(x: np.ndarray, z: np.ndarray, li: np.ndarray, ri: np.ndarray, here: np.ndarray, cosine: float):
+    """Row numbers of the pairs among ``here`` whose cosine reaches the threshold; ``z``: ``x`` of unit length, turned."""
+    dim, zl, zr = z.shape[1], z[li], z[ri]
     step = min(STEP, dim)
     partial = zl[:, :step] @ zr[:, :step].T
-    alive = partial + np.outer(rest(zl, step), rest(zr, step)) >= cosine - SLACK
-    if same:
-        alive &= np.triu(np.ones(alive.shape, bool), 1)
-    i, j = np.nonzero(alive)
+    i, j = np.nonzero(here & (partial + np.outer(suffix_norms(zl, step), suffix_norms(zr, step)) >= cosine - SLACK))
     so_far = partial[i, j]
     for k in range(step, dim, STEP):
         if not len(i):
             break
         so_far = so_far + np.einsum("ij,ij->i", zl[i, k:k + STEP], zr[j, k:k + STEP])
-        stays = so_far + rest(zl, k + STEP)[i] * rest(zr, k + STEP)[j] >= cosine - SLACK
+        stays = so_far + suffix_norms(zl, k + STEP)[i] * suffix_norms(zr, k + STEP)[j] >= cosine - SLACK
         i, j, so_far = i[stays], j[stays], so_far[stays]
-    exact = np.einsum("ij,ij->i", left[i], right[j]) / (nl[i] * nr[j])
-    return i[exact >= cosine], j[exact >= cosine]
-
+    i, j = li[i], ri[j]
+    norm = np.linalg.norm(x, axis=1)
+    found = [np.empty((2, 0), np.int64)]
+    for k in range(0, len(i), 1 << 14):                 # a dense block holds up to AT_ONCE squared pairs
+        a, b = i[k:k + (1 << 14)], j[k:k + (1 << 14)]
+        good = np.einsum("ij,ij->i", x[a], x[b]) / (norm[a] * norm[b]) >= cosine
+        found.append(np.stack([a[good], b[good]]))
+    return np.concatenate(found, axis=1)
+
+
+def tile_pairs(cells: DataFrame, grid: int, tile_rows: int) -> DataFrame:
+    """The heads in every tile pair they belong to: ``label, c0, ..., i, j, own, visits, class_id, head``."""
+    cell = [f"c{k}" for k in range(grid)]
+    masks = F.explode(F.array(*(F.lit(m) for m in range(1 << grid))))
+    stands = cells.select("label", "class_id", "head", *cell, masks.alias("visits")).select(
+        "label", "class_id", "head", "visits",
+        *((F.col(f"c{k}") - F.col("visits").bitwiseAND(1 << k).cast("boolean").cast("int")).alias(f"c{k}") for k in range(grid)))
+    sizes = written(stands.groupBy("label", *cell).agg(
+        F.count("*").alias("size"), F.bit_and("visits").alias("visitors")).where("size > 1 and visitors = 0").select(
+        "label", *cell, F.ceil(F.col("size") / tile_rows).cast("int").alias("tiles")), "vector-cells")
+    rows = stands.join(sizes, ["label", *cell]).withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("tiles")).cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    return rows.select("label", *cell, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                       "own", "visits", "class_id", "head")
+
+
+def near_heads(pairs: DataFrame, head_width: int, cosine: float, grid: int) -> DataFrame:
+    """Of every tile pair the members whose head lets them reach the threshold with another member."""
+    key = ["label", *(f"c{k}" for k in range(grid)), "i", "j"]
+    keep = [*key, "own", "visits", "class_id"]
 
-def tile_links(cells: DataFrame, turn: np.ndarray, cosine: float, grid: int) -> DataFrame:
+    def run(table):
+        same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        own, visits = (table.column(c).to_numpy() for c in ("own", "visits"))
+        h = np.frombuffer(b"".join(table.column("head").to_pylist()), "<f4").reshape(-1, head_width)
+        near = np.zeros(len(own), bool)
+        for li, ri, alike in blocks(own == table.column("i")[0].as_py(), same):
+            reach = h[li] @ h[ri].T >= np.float32(cosine - HEAD_SLACK)  # coordinates and suffix norms in one product
+            if reach.any():
+                reach &= met(li, ri, visits, alike)
+                near[li] |= reach.any(axis=1)
+                near[ri] |= reach.any(axis=0)
+        return table.select(keep).filter(pa.array(near))
+
+    kinds = ", ".join(f"{f} {pairs.schema[f].dataType.simpleString()}" for f in keep)
+    return pairs.groupBy(*key).applyInArrow(run, kinds)
+
+
+def tile_links(cells: DataFrame, flat: DataFrame, turn: np.ndarray, cosine: float, grid: int) -> DataFrame:
     """``a, b, n``: with b null, class a is linked to n further vectors; else a link of the spanning forest."""
-    dim, cell = len(turn), [f"c{k}" for k in range(grid)]
-    sizes = written(cells.groupBy("label", *cell).agg(F.count("*").alias("size")).withColumn(
-        "tiles", F.ceil(F.col("size") / TILE).cast("int")).drop("size"), "vector-cells")
-    rows = cells.join(sizes, ["label", *cell]).withColumn("tile", F.pmod(F.xxhash64("class_id"), F.col("tiles")).cast("int"))
-    # the neighbour of a cell in each direction; of two opposite directions the first makes the pair's left side
-    steps = list(product((-1, 0, 1), repeat=grid))
-    near = sizes.select("label", *cell, F.col("tiles").alias("near_tiles"),
-                        F.explode(F.array(*(F.array(*map(F.lit, s)) for s in steps))).alias("d"))
-    near = near.select("label", *((F.col(f"c{k}") - F.col("d")[k]).alias(f"c{k}") for k in range(grid)), "near_tiles", "d")
-    rows = rows.join(near, ["label", *cell])
-    forward = F.lit(0)
-    for k in reversed(range(grid)):
-        forward = F.when(F.col("d")[k] != 0, F.col("d")[k]).otherwise(forward)
-    rows = rows.select("*", forward.alias("side"), F.explode(F.sequence(F.lit(0), F.col("near_tiles") - 1)).alias("near_tile"))
-    own = F.struct(*cell, "tile")
-    other = F.struct(*((F.col(f"c{k}") + F.col("d")[k]).alias(f"c{k}") for k in range(grid)), F.col("near_tile").alias("tile"))
-    left = (F.col("side") > 0) | ((F.col("side") == 0) & (F.col("tile") <= F.col("near_tile")))
-    rows = rows.select("label", F.when(left, own).otherwise(other).alias("l"), F.when(left, other).otherwise(own).alias("r"),
-                       left.alias("is_left"), "class_id", "copies", "v")
+    dim = len(turn)
+    tile_rows = max(TILE_BYTES // (8 * dim), 1)
+    near = written(near_heads(tile_pairs(cells, grid, tile_rows), min(STEP, dim) + 1, cosine, grid), "vector-near")
+
     def run(table):
-        is_left = np.asarray(table.column("is_left").combine_chunks().to_numpy(zero_copy_only=False), bool)
-        same = bool(table.column("same")[0].as_py())
-        ids, copies = (table.column(c).to_numpy() for c in ("class_id", "copies"))
+        same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        own, visits, ids, copies = (table.column(c).to_numpy() for c in ("own", "visits", "class_id", "copies"))
         x = raw_rows(table.column("v"), dim)
-        li, ri = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(is_left), np.flatnonzero(~is_left))
-        i, j = compare(x[li], x[ri], turn, cosine, same) if len(li) and len(ri) else (np.empty(0, int),) * 2
-        i, j = li[i], ri[j]
-        count = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids)) if len(i) else np.zeros(len(ids))
-        found = Union()
-        for a, b in zip(ids[i].tolist(), ids[j].tolist()):
-            found.join(a, b)
+        z = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ turn
+        count, found = np.zeros(len(ids), np.int64), Union()
+        for li, ri, alike in blocks(own == table.column("i")[0].as_py(), same):
+            i, j = compare(x, z, li, ri, met(li, ri, visits, alike), cosine)
+            np.add.at(count, i, copies[j])
+            np.add.at(count, j, copies[i])
+            for a, b in zip(ids[i].tolist(), ids[j].tolist()):
+                found.join(a, b)
         links = found.links()
         linked = np.flatnonzero(count)
         return pa.table({
             "a": pa.array([*ids[linked].tolist(), *(a for a, _ in links)], pa.int64()),
             "b": pa.array([*([None] * len(linked)), *(b for _, b in links)], pa.int64()),
-            "n": pa.array([*count[linked].astype(int).tolist(), *([0] * len(links))], pa.int64())})
+            "n": pa.array([*count[linked].tolist(), *([0] * len(links))], pa.int64())})
 
-    rows = rows.select("label", "l", "r", "is_left", (F.col("l") == F.col("r")).alias("same"), "class_id", "copies", "v")
-    return rows.groupBy("label", "l", "r").applyInArrow(run, "a bigint, b bigint, n bigint")
+    whole = near.join(flat.select("class_id", "v", "copies"), "class_id")
+    return whole.groupBy("label", *(f"c{k}" for k in range(grid)), "i", "j").applyInArrow(run, "a bigint, b bigint, n bigint")
 
 
 def near_vectors(df: DataFrame, cosine: float = COSINE, grid: int = GRID, id_col: str = "vec_id",
@@ -189,7 +241,7 @@ def near_vectors(df: DataFrame, cosine: float = COSINE, grid: int = GRID, id_col
     for (dim,) in sorted(map(tuple, classes.select("dim").distinct().collect())):   # vector lengths: a handful
         turn = axes(flat, dim)
         g = min(grid, dim)
-        part = tile_links(written(celled(flat, turn, width, g), "vector-celled"), turn, cosine, g)
+        part = tile_links(written(celled(flat, turn, width, g), "vector-celled"), flat, turn, cosine, g)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], "a bigint, b bigint, n bigint")

@@ -224,14 +224,34 @@ def brute_vectors(rows):
     return sorted((r[0], n[a], least[root.get(a, a)], least[root.get(a, a)] == r[0]) for a, r in enumerate(rows))
 
 
-@pytest.mark.parametrize("tile, grid", [(1024, 2), (5, 2), (5, 3), (7, 1)])
-def test_near_vectors(spark, monkeypatch, tile, grid):
-    monkeypatch.setattr(near_vectors, "TILE", tile)
+@pytest.mark.parametrize("tile, grid, at_once", [(1024, 2, 512), (5, 2, 512), (5, 3, 2), (7, 1, 3), (1024, 2, 4)])
+def test_near_vectors(spark, monkeypatch, tile, grid, at_once):
+    monkeypatch.setattr(near_vectors, "TILE_BYTES", tile * 8 * 16)
+    monkeypatch.setattr(near_vectors, "AT_ONCE", at_once)
     rows = vector_rows()
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int, class_id int")
     assert sorted(rows_of(near_vectors.near_vectors(df, grid=grid))) == brute_vectors(rows)
 
 
+def test_near_vectors_ship_heads_only(spark, monkeypatch):
+    """Vectors without near ones: each stands in 2 ** GRID cells by its head, however many there are, and none comes back whole."""
+    x = np.random.default_rng(5).normal(size=(4_000, 64))
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(x)]
+    seen = {}
+
+    def spied(pairs, width, cosine, grid):
+        seen["heads"] = pairs.count()
+        near = plain(pairs, width, cosine, grid)
+        seen["near"] = near.count()
+        return near
+
+    plain = near_vectors.near_heads
+    monkeypatch.setattr(near_vectors, "near_heads", spied)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert near_vectors.near_vectors(df).where("n_links > 0").count() == 0
+    assert seen["heads"] <= len(rows) * 2 ** near_vectors.GRID and seen["near"] < len(rows) // 10
+
+
 def test_near_vectors_defined_cases(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert near_vectors.near_duplicates(spark.createDataFrame([], schema)).count() == 0

@@ -6,7 +6,10 @@ starts with one bucket and, while a bucket holds more than ``BUCKET_BYTES``
 of distinct texts, splits it by its next bit, doubling the directory where
 the bucket's own depth has reached ``g``. What the buckets hold is known
 beforehand from a count of the distinct addresses per prefix (at most
-``2^PREFIX_BITS`` rows, however large the corpus).
+``2^PREFIX_BITS`` rows, however large the corpus). A bucket still overfull at
+that depth goes on splitting by its further bits; as addresses are hashes, its
+texts spread evenly over them, so its count says how often. Neighbouring
+buckets share a task where there are more than ``TASKS`` of them.
 
 Every task first joins the equal texts it meets (a text that a third of all
 rows share thus leaves each task as one entry per 64 MB), then sends each
@@ -35,7 +38,8 @@ from pyspark.sql import functions as F
 from locflow.llm.shared import written
 
 BUCKET_BYTES = 16 << 20     # capacity of a bucket, in bytes of distinct texts
-PREFIX_BITS = 14            # deepest split of the directory: 16,384 buckets
+PREFIX_BITS = 14            # address bits that are counted: 16,384 counts
+TASKS = 1 << 16             # most owner tasks, each with a range of addresses
 COMBINE_BYTES = 64 << 20    # texts that a task holds while joining equal ones
 
 #: all runs of white space that are not one blank already
@@ -47,7 +51,7 @@ class Directory:
     """Slots to buckets: buckets are (first address prefix, depth, bytes) and split while overfull."""
 
     def __init__(self, weights: np.ndarray, capacity: int = BUCKET_BYTES):
-        self.bits = int(len(weights)).bit_length() - 1
+        self.bits, self.capacity = int(len(weights)).bit_length() - 1, capacity
         self.sums = np.concatenate([[0], np.cumsum(weights)])
         self.depth = 0                      # global depth
         self.slots = [0]
@@ -77,10 +81,33 @@ class Directory:
             self.slots[k] = new
         return new
 
-    def owners(self) -> np.ndarray:
-        """Slot → owner task; owners numbered in address order."""
-        order = {b: k for k, b in enumerate(dict.fromkeys(self.slots))}
-        return np.array([order[b] for b in self.slots], dtype=np.int32)
+    def further(self, b: int) -> int:
+        """Address bits by which a bucket goes on splitting below the counted ones."""
+        over = -(-self.weight(b) // max(self.capacity, 1)) if self.buckets[b][1] == self.bits else 1
+        return min(max(over - 1, 0).bit_length(), 64 - self.bits)
+
+    def owners(self) -> tuple[np.ndarray, np.ndarray]:
+        """Slot → its bucket's first owner, and the further bits that number its owners; in address order."""
+        bits = {b: self.further(b) for b in dict.fromkeys(self.slots)}
+        first = dict(zip(bits, np.cumsum([0, *(1 << k for k in bits.values())]).tolist()))
+        return np.array([first[b] for b in self.slots]), np.array([bits[b] for b in self.slots])
+
+    def tasks(self) -> int:
+        first, bits = self.owners()
+        return min(int(first[-1]) + (1 << int(bits[-1])), TASKS)
+
+    def task_of(self):
+        """A function from addresses (unsigned) to owner tasks."""
+        first, bits = self.owners()
+        depth, owners, tasks = self.depth, int(first[-1]) + (1 << int(bits[-1])), self.tasks()
+
+        def of(addresses: np.ndarray) -> np.ndarray:
+            slot = (addresses >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(len(addresses), np.int64)
+            more = bits[slot]
+            below = (addresses << np.uint64(depth)) >> np.uint64(1) >> (63 - more).astype(np.uint64)
+            return (((first[slot] + below.astype(np.int64)) * tasks) // owners).astype(np.int32)
+
+        return of
 
 
 def addressed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -103,7 +130,7 @@ def directory(addresses: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> Directo
 def build_index(docs: DataFrame, found: Directory) -> DataFrame:
     """Index rows, one per distinct text: ``address, sha, chain, keep_id, group_size``, written to shared files."""
     kind = docs.schema["id"].dataType.simpleString()
-    slots, shift = found.owners(), 64 - found.depth
+    task_of = found.task_of()
     entry = f"owner int, address bigint, sha binary, norm binary, keep_id {kind}, group_size bigint"
 
     def combine(batches):
@@ -112,9 +139,8 @@ def build_index(docs: DataFrame, found: Directory) -> DataFrame:
 
         def flush():
             addresses = np.array([k[0] for k in held], dtype=np.int64).view(np.uint64)
-            owner = slots[(addresses >> np.uint64(shift)).astype(np.int64)] if found.depth else np.zeros(len(held), np.int32)
             out = pa.RecordBatch.from_pydict({
-                "owner": pa.array(owner, pa.int32()), "address": pa.array(addresses.view(np.int64)),
+                "owner": pa.array(task_of(addresses), pa.int32()), "address": pa.array(addresses.view(np.int64)),
                 "sha": pa.array([v[2] for v in held.values()], pa.binary()),
                 "norm": pa.array([k[1] for k in held], pa.binary()),
                 "keep_id": pa.array([v[0] for v in held.values()], id_type),
@@ -176,7 +202,7 @@ def build_index(docs: DataFrame, found: Directory) -> DataFrame:
             yield rows([(address, chain)])
 
     entries = docs.select("id", "address", "sha", F.col("norm").cast("binary").alias("norm")).mapInArrow(combine, entry)
-    owned = entries.repartitionById(int(slots.max()) + 1, F.col("owner")).sortWithinPartitions("address", "sha")
+    owned = entries.repartitionById(found.tasks(), F.col("owner")).sortWithinPartitions("address", "sha")
     return written(owned.mapInArrow(own, f"address bigint, sha binary, chain int, keep_id {kind}, group_size bigint"),
                    "dedup-index")
 

@@ -1,7 +1,8 @@
 """Operator 10: near-duplicate documents by a multi-index Hamming join over MinHash signatures.
 
 A document's set holds the hashes of its distinct word shingles; documents
-of equal sets form one class, and all further work is on classes. A
+of equal sets, told by a 128-bit digest, form one class, and all further work
+is on classes, numbered by 64 bits that are made distinct. A
 signature has ``SYMBOLS`` symbols of 16 bits; two sets of similarity J
 disagree in a symbol with probability 1 - J. Pairs whose signatures differ in
 at most ``DISTANCE`` symbols are candidates; at J = 0.8 a pair lies beyond it
@@ -109,10 +110,27 @@ def shingles(text: str, width: int) -> np.ndarray:
     return np.unique(total)
 
 
-def class_of(found: np.ndarray) -> int | None:
-    """64-bit hash of a set."""
-    from xxhash import xxh3_64_intdigest
-    return xxh3_64_intdigest(found.tobytes()) - (1 << 63) if len(found) else None
+def digest_of(found: np.ndarray) -> bytes | None:
+    """128-bit hash of a set."""
+    from xxhash import xxh3_128_digest
+    return xxh3_128_digest(found.tobytes()) if len(found) else None
+
+
+def class_ids(digest: str, attempt: int):
+    """A class's number, from its digest."""
+    return F.xxhash64(F.col(digest), F.lit(attempt))
+
+
+def numbered(classes: DataFrame) -> DataFrame:
+    """Classes with an ``id``: 64 bits of the digest, others for those few classes that would share theirs."""
+    for attempt in range(8):
+        first = class_ids("digest", 0) if not attempt else F.when(F.col("twice"), class_ids("digest", attempt)).otherwise(F.col("id"))
+        classes = written(classes.withColumn("id", first).drop("twice"), "near-classes")
+        twice = written(classes.groupBy("id").count().where("count > 1").select("id", F.lit(True).alias("twice")), "near-twice")
+        if twice.isEmpty():
+            return classes
+        classes = classes.join(twice, "id", "left").withColumn("twice", F.coalesce("twice", F.lit(False)))
+    raise ValueError("class numbers keep colliding")
 
 
 def sign(found: np.ndarray) -> bytes:
@@ -145,7 +163,7 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def sketches(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, n_shingles, class_id, signature`` per document (class and signature null for an empty set)."""
+    """``id, n_shingles, digest, signature`` per document (digest and signature null for an empty set)."""
     source = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
 
@@ -157,10 +175,10 @@ def sketches(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame
                 yield pa.RecordBatch.from_pydict({
                     "id": pa.array([r[0] for r in rows], id_type),
                     "n_shingles": pa.array(map(len, sets), pa.int64()),
-                    "class_id": pa.array(map(class_of, sets), pa.int64()),
+                    "digest": pa.array(map(digest_of, sets), pa.binary()),
                     "signature": pa.array([sign(s) if len(s) else None for s in sets], pa.binary())})
 
-    return source.mapInArrow(run, f"id {kind}, n_shingles bigint, class_id bigint, signature binary")
+    return source.mapInArrow(run, f"id {kind}, n_shingles bigint, digest binary, signature binary")
 
 
 def signature_rows(column) -> np.ndarray:
@@ -340,14 +358,15 @@ def across(members: DataFrame, percent: int) -> DataFrame:
 
 def texts_of(df: DataFrame, needed: DataFrame, classes: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """``id, text``: the text of each needed class, taken from the document of its smallest id."""
-    wanted = needed.join(classes.select("id", "doc"), "id").select(F.col("id").alias("class_id"), F.col("doc").alias("doc_id"))
+    wanted = needed.join(classes.select("id", "doc", "digest"), "id").select(
+        F.col("id").alias("class_id"), F.col("doc").alias("doc_id"), "digest")
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = docs.join(wanted, "doc_id")
 
     def run(batches):       # where a document id repeats with other texts, only the class's own text stays
         for batch in batches:
-            mine = [class_of(shingles(t.as_py(), width)) == c.as_py()
-                    for t, c in zip(batch.column("text"), batch.column("class_id"))]
+            mine = [digest_of(shingles(t.as_py(), width)) == d.as_py()
+                    for t, d in zip(batch.column("text"), batch.column("digest"))]
             yield batch.select(["class_id", "text"]).filter(pa.array(mine, pa.bool_())).rename_columns(["id", "text"])
 
     return found.dropDuplicates(["doc_id", "class_id", "text"]).mapInArrow(run, "id bigint, text string")
@@ -356,15 +375,15 @@ def texts_of(df: DataFrame, needed: DataFrame, classes: DataFrame, width: int, i
 def near_groups(df: DataFrame, width: int = 4, percent: int = 80, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """One row per document: ``id, n_shingles, component, kept``."""
-    return classed(df, width, percent, id_col, text_col).drop("class_id")
+    return classed(df, width, percent, id_col, text_col).drop("digest")
 
 
 def classed(df: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """One row per document: ``id, n_shingles, component, kept, class_id``."""
+    """One row per document: ``id, n_shingles, component, kept, digest``."""
     sketch = written(sketches(df, width, id_col, text_col), "near-sketch")
-    classes = written(sketch.where("class_id is not null and id is not null").groupBy(F.col("class_id").alias("id")).agg(
+    classes = numbered(sketch.where("digest is not null and id is not null").groupBy("digest").agg(
         F.min("id").alias("doc"), F.count("*").alias("copies"), F.first("signature").alias("signature"),
-        F.first("n_shingles").alias("n_shingles")), "near-classes")
+        F.first("n_shingles").alias("n_shingles")))
 
     # buckets of two or more classes, and their members
     buckets = written(filed(classes).groupBy("bucket").agg(
@@ -395,14 +414,14 @@ def classed(df: DataFrame, width: int, percent: int, id_col: str, text_col: str)
     joined = written(components(stars.unionByName(more)), "near-components")
 
     # components by their smallest document
-    placed = classes.join(joined, "id", "left").select("id", "doc", "copies", F.coalesce("component", "id").alias("component"))
+    placed = classes.join(joined, "id", "left").select("digest", "doc", "copies", F.coalesce("component", "id").alias("component"))
     placed = written(placed, "near-placed")
     heads = placed.groupBy("component").agg(F.min("doc").alias("head"))
-    final = placed.join(heads, "component").where("copies > 1 or head <> doc").select(F.col("id").alias("class_id"), "head")
-    out = sketch.select("id", "n_shingles", "class_id").join(written(final, "near-final"), "class_id", "left")
+    final = placed.join(heads, "component").where("copies > 1 or head <> doc").select("digest", "head")
+    out = sketch.select("id", "n_shingles", "digest").join(written(final, "near-final"), "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("head", "id"))
     return out.select("id", "n_shingles", component.alias("component"), component.eqNullSafe(F.col("id")).alias("kept"),
-                      "class_id")
+                      "digest")
 
 
 def near_duplicates(df: DataFrame) -> DataFrame:
@@ -413,8 +432,8 @@ def near_duplicates(df: DataFrame) -> DataFrame:
 def keep_one(df: DataFrame, width: int = 4, percent: int = 80, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, one document of each group, with their columns."""
-    found = written(classed(df, width, percent, id_col, text_col).select("id", "class_id", "kept"), "near-found")
-    gone = found.where("not kept").select(F.col("id").alias("gone_id"), F.col("class_id").alias("gone_class")).distinct()
+    found = written(classed(df, width, percent, id_col, text_col).select("id", "digest", "kept"), "near-found")
+    gone = found.where("not kept").select(F.col("id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct()
     gone = written(gone, "near-gone")
     rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"))
     # ids that repeat, with one text that goes and another that stays
@@ -423,15 +442,15 @@ def keep_one(df: DataFrame, width: int = 4, percent: int = 80, id_col: str = "do
     if split.isEmpty():
         return rows.join(gone.select("gone_id").distinct(), F.col("id") == F.col("gone_id"), "left_anti").select("row.*")
 
-    def classes(batches):
+    def digests(batches):
         for texts in batches:
-            yield pa.array([class_of(shingles(t.as_py(), width)) if t.is_valid else None for t in texts], pa.int64())
+            yield pa.array([digest_of(shingles(t.as_py(), width)) if t.is_valid else None for t in texts], pa.binary())
 
     mixed = split.select(F.col("gone_id").alias("mixed_id")).distinct()
     rows = rows.join(mixed, F.col("id") == F.col("mixed_id"), "left")
     text = F.when(F.col("mixed_id").isNotNull(), F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")))
-    rows = rows.withColumn("class_id", F.arrow_udf(classes, "bigint", F.ArrowUDFType.SCALAR_ITER)(text))
+    rows = rows.withColumn("digest", F.arrow_udf(digests, "binary", F.ArrowUDFType.SCALAR_ITER)(text))
     whole = gone.join(split.select("gone_id"), "gone_id", "left_anti").select("gone_id").distinct()
     rows = rows.join(whole, F.col("id") == F.col("gone_id"), "left_anti")
-    same = (F.col("id") == F.col("gone_id")) & (F.col("class_id") == F.col("gone_class"))
+    same = (F.col("id") == F.col("gone_id")) & (F.col("digest") == F.col("gone_digest"))
     return rows.join(split, same, "left_anti").select("row.*")

@@ -139,8 +139,10 @@ def brute_exact(rows):
     return by_str(out)
 
 
-@pytest.mark.parametrize("bucket_bytes", [exact_dedup.BUCKET_BYTES, 200])
-def test_exact_groups(spark, bucket_bytes):
+@pytest.mark.parametrize("bucket_bytes, bits, tasks", [(exact_dedup.BUCKET_BYTES, 14, 99), (200, 14, 99), (200, 2, 99), (50, 1, 7)])
+def test_exact_groups(spark, monkeypatch, bucket_bytes, bits, tasks):
+    monkeypatch.setattr(exact_dedup, "PREFIX_BITS", bits)
+    monkeypatch.setattr(exact_dedup, "TASKS", tasks)
     rows = document_rows([f"text {k % 50}  of many" for k in range(300)])
     docs = documents(spark, rows=rows).repartition(6)
     got = exact_dedup.groups(docs, bucket_bytes=bucket_bytes)
@@ -173,7 +175,23 @@ def test_directory_doubling():
     for b, (prefix, depth) in enumerate(d.buckets):
         assert d.weight(b) <= 2_000 or depth == d.bits
     assert sum(d.weight(b) for b in range(len(d.buckets))) == weights.sum()
-    assert list(d.owners()) == sorted(d.owners())
+    first, bits = d.owners()
+    assert list(first) == sorted(first) and {s for s in range(len(bits)) if bits[s]} == {77}
+
+
+def test_directory_goes_on_below_the_counted_bits(monkeypatch):
+    """Overfull buckets at the deepest counted level split on, no owner gets more than it holds, ranges stay in order."""
+    addresses = np.sort(np.random.default_rng(4).integers(0, 1 << 64, 200_000, dtype=np.uint64))
+    weights = np.bincount((addresses >> np.uint64(61)).astype(int), minlength=8) * 100
+    weights[5] = 0
+    addresses = addresses[addresses >> np.uint64(61) != 5]
+    d = exact_dedup.Directory(weights, 50_000)
+    owner = d.task_of()(addresses)
+    assert d.tasks() > 300 and owner.min() == 0 and owner.max() == d.tasks() - 1
+    assert (np.diff(owner) >= 0).all() and np.bincount(owner).max() * 100 < 1.5 * 50_000
+    monkeypatch.setattr(exact_dedup, "TASKS", 10)
+    owner = d.task_of()(addresses)
+    assert (np.diff(owner) >= 0).all() and set(owner) == set(range(10))
 
 
 def test_equal_addresses_are_chained(spark):
@@ -356,6 +374,25 @@ def test_near_dense_group(spark):
     assert by_str(rows_of(near_text.near_duplicates(docs))) == brute_near(ids, texts, 4)
 
 
+def test_classes_that_would_share_a_number(spark, monkeypatch):
+    plain = near_text.class_ids
+    monkeypatch.setattr(near_text, "class_ids", lambda digest, attempt: plain(digest, attempt) % (5 if not attempt else 1 << 60))
+    rows = document_rows(near_copies(40))
+    got = near_text.near_groups(documents(spark, rows=rows).repartition(3))
+    assert by_str(rows_of(got)) == brute_near([r[0] for r in rows], [r[1] for r in rows], 4)
+
+
+def test_signatures_at_the_threshold_are_within_the_distance():
+    """Pairs of sets whose similarity is 0.8 exactly: how far their signatures lie apart."""
+    rng = np.random.default_rng(6)
+    far = []
+    for _ in range(3_000):
+        words = rng.integers(0, 1 << 64, 300, dtype=np.uint64)      # 240 in common, 30 of each alone
+        a, b = (near_text.sign(np.sort(x)) for x in (words[:270], np.r_[words[:240], words[270:]]))
+        far.append(int((np.frombuffer(a, "<u2") != np.frombuffer(b, "<u2")).sum()))
+    assert 12 < np.mean(far) < 13.6 and max(far) <= near_text.DISTANCE
+
+
 def test_pigeonhole_guarantees_a_common_bucket():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 16, (300, near_text.SYMBOLS)).astype("<u2")

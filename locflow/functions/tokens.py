@@ -13,13 +13,19 @@ from __future__ import annotations
 # The token grammar of source code, one alternation. Its states are the alternatives: inside a verbatim
 # literal, a regular one (either may be interpolated), a line comment, a block comment, a character literal and a
 # preprocessor line a quote opens nothing. Where none of them starts, a quote or a comment opener is a stray one.
+# A hole of an interpolated literal on one line may hold literals and characters of its own; one whose holes don't close
+# ends at its next quote.
 VERBATIM = r'(?:\$@|@\$?)"[^"]*+(?:""[^"]*+)*+"'
 REGULAR = r'\$?"[^"\\\n]*+(?:\\[^\n][^"\\\n]*+)*+"'
+_CHAR = r"'(?:[^'\\\n]|\\[^\n][^'\\\n]*+)'"
+_QUOTED = r'"[^"\\\n]*+(?:\\[^\n][^"\\\n]*+)*+"'
+_HOLE = r"\{[^\"'{}\n]*+(?:(?:" + _QUOTED + "|" + _CHAR + r")[^\"'{}\n]*+)*+\}"
+INTERPOLATED = r'\$"[^"\\{\n]*+(?:(?:\\[^\n]|\{\{|' + _HOLE + r')[^"\\{\n]*+)*+"'
 LINE_COMMENT = r"//[^\n]*+"
 BLOCK_COMMENT = r"/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/"
-CHAR = r"'(?:[^'\\\n]|\\[^\n][^'\\\n]*+)'"
+CHAR = _CHAR
 DIRECTIVE = r"(?md:^)[ \t]*+#[^\n]*+"
-CODE_TOKEN = "|".join((VERBATIM, REGULAR, LINE_COMMENT, BLOCK_COMMENT, CHAR, DIRECTIVE))
+CODE_TOKEN = "|".join((VERBATIM, INTERPOLATED, REGULAR, LINE_COMMENT, BLOCK_COMMENT, CHAR, DIRECTIVE))
 # Markup: any quoted run.
 MARKUP_TOKEN = r'"[^"]*+"'
 

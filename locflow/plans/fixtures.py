@@ -18,7 +18,7 @@ from locflow.sources.tables import table
 # The `code` view. Each document becomes a C#-like file: a
 # constant per line of its text (quotes and backslashes escaped), then lines
 # that exercise comments of both kinds, character literals, preprocessor
-# lines, escapes, verbatim, multi-line and interpolated strings, bold markup,
+# lines, escapes, verbatim, multi-line and interpolated strings (literals in their holes too), bold markup,
 # an existing lookup, and every rule, place and vocabulary of the classifier. Documents whose text holds a digit also get a literal that
 # never closes.
 CODE_HEAD = ("namespace N {",)
@@ -31,6 +31,7 @@ CODE_TAIL = (
     'var m = @"First {id}\nsecond ""line"" of {id}";',
     'var f = $"Hello {name} {id}";',
     'var g = $@"Dir {name}\\{id}";',
+    'var i = $"Is {(ok ? "yes {id}" : "no")} or {m["k\\""]:N1}, {(c == \'"\' ? 1 : 2)} {{{id}}}" + "then {id}";',
     'var s = "Tab\\there\\n\\u00e9\\x41\\U0001F600\\uD83D\\uDE00 \\\\ done\\0 {id} \\q\\uD800";',
     'var b = "\\\\\\\\" + @"\\\\" + "\\\\x";',
     'var n = "{id}.5" + "user_name{id}" + "*** --- ***" + "./up/{id}";',

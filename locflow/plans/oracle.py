@@ -10,9 +10,11 @@ from __future__ import annotations
 
 _VERBATIM = r'(?:\$@|@\$?)"[^"]*(?:""[^"]*)*"'
 _REGULAR = r'\$?"[^"\\\n]*(?:\\[^\n][^"\\\n]*)*"'
-_COMMENTS = r"//[^\n]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/"
 _CHAR = r"'(?:[^'\\\n]|\\[^\n][^'\\\n]*)'"
-TOKENS = {"code": f"{_VERBATIM}|{_REGULAR}|{_COMMENTS}|{_CHAR}" + r"|(?m:^)[ \t]*#[^\n]*", "markup": r'"[^"]*"'}
+_HOLE = r"\{[^\"'{}\n]*(?:(?:\"[^\"\\\n]*(?:\\[^\n][^\"\\\n]*)*\"|" + _CHAR + r")[^\"'{}\n]*)*\}"
+_HOLED = r'\$"[^"\\{\n]*(?:(?:\\[^\n]|\{\{|' + _HOLE + r')[^"\\{\n]*)*"'
+_COMMENTS = r"//[^\n]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/"
+TOKENS = {"code": f"{_VERBATIM}|{_HOLED}|{_REGULAR}|{_COMMENTS}|{_CHAR}" + r"|(?m:^)[ \t]*#[^\n]*", "markup": r'"[^"]*"'}
 LITERAL_KINDS = "('regular', 'verbatim', 'interpolated')"
 NL = "chr(10)"
 WS = r"[\p{Z}\t\n\x0B\f\r\x{85}]"
@@ -89,6 +91,8 @@ def code_cte() -> str:
         "'var m = @\"First ' || doc_id || chr(10) || 'second \"\"line\"\" of ' || doc_id || '\";'",
         "'var f = $\"Hello {name} ' || doc_id || '\";'",
         "'var g = $@\"Dir {name}\\' || doc_id || '\";'",
+        """'var i = $"Is {(ok ? "yes ' || doc_id || '" : "no")} or {m["k\\""]:N1}, {(c == ''"'' ? 1 : 2)} {{' || doc_id || '}}" """
+        """+ "then ' || doc_id || '";'""",
         "'var s = \"Tab\\there\\n\\u00e9\\x41\\U0001F600\\uD83D\\uDE00 \\\\ done\\0 ' || doc_id || ' \\q\\uD800\";'",
         "'var b = \"\\\\\\\\\" + @\"\\\\\" + \"\\\\x\";'",
         "'var n = \"' || doc_id || '.5\" + \"user_name' || doc_id || '\" + \"*** --- ***\" + \"./up/' || doc_id || '\";'",

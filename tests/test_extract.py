@@ -110,6 +110,26 @@ def test_characters_comments_and_directives_hold_no_literals(spark):
     assert out.rewritten == want and out.replaced == 3
 
 
+HOLES = """var a = $"Is {(ok ? "yes" : "no")} or {m["k\\""]:N1}" + "behind";
+var b = $"{(c == '"' ? "x" : $"y {n}")}" + "last"; var d = $"{{" + "open {" + $"{n}}}";
+var e = $"a { b" + "odd";
+"""
+
+
+def test_literals_in_the_holes_of_an_interpolated_one(spark):
+    got = _lits(spark, [("f", HOLES)]).orderBy("ordinal").collect()
+    assert [r.text for r in got if r.kind == "regular"] == ["behind", "last", "open {", "odd"]
+    assert [r.text for r in got if r.kind == "interpolated"] == [
+        'Is {(ok ? "yes" : "no")} or {m["k\\""]:N1}', """{(c == '"' ? "x" : $"y {n}")}""", "{{", "{n}}}", "a { b"]
+    out = W.rewrite_sources(spark.createDataFrame([("f", HOLES)], "path string, content string"), select=lambda t: F.lit(True)).first()
+    want = HOLES
+    for t, k in (("behind", "Behind"), ("last", "Last"), ("open {", "Open"), ("odd", "Odd")):
+        want = want.replace(f'"{t}"', f"sess.i18n(XlfKeys.{k})")
+    assert out.rewritten == want and out.replaced == 4
+    deep = "$\"" + "{(a ? \"b\" : 'c')} \\n " * 50_000 + "\""
+    assert [r.raw for r in _lits(spark, [("f", deep + " + \"z\"")]).orderBy("ordinal").collect()] == [deep, '"z"']
+
+
 PLACES = """[Obsolete("a0")] class A {
 if (x.StartsWith("call") || m["index"] == "cmp" && "cmp2" != y) Show("shown", /* , */ 'c', "shown2" + "shown3");
 case "label": y[0] = "plain"; F(a, b[1], "arg2"); s.Replace('x', "repl").Trim ( "t" );

@@ -42,6 +42,29 @@ def scan(s: str):
             i += 1
         return -1
 
+    def interpolated(i):
+        """End of an interpolated literal whose quote is at ``i``; its holes may hold literals and characters."""
+        i += 1
+        while i < len(s) and s[i] not in '"\n':
+            if s[i] == "\\":
+                if s[i + 1:i + 2] in ("", "\n"):
+                    return -1
+                i += 2
+            elif s.startswith("{{", i):
+                i += 2
+            elif s[i] == "{":
+                i += 1
+                while i < len(s) and s[i] != "}":
+                    if s[i] in "{\n":
+                        return -1
+                    i = quoted(i, '"') if s[i] == '"' else character(i) if s[i] == "'" else i + 1
+                    if i < 0:
+                        return -1
+                i += 1
+            else:
+                i += 1
+        return i + 1 if s[i:i + 1] == '"' else -1
+
     def character(i):
         end = quoted(i, "'")
         body = s[i + 1:end - 1]
@@ -52,6 +75,8 @@ def scan(s: str):
         end = -1
         if s.startswith(('$@"', '@$"', '@"'), i):
             end = verbatim(s.index('"', i))
+        if end < 0 and s.startswith('$"', i):
+            end = interpolated(i + 1)
         if end < 0 and s.startswith(('"', '$"'), i):
             end = quoted(s.index('"', i), '"')
         if end < 0 and s.startswith("//", i):
@@ -70,7 +95,7 @@ def scan(s: str):
     return toks
 
 
-ALPHABET = st.sampled_from(list('ab"\\@/\n x$') + ["'", "*", "#", "/*", "*/", '@"', "'\"'", "\n#", "\\'"])
+ALPHABET = st.sampled_from(list('ab"\\@/\n x$') + ["'", "*", "#", "/*", "*/", '@"', "'\"'", "\n#", "\\'", "{", "}", '$"', '{"', '"}', "{{"])
 CODE = st.lists(st.lists(ALPHABET, max_size=25).map("".join), min_size=60, max_size=120)
 
 

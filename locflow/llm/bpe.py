@@ -43,8 +43,12 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 SAME_CLASSES = re.compile("[՘-\U0010ffff]")
 
 
-# Between a word and the blank before the next, no split of the pattern is undone.
-BORDER = re.compile(r"(?<=\w)(?= \w)")
+# Splits that stand whatever is around them: between a word and the blank before the next, and between a letter or
+# digit and a mark of punctuation. Letters of scripts written without blanks, and marks, that have been such
+# in every version of Unicode, so that both libraries class them alike.
+LETTERS = "0-9A-Za-zก-ะぁ-ゖァ-ヺ一-龥가-힣ऄ-ह"
+MARKS = ",.!?;:。、，！？；：「」『』（）《》।"
+BORDER = re.compile(rf"(?<=\w)(?= \w)|(?<=[{LETTERS}])(?=[{MARKS}])")
 
 
 def cut_safely(text: str, size: int):

@@ -374,10 +374,12 @@ def test_long_texts_of_later_scripts_are_cut_safely(monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK_CHARS", 7)
     path = public_tokenizers.path("byte_bpe_50k.json")
     library, enc = Tokenizer.from_file(path), bpe.Encoder(path)
-    for text in ("日本 語の テスト  です。 a b  c\n d 's it's 1 2 ", "שלום עולם " * 40, "日本" * 50, "क ख  ग " * 9 + "é’s x", "ab cd\u2003ef 日 gh  ij"):
+    for text in ("日本 語の テスト  です。 a b  c\n d 's it's 1 2 ", "שלום עולם " * 40, "日本" * 50, "क ख  ग " * 9 + "é’s x", "ab cd\u2003ef 日 gh  ij",
+                 "今日は良い天気です。明日も、きっと" * 40, "日本!!?。。1,2.x's,'s。it's' _,_。 。 。", "नमस्ते। ก็ดี,ค่ะ. 한국어!나" * 9):
         assert "".join(bpe.cut_safely(text, 7)) == text
         assert memoryview(enc.ids_of([text])[0]).cast("I").tolist() == library.encode(text, add_special_tokens=False).ids
     assert len(list(bpe.cut_safely("שלום עולם " * 40, 7))) > 20
+    assert len(list(bpe.cut_safely("今日は良い天気です。明日も、きっと" * 40, 7))) > 20
 
 
 def test_open_elements_are_closed_in_linear_time():

@@ -4,9 +4,9 @@ Writing. Each page becomes one record (a table row); Spark's text sink puts
 the two line ends after each record, which is the record separator of the
 format. Of pages with equal payloads the one of the smallest id is a
 ``response``; the others are ``revisit`` records whose HTTP header still
-names the payload's length. Payload digests are computed before anything is
-shuffled, and only the digests that occur for more than one page are joined
-back.
+names the payload's length. Payloads are told apart by SHA-256, computed
+before anything is shuffled, and only the digests that occur for more than one
+page are joined back.
 
 Reading. Archives are plain files and are read in splits, cut at every
 occurrence of the record magic, also inside payloads. Each cut is a candidate
@@ -14,11 +14,13 @@ record; a task parses its header and emits where its successor must begin.
 Offsets are running sums inside a split plus the sums of the file's earlier
 splits. Pointer jumping from offset 0 of each file (every round doubles the
 jumps) keeps the records that a chain of boundaries reaches; magic inside a
-payload is never reached. A record that holds the magic lies in several cuts
-and is put together again in a second pass over just the cuts it spans.
+payload is never reached. A record that holds the magic lies in several cuts:
+which ones is settled on offsets alone, by file and megabyte, and a second pass
+brings the bytes of a record's cuts together, each record on its own.
 
 Defined cases: null html is an empty payload; a null page id or url is left
-out of the header and comes back null; rows that repeat the smallest id of
+out of the header and comes back null; ids of any simple type come back as
+they were (percent-encoded in the record); rows that repeat the smallest id of
 their payload are all responses; line ends in urls are percent-encoded;
 an empty table gives an empty folder and no rows; other columns are not read,
 whatever their names.
@@ -29,6 +31,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from urllib.parse import unquote_plus
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,6 +44,7 @@ END = "\r\n\r\n"
 RECORDS_PER_FILE = 2048     # 11 rounds of jumping
 DATE = "2024-01-01T00:00:00Z"
 SMALLEST_REVISIT = 0        # payload bytes from which equal payloads are revisits
+BLOCK = 1 << 20             # bytes of a file by which records meet the cuts they span
 
 # Digits of base 32 (RFC 4648) beside those of Spark's conv.
 DIGITS, CONV_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -56,18 +60,18 @@ def records(pages: DataFrame, smallest: int = SMALLEST_REVISIT) -> DataFrame:
     """One record of text per page, without the record's two last line ends."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).alias("n"),
-                        base32_sha1(payload).alias("digest"))
-    shared = (rows.where(F.col("n") >= smallest).groupBy("digest")
+                        base32_sha1(payload).alias("digest"), F.sha2(payload, 256).alias("sha256"))
+    shared = (rows.where(F.col("n") >= smallest).groupBy("sha256")
               .agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id"), F.count("*").alias("uses"))
-              .where("uses > 1 and first_id is not null").select("digest", "first_id"))
-    rows = rows.join(written(shared, "warc-shared"), "digest", "left")
-    revisit = F.coalesce(F.col("first_id") != F.coalesce("page_id", F.col("first_id") + 1), F.lit(False))
+              .where("uses > 1 and first_id is not null").select("sha256", "first_id"))
+    rows = rows.join(written(shared, "warc-shared"), "sha256", "left")
+    revisit = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
                     F.col("n").cast("string"), F.lit(END))
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise("")
     url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     block = F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("n"))
-    name = lambda c: F.concat(F.lit("<urn:page:"), F.col(c).cast("string"), F.lit(">"))
+    name = lambda c: F.concat(F.lit("<urn:page:"), F.url_encode(F.col(c).cast("string")), F.lit(">"))
     header = F.concat(
         F.lit(MAGIC + "WARC-Type: "), F.when(revisit, "revisit").otherwise("response"), F.lit("\r\n"),
         line("WARC-Record-ID", name("page_id")), F.lit(f"WARC-Date: {DATE}\r\n"), line("WARC-Target-URI", url),
@@ -92,17 +96,17 @@ def cuts(spark: SparkSession, path: str) -> DataFrame:
 
 
 FIELD = re.compile(rb"^([A-Za-z-]+):[ \t]*(.*?)[ \t]*$", re.M)
-CANDIDATE = ("file string, split bigint, at bigint, n bigint, size bigint, page_id bigint, type string, "
-             "refers_to bigint, head bigint, payload_bytes bigint, payload_digest string, stated_digest string")
+CANDIDATE = ("file string, split bigint, at bigint, n bigint, size bigint, page_id string, type string, "
+             "refers_to string, head bigint, payload_bytes bigint, payload_digest string, stated_digest string")
 
 
 def fields(header: bytes) -> dict[str, str]:
     return {k.decode().lower(): v.rstrip(b"\r").decode("utf-8", "replace") for k, v in FIELD.findall(header)}
 
 
-def page_number(value: str | None) -> int | None:
-    m = re.fullmatch(r"<urn:page:(-?\d+)>", value or "")
-    return int(m.group(1)) if m else None
+def page_id(value: str | None) -> str | None:
+    m = re.fullmatch(r"<urn:page:([^<>]*)>", value or "")
+    return unquote_plus(m.group(1)) if m else None
 
 
 def digest(payload: bytes) -> str:
@@ -130,8 +134,8 @@ def parse(value: bytes):
     if head + length <= len(value):         # else the block holds the magic and goes on in the next cut
         n, body = http_body(value[head:head + length])
         body_digest = digest(body) if f["warc-type"] != "revisit" else stated
-    return (len(MAGIC) + head + length + 4, page_number(f.get("warc-record-id")), f["warc-type"],
-            page_number(f.get("warc-refers-to")), head, n, body_digest, stated)
+    return (len(MAGIC) + head + length + 4, page_id(f.get("warc-record-id")), f["warc-type"],
+            page_id(f.get("warc-refers-to")), head, n, body_digest, stated)
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
@@ -186,8 +190,16 @@ def reachable(nodes: DataFrame) -> DataFrame:
     return now.where("reached").select("file", "begin")
 
 
-def put_together(spark: SparkSession, path: str, torn: DataFrame) -> DataFrame:
-    """Length and digest of the payloads of records that lie in several cuts (``torn``: file, begin, next, head)."""
+def spanned(found: DataFrame, torn: DataFrame) -> DataFrame:
+    """``file, cut, begin, size, head``: the cuts that each torn record spans. A record meets the cuts of its own
+    megabytes only, so one file with many records or many cuts is dealt over many tasks."""
+    spans = torn.withColumn("block", F.explode(F.expr(f"sequence(begin div {BLOCK}, (next - 1) div {BLOCK})")))
+    at = found.select("file", F.col("begin").alias("cut"), F.expr(f"begin div {BLOCK}").alias("block"))
+    return at.join(spans, ["file", "block"]).where("cut >= begin and cut < next").select("file", "cut", "begin", "size", "head")
+
+
+def put_together(spark: SparkSession, path: str, members: DataFrame) -> DataFrame:
+    """Length and digest of the payloads of records that lie in several cuts (``members``: as ``spanned`` gives them)."""
     def measure(batches):
         key, at = None, 0
         for batch in batches:
@@ -221,21 +233,21 @@ def put_together(spark: SparkSession, path: str, torn: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("file", "split", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("base"))
     cut = spans.join(splits, ["file", "split"]).select("file", (F.col("base") + F.col("at") - len(MAGIC)).alias("cut"), "value")
-    inside = (F.col("cut") >= F.col("begin")) & (F.col("cut") < F.col("next"))
-    parts = cut.join(torn.withColumnRenamed("file", "torn_file"), (F.col("file") == F.col("torn_file")) & inside)
+    parts = cut.join(members, ["file", "cut"])      # both sides are dealt by cut, never by file alone
     parts = parts.groupBy("file", "begin", "size", "head").agg(     # of one record: bounded by its own size
         F.collect_list(F.struct(F.col("cut").alias("begin"), "value")).alias("parts"))
     return parts.mapInArrow(join, "file string, begin bigint, torn_bytes bigint, torn_digest string")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records of a folder of archives: ``file, begin, page_id, type, refers_to, payload_bytes, payload_digest``."""
-    found = written(placed(candidates(spark, path)), "warc-candidates")
+    """The records of a folder of archives: ``file, begin, page_id, type, refers_to, payload_bytes, payload_digest,
+    stated_digest``; ids as text."""
+    found = written(placed(written(candidates(spark, path), "warc-cuts")), "warc-candidates")
     chain = written(reachable(found.where("size is not null").select("file", "begin", "next")), "warc-reached")
     real = found.join(chain, ["file", "begin"])
     torn = written(real.where("payload_digest is null").select("file", "begin", "next", "size", "head"), "warc-torn")
     if not torn.isEmpty():
-        real = real.join(put_together(spark, path, torn), ["file", "begin"], "left").withColumns({
+        real = real.join(put_together(spark, path, written(spanned(found, torn), "warc-members")), ["file", "begin"], "left").withColumns({
             "payload_bytes": F.coalesce("payload_bytes", "torn_bytes"),
             "payload_digest": F.coalesce("payload_digest", "torn_digest")})
     return real.select("file", "begin", "page_id", "type", "refers_to", "payload_bytes", "payload_digest", "stated_digest")
@@ -246,8 +258,9 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = work_folder(spark, "warc")
     write(pages, path)
-    return read(spark, path).select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
-                                    "refers_to")
+    kind = pages.schema["page_id"].dataType
+    return read(spark, path).select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest",
+                                    F.col("type").alias("record_type"), F.col("refers_to").cast(kind).alias("refers_to"))
 
 
 def oracle(pages: str = "pages") -> str:

@@ -105,6 +105,21 @@ def test_warc_round_trip(spark, split):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_warc_torn_records_in_one_file(spark, monkeypatch):
+    """Many torn records and cuts in one file, met block by block, also records longer than a block."""
+    monkeypatch.setattr(warc, "BLOCK", 64)
+    rows = [(k, "u", warc.MAGIC * (k % 5) + f"text {k // 2}" * (k % 40), "") for k in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload string").coalesce(1)
+    assert by_str(rows_of(warc.round_trip(pages))) == brute_warc(rows)
+
+
+def test_warc_ids_of_other_types(spark):
+    names = ["a b", "x>y", "é日", "100%+", "", "-7", None, "line\nend"]
+    rows = [(name, None, "same" if k % 2 else f"own {k}", "") for k, name in enumerate(names)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string, payload string")
+    assert by_str(rows_of(warc.round_trip(pages))) == brute_warc(rows)
+
+
 def test_warc_files_are_well_formed(spark, tmp_path):
     pages = spark.createDataFrame(page_rows(), "page_id long, url string, html string, payload string").coalesce(1)
     warc.write(pages, str(tmp_path / "w"), records_per_file=4)

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locflow.llm.components import Union, components
-from locflow.llm.shared import pieces, written
+from locflow.llm.shared import numbered, pieces, written
 
 SYMBOLS, CHUNKS, DISTANCE = 64, 15, 29
 BLOCK_CHARS = 1 << 20
@@ -117,20 +117,8 @@ def digest_of(found: np.ndarray) -> bytes | None:
 
 
 def class_ids(digest: str, attempt: int):
-    """A class's number, from its digest."""
-    return F.xxhash64(F.col(digest), F.lit(attempt))
-
-
-def numbered(classes: DataFrame) -> DataFrame:
-    """Classes with an ``id``: 64 bits of the digest, others for those few classes that would share theirs."""
-    for attempt in range(8):
-        first = class_ids("digest", 0) if not attempt else F.when(F.col("twice"), class_ids("digest", attempt)).otherwise(F.col("id"))
-        classes = written(classes.withColumn("id", first).drop("twice"), "near-classes")
-        twice = written(classes.groupBy("id").count().where("count > 1").select("id", F.lit(True).alias("twice")), "near-twice")
-        if twice.isEmpty():
-            return classes
-        classes = classes.join(twice, "id", "left").withColumn("twice", F.coalesce("twice", F.lit(False)))
-    raise ValueError("class numbers keep colliding")
+    """A class's number, from its digest. The attempt goes first: hashes are chained, what collides before it still would."""
+    return F.xxhash64(F.lit(attempt), F.col(digest))
 
 
 def sign(found: np.ndarray) -> bytes:
@@ -383,7 +371,7 @@ def classed(df: DataFrame, width: int, percent: int, id_col: str, text_col: str)
     sketch = written(sketches(df, width, id_col, text_col), "near-sketch")
     classes = numbered(sketch.where("digest is not null and id is not null").groupBy("digest").agg(
         F.min("id").alias("doc"), F.count("*").alias("copies"), F.first("signature").alias("signature"),
-        F.first("n_shingles").alias("n_shingles")))
+        F.first("n_shingles").alias("n_shingles")), lambda attempt: class_ids("digest", attempt), "near")
 
     # buckets of two or more classes, and their members
     buckets = written(filed(classes).groupBy("bucket").agg(

@@ -1,7 +1,8 @@
 """Operator 6: near-duplicate vectors by PCA-ordered tiled comparison.
 
 Vectors are compared within a label. Equal vectors of a label form one
-class. The unit vectors are turned into the principal axes of the whole
+class, found by the vectors themselves and numbered by 64 bits that are made
+distinct; members find their class's result by a 128-bit hash. The unit vectors are turned into the principal axes of the whole
 table (the turn leaves products as they are), so the leading coordinates
 carry most of a product. Two unit vectors of cosine c lie at most
 sqrt(2 - 2c) apart, so with cells of that width along the ``GRID`` leading
@@ -43,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locflow.llm.components import Union, components
-from locflow.llm.shared import written
+from locflow.llm.shared import numbered, written
 
 COSINE = 0.98
 GRID = 2                    # leading axes that are cut into cells
@@ -58,6 +59,11 @@ def raw_rows(column, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dim)
 
 
+def class_hash(attempt: int):
+    """64 bits of a label and a vector; hashes are chained, so the attempt goes first."""
+    return F.xxhash64(F.lit(attempt), F.col("label"), F.col("v"))
+
+
 def classes_of(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
     """All vectors as ``id, label, v`` (v null where it can't link), and the classes ``class_id, label, dim, v, doc, copies``."""
     ok = (F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (F.size(vec_col) > 0)
@@ -66,9 +72,8 @@ def classes_of(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> tupl
     v = F.when(F.coalesce(ok, F.lit(False)), F.col(vec_col).cast("array<double>"))
     vectors = df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), v.alias("v"))
     classes = vectors.where("v is not null").groupBy("label", "v").agg(F.min("id").alias("doc"), F.count("*").alias("copies"))
-    key = F.xxhash64("label", "v")
-    return vectors, written(classes.select(key.alias("class_id"), "label", F.size("v").alias("dim"), "v", "doc", "copies"),
-                            "vector-classes")
+    classes = classes.select("label", F.size("v").alias("dim"), "v", "doc", "copies")
+    return vectors, numbered(classes, class_hash, "vector", "class_id")
 
 
 def packed(df: DataFrame) -> DataFrame:
@@ -247,17 +252,18 @@ def near_vectors(df: DataFrame, cosine: float = COSINE, grid: int = GRID, id_col
         found = spark.createDataFrame([], "a bigint, b bigint, n bigint")
     found = written(found, "vector-links")
     joined = written(components(found.where("b is not null").select("a", "b")), "vector-components")
+    hashes = [class_hash(8 + k).alias(f"hash{k}") for k in range(2)]     # of a vector, wherever it stands
     degree = found.where("b is null").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("n"))
     placed = classes.join(degree, "class_id", "left").join(
         joined.select(F.col("id").alias("class_id"), "component"), "class_id", "left").select(
-        "class_id", "label", "v", "doc", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        *hashes, "doc", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("component", "class_id").alias("component"))
     placed = written(placed, "vector-placed")
     heads = placed.groupBy("component").agg(F.min("doc").alias("head"))
-    placed = written(placed.join(heads, "component").where("n_links > 0").select("class_id", "n_links", "head"), "vector-heads")
-    keyed = vectors.select("id", F.when(F.col("v").isNotNull(), F.xxhash64("label", "v")).alias("class_id"))
+    placed = written(placed.join(heads, "component").where("n_links > 0").select("hash0", "hash1", "n_links", "head"), "vector-heads")
+    keyed = vectors.select("id", *(F.when(F.col("v").isNotNull(), h).alias(f"hash{k}") for k, h in enumerate(hashes)))
     component = F.when(F.col("id").isNotNull(), F.coalesce("head", "id"))
-    return keyed.join(placed, "class_id", "left").select(
+    return keyed.join(placed, ["hash0", "hash1"], "left").select(
         "id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component"),
         component.eqNullSafe(F.col("id")).alias("kept"))
 

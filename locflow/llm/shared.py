@@ -6,6 +6,7 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from locflow.session import ensure_checkpoint_dir
 
@@ -54,6 +55,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(classes: DataFrame, number, name: str, col: str = "id") -> DataFrame:
+    """Rows with a 64-bit number ``col`` of their own, written: ``number(0)``, and for those few rows that would share
+    it ``number(1)`` and so on (``number`` gives a column whose values for two attempts are independent)."""
+    for attempt in range(8):
+        first = number(0) if not attempt else F.when(F.col("twice"), number(attempt)).otherwise(F.col(col))
+        classes = written(classes.withColumn(col, first).drop("twice"), f"{name}-classes")
+        twice = written(classes.groupBy(col).count().where("count > 1").select(col, F.lit(True).alias("twice")), f"{name}-twice")
+        if twice.isEmpty():
+            return classes
+        classes = classes.join(twice, col, "left").withColumn("twice", F.coalesce("twice", F.lit(False)))
+    raise ValueError("class numbers keep colliding")
+
+
 def pieces(table, columns, weight_of, limit: int):
     """Cut one Arrow batch into lists of row tuples of at most ``limit`` characters (at least one row)."""
     lists = [table.column(c).to_pylist() for c in columns]

@@ -266,6 +266,14 @@ def test_near_vectors(spark, monkeypatch, tile, grid, at_once):
     assert sorted(rows_of(near_vectors.near_vectors(df, grid=grid))) == brute_vectors(rows)
 
 
+def test_vector_classes_that_would_share_a_number(spark, monkeypatch):
+    plain = near_vectors.class_hash
+    monkeypatch.setattr(near_vectors, "class_hash", lambda attempt: plain(attempt) if attempt else plain(0) % 5)
+    rows = vector_rows()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted(rows_of(near_vectors.near_vectors(df))) == brute_vectors(rows)
+
+
 def test_near_vectors_ship_heads_only(spark, monkeypatch):
     """Vectors without near ones: each stands in 2 ** GRID cells by its head, however many there are, and none comes back whole."""
     x = np.random.default_rng(5).normal(size=(4_000, 64))
@@ -397,6 +405,13 @@ def test_classes_that_would_share_a_number(spark, monkeypatch):
     assert by_str(rows_of(got)) == brute_near([r[0] for r in rows], [r[1] for r in rows], 4)
 
 
+def test_numbers_of_further_attempts_do_not_hang_on_the_first(spark):
+    """Hashes are chained: digests that collide under one seed do so whatever is hashed behind them, so the seed comes first."""
+    rows = spark.createDataFrame([(b"x",)], "digest binary")
+    plan = rows.select(near_text.class_ids("digest", 3))._jdf.queryExecution().analyzed().toString()
+    assert "xxhash64(3, digest" in plan
+
+
 def test_signatures_at_the_threshold_are_within_the_distance():
     """Pairs of sets whose similarity is 0.8 exactly: how far their signatures lie apart."""
     rng = np.random.default_rng(6)

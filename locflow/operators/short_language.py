@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locflow.session import stage
+
 GRAMS = 1500
 MARGIN = 3000
 
@@ -36,6 +38,7 @@ def build_gram_profiles(labelled: DataFrame, n: int = GRAMS, text_col: str = "te
     """``profiles(lang, gram, weight)``; top ``n`` in two rounds as for the token profiles."""
     counts = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.explode(trigrams(F.col(text_col))).alias("gram")).groupBy(
         "lang", "gram").agg(F.count("*").alias("c"))
+    counts = stage(counts, "gram-counts")       # read three times below; the texts are cut once
     totals = counts.groupBy("lang").agg(F.sum("c").alias("total"), F.count("*").alias("kinds"))
     order = [F.desc("c"), F.col("gram")]
     local = counts.withColumn("b", F.pmod(F.xxhash64("gram"), F.lit(buckets))).withColumn(
@@ -51,17 +54,26 @@ def detect_short(texts: DataFrame, profiles: DataFrame, id_cols=("doc_id",), tex
                  margin: int = MARGIN) -> DataFrame:
     """``(<id>, detected, lead)``: the language of each text and by how much it leads; ``und`` under ``margin``.
 
-    A row per text and distinct trigram meets the small profile table; one
-    more, the empty trigram with the text's length, meets every language.
+    Profiles become one row per trigram with a weight per language, so a row
+    per trigram of a text meets one row at most, and one more, the empty
+    trigram, stands for all of the text's length. Only the names of the
+    languages reach the driver.
     """
     ids = list(id_cols)
-    grams = texts.select(*ids, F.inline(F.array(F.struct(trigrams(F.col(text_col)).alias("grams")))))
-    rows = grams.select(*ids, F.explode(F.concat("grams", F.array_repeat(F.lit(""), F.size("grams")))).alias("gram"))
-    scores = rows.join(profiles, "gram").groupBy(*ids, "lang").agg(F.sum("weight").alias("score"))
-    ranked = scores.groupBy(*ids).agg(F.sort_array(F.collect_list("score"), False).alias("all"),     # one entry a language
-                                      F.min_by("lang", F.struct(-F.col("score"), F.col("lang"))).alias("best"))
-    lead = F.when(F.size("all") > 1, F.col("all")[0] - F.get("all", F.lit(1))).otherwise(margin)
-    found = ranked.select(*ids, "best", lead.cast("bigint").alias("lead"))
+    langs = sorted(r.lang for r in profiles.select("lang").distinct().collect())
+    if not langs:
+        return texts.select(*ids, F.lit("und").alias("detected"), F.lit(0).cast("bigint").alias("lead"))
+    names = [f"_w{i}" for i in range(len(langs))]
+    weights = profiles.groupBy("gram").agg(*[F.sum(F.when(F.col("lang") == lang, F.col("weight")).otherwise(0)).alias(n)
+                                             for lang, n in zip(langs, names)])
+    grams = texts.select(*ids, F.inline(F.array(F.struct(trigrams(F.col(text_col)).alias("grams"))))).where(F.size("grams") > 0)
+    rows = grams.select(*ids, F.size("grams").cast("bigint").alias("_n"), F.explode(F.concat("grams", F.array(F.lit("")))).alias("gram"))
+    times = F.when(F.col("gram") == "", F.col("_n")).otherwise(F.lit(1))
+    scores = rows.join(weights, "gram").groupBy(*ids).agg(*[F.sum(F.col(n) * times).alias(n) for n in names])
+    order = F.array_sort(F.array(*[F.struct((-F.col(n)).alias("score"), F.lit(lang).alias("lang")) for lang, n in zip(langs, names)]))
+    ranked = scores.select(*ids, F.inline(F.array(F.struct(order.alias("_o")))))
+    lead = F.col("_o")[1]["score"] - F.col("_o")[0]["score"] if len(langs) > 1 else F.lit(margin)
+    found = ranked.select(*ids, F.col("_o")[0]["lang"].alias("best"), lead.cast("bigint").alias("lead"))
     out = texts.select(*ids).join(found, ids, "left")
     return out.select(*ids, F.when(F.col("lead") >= margin, F.col("best")).otherwise("und").alias("detected"),
                       F.coalesce("lead", F.lit(0)).cast("bigint").alias("lead"))

@@ -27,6 +27,7 @@ from locflow.functions import text as T
 from locflow.functions.tokens import CODE_TOKEN, LITERALS, LOOKUP_PREFIXES
 from locflow.operators.extract import stray_openers
 from locflow.session import stage
+from locflow.sources.files import few_tasks
 
 CHUNK_LINES = 4096
 GROUP = 256
@@ -49,10 +50,10 @@ def read_chunks(spark: SparkSession, path: str, glob: str = "*.cs", recursive: b
     are put together before the shuffle, which moves one row a chunk.
     """
     record = F.concat(F.lit(mark), "value") if leads else F.concat("value", F.lit(mark))
-    lines = (spark.read.option("recursiveFileLookup", "true" if recursive else "false").option("pathGlobFilter", glob)
-             .option("lineSep", mark).text(path)
-             .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"),
-                     F.monotonically_increasing_id().alias("id"), record.alias("line")))
+    lines = few_tasks(spark.read.option("recursiveFileLookup", "true" if recursive else "false").option("pathGlobFilter", glob)
+                      .option("lineSep", mark).text(path)
+                      .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"),
+                              F.monotonically_increasing_id().alias("id"), record.alias("line")))
     chunk = F.floor(F.col("id") / chunk_lines).alias("chunk")
     rows = lines.groupBy("path", "split", chunk).agg(F.sort_array(F.collect_list(F.struct("id", "line"))).alias("l"))
     return rows.select("path", "split", "chunk", F.array_join(F.transform("l", lambda x: x["line"]), "").alias("content"))

@@ -31,6 +31,7 @@ from locflow.functions import text as T
 from locflow.functions.tokens import CODE_TOKEN, DIRECTIVE, LITERALS, LOOKUP_PREFIXES
 from locflow.operators.extract import openers_in
 from locflow.session import stage
+from locflow.sources import scan
 from locflow.sources.files import few_tasks
 
 CHUNK_LINES = 4096
@@ -57,9 +58,13 @@ def read_chunks(spark: SparkSession, path: str, glob: str = "*.cs", recursive: b
     Another ``mark`` than the line break cuts elsewhere; with ``leads`` a mark
     stands before its record, not behind it (also before a file's first one,
     which had none). Records of a split follow each other in one task, which
-    puts them together as they come: nothing is sorted or shuffled, and a task
-    holds one chunk and one batch of records.
+    puts them together as they come, and a task holds some chunks. Files of a
+    mounted folder are listed and cut by tasks (``scan``); of another store
+    Spark's text source reads the records.
     """
+    if scan.by_tasks(path):
+        chunks = few_tasks(scan.read_pieces(spark, path, glob, recursive, mark, leads, chunk_lines))
+        return chunks.select("path", "split", "chunk", F.col("content").cast("string").alias("content"))
     record = F.concat(F.lit(mark), "value") if leads else F.concat("value", F.lit(mark))
     lines = few_tasks(spark.read.option("recursiveFileLookup", "true" if recursive else "false").option("pathGlobFilter", glob)
                       .option("lineSep", mark).text(path)

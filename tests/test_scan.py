@@ -1,0 +1,58 @@
+"""Folders listed and read by tasks: the rows of Spark's own file sources, and no list of files on the driver."""
+
+import gzip
+import os
+
+import pytest
+
+from locflow.operators.splits import read_chunks
+from locflow.sources import files, scan, tree, xliff
+from pyspark.sql import functions as F
+
+NAMES = ["a.xlf", "b c+é%41#[x]{y}.en.xlf", "_h.xlf", ".h.xlf", "_k=1.xlf", "sub/c.xlf", "sub/_no/d.xlf", "_sub/e.xlf", "no.txt", "g.xlf.gz", "empty.xlf"]
+UNIT = '<body><group id="G"><trans-unit id="K{n}"><source>s</source><target>{t}</target></trans-unit></group></body>'
+DOCUMENTS = {
+    "plain": ["{1}{2}"], "comment": ["<!-- {1} -->{2}<!-- </file> <file>"], "cdata": ["<n><![CDATA[{1}]]></n>{2}<?x <file> ?>"],
+    "inside": ['<file original="/RESOURCES/" target-language="en"><!-- </file> -->' + UNIT.format(n=1, t="<![CDATA[x</file>y]]>") + "</file >{2}"],
+    "nested": ["<file original='o'><file original='i'></file></file>{2}"], "empty": ["<file original='o' target-language='en'/>{2}"],
+    "prefix": ["<x:file original='/RESOURCES/' target-language='en'>" + UNIT.format(n=1, t="t") + "</x:file><files/>{2}"], "open": ["{1}<file original='"],
+    "entity": ["{1}".replace("{1}", '<file original="/RESOURCES/" target-language="en">' + UNIT.format(n=1, t="a &nbsp; b") + "</file>{2}")],
+}
+
+
+def element(n):
+    return f'<file original="/RESOURCES/{n}" target-language="en">{UNIT.format(n=n, t=f"t{n}")}</file>'
+
+
+def write(folder, name, text):
+    os.makedirs(os.path.dirname(os.path.join(folder, name)), exist_ok=True)
+    with (gzip.open if name.endswith(".gz") else open)(os.path.join(folder, name), "wb") as f:
+        f.write(text.encode())
+
+
+def both(monkeypatch, rows):
+    """The rows by Spark's own sources and by tasks."""
+    own = rows()
+    with monkeypatch.context() as m:
+        m.setattr(scan, "by_tasks", lambda path: False)
+        return rows(), own
+
+
+def sorted_rows(df):
+    return sorted(tuple(map(str, r)) for r in df.collect())
+
+
+def test_pieces_of_files_are_those_of_sparks_splits(spark, tmp_dir, monkeypatch):
+    texts = ["", "\n", "a", "﻿a\nb", "\n\nab\n" * 9, "x<trans-unit" * 5, "<trans-unit" + "line\r\n" * 20, "﻿", "﻿<trans-unit>é<trans-unit", "é" * 50 + "\nend"]
+    for n, text in enumerate(texts):
+        write(tmp_dir, f"f{n}.cs", text)
+        write(tmp_dir, f"f{n}.cs.gz", text)
+    for size in (7, scan.SPLIT_BYTES):
+        monkeypatch.setattr(scan, "SPLIT_BYTES", size)
+        for mark, leads in (("\n", False), ("<trans-unit", True)):
+            def rows():
+                chunks = read_chunks(spark, tmp_dir, "*.{cs,gz}", chunk_lines=3, mark=mark, leads=leads)
+                told = chunks.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("split", "chunk", "content"))).alias("c"))
+                return sorted_rows(told.select("path", F.array_join("c.content", "")))
+            spark_rows, own = both(monkeypatch, rows)
+            assert own == spark_rows and len(own) > 10

@@ -56,3 +56,19 @@ def test_pieces_of_files_are_those_of_sparks_splits(spark, tmp_dir, monkeypatch)
                 return sorted_rows(told.select("path", F.array_join("c.content", "")))
             spark_rows, own = both(monkeypatch, rows)
             assert own == spark_rows and len(own) > 10
+
+
+def test_elements_are_those_of_sparks_xml_source(spark, tmp_dir, monkeypatch):
+    for name, [body] in DOCUMENTS.items():
+        write(tmp_dir, f"{name}.en.xlf", "﻿<xliff>" + body.replace("{1}", element(1)).replace("{2}", element(2)) + "</xliff>")
+    write(tmp_dir, "text.en.xlf", "no markup")
+    columns = [f"`{c}`" for c in xliff.FILE_SCHEMA.names]
+    rows = lambda: sorted_rows(xliff.read_file_elements(spark, tmp_dir).select("file_path", F.to_json(F.struct(*columns))))
+    spark_rows, own = both(monkeypatch, rows)
+    assert own == spark_rows and len(own) == 17
+    for side in (0, 1):
+        spark_rows, own = both(monkeypatch, lambda: sorted_rows(xliff.read_catalogs(spark, tmp_dir, tags=("en",))[side].drop("seq")))
+        assert own == spark_rows and own
+    # Spark gives a broken document up; each element is parsed for itself here, so that those behind are not lost
+    broken = b"<xliff><file original='a<b'></file><file original='c'><x></file><file original='d'/></xliff>"
+    assert list(xliff.cut_elements(broken)) == [None, b"<file original='c'><x></file>", b"<file original='d'/>"]

@@ -42,6 +42,21 @@ def sorted_rows(df):
     return sorted(tuple(map(str, r)) for r in df.collect())
 
 
+def test_files_and_names_are_those_of_sparks_sources(spark, tmp_dir, monkeypatch):
+    for name in NAMES:
+        write(tmp_dir, name, "" if name.startswith("empty") else f"text of {name}\r\n")
+    for path, glob, recursive in ((tmp_dir, "*.xlf", True), (tmp_dir, "*.xlf", False), (f"file://{tmp_dir}", "*.{gz,txt}", True),
+                                  (f"{tmp_dir}/[a-c]*", "?[!z]*f", False), (f"{tmp_dir}/a.xlf", "*", False)):
+        spark_rows, own = both(monkeypatch, lambda: sorted_rows(files.read_sources(spark, path, glob, recursive)))
+        assert own == spark_rows and own
+    spark_rows, own = both(monkeypatch, lambda: sorted_rows(xliff.list_catalog_files(spark, tmp_dir, tags=("en",))[0]))
+    assert own == spark_rows and len(own) == 1
+    spark_rows, own = both(monkeypatch, lambda: sorted_rows(tree.read_tree(spark, tmp_dir)))
+    assert own == spark_rows and len(own) == 6
+    with pytest.raises(FileNotFoundError):
+        files.read_sources(spark, f"{tmp_dir}/none")
+
+
 def test_pieces_of_files_are_those_of_sparks_splits(spark, tmp_dir, monkeypatch):
     texts = ["", "\n", "a", "﻿a\nb", "\n\nab\n" * 9, "x<trans-unit" * 5, "<trans-unit" + "line\r\n" * 20, "﻿", "﻿<trans-unit>é<trans-unit", "é" * 50 + "\nend"]
     for n, text in enumerate(texts):
@@ -72,3 +87,13 @@ def test_elements_are_those_of_sparks_xml_source(spark, tmp_dir, monkeypatch):
     # Spark gives a broken document up; each element is parsed for itself here, so that those behind are not lost
     broken = b"<xliff><file original='a<b'></file><file original='c'><x></file><file original='d'/></xliff>"
     assert list(xliff.cut_elements(broken)) == [None, b"<file original='c'><x></file>", b"<file original='d'/>"]
+
+
+def test_the_driver_plans_no_file(spark, tmp_dir):
+    for n in range(60):
+        write(tmp_dir, f"f{n}.en.xlf", f"<xliff>{element(n)}</xliff>\n")
+    read = [files.read_sources(spark, tmp_dir, "*.xlf"), tree.read_tree(spark, tmp_dir), read_chunks(spark, tmp_dir, "*.xlf"),
+            xliff.read_file_elements(spark, tmp_dir), xliff.list_catalog_files(spark, tmp_dir, tags=("en",))[0]]
+    for df in read:
+        assert not [f for f in df.inputFiles() if tmp_dir in f] and "locflow-listing-" in df.inputFiles()[0]
+        assert df.count() == 60

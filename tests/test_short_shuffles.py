@@ -21,3 +21,12 @@ def test_a_staged_table_leaves_no_shuffle_files(spark):
     assert spark.conf.get(SHUFFLE_CLEANUP, None) in (None, "false")
     counts = staged.groupBy("k").count()
     assert counts.count() == 200_000 and counts.count() == 200_000      # later jobs read it as often as they like
+
+
+def test_a_tree_of_files_leaves_no_shuffle_files(spark, tmp_dir):
+    from locflow.sources.tree import write_tree
+    before = shuffled(spark)
+    rows = spark.range(300).select(F.concat(F.lit("f"), "id").alias("path"), F.sha2(F.col("id").cast("string"), 512).alias("content"))
+    assert write_tree(rows.repartition(5, "content"), os.path.join(tmp_dir, "out")) == 300
+    # what is left is of the small list of files: names and sizes
+    assert shuffled(spark) - before < 300 * 128 / 2
